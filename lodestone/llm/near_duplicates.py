@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.operators.components import connected_components
 from lodestone.sources.storage import cut_lineage
 
-#: Chance that a link at exactly 0.65 shares no band: (1 - 0.65^6)^96 = 0.05 %; at 0.70 under 0.001 %.
-BANDS, ROWS = 96, 6
+#: Chance that a link at exactly 0.65 shares no band: (1 - 0.65^7)^112 = 0.4 %; at 0.70 0.007 %.
+BANDS, ROWS = 112, 7
 SIMILARITY = 0.65
 #: Of 128 one-bit minima a pair at 0.65 agrees in 105.6 +- 4.3; fewer than this is five deviations away.
 SKETCH_BITS, SKETCH_LEAST = 128, 84

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe_trie import encode_corpus
 from lodestone.llm.near_duplicates import near_duplicate_groups, same_group_pairs
+from lodestone.llm.similar_vectors import most_similar, similar_pairs
 from lodestone.sources.tables import table
 
 
@@ -19,6 +20,10 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "memories"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(most_similar(table(spark, sf_dir, "memories")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_groups": p1_groups,
+        "p5_found": p5_found,
         "p6_ids": p6_ids,
     }
 
