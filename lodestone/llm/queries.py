@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.bpe_trie import encode_corpus
 from lodestone.llm.near_duplicates import near_duplicate_groups, same_group_pairs
 from lodestone.llm.similar_vectors import most_similar, similar_pairs
-from lodestone.sources.tables import table
+from lodestone.llm.syntax import invalid_rates, judge_files
+from lodestone.sources.tables import current_corpus, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "memories"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_files(current_corpus(spark, sf_dir)).where("not valid").select("workspace", "path")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_rates(judge_files(current_corpus(spark, sf_dir)))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(most_similar(table(spark, sf_dir, "memories")))
 
@@ -32,6 +41,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_groups": p1_groups,
+        "p2_found": p2_found,
+        "p2_rates": p2_rates,
         "p5_found": p5_found,
         "p6_ids": p6_ids,
     }
