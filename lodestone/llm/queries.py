@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.bpe_trie import encode_corpus
 from lodestone.llm.near_duplicates import near_duplicate_groups, same_group_pairs
 from lodestone.llm.similar_vectors import most_similar, similar_pairs
+from lodestone.llm.splitting import chunk_boundaries, chunk_pieces
 from lodestone.llm.syntax import invalid_rates, judge_files
 from lodestone.sources.tables import current_corpus, table
 
@@ -29,6 +30,14 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_rates(judge_files(current_corpus(spark, sf_dir)))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_boundaries(table(spark, sf_dir, "chunks"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_pieces(table(spark, sf_dir, "chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(most_similar(table(spark, sf_dir, "memories")))
 
@@ -43,6 +52,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_groups": p1_groups,
         "p2_found": p2_found,
         "p2_rates": p2_rates,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
         "p5_found": p5_found,
         "p6_ids": p6_ids,
     }

@@ -3,7 +3,8 @@
 Each scanner turns a text into tokens ``(kind, start, newline_before)``; brackets, Python's
 indentation and JavaScript's template substitutions come as opening and closing tokens that the
 caller nests. Comments and white space give no token. ``ScanError`` carries the place where the
-text cannot be a program of the language. ``spans`` collects (start, end) of multi-line tokens.
+text cannot be a program of the language. ``spans`` collects (start, end) of multi-line tokens;
+``into`` receives the tokens, also those before an error.
 """
 
 from __future__ import annotations
@@ -59,9 +60,9 @@ _CLOSES = {")": "(", "]": "[", "}": "{"}
 _JS_OPERAND_END = frozenset(["id", "num", "str", "tpl`", "regex", "#priv", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"]) | JS_CONTEXTUAL
 
 
-def scan_js(text: str, spans: list | None = None) -> list[Token]:
+def scan_js(text: str, spans: list | None = None, into: list | None = None) -> list[Token]:
     """Tokens of JavaScript or TypeScript. Operators of one role share a kind (``aop`` assigns, ``bop`` joins)."""
-    out: list[Token] = []
+    out: list[Token] = [] if into is None else into
     at, end, newline, last = 0, len(text), False, ""
     opened: list[tuple[str, bool]] = []  # bracket, and whether what it closes is an operand
     match, add = _JS_TOKEN.match, out.append
@@ -205,9 +206,9 @@ _GO_BINARY = frozenset("&& || == != < <= > >= / % << >> &^ |".split())
 _GO_ASSIGN = frozenset("+= -= *= /= %= &= |= ^= <<= >>= &^=".split())
 
 
-def scan_go(text: str, spans: list | None = None) -> list[Token]:
+def scan_go(text: str, spans: list | None = None, into: list | None = None) -> list[Token]:
     """Tokens of Go, with the semicolons that line ends stand for."""
-    out: list[Token] = []
+    out: list[Token] = [] if into is None else into
     at, end, last = 0, len(text), ""
     opened: list[str] = []
     match, add = _GO_TOKEN.match, out.append
@@ -291,10 +292,10 @@ def _columns(indent: str) -> tuple[int, int]:
     return wide, narrow
 
 
-def scan_python(text: str, spans: list | None = None, lines: list | None = None) -> list[Token]:
+def scan_python(text: str, spans: list | None = None, lines: list | None = None, into: list | None = None) -> list[Token]:
     """Tokens of Python; NL ends a logical line, IN and OUT wrap an indented block. ``lines`` collects
     (start, indent) of logical lines."""
-    out: list[Token] = []
+    out: list[Token] = [] if into is None else into
     at, end = (1 if text.startswith("﻿") else 0), len(text)
     indents, opened = [(0, 0)], []
     match, add = _PY_TOKEN.match, out.append
@@ -367,8 +368,8 @@ _JSON_TOKEN = re.compile(
 )
 
 
-def scan_json(text: str, spans: list | None = None) -> list[Token]:
-    out: list[Token] = []
+def scan_json(text: str, spans: list | None = None, into: list | None = None) -> list[Token]:
+    out: list[Token] = [] if into is None else into
     at, end, opened = (1 if text.startswith("﻿") else 0), len(text), []
     while at < end:
         m = _JSON_TOKEN.match(text, at)
