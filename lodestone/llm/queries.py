@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe_trie import encode_corpus
 from lodestone.llm.near_duplicates import near_duplicate_groups, same_group_pairs
+from lodestone.llm.sentences import sentence_starts, sentence_units
 from lodestone.llm.similar_vectors import most_similar, similar_pairs
 from lodestone.llm.splitting import chunk_boundaries, chunk_pieces
 from lodestone.llm.syntax import invalid_rates, judge_files
@@ -46,6 +47,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_starts(table(spark, sf_dir, "documents"))
+
+
+def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -56,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_pieces": p3_pieces,
         "p5_found": p5_found,
         "p6_ids": p6_ids,
+        "p8_found": p8_found,
+        "p8_units": p8_units,
     }
 
 
