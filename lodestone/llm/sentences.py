@@ -46,8 +46,8 @@ _PAIR = {")": "(", "]": "[", "}": "{", "）": "（", "］": "［", "】": "【",
 _CODE_NAME = re.compile(r"[^\W\d_]\w*[A-Z_]\w*(?:\.\w+)*(?:\(\))?|[\w.-]*/[\w./-]*|[^\W\d]\w*(?:\.\w{2,})+|[^\W_]*\d\w*")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-#: A word before a period counts as evidence only when what follows cannot start a sentence.
-_EVIDENCE = re.compile(r"(?<!\S)[(\[“\"«]?([^\W\d_][^\W\d_.\-]{0,11})\.(?:[,:)]|\s+(?=([^\W\d_]\S*)|[\d]))")
+#: A word before a period counts as evidence only when what follows, in the same block, cannot start a sentence.
+_EVIDENCE = re.compile(r"(?<!\S)[(\[“\"«]?([^\W\d_][^\W\d_.\-]{0,11})\.(?:[,:]|(?:[^\S\n]+|[^\S\n]*\n(?!\s|(?:user|agent|tool):|\w{1,3}[.)]\s))(?=([^\W\d_]\S*)|[\d]))")
 
 
 def _is_code(word: str) -> bool:
