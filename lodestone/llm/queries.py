@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe_trie import encode_corpus
 from lodestone.llm.near_duplicates import near_duplicate_groups, same_group_pairs
+from lodestone.llm.provenance import not_hand_written
 from lodestone.llm.sentences import sentence_starts, sentence_units
 from lodestone.llm.similar_vectors import most_similar, similar_pairs
 from lodestone.llm.splitting import chunk_boundaries, chunk_pieces
 from lodestone.llm.syntax import invalid_rates, judge_files
-from lodestone.sources.tables import current_corpus, table
+from lodestone.sources.tables import current_corpus, current_files, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_pieces(table(spark, sf_dir, "chunks"))
 
 
+def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_hand_written(current_files(spark, sf_dir), current_corpus(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_reasons(spark, sf_dir).select("workspace", "path")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(most_similar(table(spark, sf_dir, "memories")))
 
@@ -63,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_rates": p2_rates,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p4_found": p4_found,
+        "p4_reasons": p4_reasons,
         "p5_found": p5_found,
         "p6_ids": p6_ids,
         "p8_found": p8_found,
