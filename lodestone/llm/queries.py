@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe_trie import encode_corpus
+from lodestone.llm.mixing import mix_report, mix_sources
 from lodestone.llm.near_duplicates import near_duplicate_groups, same_group_pairs
 from lodestone.llm.provenance import not_hand_written
 from lodestone.llm.sentences import sentence_starts, sentence_units
@@ -56,6 +57,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(p7_repeats(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_starts(table(spark, sf_dir, "documents"))
 
@@ -76,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_reasons": p4_reasons,
         "p5_found": p5_found,
         "p6_ids": p6_ids,
+        "p7_repeats": p7_repeats,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_units": p8_units,
     }
