@@ -121,15 +121,20 @@ def _signatures(bands: int, rows: int):
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, sim) of distinct candidate pairs; sim is null where the sketches already rule a link out."""
+def _verify(pairs: DataFrame, texts: DataFrame, similarity: float, keep_unlike: bool = True) -> DataFrame:
+    """(a, b, sim) of distinct candidate pairs; sim is null where the sketches already rule a link out.
+
+    Without ``keep_unlike`` those pairs are left out, and words are fetched only for the few texts left.
+    """
     sketch = texts.select("id", *SKETCH, F.size("words").alias("n"))
     side = lambda x: sketch.select(F.col("id").alias(x), F.array(*SKETCH).alias(f"{x}_bits"), F.col("n").alias(f"{x}_n"))
     differ = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(len(SKETCH))), F.lit(0))
     alike = (differ <= SKETCH_BITS - SKETCH_LEAST) & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity)
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", alike.alias("near"))
-    near = cut_lineage(near)
+    near = cut_lineage(near if keep_unlike else near.where("near"))
     words = texts.select("id", "words")
+    if not keep_unlike:
+        words = words.join(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "id", "left_semi")
     exact = near.where("near").join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     exact = exact.select("a", "b", (shared / (F.size("wa") + F.size("wb") - shared)).alias("sim"))
@@ -150,7 +155,7 @@ def near_duplicate_links(
     texts = cut_lineage(chosen.select("id", "text").mapInArrow(_signatures(bands, rows), "id bigint, words array<bigint>, buckets array<bigint>, " + ", ".join(f"{x} bigint" for x in SKETCH)))
 
     # One exchange serves the count and the join; a hot group is spread over all its bands' buckets.
-    banded = texts.select(F.explode("buckets").alias("bucket"), "id").repartition("bucket")
+    banded = texts.select(F.explode("buckets").alias("bucket"), "id").where("bucket is not null and id is not null").repartition("bucket")
     pivots = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     starred = cut_lineage(banded.join(pivots.hint("shuffle_hash"), "bucket").where("id != pivot"))
     star = _verify(starred.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts, similarity)
@@ -165,7 +170,7 @@ def near_duplicate_links(
     around = wide.join(loose.select("bucket").distinct(), "bucket", "left_semi").join(star.toDF("pivot", "id", "sim"), ["pivot", "id"])
     met = around.join(loose, "bucket").where(F.col("id") != F.col("x")).where(F.col("sim").isNull() | F.col("sx").isNull() | (F.abs(F.col("sim") - F.col("sx")) <= far + 1e-9))
     more = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    links = star.unionByName(_verify(more, texts, similarity)).where(F.col("sim") >= similarity - 1e-12)
+    links = star.unionByName(_verify(more, texts, similarity, keep_unlike=False)).where(F.col("sim") >= similarity - 1e-12)
     return members, cut_lineage(links)
 
 
