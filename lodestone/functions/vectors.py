@@ -16,6 +16,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(F.zip_with(cut(a), cut(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine in double; null where either is null or of no length."""
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
+
+
 def embedding_tokens(text: Column) -> Column:
     """Words of the lower-cased text with repeats, then its distinct letter-digit parts."""
     low = F.lower(text)

@@ -146,13 +146,13 @@ def build_chunks(symbols: DataFrame, files: DataFrame, most_doc: int = 8, most_b
     header = F.substring(F.concat("path", F.lit(" > "), "name", F.lit("("), F.coalesce("signature", F.lit("")), F.lit(")")), 1, 300)
     above = F.reverse(F.slice("lines", F.greatest(F.col("line") - 16, F.lit(1)), F.least(F.col("line") - 1, F.lit(16))))
     # state: taken comment lines (nearest first), whether a comment was met, whether the run has ended
-    start = F.struct(F.array().cast("array<string>").alias("doc"), F.lit(False).alias("begun"), F.lit(False).alias("over"))
+    start = F.struct(F.array().cast("array<string>").alias("doc"), F.lit(False).alias("begun"), F.lit(False).alias("ended"))
 
     def step(a: Column, x: Column) -> Column:
         comment = F.trim(x).rlike(r"^(//|#|/\*|\*|\"\"\")")
         blank = F.trim(x) == ""
-        takes = ~a.over & comment & (F.size(a.doc) < most_doc)
-        return F.struct(F.when(takes, F.concat(a.doc, F.array(x))).otherwise(a.doc).alias("doc"), (a.begun | takes).alias("begun"), (a.over | (~comment & ~(blank & ~a.begun))).alias("over"))
+        takes = ~a.ended & comment & (F.size(a.doc) < most_doc)
+        return F.struct(F.when(takes, F.concat(a.doc, F.array(x))).otherwise(a.doc).alias("doc"), (a.begun | takes).alias("begun"), (a.ended | (~comment & ~(blank & ~a.begun))).alias("ended"))
 
     doc = F.array_join(F.reverse(F.aggregate(above, start, step, lambda a: a.doc)), "\n")
     body = F.array_join(F.slice("lines", "line", F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(1))), "\n")

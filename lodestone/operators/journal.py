@@ -107,13 +107,19 @@ def dual_scope(events: DataFrame, workspace: str) -> DataFrame:
     return marked.groupBy("scope").agg(F.count("*").alias("events"), F.count(F.when(F.col("workspace").isNull(), 1)).alias("untagged"), *ledger_columns()).select("scope", "events", "untagged", "injects", "spent", "avoided", "net")
 
 
+def scope_key() -> Column:
+    """What a claim or turn belongs to: the session, or the workspace where an event names none."""
+    return F.coalesce("session", "workspace")
+
+
 def session_claims(events: DataFrame) -> DataFrame:
-    """(session, path, event_id): the first time that a path was credited within a session; later ones earn nothing.
+    """(scope, path, event_id): the first time that a path was credited within a session; later ones earn nothing.
 
-    Events without a session or paths claim nothing. The least event_id is a map-side aggregate.
+    Events with neither session nor workspace, failed calls and events without paths claim nothing. The
+    least event_id is a map-side aggregate.
     """
-    paths = events.where("session is not null and event_type = 'mcp' and ok").select("session", "event_id", F.explode("paths").alias("path"))
-    return paths.groupBy("session", "path").agg(F.min("event_id").alias("event_id"))
+    paths = events.where("event_type = 'mcp' and ok").select(scope_key().alias("scope"), "event_id", F.explode("paths").alias("path")).where("scope is not null and path is not null")
+    return paths.groupBy("scope", "path").agg(F.min("event_id").alias("event_id"))
 
 
 def repeat_reads(events: DataFrame, least: int = 2) -> DataFrame:
@@ -156,9 +162,10 @@ def guardrail_decision(mode: Column, kind: Column, scoped: Column, discovery: Co
 
 
 def turn_state(events: DataFrame, most: int = 20) -> DataFrame:
-    """(workspace, session, last_at, paths): each session's last 20 distinct paths, newest first."""
-    touched = events.where("workspace is not null and session is not null").select("workspace", "session", "event_id", F.explode_outer("paths").alias("path"))
-    latest = touched.groupBy("workspace", "session", "path").agg(F.max("event_id").alias("at"))
-    order = Window.partitionBy("workspace", "session").orderBy(F.desc("at"), "path")
+    """(scope, last_event, paths): each session's last 20 distinct paths, newest first, comma-joined."""
+    touched = events.select(scope_key().alias("scope"), "event_id", F.explode("paths").alias("path")).where("scope is not null and path is not null")
+    latest = touched.groupBy("scope", "path").agg(F.max("event_id").alias("seen"))
+    order = Window.partitionBy("scope").orderBy(F.desc("seen"), "path")
     kept = latest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
-    return kept.groupBy("workspace", "session").agg(F.max("at").alias("last_event"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("r", "path")))), lambda x: x.path), ",").alias("paths"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x.path), ",")
+    return kept.groupBy("scope").agg(F.max("seen").alias("last_event"), joined.alias("paths"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import dot
+from lodestone.functions.vectors import cosine, dot
 from lodestone.operators.search import lsh_buckets
 
 # Fixed values of the recall contract.
@@ -78,7 +78,7 @@ def close_notes(notes: DataFrame, queries: DataFrame, dim: int = 256, least: flo
     asked = lsh_buckets(usable(queries), "id", "embedding", dim).withColumnRenamed("id", "query_id")
     pairs = asked.join(held, ["table_id", "bucket"]).where("query_id != id").select("query_id", "id").distinct()
     side = notes.select("id", note_kind(F.col("kind")).alias("kind"), "embedding")
-    scored = pairs.join(side.toDF("query_id", "qkind", "qv"), "query_id").join(side, "id").where("kind = qkind").select("query_id", "id", F.round(dot(F.col("qv"), F.col("embedding")), 4).alias("similarity")).where(F.col("similarity") >= least)
+    scored = pairs.join(side.toDF("query_id", "qkind", "qv"), "query_id").join(side, "id").where("kind = qkind").select("query_id", "id", F.round(cosine(F.col("qv"), F.col("embedding")), 4).alias("similarity")).where(F.col("similarity") >= least)
     best = scored.groupBy("query_id").agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("id"))).alias("b"))
     return best.select(F.col("query_id").alias("id"), F.col("b.id").alias("near_id"), F.col("b.similarity").alias("similarity"))
 

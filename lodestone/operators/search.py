@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,8 +146,6 @@ def hyperplanes(dim: int, bits: int = 12, tables: int = 8) -> np.ndarray:
 
 def lsh_buckets(vectors: DataFrame, id_col: str, vector_col: str, dim: int, bits: int = 12, tables: int = 8) -> DataFrame:
     """(id, table_id, bucket) of every vector of ``dim`` numbers: signs against the hyperplanes of each table."""
-    import pandas as pd
-
     planes = hyperplanes(dim, bits, tables).reshape(-1, dim).T
     weights = 1 << np.arange(bits)
 
