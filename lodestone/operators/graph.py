@@ -20,12 +20,17 @@ def useful_callee(name):
     return (F.length(n) >= 2) & (n != "(anon)") & ~F.lower(n).isin(*NOISE_NAMES) & ~prefixed & ~n.isin(*DECORATORS)
 
 
-def definitions(symbols: DataFrame, name: str, k: int = 20) -> DataFrame:
-    """(workspace, path, line, name, rank): symbols of the name or members called so, exact ones first."""
+def definitions(symbols: DataFrame, name: str) -> DataFrame:
+    """(workspace, path, line, name, exact): symbols of the name or members called so."""
     exact = F.col("name") == name
-    found = symbols.where(exact | F.col("name").endswith(f".{name}")).withColumn("exact", exact.cast("int")).select("workspace", "path", "line", "name", "exact").distinct()
-    best = found.orderBy(F.desc("exact"), "workspace", "path", "line", "name").limit(k)
-    return best.select("workspace", "path", "line", "name", F.row_number().over(Window.orderBy(F.desc("exact"), "workspace", "path", "line", "name")).alias("rank"))
+    return symbols.where(exact | F.col("name").endswith(f".{name}")).select("workspace", "path", "line", "name", exact.cast("int").alias("exact")).distinct()
+
+
+def best_definitions(symbols: DataFrame, name: str, k: int = 20) -> DataFrame:
+    """(workspace, path, line, name, rank): the first k definitions, exact ones first."""
+    order = [F.desc("exact"), "workspace", "path", "line", "name"]
+    best = definitions(symbols, name).orderBy(*order).limit(k)
+    return best.select("workspace", "path", "line", "name", F.row_number().over(Window.orderBy(*order)).alias("rank"))  # k rows
 
 
 def importers(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
@@ -62,7 +67,7 @@ def references(files: DataFrame, name: str, *known: DataFrame) -> DataFrame:
 
 def impact(symbols: DataFrame, edges: DataFrame, calls: DataFrame, files: DataFrame, name: str, depth: int = 2) -> DataFrame:
     """(section, workspace, path, line, score) of definitions, importers, callers and references of a name."""
-    defined = definitions(symbols, name, 1_000_000)
+    defined = definitions(symbols, name)
     imported = importers(edges, defined, depth)
     called = callers(calls, name, defined)
     referred = references(files, name, defined, called)

@@ -41,9 +41,15 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[str | tu
     of null or empty text count in the average length and never match.
     """
     wanted = [(p, False) if isinstance(p, str) else p for p in phrases]
-    counted = docs.select(F.col(id_col), terms(F.col(text_col)).alias("t"))
+    wanted = [(p, prefix) for p, prefix in wanted if p.isascii() and p.isalnum()]  # no other term can occur
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    # one pass of a regular expression finds the few terms that can matter; frequencies are counted among those
+    prefixes = "|".join(sorted({p for p, prefix in wanted if prefix})) or "(?!)"
+    exact = "|".join(sorted({p for p, prefix in wanted if not prefix})) or "(?!)"
+    relevant = F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])((?:{prefixes})[a-z0-9]*|(?:{exact})(?![a-z0-9]))"), F.lit(1))
+    counted = docs.select(F.col(id_col), F.regexp_count(low, F.lit("[a-z0-9]+")).alias("dl"), relevant.alias("t"))
     tf = [F.size(F.filter("t", (lambda p, pre: lambda x: x.startswith(p) if pre else x == p)(p, pre))) for p, pre in wanted]
-    measured = counted.select(id_col, F.size("t").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
+    measured = counted.select(id_col, "dl", F.size("t").alias("hits"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
     stats = measured.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(wanted))]).head()
     if not stats.n or not wanted:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
@@ -53,10 +59,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[str | tu
         idf = float(np.log(odds)) if odds > 1 else IDF_FLOOR
         f = F.col(f"tf{i}")
         score = score + F.when(f > 0, F.lit(max(idf, IDF_FLOOR)) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl or 1.0)))).otherwise(0.0)
-    hit = F.lit(False)
-    for i in range(len(wanted)):
-        hit = hit | (F.col(f"tf{i}") > 0)
-    return measured.where(hit).select(id_col, score.alias("score"))
+    return measured.where("hits > 0").select(id_col, score.alias("score"))
 
 
 def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text") -> DataFrame:

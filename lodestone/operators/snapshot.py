@@ -65,8 +65,8 @@ def index_health(files: DataFrame, symbols: DataFrame, chunks: DataFrame, embedd
     """(check, value, status): has files, symbols and chunks; share of symbols with a chunk and of notes with an embedding."""
     n = table_counts(files=files, symbols=symbols.select("id").distinct(), chunks=chunks.select("symbol_id").distinct())
     present = n.select(F.col("name").alias("check"), F.col("n").cast("double").alias("value"), F.when(F.col("n") > 0, "ok").otherwise("bad").alias("status"))
-    ids = symbols.select("id").distinct()
-    covered = ids.join(chunks.where("text is not null").select(F.col("symbol_id").alias("id")).distinct(), "id", "left_semi").agg(F.count("*").alias("c")).crossJoin(ids.agg(F.count("*").alias("t")))  # one row each
+    held = chunks.where("text is not null").select(F.col("symbol_id").alias("id"), F.lit(1).alias("held")).distinct()
+    covered = symbols.select("id").distinct().join(held, "id", "left").agg(F.count("held").alias("c"), F.count("*").alias("t"))
     share = covered.select(F.lit("chunk coverage").alias("check"), F.round(F.col("c") / F.greatest("t", F.lit(1)), 6).alias("value"))
     vectors = embedded.agg(F.round(F.count_if(F.col("embedding").isNotNull()) / F.greatest(F.count("*"), F.lit(1)), 6).alias("value")).select(F.lit("embedding coverage").alias("check"), "value")
     both = share.unionByName(vectors)

@@ -81,7 +81,7 @@ def parse_agreement(s: SparkSession, d: str) -> DataFrame:
 
 
 def impact_definitions(s: SparkSession, d: str) -> DataFrame:
-    return graph.definitions(symbols_of(s, d), NAME, 20)
+    return graph.best_definitions(symbols_of(s, d), NAME, 20)
 
 
 def key_importers(s: SparkSession, d: str) -> DataFrame:
@@ -100,11 +100,11 @@ def impact_importers(s: SparkSession, d: str) -> DataFrame:
 
 
 def impact_callers(s: SparkSession, d: str) -> DataFrame:
-    return graph.callers(calls(s, d), NAME, graph.definitions(symbols_of(s, d), NAME, 1_000_000))
+    return graph.callers(calls(s, d), NAME, graph.definitions(symbols_of(s, d), NAME))
 
 
 def impact_references(s: SparkSession, d: str) -> DataFrame:
-    defined = graph.definitions(symbols_of(s, d), NAME, 1_000_000)
+    defined = graph.definitions(symbols_of(s, d), NAME)
     return graph.references(corpus_of(s, d), NAME, defined, graph.callers(calls(s, d), NAME, defined))
 
 
