@@ -21,7 +21,7 @@ def note_kind(kind: Column) -> Column:
 def age_days(at: Column, as_of: str) -> Column:
     """Days from a time to the clock, not below 0; a null time is infinitely old."""
     seconds = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(at.cast("timestamp"))
-    return F.coalesce(F.greatest(seconds / 86_400_000_000.0, F.lit(0.0)), F.lit(1e9))
+    return F.when(at.isNotNull(), F.greatest(seconds / 86_400_000_000.0, F.lit(0.0))).otherwise(1e9)
 
 
 def recency(at: Column, as_of: str) -> Column:

@@ -190,7 +190,7 @@ round(count(*) FILTER (WHERE event_type = 'inject' AND NOT coalesce(no_prompt, F
 round(count(*) FILTER (WHERE event_type = 'inject' AND intent = 'code' AND hits > 0)::DOUBLE / nullif(count(*) FILTER (WHERE event_type = 'inject' AND intent = 'code'), 0), 6) AS code_hit_rate,
 quantile_disc(CASE WHEN event_type = 'inject' THEN delta_ms END, 0.5) AS p50_delta_ms, count(*) FILTER (WHERE event_type = 'inject' AND (coalesce(timed_out_delta, FALSE) OR coalesce(timed_out_retrieve, FALSE))) AS timeouts,
 count(*) FILTER (WHERE event_type = 'index') AS indexes, count(*) FILTER (WHERE event_type = 'doctor') AS doctors"""
-_AGE = f"greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us({{0}}), 0) / 86400000000.0"
+_AGE = f"CASE WHEN {{0}} IS NULL THEN 1e9 ELSE greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us({{0}}), 0) / 86400000000.0 END"
 _USED = "coalesce(last_used_at, created_at)"
 
 

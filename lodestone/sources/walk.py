@@ -19,4 +19,4 @@ def walk_corpus(spark: SparkSession, root: str, workspace: str, extra_rules: tup
     path = F.expr("substring(path, instr(path, base) + length(base))")
     listed = found.withColumn("base", base).withColumn("rel", path)
     kept = listed.where(extension(F.col("rel")).isin(*SYMBOL_EXTENSIONS, *TEXT_EXTENSIONS) & ~is_ignored(F.col("rel"), ignore_rules(extra_rules)) & (F.col("length") <= most_bytes))
-    return kept.select(F.lit(workspace).alias("workspace"), F.col("rel").alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"))
+    return kept.select(F.lit(workspace).alias("workspace"), F.col("rel").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"))
