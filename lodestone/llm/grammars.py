@@ -23,6 +23,8 @@ prefix = '+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'a
 op = '=' | 'aop' | 'bop' | '+' | '-' | '*' | '<' | '>' | '>' '>+' | '>' '>+' '>+' | '&' | '|' | 'in' | 'instanceof' | '/'
 func = 'async'? 'function' '*'? word? tparams '(Params' rettype '{Fn'
 class = deco* classmods 'class' word? tparams ( 'extends' Heritage )? implementing '{Class'
+funcdecl = 'async'? 'function' '*'? word tparams '(Params' rettype '{Fn'
+classdecl = deco* classmods 'class' word tparams ( 'extends' Heritage )? implementing '{Class'
 Heritage = ( word | 'this' | 'super' | '(Paren' | 'class' word? '{Class' | func | 'null' ) suffix* targs
 suffix = '.' ( name | '#priv' ) | '?.' ( name | '#priv' | '(Args' | '[Index' | 'Tpl' ) | '(Args' | '[Index' | 'Tpl' | tssuffix
 primary = word | 'num' | 'str' | 'Tpl' | 'regex' | 'this' | 'super' | 'null' | 'true' | 'false' | '(Paren' | '[Array' | '{Object' | func | class
@@ -59,17 +61,17 @@ declaration = binding tsbang annotation ( '=' Assign )?
 vars = ( 'var' | 'let' | 'const' | 'using' ) declaration ( ',' declaration )* eos
 Stmt = '{Block' | vars | ';' | !'{' !'function' !'class' Expr eos | 'if' '(Paren' Stmt ( 'else' Stmt )? | 'for' 'await'? '(For' Stmt | 'while' '(Paren' Stmt
   | 'do' Stmt 'while' '(Paren' ';'? | 'try' '{Block' ( 'catch' '(Catch'? '{Block' ( 'finally' '{Block' )? | 'finally' '{Block' ) | 'switch' '(Paren' '{Switch'
-  | ( 'break' | 'continue' ) word? eos | 'throw' Expr eos | 'debugger' eos | word ':' Stmt | 'with' '(Paren' Stmt | func | class | tsstmt
+  | ( 'break' | 'continue' ) word? eos | 'throw' Expr eos | 'debugger' eos | word ':' Stmt | 'with' '(Paren' Stmt | funcdecl | classdecl | tsstmt
 StmtFn = '{BlockFn' | vars | ';' | !'{' !'function' !'class' Expr eos | 'if' '(Paren' StmtFn ( 'else' StmtFn )? | 'for' 'await'? '(For' StmtFn | 'while' '(Paren' StmtFn
   | 'do' StmtFn 'while' '(Paren' ';'? | 'try' '{BlockFn' ( 'catch' '(Catch'? '{BlockFn' ( 'finally' '{BlockFn' )? | 'finally' '{BlockFn' )
   | 'switch' '(Paren' '{SwitchFn' | ( 'break' | 'continue' ) word? eos | 'throw' Expr eos | 'debugger' eos | word ':' StmtFn | 'with' '(Paren' StmtFn
-  | 'return' Expr? eos | func | class | tsstmt
+  | 'return' Expr? eos | funcdecl | classdecl | tsstmt
 Stmts = Stmt*
 StmtsFn = StmtFn*
 source = 'from' 'str' ( 'with' '{Object' )?
 import = 'import' ( spectype ( word ( ',' ( '*' 'as' word | '{Specs' ) )? | '*' 'as' word | '{Specs' ) source | 'str' ( 'with' '{Object' )? | tsimport ) eos
 export = 'export' ( '*' ( 'as' specname )? source eos | spectype '{Specs' source? eos | 'default' ( func | class | !'function' !'class' Assign eos | tsdefault )
-  | vars | func | class | tsstmt | tsexport )
+  | vars | funcdecl | classdecl | tsstmt | tsexport )
 Item = Stmt | import | export
 Items = Item*
 Script = Stmt*
@@ -144,7 +146,7 @@ tsmember = membermods ( ( 'async' | 'get' | 'set' | '*' )? pname tsoptional tpar
 tsbang = '!'?
 iface = 'interface' word tparams ( 'extends' Member_type ( ',' Member_type )* )? '{Type'
 tsstmt = iface | 'type' word tparams '=' Type eos | 'const'? 'enum' word '{Enum' | ( 'namespace' | 'module' ) ( word ( '.' name )* | 'str' ) '{Module' | 'global' '{Module'
-  | 'declare' ( vars | 'async'? 'function' '*'? word tparams '(Params' rettype eos | class | iface | 'type' word tparams '=' Type eos | 'const'? 'enum' word '{Enum'
+  | 'declare' ( vars | 'async'? 'function' '*'? word tparams '(Params' rettype eos | classdecl | iface | 'type' word tparams '=' Type eos | 'const'? 'enum' word '{Enum'
   | ( 'namespace' | 'module' ) ( word ( '.' name )* | 'str' ) ( '{Module' | eos ) | 'global' '{Module' )
   | 'async'? 'function' '*'? word tparams '(Params' rettype eos
 tsimport = 'type'? word '=' ( 'require' '(Args' | word ( '.' name )* )
@@ -160,7 +162,7 @@ Lambda_args = ( ( '*' word? | '**' word | word ( '=' Test )? | '/' ) ( ',' ( '*'
 atom = word | 'num' | 'str' 'str'* | '(Group' | '[List' | '{Set' | '...' | 'None' | 'True' | 'False'
 trailer = '.' word | '(Args' | '[Index'
 unary = ( 'not' | '-' | '+' | '~' | 'await' )*
-op = 'bop' | '+' | '-' | '*' | '**' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' | 'is' 'not'
+op = 'bop' | '|' | '+' | '-' | '*' | '**' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' | 'is' 'not'
 Test = unary atom trailer* ( op unary atom trailer* )* ( 'if' Test_plain 'else' Test )? | 'lambda' Lambda_args ':' Test
 Test_plain = unary atom trailer* ( op unary atom trailer* )* | 'lambda' Lambda_args ':' Test
 starred = '*' Or_flat | Test

@@ -274,7 +274,7 @@ _PY_TOKEN = re.compile(
 )
 _PY_BLANK = re.compile(r"[ \t\f]*(?:#[^\n\r]*)?(?:\r\n|\n|\r|\Z)")
 _PY_INDENT = re.compile(r"[ \t\f]*")
-_PY_BINARY = frozenset("== != <= >= < > / // % << >> & | ^".split())
+_PY_BINARY = frozenset("== != <= >= < > / // % << >> & ^".split())
 _PY_ASSIGN = frozenset("**= //= >>= <<= += -= *= /= %= @= &= |= ^=".split())
 _PY_LEADING_ZERO = re.compile(r"0[0-9_]*[1-9][0-9_]*\Z")
 

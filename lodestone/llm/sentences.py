@@ -123,8 +123,9 @@ class Segmenter:
             if numbered:
                 kind = numbered.group(2) or "a)"
                 number = int(numbered.group(1)) if numbered.group(1) else ord(numbered.group(3).lower()) - 96
-                last = text[begin:at].rstrip()[-1:] if begin is not None else ""
-                if begin is None or (in_list and order == (kind, number - 1)) or (number == 1 and not in_list and last in (":", ".", "!", "?")):
+                before = text[begin:at].rsplit(None, 1)[-1:] if begin is not None else []
+                opens = number == 1 and (in_list or before and before[0][-1] in ":.!?") and not (before and before[0].lower().rstrip(".") in BEFORE_NUMBER)
+                if begin is None or (in_list and order == (kind, number - 1)) or opens:
                     item, order = True, (kind, number)
             if item or _SPEAKER.match(line):
                 if begin is not None:
@@ -282,28 +283,33 @@ class Segmenter:
             return role == ""
         if c.isdigit():
             return role == "" and not word.isdigit()
-        if role == "goes on" or role == "initial":
+        if role == "goes on":
             return False
         if c.isupper() and word.isdigit() and len(word) <= 2:
             nxt = _WORD.match(text, following, end)
             before = _WORD.findall(text[max(start, begin - 12) : begin])
             if (nxt and nxt.group().lower() in MONTHS) or (before and before[-1].lower() in BEFORE_ORDINAL and not text[max(start, begin - 12) : begin].rstrip().endswith(".")):
                 return False
-        if role in ("may close", "document") and c.isupper():
+        if role and c.isupper():
             nxt = _WORD.match(text, following, end)
             if nxt:
                 names, commons = self._known()
-                return not (nxt.group() in names and nxt.group().lower() not in commons) and (role == "may close" or nxt.group().lower() in commons or nxt.group() not in names)
+                if role == "document":  # also initials: only a word known in lower case starts a sentence here
+                    return nxt.group().lower() in commons
+                return nxt.group() not in names or nxt.group().lower() in commons
         return True
 
     def _role(self, lower: str, word: str, begin: int, start: int) -> str:
         """What the word before a period is: "" for no abbreviation."""
         if len(word) == 1 and word.isalpha():
             before = re.search(r"(\w)\.\s*\Z", self.text[max(start, begin - 4) : begin])
-            pair = f"{before.group(1).lower()}.{lower}" if before else lower
-            if pair in MAY_CLOSE:
+            after = re.match(r"\.\s*(\w)\.", self.text[begin + 1 : begin + 6])
+            pairs = [f"{before.group(1).lower()}.{lower}"] if before else []
+            if any(p in MAY_CLOSE for p in pairs):
                 return "may close"
-            return "goes on" if pair in GOES_ON or word.islower() else "initial"
+            if any(p in GOES_ON for p in pairs) or after and f"{lower}.{after.group(1).lower()}" in GOES_ON | MAY_CLOSE:
+                return "goes on"
+            return "document"
         if lower in GOES_ON:
             return "goes on"
         if lower in BEFORE_NUMBER:

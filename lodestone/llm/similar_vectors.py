@@ -65,7 +65,7 @@ class AdditiveQuantizer:
             book = _kmeans(residual, min(codewords, max(1, len(sample) // 4)), rounds, False, seed + level + 1)
             self.books.append(book)
             residual = residual - book[(residual @ book.T - 0.5 * (book**2).sum(1)).argmax(1)]
-        share = np.bincount(first, minlength=len(self.coarse)) / max(1, len(sample)) * total
+        share = self.expected = np.bincount(first, minlength=len(self.coarse)) / max(1, len(sample)) * total
         #: A hot cell's sub-centres: directions of its codeword plus each one of the second codebook.
         self.sub = {}
         self.blocks = {}
@@ -100,11 +100,20 @@ class AdditiveQuantizer:
         at = np.arange(n)
         return codes[at, best], np.linalg.norm(rows - residual[at, best], axis=1).astype(np.float32)
 
-    def probes(self, rows: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(home cell of each row, and row numbers with keys of all cells to search, home first)."""
+    def probes(self, rows: np.ndarray, margin: float, least: int = SHORTLIST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home cell of each row, and row numbers with keys of all cells to search, home first).
+
+        Besides the cells within the margin the nearest ones are searched until they are expected to hold ``least`` vectors.
+        """
         score = rows @ self.coarse.T
         home = score.argmax(1)
-        row, cell = np.nonzero(score >= score[np.arange(len(rows)), home][:, None] - margin)
+        near = score >= score[np.arange(len(rows)), home][:, None] - margin
+        top = min(len(self.coarse), 64)
+        order = np.argpartition(-score, top - 1, axis=1)[:, :top]
+        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(score, order, 1), axis=1, kind="stable"), 1)
+        sizes = self.expected[order]
+        np.put_along_axis(near, order, np.take_along_axis(near, order, 1) | (np.cumsum(sizes, axis=1) - sizes < least), 1)
+        row, cell = np.nonzero(near)
         keys = np.array([self.key(int(c)) for c in range(len(self.coarse))], dtype=np.int64)[cell]
         is_home = cell == home[row]
         if self.sub:
