@@ -10,7 +10,7 @@ The codebooks are fitted on the driver on a sample of at most ``SAMPLE_ROWS`` ve
 is encoded and searched on the executors. A vector is sent once, to its own cell, where it is both
 candidate and query, and as a query alone to the few cells whose codeword is almost as near. Cells
 that the sample shows to be large are split by the second codebook, and what is still large after
-that into blocks. Vectors with very many exact copies are searched once for all copies.
+that into blocks of vectors, each met by blocks of queries: no task holds more than two blocks. Vectors with very many exact copies are searched once for all copies.
 """
 
 from __future__ import annotations
@@ -149,23 +149,27 @@ def _spread(quantizer, dim: int, margin: float):
                 rows = _unit(batch.column(1), dim).astype(np.float32)
                 home, sent = q.probes(rows, margin)
                 codes, norms = q.encode(rows, home)
-                row, key, base, block = [], [], [], []
+                row, key, group, base, asks = [], [], [], [], []
                 for r, k, at_home in sent.tolist():
-                    blocks = q.blocks.get(k, 1)
-                    own = int(ids[r]) % blocks
-                    for b in range(blocks):
+                    # a cell of n blocks has n x n groups: the vectors of one block searched by the queries of one
+                    n = q.blocks.get(k, 1)
+                    own = int(ids[r]) % n
+                    places = [(own * n + i, True, i == own) for i in range(n)] if at_home else []
+                    places += [(i * n + own, False, True) for i in range(n) if not at_home or i != own]
+                    for place, as_base, as_query in places:
                         row.append(r)
                         key.append(k)
-                        block.append(b)
-                        base.append(bool(at_home) and b == own)
+                        group.append(place)
+                        base.append(as_base)
+                        asks.append(as_query)
                 raw = [v.tobytes() for v in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key, pa.int64()), pa.array(block, pa.int32()), pa.array(base, pa.bool_()), pa.array(ids[row], pa.int64()),
+                        pa.array(key, pa.int64()), pa.array(group, pa.int32()), pa.array(base, pa.bool_()), pa.array(asks, pa.bool_()), pa.array(ids[row], pa.int64()),
                         pa.array([raw[r] for r in row], pa.binary()), pa.array([codes[r].tobytes() if b else None for r, b in zip(row, base)], pa.binary()),
                         pa.array([float(norms[r]) if b else None for r, b in zip(row, base)], pa.float32()),
                     ],
-                    names=["cell", "block", "base", "id", "vec", "codes", "norm"],
+                    names=["cell", "block", "base", "asks", "id", "vec", "codes", "norm"],
                 )
 
     return run
@@ -180,8 +184,9 @@ def _search(quantizer, k: int, least: float, shortlist: int):
         ids = group["id"].to_numpy()[order]
         vectors = np.frombuffer(b"".join(group["vec"].to_pylist()), dtype=np.float32).reshape(len(ids), -1)[order]
         base = np.flatnonzero(group["base"].to_numpy(zero_copy_only=False)[order])
+        asking = np.flatnonzero(group["asks"].to_numpy(zero_copy_only=False)[order])
         out_q, out_n, out_s = [], [], []
-        if len(base):
+        if len(base) and len(asking):
             codes = np.frombuffer(b"".join(group["codes"].take(pa.array(order[base])).to_pylist()), dtype=np.uint8).reshape(len(base), -1)
             norms = group["norm"].to_numpy()[order[base]]
             centre = q.coarse[int(group["cell"][0].as_py()) // 65_536]
@@ -190,13 +195,14 @@ def _search(quantizer, k: int, least: float, shortlist: int):
             place[base] = np.arange(len(base))
             size = min(shortlist, len(base))
             step = max(1, 4_000_000 // len(base))
-            for begin in range(0, len(ids), step):
-                rows = vectors[begin : begin + step]
+            for begin in range(0, len(asking), step):
+                which = asking[begin : begin + step]
+                rows = vectors[which]
                 score = np.repeat((rows @ centre)[:, None], len(base), axis=1)
                 for level, book in enumerate(q.books):
                     score += (rows @ book.T)[:, codes[:, level]]
                 score /= norms
-                own = place[begin : begin + step]
+                own = place[which]
                 at = np.flatnonzero(own >= 0)
                 score[at, own[at]] = -np.inf
                 short = np.sort(np.argpartition(-score, size - 1, axis=1)[:, :size], axis=1)
@@ -211,7 +217,7 @@ def _search(quantizer, k: int, least: float, shortlist: int):
                     final = np.argsort(-fine, axis=1, kind="stable")[:, :k]
                     sims, picked = np.take_along_axis(fine, final, 1), np.take_along_axis(near, final, 1)
                     i, j = np.nonzero(sims >= least)
-                    out_q.append(ids[begin + lo + i])
+                    out_q.append(ids[which[lo + i]])
                     out_n.append(ids[base[picked[i, j]]])
                     out_s.append(sims[i, j])
         none = np.empty(0, dtype=np.int64)
@@ -264,7 +270,7 @@ def most_similar(
     sample = _unit(drawn["vec"], dim).astype(np.float32) if drawn.num_rows else _unit(usable.select("vec").limit(1).toArrow()["vec"], dim).astype(np.float32)
     quantizer = spark.sparkContext.broadcast(AdditiveQuantizer(sample, total))
 
-    cells = searched.mapInArrow(_spread(quantizer, dim, margin), "cell bigint, block int, base boolean, id bigint, vec binary, codes binary, norm float")
+    cells = searched.mapInArrow(_spread(quantizer, dim, margin), "cell bigint, block int, base boolean, asks boolean, id bigint, vec binary, codes binary, norm float")
     found = cells.groupBy("cell", "block").applyInArrow(_search(quantizer, k, least, shortlist), schema)
     by_rank = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return (

@@ -1,6 +1,7 @@
 """Most similar vectors: recall against brute force, and what does not take part."""
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 
 from lodestone.llm.similar_vectors import AdditiveQuantizer, most_similar, similar_pairs
 from lodestone.sources.tables import table
@@ -70,3 +71,35 @@ def test_hot_cells_are_split(spark):
     assert q.sub and q.blocks
     home, sent = q.probes((rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32), 0.0, 1)
     assert sorted(set(sent[sent[:, 2] == 1, 0])) == list(range(3000)) and (sent[:, 2] == 1).sum() == 3000
+
+
+def test_blocks_find_what_one_group_finds(spark):
+    import pyarrow as pa
+
+    from lodestone.llm import similar_vectors as sv
+
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(200, 8)) * 0.1 + np.eye(8)[0]
+    unit = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    q = AdditiveQuantizer(unit, 200, 3, 16)
+
+    class Held:
+        value = q
+
+    def found(blocks):
+        q.blocks = {q.key(c): blocks for c in range(len(q.coarse))}
+        table = pa.Table.from_batches(list(sv._spread(Held, 8, 9.0)([pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["id", "vec"])])))
+        out = set()
+        for cell in set(table["cell"].to_pylist()):
+            for block in range(blocks * blocks):
+                part = table.filter((pa.compute.field("cell") == cell) & (pa.compute.field("block") == block))
+                if part.num_rows:
+                    assert part.num_rows <= 200
+                    r = sv._search(Held, 5, 0.0, 500)(part)
+                    out |= {(a, b, round(s, 5)) for a, b, s in zip(r["id"].to_pylist(), r["neighbour"].to_pylist(), r["similarity"].to_pylist())}
+        best = {}
+        for a, b, s in out:
+            best.setdefault(a, []).append((-s, b))
+        return {a: sorted(v)[:5] for a, v in best.items()}
+
+    assert found(1) == found(3) and len(found(1)) == 200
