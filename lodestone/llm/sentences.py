@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.sources.storage import cut_lineage
+
 # Abbreviations that a sentence goes on after, that stand before a number, and that may close a sentence.
 GOES_ON = frozenset(
     "e.g i.e cf vs approx resp dr mr mrs ms prof st viz al z.b d.h u.a bzw ca vgl bspw evtl ggf inkl sog p.ex c.-à-d env p.ej aprox sr sra т.е напр ок см ср π.χ δηλ βλ डॉ".split()
 )
 BEFORE_NUMBER = frozenset("no nos fig figs sec secs eq eqs ch vol pp nr abb abschn kap chap núm cap pág рис стр гл табл σελ κεφ αρ εικ सं पृ".split())
 MAY_CLOSE = frozenset("etc usw a.m p.m min max u.s u.k d.c inc ltd co jr sr т.д т.п др κ.λπ κ.ά κλπ uds ud".split())
+KNOWN = GOES_ON | BEFORE_NUMBER | MAY_CLOSE
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 BEFORE_ORDINAL = frozenset("am vom zum bis seit ab der die das dem den des im".split())
 
@@ -55,15 +58,30 @@ def _is_code(word: str) -> bool:
     return bool(_CODE_NAME.fullmatch(bare)) and bare.lower().rstrip(".") not in GOES_ON and bare.lower() not in MAY_CLOSE
 
 
+_BEFORE_PERIOD = re.compile(r"(?<!\S)[(\[“\"«]?([^\W\d_][^\W\d_.\-]{0,11})\.(?=\s|[,:)]|\Z)")
+
+
 def abbreviation_evidence(text: str) -> tuple[Counter, Counter]:
     """(words with a period that cannot end a sentence, words with a period at all), lower-cased."""
+    return _sure_words(text), Counter(map(str.lower, _BEFORE_PERIOD.findall(text)))
+
+
+def _sure_words(text: str) -> Counter:
     sure: Counter = Counter()
-    for m in _EVIDENCE.finditer(text):
-        following = m.group(2)
-        if following is None or (following[0].islower() and not _is_code(following)):
-            sure[m.group(1).lower()] += 1
-    any_period = Counter(m.group(1).lower() for m in re.finditer(r"(?<!\S)[(\[“\"«]?([^\W\d_][^\W\d_.\-]{0,11})\.(?=\s|[,:)]|\Z)", text))
-    return sure, any_period
+    for word, following in _EVIDENCE.findall(text):
+        if not following or (following[0].islower() and not _is_code(following)):
+            sure[word.lower()] += 1
+    return sure
+
+
+def document_abbreviations(text: str) -> frozenset[str]:
+    """Words of a document, not known beforehand, that stand before a period mostly where no sentence can end, and rarely without one."""
+    sure = {w: n for w, n in _sure_words(text).items() if w not in KNOWN}
+    if not sure:
+        return frozenset()
+    seen = Counter(map(str.lower, _BEFORE_PERIOD.findall(text)))
+    bare = Counter(map(str.lower, _WORD.findall(text)))
+    return frozenset(w for w, n in sure.items() if 2 * n >= seen[w] and 2 * seen[w] >= bare[w])
 
 
 class Segmenter:
@@ -78,6 +96,7 @@ class Segmenter:
             return []
         self.text = text
         self._sure: frozenset[str] | None = None
+        self._low: str | None = None
         self._names: tuple[set[str], set[str]] | None = None
         out: list[int] = []
         for kind, begin, end in self._blocks(text):
@@ -320,11 +339,15 @@ class Segmenter:
         if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
             return "may close"
         if word.isalpha() and len(word) <= 12:
+            if lower in self.corpus:
+                return "document"
+            if self._low is None:
+                self._low = self.text.lower()
+            if self._low.count(lower + ".") < 2:  # this occurrence is the only one: the document is silent
+                return ""
             if self._sure is None:
-                sure, seen = abbreviation_evidence(self.text)
-                bare = Counter(w.lower() for w in _WORD.findall(self.text))
-                self._sure = frozenset(w for w, n in sure.items() if 2 * n >= seen[w] and 2 * seen[w] >= bare[w])
-            if lower in self._sure or lower in self.corpus:
+                self._sure = document_abbreviations(self.text)
+            if lower in self._sure:
                 return "document"
         return ""
 
@@ -339,28 +362,40 @@ class Segmenter:
 def corpus_abbreviations(documents: DataFrame, text_col: str = "text", least: int = 20) -> frozenset[str]:
     """Words that, over all documents, stand before a period mostly where no sentence can end.
 
-    Each task counts its own documents, the counts are summed by word, and only words seen at least
+    Each task counts its own documents and the counts are summed by word. Only words seen at least
     max(``least``, documents / 5000) times with a period are fetched: with under some thirty periods a
-    document these are at most 150,000 short words, whatever the size of the corpus.
+    document these are at most 150,000 short words, whatever the size of the corpus. If any are found,
+    a second pass counts how often those stand without a period. Words known beforehand are not counted.
     """
-    total = documents.count()
+    texts = documents.select(F.col(text_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def periods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sure, seen, bare = Counter(), Counter(), Counter()
+            sure, seen, n = Counter(), Counter(), 0
             for text in batch.column(0).to_pylist():
+                n += 1
                 if text:
                     s, p = abbreviation_evidence(text)
                     sure.update(s)
                     seen.update(p)
-                    words = Counter(w.lower() for w in _WORD.findall(text))
-                    bare.update({w: words[w] for w in p})
-            words = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([sure[w] for w in words], pa.int64()), pa.array([seen[w] for w in words], pa.int64()), pa.array([bare[w] for w in words], pa.int64())], names=["word", "sure", "seen", "bare"])
-
-    counts = documents.select(F.col(text_col)).mapInArrow(run, "word string, sure bigint, seen bigint, bare bigint")
-    kept = counts.groupBy("word").agg(F.sum("sure").alias("sure"), F.sum("seen").alias("seen"), F.sum("bare").alias("bare")).where((F.col("seen") >= max(least, total // 5000)) & (F.col("sure") * 2 >= F.col("seen")) & (F.col("seen") * 10 >= F.col("bare") * 8))
-    return frozenset(r.word for r in kept.select("word").collect())
+            words = [w for w in seen if w not in KNOWN]
+            yield pa.RecordBatch.from_arrays([pa.array(["", *words], pa.string()), pa.array([0, *(sure[w] for w in words)], pa.int64()), pa.array([n, *(seen[w] for w in words)], pa.int64())], names=["word", "sure", "seen"])
+
+    counts = cut_lineage(texts.mapInArrow(periods, "word string, sure bigint, seen bigint").groupBy("word").agg(F.sum("sure").alias("sure"), F.sum("seen").alias("seen")))
+    total = counts.where("word = ''").head()  # the empty word counts the documents
+    often = counts.where((F.col("word") != "") & (F.col("seen") >= max(least, (total.seen if total else 0) // 5000)) & (F.col("sure") * 2 >= F.col("seen")))
+    seen = {r.word: r.seen for r in often.collect()}
+    if not seen:
+        return frozenset()
+    wanted = documents.sparkSession.sparkContext.broadcast(frozenset(seen))
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter(w for text in batch.column(0).to_pylist() if text for w in map(str.lower, _WORD.findall(text)) if w in wanted.value)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    bare = {r.word: r.n for r in texts.mapInArrow(occurrences, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return frozenset(w for w, n in seen.items() if 10 * n >= 8 * bare.get(w, n))
 
 
 def sentence_starts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
