@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import format as fm
 from lodestone.functions import text as T
 from lodestone.functions.vectors import hash_embedding, hash_similarity
 from lodestone.operators import evaluation, grep, lookup, search, windows
+from lodestone.operators.pack import prompt_pack
 from lodestone.operators.extract import import_edges
 from lodestone.plans.common import (
     SQL_CHUNKS, SQL_CORPUS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, TERMS, WORKSPACE, bm25_sql, chunks_of, corpus_of, files_of, named_chunks, named_symbols, notes_of, symbols_of,
@@ -155,6 +157,32 @@ def context_pack(s: SparkSession, d: str) -> DataFrame:
     return lookup.context_pack(hits, import_edges(corpus_of(s, d).where(F.col("workspace") == WORKSPACE)))
 
 
+def snippets(s: SparkSession, d: str) -> DataFrame:
+    """The window of terms around the first match in every document that has one."""
+    docs = table(s, d, "documents")
+    found = docs.join(search.bm25(docs, "doc_id", "text", TERMS).select("doc_id"), "doc_id", "left_semi")
+    return found.select("doc_id", fm.snippet(F.col("text"), [(t, False) for t in TERMS], 24).alias("snippet"))
+
+
+def _best_chunks(s: SparkSession, d: str) -> DataFrame:
+    chunks = named_chunks(s, d)
+    ranked = search.ranked(search.bm25(chunks, "id", "text", PHRASES), "id", 20)
+    return chunks.join(F.broadcast(ranked), "id").select(F.col("id").alias("hit_id"), "workspace", "path", "line", F.col("name").alias("symbol"), "score", "rank", F.substring("text", 1, 60).alias("snippet"))
+
+
+def hits_markdown(s: SparkSession, d: str) -> DataFrame:
+    """The best hits of every workspace that has any, as Markdown."""
+    hits = _best_chunks(s, d).withColumn("first", F.col("line")).withColumn("last", F.lit(None).cast("int")).withColumn("snippet", F.split_part("snippet", F.lit("\n"), F.lit(1)))
+    return fm.hits_as_text(hits, "workspace")
+
+
+def packed_prompt(s: SparkSession, d: str) -> DataFrame:
+    best = _best_chunks(s, d)
+    shown = windows.enrich_hits(best.select("hit_id", "workspace", "path", "line", "snippet"), chunks_of(s, d), corpus_of(s, d))
+    hits = shown.join(best.select("hit_id", "score"), "hit_id").select("path", "line", "first", "score", "snippet")
+    return prompt_pack(hits, lookup.recent_symbols(symbols_of(s, d), files_of(s, d), 20))
+
+
 def _hits(s: SparkSession, d: str) -> DataFrame:
     """Every symbol as a hit two lines below its start."""
     return symbols_of(s, d).select(F.col("id").alias("hit_id"), "workspace", "path", (F.col("line") + 2).alias("line"), F.coalesce("signature", F.lit("")).alias("snippet"))
@@ -198,7 +226,7 @@ def queries() -> dict:
         "hybrid_search": hybrid, "hash_embedding_sparse": hash_embeddings, "hash_embedding_topk": hash_topk, "symbol_embedding_input": symbol_inputs, "rerank_overlap": rerank, "lsh_candidates": lsh_candidates, "lsh_bucket_sizes": lsh_sizes,
         "classify_query": classify_queries, "classify_intent": classify_intents, "query_signals": query_signals, "tokenize_identifier": identifier_tokens, "grep_lines": grep_pattern, "grep_prefilter": grep_literal,
         "ngram_postings": ngram_sizes, "symbol_lookup": symbol_lookup, "list_paths": list_paths, "recent_symbols": recent_symbols, "merge_per_file": merged_hits, "token_budget_pack": packed_budget, "zero_hit_ladder": fallback,
-        "context_pack": context_pack, "span_cover": span_cover, "hit_windows": hit_windows, "ir_metrics": ir_metrics, "ir_gate": ir_gate, "bench_report": bench_report,
+        "context_pack": context_pack, "fts_snippet": snippets, "hits_markdown": hits_markdown, "prompt_pack": packed_prompt, "span_cover": span_cover, "hit_windows": hit_windows, "ir_metrics": ir_metrics, "ir_gate": ir_gate, "bench_report": bench_report,
     }
 
 
@@ -260,6 +288,35 @@ sp AS (SELECT DISTINCT workspace, path, least(start_line, end_line) AS b, greate
 cv AS (SELECT hit_id, b, e FROM (SELECT hit_id, b, e, row_number() OVER (PARTITION BY hit_id ORDER BY (b <> line)::INT, e - b, b) AS r FROM hit JOIN sp USING (workspace, path) WHERE line BETWEEN b AND e) WHERE r = 1)"""
 
 
+def _ladder_sql() -> str:
+    names = [NAME, "trackShard"]
+    parts = []
+    for pos, name in enumerate(names):
+        low = name.lower()
+        parts.append(
+            f"(SELECT 0 AS stage, {pos} AS pos, workspace, path, line, name AS text FROM (SELECT DISTINCT workspace, path, line, name, kind, CASE WHEN name = '{name}' THEN 0 WHEN starts_with(lower(name), '{low}') THEN 1 ELSE 2 END AS tier FROM s WHERE contains(lower(name), '{low}')) ORDER BY tier, length(name), name, workspace, path, line LIMIT 2)"
+        )
+    for pos, name in enumerate(names):
+        parts.append(f"(SELECT 1 AS stage, {pos} AS pos, workspace, path, line, text FROM l WHERE contains(text, '{name}') ORDER BY workspace || chr(10) || path, line LIMIT 2)")
+    return f"WITH {SQL_SYMBOLS}, {SQL_CORPUS}, {SQL_LINES}, u AS ({' UNION ALL '.join(parts)}) SELECT stage, workspace, path, line, text FROM u ORDER BY stage, pos, workspace, path, line LIMIT 8"
+
+
+def _pack_sql() -> str:
+    from lodestone.plans.code import _IMPORTS
+
+    return f"""WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {_NAMED}, nw AS (SELECT * FROM nc WHERE workspace = '{WORKSPACE}'), {bm25_sql('nw', 'id', 'text', PHRASES)}, r AS ({_top('bm', 'id', 20)}), {_IMPORTS},
+mg AS (SELECT workspace, path, max(r.score) AS score, array_to_string(list_sort(list(DISTINCT name)), ', ') AS symbols, array_to_string(list_sort(list(DISTINCT line)), ', ') AS lines FROM r JOIN nw USING (id) GROUP BY workspace, path),
+cs AS (SELECT *, row_number() OVER w AS rn, sum(ceil((length(path) + length(symbols) + length(lines)) / 4.0)) OVER w AS cum FROM mg WINDOW w AS (ORDER BY score DESC, path, workspace ROWS UNBOUNDED PRECEDING)),
+kept AS (SELECT * FROM cs WHERE rn = 1 OR cum <= 1400), il AS (SELECT DISTINCT to_specifier FROM im JOIN kept ON kept.rn = 1 AND kept.workspace = im.workspace AND kept.path = im.from_path ORDER BY to_specifier LIMIT 8)
+SELECT 'hit' AS part, path, score, symbols AS detail FROM kept UNION ALL SELECT 'import', to_specifier, 0.0, '' FROM il"""
+
+
+def _snippet_sql() -> str:
+    listed = ", ".join(f"'{t}'" for t in TERMS)
+    return f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), p AS (SELECT doc_id, t, list_position(list_transform(t, lambda x: x IN ({listed})), TRUE) AS p FROM t),
+q AS (SELECT doc_id, t, greatest(p - 12, 1) AS b FROM p WHERE p > 0) SELECT doc_id, CASE WHEN b > 1 THEN '... ' ELSE '' END || array_to_string(t[b:b + 23], ' ') || CASE WHEN b + 23 < len(t) THEN ' ...' ELSE '' END AS snippet FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
     grep_rx = PATTERN.replace("\\", "\\")
     return {
@@ -300,6 +357,11 @@ o AS (SELECT *, row_number() OVER (ORDER BY tier, length(name), name, workspace,
 SELECT workspace, path, max(score) AS score, array_to_string(list_sort(list(DISTINCT name)), ', ') AS symbols, array_to_string(list_sort(list(DISTINCT line)), ', ') AS lines, count(*) AS n FROM hit GROUP BY workspace, path""",
         "token_budget_pack": f"""WITH {bm25_sql('documents', 'doc_id', 'text', TERMS)}, r AS ({_top('bm', 'doc_id', 200)}), x AS (SELECT doc_id, score, ceil(n_chars / 4.0)::BIGINT AS cost FROM r JOIN documents USING (doc_id)),
 o AS (SELECT doc_id, cost, (sum(cost) OVER w)::BIGINT AS cum_cost, row_number() OVER w AS rn FROM x WINDOW w AS (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT doc_id, cost, cum_cost FROM o WHERE rn = 1 OR cum_cost <= 1400""",
+        "zero_hit_ladder": _ladder_sql(),
+        "context_pack": _pack_sql(),
+        "fts_snippet": _snippet_sql(),
+        "hits_markdown": f"""WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {_NAMED}, {bm25_sql('nc', 'id', 'text', PHRASES)}, r AS ({_top('bm', 'id', 20)}), x AS (SELECT workspace, path, line, name, rank, split_part(substr(text, 1, 60), chr(10), 1) AS sn FROM r JOIN nc USING (id))
+SELECT workspace, string_agg('- ' || CASE WHEN coalesce(name, '') <> '' THEN '**' || name || '** ' ELSE '' END || path || ':' || line || CASE WHEN coalesce(sn, '') <> '' THEN chr(10) || '  ' || sn ELSE '' END, chr(10) ORDER BY rank) AS text FROM x GROUP BY workspace""",
         "span_cover": f"WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {_COVER} SELECT hit_id, line, b AS start_line, e AS end_line FROM hit LEFT JOIN cv USING (hit_id)",
         "hit_windows": f"""WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {SQL_CORPUS}, {_COVER},
 rg AS (SELECT hit_id, workspace, path, snippet, CASE WHEN b IS NULL THEN line - 2 WHEN e - b + 1 > 80 THEN greatest(b, line - 40) ELSE b END AS f0, CASE WHEN b IS NULL THEN line + 2 WHEN e - b + 1 > 80 THEN least(greatest(b, line - 40) + 79, e) ELSE e END AS l0 FROM hit LEFT JOIN cv USING (hit_id)),
