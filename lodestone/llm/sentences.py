@@ -28,7 +28,7 @@ GOES_ON = frozenset(
 )
 BEFORE_NUMBER = frozenset("no nos fig figs sec secs eq eqs ch vol pp nr abb abschn kap chap núm cap pág рис стр гл табл σελ κεφ αρ εικ सं पृ".split())
 MAY_CLOSE = frozenset("etc usw a.m p.m min max u.s u.k d.c inc ltd co jr sr т.д т.п др κ.λπ κ.ά κλπ uds ud".split())
-KNOWN = GOES_ON | BEFORE_NUMBER | MAY_CLOSE
+KNOWN = GOES_ON | BEFORE_NUMBER | MAY_CLOSE | {part for a in GOES_ON | MAY_CLOSE for part in a.split(".")}
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 BEFORE_ORDINAL = frozenset("am vom zum bis seit ab der die das dem den des im".split())
 
@@ -50,7 +50,7 @@ _CODE_NAME = re.compile(r"[^\W\d_]\w*[A-Z_]\w*(?:\.\w+)*(?:\(\))?|[\w.-]*/[\w./-
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: A word before a period counts as evidence only when what follows, in the same block, cannot start a sentence.
-_EVIDENCE = re.compile(r"(?<!\S)[(\[“\"«]?([^\W\d_][^\W\d_.\-]{0,11})\.(?:[,:]|(?:[^\S\n]+|[^\S\n]*\n(?!\s|(?:user|agent|tool):|\w{1,3}[.)]\s))(?=([^\W\d_]\S*)|[\d]))")
+_EVIDENCE = re.compile(r"(?<!\S)[(\[“\"«]?([^\W\d_][^\W\d_.\-]{1,11})\.(?:[,:]|(?:[^\S\n]+|[^\S\n]*\n(?!\s|(?:user|agent|tool):|\w{1,3}[.)]\s))(?=([^\W\d_]\S*)|[\d]))")
 
 
 def _is_code(word: str) -> bool:
@@ -58,7 +58,7 @@ def _is_code(word: str) -> bool:
     return bool(_CODE_NAME.fullmatch(bare)) and bare.lower().rstrip(".") not in GOES_ON and bare.lower() not in MAY_CLOSE
 
 
-_BEFORE_PERIOD = re.compile(r"(?<!\S)[(\[“\"«]?([^\W\d_][^\W\d_.\-]{0,11})\.(?=\s|[,:)]|\Z)")
+_BEFORE_PERIOD = re.compile(r"(?<!\S)[(\[“\"«]?([^\W\d_][^\W\d_.\-]{1,11})\.(?=\s|[,:)]|\Z)")
 
 
 def abbreviation_evidence(text: str) -> tuple[Counter, Counter]:
@@ -320,15 +320,16 @@ class Segmenter:
 
     def _role(self, lower: str, word: str, begin: int, start: int) -> str:
         """What the word before a period is: "" for no abbreviation."""
-        if len(word) == 1 and word.isalpha():
-            before = re.search(r"(\w)\.\s*\Z", self.text[max(start, begin - 4) : begin])
-            after = re.match(r"\.\s*(\w)\.", self.text[begin + 1 : begin + 6])
-            pairs = [f"{before.group(1).lower()}.{lower}"] if before else []
-            if any(p in MAY_CLOSE for p in pairs):
+        if len(word) <= 3 and word.isalpha():
+            before = re.search(r"(?<!\w)(\w)\.\s*\Z", self.text[max(start, begin - 5) : begin])
+            pair = f"{before.group(1).lower()}.{lower}" if before else ""
+            if pair in MAY_CLOSE:
                 return "may close"
-            if any(p in GOES_ON for p in pairs) or after and f"{lower}.{after.group(1).lower()}" in GOES_ON | MAY_CLOSE:
+            if pair in GOES_ON:
                 return "goes on"
-            return "document"
+            if len(word) == 1:
+                after = re.match(r"\.\s*(\w{1,3})\.", self.text[begin + 1 : begin + 8])
+                return "goes on" if after and f"{lower}.{after.group(1).lower()}" in KNOWN else "document"
         if lower in GOES_ON:
             return "goes on"
         if lower in BEFORE_NUMBER:
