@@ -179,7 +179,7 @@ def version_diff(s: SparkSession, d: str) -> DataFrame:
 
 
 def prune_missing(s: SparkSession, d: str) -> DataFrame:
-    return index.missing_files(files_of(s, d), corpus_of(s, d))
+    return index.missing_files(table(s, d, "files"), table(s, d, "corpus"))
 
 
 def without_missing(s: SparkSession, d: str) -> DataFrame:
