@@ -162,7 +162,7 @@ Lambda_args = ( ( '*' word? | '**' word | word ( '=' Test )? | '/' ) ( ',' ( '*'
 atom = word | 'num' | 'str' 'str'* | '(Group' | '[List' | '{Set' | '...' | 'None' | 'True' | 'False'
 trailer = '.' word | '(Args' | '[Index'
 unary = ( 'not' | '-' | '+' | '~' | 'await' )*
-op = 'bop' | '|' | '+' | '-' | '*' | '**' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' | 'is' 'not'
+op = 'bop' | '/' | '|' | '+' | '-' | '*' | '**' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' | 'is' 'not'
 Test = unary atom trailer* ( op unary atom trailer* )* ( 'if' Test_plain 'else' Test )? | 'lambda' Lambda_args ':' Test
 Test_plain = unary atom trailer* ( op unary atom trailer* )* | 'lambda' Lambda_args ':' Test
 starred = '*' Or_flat | Test
@@ -182,10 +182,14 @@ Dict = ( pair comp | pair ( ',' pair )* ','? )?
 Set = named comp | named ( ',' named )* ','?
 slice = Test? ':' Test? ( ':' Test? )? | named
 Index = slice ( ',' slice )* ','?
-arg = '*' Test | '**' Test | word '=' Test | word ':=' Test | Test
-Args = ( arg ( ',' arg )* ','? | Test comp | word ':=' Test comp )?
-param = ( word ( ':' Test )? ( '=' Test )? | '*' ( word ( ':' starred )? )? | '**' word ( ':' Test )? | '/' )
-Params = ( param ( ',' param )* ','? )?
+plain = '*' Test | word ':=' Test | Test
+keyed = word '=' Test | '*' Test
+spread = word '=' Test | '**' Test
+Args = ( ( plain ( ',' plain )* ( ',' keyed )* ( ',' spread )* | keyed ( ',' keyed )* ( ',' spread )* | spread ( ',' spread )* ) ','? | Test comp | word ':=' Test comp )?
+bare = word ( ':' Test )? | '/'
+filled = word ( ':' Test )? '=' Test | '/'
+rest = '*' ( word ( ':' starred )? )? ( ',' word ( ':' Test )? ( '=' Test )? )* ( ',' '**' word ( ':' Test )? )? ','? | '**' word ( ':' Test )? ','?
+Params = ( bare ',' )* ( bare? | ( filled ',' )* ( filled? | rest ) )
 Target = ( targets )?
 alias = word ( 'as' word )?
 Names = alias ( ',' alias )* ','?

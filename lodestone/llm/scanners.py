@@ -145,6 +145,8 @@ def scan_js(text: str, spans: list | None = None, into: list | None = None) -> l
             last, ended_operand = "num", True
         elif which == 11:
             op = m.group(11)
+            if text.startswith("/*", at):
+                raise ScanError(at, "comment without end")
             if op[0] == "/" and not ended_operand:
                 r = _JS_REGEX.match(text, at)
                 if r is None:
@@ -229,6 +231,8 @@ def scan_go(text: str, spans: list | None = None, into: list | None = None) -> l
             add((last, at, False))
         elif which == 11:
             op = m.group(11)
+            if text.startswith("/*", at):
+                raise ScanError(at, "comment without end")
             last = op
             add(("bop" if op in _GO_BINARY else "aop" if op in _GO_ASSIGN else op, at, False))
         elif which == 9:
@@ -274,7 +278,7 @@ _PY_TOKEN = re.compile(
 )
 _PY_BLANK = re.compile(r"[ \t\f]*(?:#[^\n\r]*)?(?:\r\n|\n|\r|\Z)")
 _PY_INDENT = re.compile(r"[ \t\f]*")
-_PY_BINARY = frozenset("== != <= >= < > / // % << >> & ^".split())
+_PY_BINARY = frozenset("== != <= >= < > // % << >> & ^".split())
 _PY_ASSIGN = frozenset("**= //= >>= <<= += -= *= /= %= @= &= |= ^=".split())
 _PY_LEADING_ZERO = re.compile(r"0[0-9_]*[1-9][0-9_]*\Z")
 

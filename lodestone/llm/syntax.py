@@ -77,6 +77,7 @@ class Recogniser:
         self.separators = {mark: frozenset((self._class(mark, False), self._class(mark, True))) for mark in (";", ",")}
         self.colon = self._class(":", False)
         self.comprehension = self._class("for", False)
+        self.ordered = frozenset((self._class("=", False), self._class("**", False)))
 
     def clear(self) -> None:
         self.memory: dict[tuple, object] = {}
@@ -101,8 +102,8 @@ class Recogniser:
         return frozenset(done) | (self.grammar.recognise(rest, inside) if rest else frozenset())
 
     def _by_pieces(self, name: str, inside: tuple[int, ...], marks: frozenset[int]) -> bool:
-        if self.language == "python" and self.comprehension in inside:
-            return False
+        if self.language == "python" and (self.comprehension in inside or name == "Args" and not self.ordered.isdisjoint(inside)):
+            return False  # what may follow depends on what came before
         memory, begin = self.memory, 0
         for at, token in enumerate(inside):
             if token in marks or at == len(inside) - 1:

@@ -11,7 +11,7 @@ from lodestone.llm.syntax import invalid_rates, is_valid, judge_files
 from lodestone.sources.tables import current_corpus
 
 GOOD = {
-    "a.py": ["", "\n", "x = 1\n", "def f(a, *b, c=1, **d) -> int:\n    return a if b else c\n", "@deco(1)\nasync def f():\n    async with a as b, c:\n        await d\n", "match x:\n    case [1, *_]:\n        pass\n    case {'a': b} | C(d=1) if e:\n        pass\n", "try:\n    a\nexcept (A, B) as e:\n    b\nelse:\n    c\nfinally:\n    d\n", "x: int = [y for y in z if y]\n", "a, *b = c = d\n", "print('a' 'b', *c, **d)\n", "if x: y\nelif z: w\nelse: v\n", "lambda x, *y: (yield)\n", "x[1:2, ::3] += 1; del y[0], z\n", "from . import (a as b, c,)\n", "f'{a!r} {b}'\n", "type X[T] = list[T]\n", "class A[T](B, metaclass=C): pass\n", "if a:\n\tb\n", "x = (\n  1\n\n  # c\n)\n", "s = '''a\n\nb'''\n", "a = b if c else lambda: d\n", "\ufeffx = 1\n"],
+    "a.py": ["", "\n", "x = 1\n", "def f(a, *b, c=1, **d) -> int:\n    return a if b else c\n", "@deco(1)\nasync def f():\n    async with a as b, c:\n        await d\n", "match x:\n    case [1, *_]:\n        pass\n    case {'a': b} | C(d=1) if e:\n        pass\n", "try:\n    a\nexcept (A, B) as e:\n    b\nelse:\n    c\nfinally:\n    d\n", "x: int = [y for y in z if y]\n", "a, *b = c = d\n", "print('a' 'b', *c, **d)\n", "if x: y\nelif z: w\nelse: v\n", "lambda x, *y: (yield)\n", "x[1:2, ::3] += 1; del y[0], z\n", "from . import (a as b, c,)\n", "f'{a!r} {b}'\n", "type X[T] = list[T]\n", "class A[T](B, metaclass=C): pass\n", "if a:\n\tb\n", "f(a, *b, c=1, *d, **e, g=2)\n", "def f(a, /, b=1, *, c, d=2, **e,): pass\n", "def f(*a, b): pass\n", "x = (\n  1\n\n  # c\n)\n", "s = '''a\n\nb'''\n", "a = b if c else lambda: d\n", "\ufeffx = 1\n"],
     "a.ts": ["let x: Map<string, number[]> = new Map<string, number[]>();", "export async function f<T extends A = B>(a?: T, ...b: string[]): Promise<Array<T>> { return a as unknown as T[]; }", "interface A<T> extends B { a: string; b?(x: number): void; readonly [k: string]: any; new (x: A): B }", "type A = { [K in keyof B]?: B[K] } | (C & D) | `a${string}` | ((x: A) => B);", "enum E { A = 1, B, 'c' }", "abstract class A<T> extends B<T> implements C, D { private x?: string = 'a'; constructor(private readonly y: A) { super(); } static get z(): number { return 1 } abstract w(): void; }", "declare module 'x' { export const a: number; }", "const a = b! as const; const c = <T>(x: T) => x;", "function f(this: A): asserts x is B {}", "import type { A } from './a'; export type { A };", "namespace A.B { export const c = 1 }", "let f: new (...a: any[]) => B; let t: [a: string, b?: number, ...c: D[]];", "type X = A extends infer U ? U : never"],
     "a.js": ["", "import a, { b as c } from 'd';\nexport default class extends a {}", "const { a, ...b } = c, [d = 1, , e] = f;", "for (const [k, v] of m) if (k) continue; else break;", "x = a ? b : c => ({ d: e });", "let r = /[\"'{(]+/g.test(`a${b + `c${d}`}e`);", "label: for (;;) { break label }", "async () => { for await (const x of y) await z; }", "a\n++b\nc", "class A { #x = 1; static { this.y = 2 } get z() { return this.#x } *g() { yield* h } async *[i]() {} }", "do x++; while (x < 5)\ny", "switch (a) { case 1: return_(); default: { b } }", "var a = { get: 1, set b(c) {}, async *d() {}, [e]: f, 'g': 1, 2: 3, h() {} }", "!function () { return 1 }()", "a?.b?.[c]?.(d) ?? e", "if (a) { b } /re/.test(c)", "export * as ns from 'x'; import('y').then(z); import.meta.url", "x = a / b / c; y = (a) / b", "try { a } catch { b }"],
     "a.cjs": ["return 1", "module.exports = { a }"],
@@ -19,11 +19,11 @@ GOOD = {
     "a.json": ['{"a": [1, -2.5e3, true, null, "\\u00e9"], "b": {}}', "[]", '"x"', " 1 "],
 }
 BAD = {
-    "a.py": ["def f(:\n    pass\n", "if x\n    y\n", "if x:\ny\n", "  x\n", "x = (1\n", "x = 1)\n", "a b\n", "x = 'abc\n", "def f():\n    a\n  b\n", "f() = 1\n", "<<<<<<< ours\nx = 1\n", "x = 5f6d\n", "x = 012\n", "class A\n    pass\n", "{1: 2, 3}\n", "try:\n    a\n", "else:\n    a\n", "a → b\n", "x = \x01\n", "'''abc\n", "import\n", "for x y: z\n"],
+    "a.py": ["def f(:\n    pass\n", "if x\n    y\n", "if x:\ny\n", "  x\n", "x = (1\n", "x = 1)\n", "a b\n", "x = 'abc\n", "def f():\n    a\n  b\n", "f() = 1\n", "<<<<<<< ours\nx = 1\n", "x = 5f6d\n", "x = 012\n", "class A\n    pass\n", "{1: 2, 3}\n", "try:\n    a\n", "else:\n    a\n", "a → b\n", "x = \x01\n", "'''abc\n", "import\n", "for x y: z\n", "f(a=1, b)\n", "def f(a=1, b): pass\n", "f(**a, *b)\n"],
     "a.ts": ["let x: = 1", "interface A { b: }", "package main\nfunc f() {}", "function f( {}", "type = = 1", "class A { b c d }", "let a = {"],
-    "a.js": ["let x: number = 1", "function f( {", "a b", "if (a {", "`abc", "'abc\n'", "x = ;", "}", "<<<<<<< HEAD", "return 1", "let a = /abc", "def f():\n    pass", "class { }", "import { a from 'b'", "a = { b: 1, : 2 }"],
+    "a.js": ["let x: number = 1", "function f( {", "a b", "if (a {", "`abc", "'abc\n'", "x = ;", "}", "<<<<<<< HEAD", "return 1", "let a = /abc", "def f():\n    pass", "class { }", "import { a from 'b'", "a = { b: 1, : 2 }", "a = b /* c", "x /* y"],
     "a.cjs": ["import a from 'b'"],
-    "a.go": ["", "func f() {}\n", "package a\nfunc f( {\n}\n", "package a\nvar x = \n", "package a\nfunc f() { if x { }\n", "package a\nfunc f() {\n\tx = (1\n}\n", "package a\nimport b\n", "package a\nfunc f() { a b }\n"],
+    "a.go": ["", "func f() {}\n", "package a\nfunc f( {\n}\n", "package a\nvar x = \n", "package a\nfunc f() { if x { }\n", "package a\nfunc f() {\n\tx = (1\n}\n", "package a\nimport b\n", "package a\nfunc f() { a b }\n", "package a\nvar x = y /* z\n"],
     "a.json": ["", "{", '{"a" 1}', "{'a': 1}", "[1,]", "{a: 1}", "NaN", '{"a": 1} x', "// c\n{}", '"a\nb"'],
 }
 
