@@ -296,9 +296,39 @@ def _columns(indent: str) -> tuple[int, int]:
     return wide, narrow
 
 
-def scan_python(text: str, spans: list | None = None, lines: list | None = None, into: list | None = None) -> list[Token]:
+_F_STRING = re.compile(r"""(?:[fFtT][rR]?|[rR][fFtT])(\"\"\"|'''|"|')""")
+_PY_ANY_STRING = re.compile(r"""[rRbBuU]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')""")
+
+
+def _f_string_end(text: str, at: int) -> int:
+    """Where the f-string that begins at a place ends, with strings of any quotes inside its braces."""
+    opened = _F_STRING.match(text, at)
+    quote, i, depth = opened.group(1), opened.end(), 0
+    while i < len(text):
+        if depth:
+            inner = _F_STRING.match(text, i) and _f_string_end(text, i)
+            if not inner and (m := _PY_ANY_STRING.match(text, i)):
+                inner = m.end()
+            if inner:
+                i = inner
+                continue
+            depth += (text[i] in "{[(") - (text[i] in "}])")
+        elif text[i] == "\\" or text.startswith(("{{", "}}"), i):
+            i += 1
+        elif text[i] == "{":
+            depth = 1
+        elif text.startswith(quote, i):
+            return i + len(quote)
+        elif text[i] == "\n" and len(quote) == 1:
+            break
+        i += 1
+    raise ScanError(at, "f-string without end")
+
+
+def scan_python(text: str, spans: list | None = None, lines: list | None = None, into: list | None = None, nested: bool = False) -> list[Token]:
     """Tokens of Python; NL ends a logical line, IN and OUT wrap an indented block. ``lines`` collects
-    (start, indent) of logical lines."""
+    (start, indent) of logical lines. ``nested`` reads f-strings as Python 3.12 does, which lets their
+    braces hold strings with the same quotes."""
     out: list[Token] = [] if into is None else into
     at, end = (1 if text.startswith("﻿") else 0), len(text)
     indents, opened = [(0, 0)], []
@@ -328,6 +358,10 @@ def scan_python(text: str, spans: list | None = None, lines: list | None = None,
                 lines.append((at, wide))
             fresh = False
             continue
+        if nested and _F_STRING.match(text, at):
+            add(("str", at, False))
+            at = _f_string_end(text, at)
+            continue
         m = match(text, at)
         if m is None:
             raise ScanError(at, "no token")

@@ -9,7 +9,8 @@ graph, and a file counts as invalid when none of them accepts it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,9 +154,15 @@ class Recogniser:
         """The dialects that accept the text."""
         if self.held > MEMORY_TOKENS:
             self.clear()
+        found = self._accepted(text, dialects, self.scan)
+        if not found and self.language == "python" and _F_STRING.search(text):
+            found = self._accepted(text, dialects, lambda t: scanners.scan_python(t, nested=True))
+        return found
+
+    def _accepted(self, text: str, dialects: tuple[str, ...], scan: Callable[[str], list]) -> frozenset[str]:
         try:
-            tokens = self.scan(text)
-        except scanners.ScanError:
+            tokens = scan(text)
+        except (scanners.ScanError, RecursionError):
             return frozenset()
         classes = self.token_class
         stack: list[list[int]] = [[]]
@@ -209,6 +216,7 @@ class Recogniser:
         return self.grammar.cls(frozenset(["Tpl", "TypeTpl", LINE_START] if newline else ["Tpl", "TypeTpl"]))
 
 
+_F_STRING = re.compile(r"\b[rR]?[fFtT][rR]?[\"']")
 _OPENS = frozenset(["(", "[", "{", "`", "IN"])
 _SHUTS = frozenset([")", "]", "}", "tpl`", "OUT"])
 _RECOGNISERS: dict[str, Recogniser] = {}

@@ -38,6 +38,11 @@ def test_invalid(path):
     assert [t for t in BAD[path] if is_valid(path, t)] == []
 
 
+def test_nested_f_strings():
+    good = ['f"{a["b"]:{c}} {{x}} {f"{d["e"]}"}"\n', "x = f\'\'\'{a\n}\'\'\' + rf'\\d{1}'\n"]
+    assert [t for t in good if not is_valid("a.py", t)] == [] and [t for t in ('f"{a["zz"} c"\n', 'f"{a\n') if is_valid("a.py", t)] == []
+
+
 def test_other_extensions_are_not_judged():
     assert is_valid("a.md", "(") is None and is_valid("Makefile", "(") is None and is_valid("a.py", None) is True and is_valid("a.go", None) is False
 
