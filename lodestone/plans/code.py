@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import extract, graph, index, snapshot
 from lodestone.plans.common import AS_OF, SQL_CHUNKS, SQL_CORPUS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, chunks_of, corpus_of, files_of, notes_of, symbols_of
+from lodestone.sources.storage import cut_lineage
 from lodestone.sources.tables import table
 
 NAME = "fetchPolicy"
@@ -53,12 +54,17 @@ def calls(s: SparkSession, d: str) -> DataFrame:
     return extract.call_edges(corpus_of(s, d))
 
 
+def stored_calls(s: SparkSession, d: str) -> DataFrame:
+    """The call edges as a written table, as an index holds them, for queries that use them more than once."""
+    return cut_lineage(calls(s, d))
+
+
 def resolved_imports(s: SparkSession, d: str) -> DataFrame:
     return extract.resolve_imports(imports(s, d), files_of(s, d))
 
 
 def resolved_calls(s: SparkSession, d: str) -> DataFrame:
-    return extract.resolve_calls(calls(s, d), symbols_of(s, d), resolved_imports(s, d))
+    return extract.resolve_calls(stored_calls(s, d), symbols_of(s, d), cut_lineage(resolved_imports(s, d)))
 
 
 def built_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -96,7 +102,7 @@ def key_importers(s: SparkSession, d: str) -> DataFrame:
 def impact_importers(s: SparkSession, d: str) -> DataFrame:
     """Importers of every tenth file by relative imports, up to three steps."""
     start = files_of(s, d).where(F.pmod(F.length("path"), F.lit(10)) == 0)
-    return graph.importers(resolved_imports(s, d), start, 3)
+    return graph.importers(cut_lineage(resolved_imports(s, d)), start, 3)
 
 
 def impact_callers(s: SparkSession, d: str) -> DataFrame:
@@ -109,15 +115,15 @@ def impact_references(s: SparkSession, d: str) -> DataFrame:
 
 
 def impact(s: SparkSession, d: str) -> DataFrame:
-    return graph.impact(symbols_of(s, d), resolved_imports(s, d), calls(s, d), corpus_of(s, d), NAME, 2)
+    return graph.impact(symbols_of(s, d), cut_lineage(resolved_imports(s, d)), stored_calls(s, d), corpus_of(s, d), NAME, 2)
 
 
 def call_graph(s: SparkSession, d: str) -> DataFrame:
-    return graph.call_graph(calls(s, d))
+    return graph.call_graph(stored_calls(s, d))
 
 
 def call_graph_nodes(s: SparkSession, d: str) -> DataFrame:
-    return graph.call_graph_nodes(calls(s, d), symbols_of(s, d))
+    return graph.call_graph_nodes(stored_calls(s, d), symbols_of(s, d))
 
 
 def counts(s: SparkSession, d: str) -> DataFrame:

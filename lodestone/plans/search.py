@@ -14,6 +14,7 @@ from lodestone.operators.extract import import_edges
 from lodestone.plans.common import (
     SQL_CHUNKS, SQL_CORPUS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, TERMS, WORKSPACE, bm25_sql, chunks_of, corpus_of, files_of, named_chunks, named_symbols, notes_of, symbols_of,
 )
+from lodestone.sources.storage import cut_lineage
 from lodestone.sources.tables import table
 
 QUERY, NAME = "validate token cache", "loadPolicy"
@@ -35,8 +36,8 @@ def notes_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_union(s: SparkSession, d: str) -> DataFrame:
-    files = corpus_of(s, d).groupBy("path").agg(F.max("content").alias("text"))
-    return search.lexical_union(named_symbols(s, d), named_chunks(s, d), files, PHRASES, 20)
+    files = cut_lineage(corpus_of(s, d).groupBy("path").agg(F.max("content").alias("text")))
+    return search.lexical_union(named_symbols(s, d), cut_lineage(named_chunks(s, d)), files, PHRASES, 20)
 
 
 def bm25_batch(s: SparkSession, d: str) -> DataFrame:
@@ -136,7 +137,7 @@ def recent_symbols(s: SparkSession, d: str) -> DataFrame:
 
 
 def merged_hits(s: SparkSession, d: str) -> DataFrame:
-    chunks = named_chunks(s, d)
+    chunks = cut_lineage(named_chunks(s, d))
     scored = chunks.join(search.bm25(chunks, "id", "text", PHRASES), "id")
     hits = scored.select("workspace", "path", "line", F.col("name").alias("symbol"), F.round("score", 6).alias("score"))
     return lookup.merge_per_file(hits)
