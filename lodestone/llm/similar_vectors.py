@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 16_384
-CODEBOOKS, CODEWORDS = 9, 256
+CODEBOOKS, CODEWORDS = 12, 256
 BEAM = 4
 #: A cell is probed when its codeword's inner product with the query is within this of the best one's.
 PROBE_MARGIN = 0.06
-SHORTLIST = 96
+SHORTLIST = 160
 #: Rows of a cell above which it is split by the second codebook, and of a block beyond that.
 CELL_ROWS = 8_192
 
