@@ -2,7 +2,7 @@
 
 Third-party code shows by where it came from: Merkle hashes are computed bottom-up over every
 workspace's directory tree, and a file or subtree found under two unrelated owners is a vendored
-copy; copies that were patched since share most of the smallest hashes of their three-line shingles.
+copy; copies that were patched since share most of their three-line shingles with one file.
 Notices in the first or last comment of a file, names and folders that tools use, and the layout of
 minified and data-only files say the rest.
 """
@@ -39,7 +39,8 @@ _GENERATED = re.compile(
 _THIRD_PARTY = re.compile(r"\(c\) (\d{4} )?(the )?[\w.-]+ (authors|contributors|developers)|upstream release|redistribution and use in source|licensed under the (apache|mit|bsd|mozilla|gnu)", re.I)
 _COMMENT = re.compile(r"\s*(//|#|/\*|\*|<!--|--|\"\"\"|''')|\s*$")
 _ACTIVE = frozenset("def class function func if for while return try with switch => lambda import from interface type enum async await new".split())
-_SKETCH = 16
+# Files too small to tell a copy by.
+COPY_CHARS, COPY_SHINGLES = 200, 8
 DATA_CHARS, DATA_LITERALS = 1000, 50
 
 
@@ -97,7 +98,7 @@ def _is_data(kind: str, text: str) -> bool:
 
 
 def inspect(path: str, text: str | None) -> tuple[str | None, int | None, int, list[int]]:
-    """(reason, hash of the content, characters that count, least shingle hashes) of one file's text."""
+    """(reason, hash of the content, characters that count, shingle hashes) of one file's text."""
     if not text:
         return None, None, 0, []
     kind = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
@@ -116,8 +117,8 @@ def inspect(path: str, text: str | None) -> tuple[str | None, int | None, int, l
     encoded = [line.encode("utf-8", "surrogatepass") for line in full]
     content = np.uint64(xxhash.xxh64_intdigest(b"\n".join(encoded))).view(np.int64)
     shingles = {xxhash.xxh64_intdigest(b"\n".join(encoded[i : i + 3])) for i in range(max(1, len(encoded) - 2))}
-    least = np.array(sorted(shingles)[:_SKETCH], dtype=np.uint64).view(np.int64)
-    return reason, int(content), sum(map(len, full)), least.tolist()
+    hashes = np.array(sorted(shingles), dtype=np.uint64).view(np.int64)
+    return reason, int(content), sum(map(len, full)), hashes.tolist()
 
 
 def _inspected(corpus: DataFrame) -> DataFrame:
@@ -126,10 +127,10 @@ def _inspected(corpus: DataFrame) -> DataFrame:
             rows = [inspect(p, t) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                names=["workspace", "path", "reason", "content", "chars", "sketch"],
+                names=["workspace", "path", "reason", "content", "chars", "shingles"],
             )
 
-    return corpus.select("workspace", "path", "content").mapInArrow(run, "workspace string, path string, reason string, content bigint, chars bigint, sketch array<bigint>")
+    return corpus.select("workspace", "path", "content").mapInArrow(run, "workspace string, path string, reason string, content bigint, chars bigint, shingles array<bigint>")
 
 
 def merkle_nodes(leaves: DataFrame) -> DataFrame:
@@ -171,6 +172,41 @@ def shared_nodes(nodes: DataFrame, least_chars: int = 200) -> DataFrame:
     return counted.join(shared, "hash").select("workspace", "node")
 
 
+def patched_copies(written: DataFrame, least_share: float = 0.7) -> DataFrame:
+    """(workspace, path) of files of which ``least_share`` of the shingles stand in one file of another owner, of like size.
+
+    Takes (workspace, path, content, chars, shingles) and finds all of them: a text that has its share
+    in another must share with it one of any (1 - share) * k + 1 of its k shingles, so only its rarest
+    ones are looked up. Texts are compared once for all their copies; those that two owners hold are
+    partners but not judged, as equal content tells them already. Partners at the ends of a shingle's
+    holders are tried first, so most of a widely copied file's versions never meet all the others; what
+    they leave undecided is compared with every holder. Every pair is verified on whole shingle sets.
+    """
+    sized = written.where((F.col("chars") >= COPY_CHARS) & (F.size("shingles") >= COPY_SHINGLES))
+    texts = cut_lineage(sized.groupBy("content").agg(F.first("chars").alias("chars"), F.first("shingles").alias("shingles"), F.min(_owner()).alias("lo"), F.max(_owner()).alias("hi")))
+    held = texts.select("content", "chars", "lo", "hi", F.size("shingles").alias("k"), F.explode("shingles").alias("shingle"))
+    between = held.groupBy("shingle").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count("*").alias("n")).where("first != last")
+    held = cut_lineage(held.join(between.select("shingle", "n"), "shingle"))
+
+    need = F.ceil(F.col("k") * least_share - 1e-9)
+    rarest = F.sort_array(F.collect_list(F.struct("n", "shingle")))
+    judged = held.where("lo = hi").groupBy("content", "lo", "chars", "k").agg(rarest.alias("met")).where(F.size("met") >= need)
+    probes = cut_lineage(judged.select(F.col("content").alias("x"), F.col("lo").alias("owner"), F.col("chars").alias("size"), need.alias("need"), F.explode(F.slice("met", F.lit(1), (F.size("met") - need + 1).cast("int"))).alias("met")).select("x", "owner", "size", "need", "met.shingle"))
+
+    def alike(partners: DataFrame, asked: DataFrame) -> DataFrame:
+        fits = ((F.col("lo") != F.col("owner")) | (F.col("hi") != F.col("owner"))) & (F.col("chars") * 2 >= F.col("size")) & (F.col("chars") <= F.col("size") * 2) & (F.col("k") >= F.col("need"))
+        pairs = asked.join(partners, "shingle").where(fits).select("x", F.col("content").alias("y"), "need").distinct()
+        side = lambda name: texts.select(F.col("content").alias(name), F.col("shingles").alias(f"{name}_shingles"))
+        both = pairs.join(side("x"), "x").join(side("y"), "y")
+        return cut_lineage(both.where(F.size(F.array_intersect("x_shingles", "y_shingles")) >= F.col("need")).select("x").distinct())
+
+    entry = F.struct("lo", "hi", "content", "chars", "k")
+    ends = held.groupBy("shingle", F.floor(F.log2("chars")).alias("class")).agg(F.array(F.min(entry), F.max(entry)).alias("ends"))
+    found = alike(ends.select("shingle", F.inline("ends")), probes)
+    found = found.unionByName(alike(held, probes.join(found, "x", "left_anti")))
+    return sized.join(found.withColumnRenamed("x", "content"), "content", "left_semi").select("workspace", "path")
+
+
 def not_hand_written(files: DataFrame, corpus: DataFrame, least_share: float = 0.7) -> DataFrame:
     """(workspace, path, reason) of the files of ``files`` or ``corpus`` that are not hand-written source.
 
@@ -194,15 +230,7 @@ def not_hand_written(files: DataFrame, corpus: DataFrame, least_share: float = 0
     up = written.select("workspace", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("node"))
     copied = up.join(nodes, ["workspace", "node"], "left_semi").select("workspace", "path").distinct()
 
-    # a patched copy: most of its marks are met in one and the same file of another owner, of like size
-    marks = written.where((F.col("chars") >= 200) & (F.size("sketch") >= 8)).select(
-        "workspace", "path", F.size("sketch").alias("k"), "chars", F.xxhash64("workspace", "path").alias("file"), _owner().alias("owner"), F.explode("sketch").alias("mark")
-    )
-    entry = F.struct("owner", "file", "chars")
-    ends = marks.groupBy("mark").agg(F.min(entry).alias("a"), F.max(entry).alias("b")).where("a.owner != b.owner")
-    other = F.when(F.col("owner") == F.col("a.owner"), F.col("b")).otherwise(F.col("a"))
-    met = marks.join(ends, "mark").select("workspace", "path", "k", "chars", other.alias("other")).where("other.chars * 2 >= chars and other.chars <= chars * 2")
-    patched = met.groupBy("workspace", "path", "k", "other.file").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("k") * least_share).select("workspace", "path")
+    patched = patched_copies(written, least_share)
 
     vendored = copied.unionByName(patched).distinct().withColumn("shared", F.lit(True))
     found = keys.join(seen.select("workspace", "path", "reason"), ["workspace", "path"], "left").join(vendored, ["workspace", "path"], "left")

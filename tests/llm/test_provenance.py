@@ -58,3 +58,19 @@ def test_files(spark):
         ("a/x", "src/copy.js"): "third-party", ("b/y", "core/tool.js"): "third-party", ("c/z", "core/patched.js"): "third-party", ("a/x", "vendor/lib/x.go"): "third-party", ("a/x", "node_modules/never/read.ts"): "third-party",
         ("a/x", "src/gen/x.ts"): "generated", ("a/x", "src/x_pb2.py"): "generated", ("", "src/n.min.js"): "minified",
     }
+
+
+def test_patched_copies_among_many_holders_of_their_lines(spark):
+    def lib(name, lines):
+        return "\n".join(f"export function {name}{i}(a) {{ return a * {i} + {i * 7} }}" for i in range(lines))
+
+    def judge(corpus):
+        return {(r.workspace, r.path): r.reason for r in not_hand_written(spark.createDataFrame([], "workspace string, path string"), spark.createDataFrame(corpus, "workspace string, path string, content string")).collect()}
+
+    base = lib("f", 40)
+    copies = [("a/x", "src/one.js", base.replace("a * 7 ", "a * 8 ")), ("b/x", "src/two.js", base.replace("a * 31 ", "a * 32 "))]
+    copied = {("a/x", "src/one.js"): "third-party", ("b/x", "src/two.js"): "third-party"}
+    # bundles hold the same lines but are no partners of like size
+    assert judge(copies + [(f"o{i}/x", "src/bundle.js", base + "\n" + lib(f"b{i}_", 150)) for i in range(20)]) == copied
+    # older versions share half of the lines, with the copies and with one another, and their own half with none
+    assert judge(copies + [(f"o{i}/x", "src/older.js", "\n".join(base.split("\n")[20 * (i % 2) :][:20]) + "\n" + lib(f"old{i}_", 20)) for i in range(20)]) == copied
