@@ -30,6 +30,8 @@ BEFORE_NUMBER = frozenset("no nos fig figs sec secs eq eqs ch vol pp nr abb absc
 MAY_CLOSE = frozenset("etc usw a.m p.m min max u.s u.k d.c inc ltd co jr sr т.д т.п др κ.λπ κ.ά κλπ uds ud".split())
 KNOWN = GOES_ON | BEFORE_NUMBER | MAY_CLOSE | {part for a in GOES_ON | MAY_CLOSE for part in a.split(".")}
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
+#: Abbreviations of the corpus that are given to every task; more are joined to the texts that have them.
+WORDS_AT_ONCE = 100_000
 BEFORE_ORDINAL = frozenset("am vom zum bis seit ab der die das dem den des im".split())
 
 _LINE = re.compile(r"[^\n]*(?:\n|\Z)")
@@ -74,6 +76,10 @@ def _sure_words(text: str) -> Counter:
     return sure
 
 
+#: Every word that the segmenter may look up, wherever its period stands.
+_BEFORE_ANY_PERIOD = re.compile(r"([^\W\d_]+)\.")
+
+
 def document_abbreviations(text: str) -> frozenset[str]:
     """Words of a document, not known beforehand, that stand before a period mostly where no sentence can end, and rarely without one."""
     sure = {w: n for w, n in _sure_words(text).items() if w not in KNOWN}
@@ -360,60 +366,82 @@ class Segmenter:
         return self._names
 
 
-def corpus_abbreviations(documents: DataFrame, text_col: str = "text", least: int = 20) -> frozenset[str]:
-    """Words that, over all documents, stand before a period mostly where no sentence can end.
+def corpus_abbreviations(documents: DataFrame, text_col: str = "text", least: int = 20) -> DataFrame:
+    """(word): words that, over all documents, stand before a period mostly where no sentence can end.
 
-    Each task counts its own documents and the counts are summed by word. Only words seen at least
-    max(``least``, documents / 5000) times with a period are fetched: with under some thirty periods a
-    document these are at most 150,000 short words, whatever the size of the corpus. If any are found,
-    a second pass counts how often those stand without a period. Words known beforehand are not counted.
+    Each task counts its own documents and the counts are summed by word. A word is judged from
+    ``least`` periods on, whatever the size of the corpus. If any are left, a second pass counts how
+    often those stand without a period. Words known beforehand are not counted.
     """
     texts = documents.select(F.col(text_col))
 
     def periods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sure, seen, n = Counter(), Counter(), 0
+            sure, seen = Counter(), Counter()
             for text in batch.column(0).to_pylist():
-                n += 1
                 if text:
                     s, p = abbreviation_evidence(text)
                     sure.update(s)
                     seen.update(p)
             words = [w for w in seen if w not in KNOWN]
-            yield pa.RecordBatch.from_arrays([pa.array(["", *words], pa.string()), pa.array([0, *(sure[w] for w in words)], pa.int64()), pa.array([n, *(seen[w] for w in words)], pa.int64())], names=["word", "sure", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([sure[w] for w in words], pa.int64()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "sure", "seen"])
 
-    counts = cut_lineage(texts.mapInArrow(periods, "word string, sure bigint, seen bigint").groupBy("word").agg(F.sum("sure").alias("sure"), F.sum("seen").alias("seen")))
-    total = counts.where("word = ''").head()  # the empty word counts the documents
-    often = counts.where((F.col("word") != "") & (F.col("seen") >= max(least, (total.seen if total else 0) // 5000)) & (F.col("sure") * 2 >= F.col("seen")))
-    seen = {r.word: r.seen for r in often.collect()}
-    if not seen:
-        return frozenset()
-    wanted = documents.sparkSession.sparkContext.broadcast(frozenset(seen))
+    counts = texts.mapInArrow(periods, "word string, sure bigint, seen bigint").groupBy("word").agg(F.sum("sure").alias("sure"), F.sum("seen").alias("seen"))
+    often = cut_lineage(counts.where((F.col("seen") >= least) & (F.col("sure") * 2 >= F.col("seen"))).select("word", "seen"))
+    if often.isEmpty():
+        return often.select("word")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Counter(w for text in batch.column(0).to_pylist() if text for w in map(str.lower, _WORD.findall(text)) if w in wanted.value)
+            found = Counter(w.lower() for text in batch.column(0).to_pylist() if text for w in _WORD.findall(text) if 2 <= len(w) <= 12)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    bare = {r.word: r.n for r in texts.mapInArrow(occurrences, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return frozenset(w for w, n in seen.items() if 10 * n >= 8 * bare.get(w, n))
+    bare = texts.mapInArrow(occurrences, "word string, n bigint").join(often.select("word"), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("bare"))
+    return cut_lineage(often.join(bare, "word", "left").where(F.col("seen") * 10 >= F.coalesce("bare", "seen") * 8).select("word"))
+
 
+def _with_abbreviations(documents: DataFrame, id_col: str, text_col: str, at_once: int) -> tuple[DataFrame, frozenset[str]]:
+    """((id, __text, __words) of the documents with a text, abbreviations that hold for all of them).
+
+    Up to ``at_once`` abbreviations of the corpus are given to every task. Of more, each text gets
+    those it has before a period, by joins; equal hashes of two texts only give them each other's.
+    """
+    chosen = documents.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
+    found = corpus_abbreviations(documents, text_col)
+    few = found.limit(at_once + 1).collect()
+    if len(few) <= at_once:
+        return chosen.withColumn("__words", F.lit(None).cast("array<string>")), frozenset(r.word for r in few)
 
-def sentence_starts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = set(map(str.lower, _BEFORE_ANY_PERIOD.findall(text)))
+                keys += [key] * len(own)
+                words += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], names=["__key", "word"])
+
+    keyed = chosen.withColumn("__key", F.xxhash64("__text"))
+    lists = keyed.select("__key", "__text").mapInArrow(asked, "__key bigint, word string").join(found, "word").groupBy("__key").agg(F.collect_set("word").alias("__words"))
+    return keyed.join(lists, "__key", "left").drop("__key"), frozenset()
+
+
+def sentence_starts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """(id, start_pos): offset in code points of the first character of every unit, one row for each.
 
     Null, empty and blank texts give no row; rows repeated in the input are repeated in the output;
     further columns are not read. Texts are read whole: twice, once for the corpus's counts.
     """
-    corpus = documents.sparkSession.sparkContext.broadcast(corpus_abbreviations(documents, text_col))
-    chosen = documents.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
+    chosen, words = _with_abbreviations(documents, id_col, text_col, at_once)
+    corpus = documents.sparkSession.sparkContext.broadcast(words)
     schema = T.StructType([chosen.schema[0], T.StructField("start_pos", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(corpus.value)
         for batch in batches:
             rows, starts = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, (text, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                segmenter.corpus = corpus.value if own is None else frozenset(own)
                 found = segmenter.starts(text)
                 rows += [i] * len(found)
                 starts += found
@@ -422,17 +450,18 @@ def sentence_starts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return chosen.mapInArrow(run, schema)
 
 
-def sentence_units(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sentence_units(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """(id, unit, start_pos, text): the units themselves, counted from 1, up to where the next one starts, right-trimmed."""
-    corpus = documents.sparkSession.sparkContext.broadcast(corpus_abbreviations(documents, text_col))
-    chosen = documents.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
+    chosen, words = _with_abbreviations(documents, id_col, text_col, at_once)
+    corpus = documents.sparkSession.sparkContext.broadcast(words)
     schema = T.StructType([chosen.schema[0], T.StructField("unit", T.IntegerType()), T.StructField("start_pos", T.IntegerType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(corpus.value)
         for batch in batches:
             rows, units, starts, texts = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, (text, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                segmenter.corpus = corpus.value if own is None else frozenset(own)
                 found = segmenter.starts(text)
                 for unit, (a, b) in enumerate(zip(found, [*found[1:], len(text)]), 1):
                     rows.append(i)

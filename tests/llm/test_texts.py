@@ -136,3 +136,19 @@ def test_sentence_edges(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "  ", 0), (4, "A. b", 0), (5, "x" * 200_000, 0), (5, "One. Two.", 0)], "doc_id bigint, text string, start_pos int")
     assert sorted((r.doc_id, r.start_pos) for r in sn.sentence_starts(df).collect()) == [(4, 0), (5, 0), (5, 0), (5, 5)]
     assert sn.sentence_starts(df.limit(0)).count() == 0
+
+
+def test_corpus_evidence_needs_no_more_in_a_larger_corpus(spark):
+    silent = "We keep qzty. Five of them."
+    known = spark.createDataFrame([(i, "It has qzty. 5 of them.") for i in range(19)] + [(50, silent)], "doc_id bigint, text string")
+    others = spark.range(1000, 106_100).selectExpr("id AS doc_id", "'x' AS text")
+    for docs in (known, known.unionByName(others)):
+        assert [r.start_pos for r in sn.sentence_starts(docs).where("doc_id = 50").collect()] == [0]
+    assert sn.sentence_starts(known.where("doc_id = 50")).count() == 2
+
+
+def test_joined_abbreviations_give_the_same_units(spark, data):
+    docs = table(spark, data, "documents")
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900_000 + i, f"It has qzty. 5 of them, qzty. Five or {i}.") for i in range(30)] + [(None, "No qzty. Five."), (None, None)], "doc_id bigint, text string"))
+    rows = [sorted((r.doc_id or -1, r.start_pos) for r in sn.sentence_starts(more, at_once=n).collect()) for n in (100_000, 0)]
+    assert rows[0] == rows[1]
