@@ -3,8 +3,8 @@
 Lines are first sorted into headings, fenced code, list items, speaker turns and paragraphs. Within
 a block every terminator is a candidate. Whether the word before a period is an abbreviation, and
 whether a capitalised word after one is a name, is read off unambiguous occurrences elsewhere in the
-same document; where the document is silent, counts over the whole corpus decide, and short lists of
-each language's usual abbreviations are known beforehand. Scripts have their own terminators; Thai,
+same document; where the document is silent on an abbreviation, counts over the whole corpus decide
+(not on names), and short lists of each language's usual abbreviations are known beforehand. Scripts have their own terminators; Thai,
 which has none, is cut at spaces between Thai words. Nothing inside quotation marks, brackets or
 code spans ends a sentence.
 """
