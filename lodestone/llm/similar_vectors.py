@@ -10,7 +10,7 @@ The codebooks are fitted on the driver on a sample of at most ``SAMPLE_ROWS`` ve
 is encoded and searched on the executors. A vector is sent once, to its own cell, where it is both
 candidate and query, and as a query alone to the few cells whose codeword is almost as near. Cells
 that the sample shows to be large are split by the second codebook, and what is still large after
-that into blocks of vectors, each met by blocks of queries: no task holds more than two blocks. Vectors with very many exact copies are searched once for all copies.
+that into blocks of vectors, each met by blocks of queries: no task holds more than two blocks. Vectors with more than k + 1 copies, of any length, are searched once for all copies.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.storage import cut_lineage
+
 SAMPLE_ROWS = 16_384
 CODEBOOKS, CODEWORDS = 12, 256
 BEAM = 4
@@ -30,6 +32,8 @@ PROBE_MARGIN = 0.06
 SHORTLIST = 160
 #: Rows of a cell above which it is split by the second codebook, and of a block beyond that.
 CELL_ROWS = 8_192
+#: Groups of copies that are broadcast; more are joined by a shuffle.
+COPIES_AT_ONCE = 10_000
 
 
 def _kmeans(rows: np.ndarray, k: int, rounds: int, unit: bool, seed: int) -> np.ndarray:
@@ -228,10 +232,19 @@ def _search(quantizer, k: int, least: float, shortlist: int):
     return run
 
 
+def _norm(vec: str) -> Column:
+    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+def _cosine(a: str, b: str) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x) / (_norm(a) * _norm(b))
+
+
 def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
-    """(id, vec, copy): vectors of ``dim`` finite numbers that are not all zero; copy is a hash of the numbers."""
+    """(id, vec, copy): vectors of ``dim`` finite numbers that are not all zero; copy is a hash of the rounded direction."""
     good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim)).where(good).withColumn("copy", F.xxhash64("vec"))
+    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim)).where(good).withColumn("__norm", _norm("vec")).withColumn("copy", F.xxhash64(F.transform("vec", lambda x: F.round(x / F.col("__norm") * 10_000).cast("int")))).drop("__norm")
 
 
 def most_similar(
@@ -254,16 +267,20 @@ def most_similar(
     if not total:
         return spark.createDataFrame([], schema + ", rank int")
 
-    # At most 10,000 vectors can have more than a ten-thousandth of all rows as copies: a bounded broadcast.
-    hot = copies.where(F.col("n") > F.lit(max(k + 1, total // 10_000)))
+    # Copies of more than k + 1 are searched once for all: only their least ids, all with the first one's numbers.
+    hot = cut_lineage(copies.where(F.col("n") > k + 1).select("copy"))
+    small = (lambda d: F.broadcast(d)) if hot.count() <= COPIES_AT_ONCE else (lambda d: d)
+    first = cut_lineage(usable.join(small(hot), "copy").groupBy("copy").agg(F.min_by("vec", "id").alias("first")))
+    same = F.coalesce(_cosine("vec", "first") >= 1 - 1e-12, F.lit(False))
     least_ids = (
-        usable.select("copy", "id").join(F.broadcast(hot.select("copy")), "copy", "left_semi")
+        usable.join(small(first), "copy").where(same).select("copy", "id")
         .withColumn("rn", F.row_number().over(Window.partitionBy("copy").orderBy("id"))).where(F.col("rn") <= k + 1)
         .groupBy("copy").agg(F.sort_array(F.collect_list("id")).alias("least_ids"))
     )
-    flagged = usable.join(F.broadcast(least_ids), "copy", "left")
-    searched = flagged.where(F.col("least_ids").isNull() | F.array_contains("least_ids", F.col("id"))).select("id", "vec")
-    rest = flagged.where(F.col("least_ids").isNotNull() & ~F.array_contains("least_ids", F.col("id")))
+    groups = cut_lineage(first.join(least_ids, "copy"))
+    flagged = usable.join(small(groups), "copy", "left").withColumn("same", same)
+    searched = flagged.where(~F.col("same") | F.array_contains("least_ids", F.col("id"))).select("id", F.when(F.col("same"), F.col("first")).otherwise(F.col("vec")).alias("vec"))
+    rest = flagged.where(F.col("same") & ~F.array_contains("least_ids", F.col("id")))
     settled = rest.select("id", F.explode(F.slice("least_ids", 1, k)).alias("neighbour"), F.lit(1.0).alias("similarity"))
 
     drawn = usable.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(total)) < sample_rows).select("vec").limit(2 * sample_rows).toArrow()

@@ -103,3 +103,16 @@ def test_blocks_find_what_one_group_finds(spark):
         return {a: sorted(v)[:5] for a, v in best.items()}
 
     assert found(1) == found(3) and len(found(1)) == 200
+
+
+def test_scaled_copies_beyond_the_shortlist_go_to_the_least_ids(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=16).astype(np.float32)
+    rows = [(i, (base * np.float32(1 + (i % 7))).tolist()) for i in range(400)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(60)]
+    rows.append((2000, (base + np.float32(0.01)).tolist()))
+    df = spark.createDataFrame(rows[::-1], "id bigint, embedding array<float>")
+    got = {}
+    for r in most_similar(df, dim=16).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    assert all(got[i] == set([j for j in range(6) if j != i][:5]) for i in range(400))
+    assert got[2000] == set(range(5))
