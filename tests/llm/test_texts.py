@@ -117,6 +117,62 @@ def test_document_evidence_settles_an_unknown_abbreviation():
     assert all(known[a:].startswith(("The", "See")) for a in starts)
 
 
+def _units(text, corpus=None):
+    starts = sn.Segmenter(corpus).starts(text)
+    return [text[a:b].rstrip() for a, b in zip(starts, [*starts[1:], len(text)])]
+
+
+def test_the_document_decides_before_the_corpus(monkeypatch):
+    monkeypatch.setattr(sn, "PRIOR", {})
+    text = "It has qty. of x, qty. of them. Take the qty. Manager works."
+    assert len(_units(text, {"qty": "plain"})) == 2
+    text = "The qty is odd. A qty was odd. Take the qty. Manager works."
+    assert _units(text, {"qty": "goes on"})[-2:] == ["Take the qty.", "Manager works."]
+
+
+def test_the_corpus_decides_where_the_document_is_silent(monkeypatch):
+    text = "See the cf. Manager works. Take 5 approx. Now."
+    assert _units(text, {"cf": "plain", "approx": "plain"}) == ["See the cf.", "Manager works.", "Take 5 approx.", "Now."]
+    monkeypatch.setattr(sn, "PRIOR", {})
+    assert _units(text, {"cf": "goes on", "approx": "may close"}) == ["See the cf. Manager works.", "Take 5 approx.", "Now."]
+
+
+def test_names_after_abbreviations_come_from_document_then_corpus():
+    facts = {"ltd": "may close", "^miller": "name", "^they": "common"}
+    assert len(_units("We met Acme Ltd. Miller there.", facts)) == 1
+    assert len(_units("We met Acme Ltd. They left.", facts)) == 2
+    assert len(_units("We met Acme Ltd. Miller left, a miller as ever.", facts)) == 2
+    assert len(_units("We met J. They left.", facts)) == 2 and len(_units("We met J. Miller there.", facts)) == 1
+
+
+def test_corpus_facts_come_from_counts(spark, monkeypatch):
+    monkeypatch.setattr(sn, "PRIOR", {})
+    rows = [f"It has zqt. of {i}, see Ltz. Miller {i}.\n\nAll went to Ltz.\n\nWe saw Miller here, the plain word. Then {i} plain things." for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)] + [(99, None), (100, "")], "doc_id bigint, text string")
+    facts = {r.word: r.role for r in sn.corpus_facts(docs).collect()}
+    assert facts["zqt"] == "goes on" and "word" not in facts and "ltz" not in facts
+    more = docs.unionByName(docs.selectExpr("doc_id", "'It is ltz. for all, or ltz. of all, at J. Miller.' AS text"))
+    facts = {r.word: r.role for r in sn.corpus_facts(more).collect()}
+    assert facts["ltz"] == "may close" and facts["^miller"] == "name"
+    assert {r.word: r.role for r in sn.corpus_facts(more, at_once=0).collect()} == facts
+    assert sn.corpus_facts(docs.limit(0)).count() == 0
+
+
+def test_the_list_decides_nothing_that_the_corpus_knows(spark, data):
+    """On texts of the test data the units are the same with the list emptied."""
+    docs = table(spark, data.replace("sf0.001", "sf0.01"), "documents")
+    facts = {r.word: r.role for r in sn.corpus_facts(docs).collect()}
+    texts = [r.text for r in docs.collect()]
+    with_list = [sn.Segmenter(facts).starts(t) for t in texts]
+    prior, sn.PRIOR = sn.PRIOR, {}
+    try:
+        without = [sn.Segmenter({w: r for w, r in facts.items() if r != "plain"}).starts(t) for t in texts]
+    finally:
+        sn.PRIOR = prior
+    differing = sum(len(set(a) ^ set(b)) for a, b in zip(with_list, without))
+    assert differing <= 0.001 * sum(map(len, with_list))
+
+
 def test_sentence_tables(spark, data):
     docs = table(spark, data, "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
