@@ -7,7 +7,9 @@ the walk over ranks stops as soon as no later rank can lower a position.
 
 Rows with the same set of words are merged before anything is banded. In each bucket every member
 is compared with the bucket's least id only; members that turn out unlike it are then compared
-with the others of the bucket, so no link is lost and no bucket is expanded into all its pairs.
+with the others of a small bucket. Crowded buckets whose members are unlike each other, as of notes
+from one template, are not expanded: their members meet by their rarest words instead, which two linked
+sets must share (prefix filtering), so no link is lost there either.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SIMILARITY = 0.65
 SKETCH_BITS, SKETCH_LEAST = 256, 180
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 WORD_TABLE = 16_384
+#: Members of a bucket from which on those unlike its pivot meet by their rarest words.
+CROWDED = 32
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -154,49 +158,85 @@ def near_duplicate_links(
     chosen = source.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     texts = cut_lineage(chosen.select("id", "text").mapInArrow(_signatures(bands, rows), "id bigint, words array<bigint>, buckets array<bigint>, " + ", ".join(f"{x} bigint" for x in SKETCH)))
 
-    # One exchange serves the count and the join; a hot group is spread over all its bands' buckets.
-    banded = texts.select(F.explode("buckets").alias("bucket"), "id").where("bucket is not null and id is not null").repartition("bucket")
+    # Counted before the shuffle, so a bucket with a third of all notes sends a row for each task; in the
+    # join AQE splits its members, and its one pivot row is repeated.
+    banded = texts.select(F.explode("buckets").alias("bucket"), "id").where("bucket is not null and id is not null")
     pivots = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     starred = cut_lineage(banded.join(pivots.hint("shuffle_hash"), "bucket").where("id != pivot"))
     star = _verify(starred.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts, similarity)
     star = cut_lineage(star)
 
-    # Members unlike their pivot against the rest of the bucket; 1 - sim is a metric, so two members
+    # Members unlike their pivot against the rest of a small bucket; 1 - sim is a metric, so two members
     # whose distances to the pivot differ by more than the limit cannot be linked.
     far = 1 - similarity
-    wide = starred.where("n > 2").select("bucket", "pivot", "id")
+    wide = starred.where("n > 2").select("bucket", "pivot", "id", "n")
     unlike = star.where(F.col("sim").isNull() | (F.col("sim") < similarity)).toDF("pivot", "x", "sx")
-    loose = cut_lineage(wide.withColumnRenamed("id", "x").join(unlike, ["pivot", "x"]).select("bucket", "x", "sx"))
-    around = wide.join(loose.select("bucket").distinct(), "bucket", "left_semi").join(star.toDF("pivot", "id", "sim"), ["pivot", "id"])
-    met = around.join(loose, "bucket").where(F.col("id") != F.col("x")).where(F.col("sim").isNull() | F.col("sx").isNull() | (F.abs(F.col("sim") - F.col("sx")) <= far + 1e-9))
-    more = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    links = star.unionByName(_verify(more, texts, similarity, keep_unlike=False)).where(F.col("sim") >= similarity - 1e-12)
+    loose = cut_lineage(wide.withColumnRenamed("id", "x").join(unlike, ["pivot", "x"]).select("bucket", "x", "sx", "n"))
+    few = loose.where(F.col("n") <= CROWDED).drop("n")
+    around = wide.join(few.select("bucket").distinct(), "bucket", "left_semi").join(star.toDF("pivot", "id", "sim"), ["pivot", "id"])
+    met = around.join(few, "bucket").where(F.col("id") != F.col("x")).where(F.col("sim").isNull() | F.col("sx").isNull() | (F.abs(F.col("sim") - F.col("sx")) <= far + 1e-9))
+    met = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+
+    linked = star.where(F.col("sim") >= similarity - 1e-12)
+    crowded = cut_lineage(loose.where(F.col("n") > CROWDED).select("bucket").distinct())
+    if not crowded.isEmpty():
+        members_of = starred.join(crowded, "bucket", "left_semi")
+        hot = cut_lineage(members_of.select("id").unionByName(members_of.select(F.col("pivot").alias("id"))).distinct())
+        known = linked.join(hot.withColumnRenamed("id", "a"), "a", "left_semi").join(hot.withColumnRenamed("id", "b"), "b", "left_semi")
+        labels = connected_components(known, "a", "b").toDF("id", "label")
+        labelled = hot.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        met = met.unionByName(rare_word_pairs(texts.join(labelled, "id").select("id", "label", "words"), similarity))
+
+    more = met.distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    links = linked.unionByName(_verify(more, texts, similarity, keep_unlike=False).where(F.col("sim") >= similarity - 1e-12))
     return members, cut_lineage(links)
 
 
+def rare_word_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: candidates that include every pair of different labels with at least this Jaccard similarity.
+
+    Takes (id, label, words): distinct words of each, and a label of sets already known to belong together,
+    which are not paired. Words are ordered by how many sets hold them. Sets x and y that share enough
+    words must share one among the first ``|x| - a + 1`` of x and ``|y| - a + 1`` of y, where ``a`` is the
+    overlap that their sizes ask for; sizes are taken in steps of a tenth. What a whole collection has in
+    common comes last in that order and pairs nothing. Of a word's holders those of its commonest
+    label are not paired among each other.
+    """
+    step = 1.1
+    band = lambda n: F.floor(F.log(n) / float(np.log(step)) + 1e-9).cast("int")
+    held = sets.select("id", "label", F.size("words").alias("n"), F.explode("words").alias("word"))
+    order = F.sort_array(F.collect_list(F.struct("df", "word")))
+    ordered = held.join(held.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("id", "label", "n").agg(order.alias("ordered"))
+    reach = F.sequence(band(F.col("n") * similarity), band(F.col("n") / similarity))
+    aimed = ordered.select("id", "label", "n", band(F.col("n")).alias("own"), F.explode(reach).alias("other"), "ordered")
+    least = F.greatest(F.pow(F.lit(step), "other"), F.col("n") * similarity)
+    need = F.ceil((F.col("n") + least) * (similarity / (1 + similarity)) - 1e-6)
+    keyed = aimed.select("id", "label", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.slice("ordered", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(0)).cast("int"))).alias("o"))
+    key = ["word", "low", "high"]
+    keyed = cut_lineage(keyed.select(F.col("o.word").alias("word"), "low", "high", "own", "id", "label"))
+    main = keyed.groupBy(*key, "label").agg(F.count("*").alias("c")).groupBy(*key).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    minor = keyed.join(main, key).where("label != main").select(*key, F.col("own").alias("xo"), F.col("id").alias("x"), F.col("label").alias("xl"))
+    pairs = minor.join(keyed, key).where("xl != label and (xo != own or low = high)")
+    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
 def near_duplicate_groups(notes: DataFrame, id_col: str = "id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, group_id, n_links): one row for each note that has a word.
+    """(id, group_id): one row for each note that has a word.
 
     ``group_id`` is the least id of the notes connected by links of at least ``similarity`` (shared
-    distinct words over all distinct words of both). ``n_links`` counts the verified links of the
-    note's set of words plus its exact copies; a note alone has itself as group and 0 links. Null,
+    distinct words over all distinct words of both); a note alone has itself as group. Null,
     empty and wordless texts take no part, a repeated (id, text) row counts once (of several texts
     under one id the greatest in sort order counts), and further columns are not read.
     """
     members, links = near_duplicate_links(notes, id_col, text_col, similarity, bands, rows)
     groups = connected_components(links, "a", "b").toDF("rep", "component")
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("degree"))
-    copies = members.groupBy("rep").agg((F.count("*") - 1).alias("copies"))
-    return (
-        members.join(groups, "rep", "left")
-        .join(degree, "rep", "left")
-        .join(copies, "rep")
-        .select("id", F.coalesce("component", "rep").alias("group_id"), (F.coalesce("degree", F.lit(0)) + F.col("copies")).alias("n_links"))
-    )
+    return members.join(groups, "rep", "left").select("id", F.coalesce("component", "rep").alias("group_id"))
 
 
 def same_group_pairs(groups: DataFrame) -> DataFrame:
-    """(id_a, id_b) with id_a < id_b of rows that share a group_id; what a pair report asks for."""
+    """(id_a, id_b) with id_a < id_b of rows that share a group_id: what a pair report asks for, and as long as
+    the square of its largest group. ``near_duplicate_groups`` is the form for large groups.
+    """
     left = groups.select("group_id", F.col("id").alias("id_a"))
     right = groups.select("group_id", F.col("id").alias("id_b"))
     return left.join(right, "group_id").where("id_a < id_b").select("id_a", "id_b")

@@ -38,8 +38,8 @@ def test_found_equals_brute_force(spark, data):
 
 def test_edges(spark):
     rows = [(1, "Alpha beta_gamma", "x"), (2, "gamma BETA alpha", "y"), (3, None, "x"), (4, "", "x"), (5, " -- !! ", "x"), (6, "alone here", None), (6, "alone here", None), (7, "alpha beta gamma", "z"), (None, "alpha beta gamma", "z")]
-    got = {r.id: (r.group_id, r.n_links) for r in nd.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {1: (1, 2), 2: (1, 2), 7: (1, 2), 6: (6, 0)}
+    got = {r.id: r.group_id for r in nd.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 7: 1, 6: 6}
     assert nd.near_duplicate_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     clash = spark.createDataFrame(rows, SCHEMA).selectExpr("id", "text", "1 as rep", "2 as pivot", "'b' as bucket", "id as group_id")
     assert nd.near_duplicate_groups(clash).count() == 4
@@ -59,6 +59,45 @@ def test_a_large_group_of_distinct_near_copies_is_one(spark):
     assert {r.id: r.group_id for r in nd.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == want
 
 
+def _template_notes(n, pairs=12):
+    """Notes of one template (40 shared words, 20 of their own), every tenth with an edited copy."""
+    shared = " ".join(f"t{i}" for i in range(40))
+    own = lambda i: [f"o{i}x{k}" for k in range(20)]
+    rows = [(i, f"{shared} {' '.join(own(i))}", "w") for i in range(n)]
+    return rows + [(100_000 + i, f"{shared} {' '.join(own(i)[: 20 - i % 9])} extra{i}", "w") for i in range(0, n, n // pairs)]
+
+
+def test_notes_of_one_template_are_not_expanded(spark, monkeypatch):
+    """A crowded bucket of unlike notes gives as many candidates as there are links, not pairs."""
+    made = {}
+    kept = nd.rare_word_pairs
+
+    def counted(sets, similarity):
+        pairs = kept(sets, similarity)
+        made["pairs"] = pairs.count()
+        return pairs
+
+    monkeypatch.setattr(nd, "rare_word_pairs", counted)
+    for n in (240, 480):
+        rows = _template_notes(n)
+        want = brute([(r[0], r[1]) for r in rows])
+        assert {r.id: r.group_id for r in nd.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+        assert made.pop("pairs") <= 200
+
+
+def test_rare_words_lose_no_pair(spark):
+    rng = random.Random(5)
+    sets = []
+    for i in range(300):  # sets of all sizes, many of them close to the limit
+        kind = rng.randrange(3)
+        base = [f"b{kind}w{k}" for k in range(rng.randrange(1, 50))]
+        sets.append((i, i % 7 if i % 3 else i + 1000, sorted({*base, *(f"r{rng.randrange(200)}" for _ in range(rng.randrange(0, 12)))})))
+    df = spark.createDataFrame([(i, lab, [hash(w) for w in words]) for i, lab, words in sets], "id bigint, label bigint, words array<bigint>")
+    got = {(r.a, r.b) for r in nd.rare_word_pairs(df, 0.65).collect()}
+    want = {(i, j) for i, li, a in sets for j, lj, b in sets if i < j and li != lj and len({*a} & {*b}) >= 0.65 * len({*a} | {*b}) - 1e-12}
+    assert want and want <= got
+
+
 def test_a_long_text(spark):
     long = " ".join(f"word{i}" for i in range(30_000))
     rows = [(1, long, "w"), (2, long + " more", "w"), (3, "short", "w")]
