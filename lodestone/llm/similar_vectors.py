@@ -8,9 +8,12 @@ shortlist are reranked with the exact cosine.
 
 The codebooks are fitted on the driver on a sample of at most ``SAMPLE_ROWS`` vectors; every vector
 is encoded and searched on the executors. A vector is sent once, to its own cell, where it is both
-candidate and query, and as a query alone to the few cells whose codeword is almost as near. Cells
-that the sample shows to be large are split by the second codebook, and what is still large after
-that into blocks of vectors, each met by blocks of queries: no task holds more than two blocks. Vectors with more than k + 1 copies, of any length, are searched once for all copies.
+candidate and query, and as a query alone to the cells whose codeword is almost as near: in order of
+nearness until they hold ``PROBE_ROWS`` vectors, ``PROBES`` at most, so what is sent of a vector is
+bounded however dense its surroundings are. Cells are counted over all vectors; large ones are split
+by the second codebook, and what is still large after that into blocks of vectors, each met by
+blocks of queries: no task holds more than two blocks. Vectors with more than k + 1 copies, of any
+length, are searched once for all copies.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ BEAM = 4
 #: A cell is probed when its codeword's inner product with the query is within this of the best one's.
 PROBE_MARGIN = 0.06
 SHORTLIST = 160
+#: Cells that a query is sent to at most, and vectors in nearer cells from which on no further cell is searched.
+PROBES, PROBE_ROWS = 48, 32_768
 #: Rows of a cell above which it is split by the second codebook, and of a block beyond that.
 CELL_ROWS = 8_192
 #: Groups of copies that are broadcast; more are joined by a shuffle.
@@ -69,20 +74,39 @@ class AdditiveQuantizer:
             book = _kmeans(residual, min(codewords, max(1, len(sample) // 4)), rounds, False, seed + level + 1)
             self.books.append(book)
             residual = residual - book[(residual @ book.T - 0.5 * (book**2).sum(1)).argmax(1)]
-        share = self.expected = np.bincount(first, minlength=len(self.coarse)) / max(1, len(sample)) * total
-        #: A hot cell's sub-centres: directions of its codeword plus each one of the second codebook.
-        self.sub = {}
-        self.blocks = {}
-        for cell in np.flatnonzero(share > CELL_ROWS):
+        self.expected = np.bincount(first, minlength=len(self.coarse)) / max(1, len(sample)) * total
+        self.sub: dict[int, np.ndarray] = {}  # sub-centres of a hot cell: directions of its codeword plus each one of the second codebook
+        self.sub_sizes: dict[int, np.ndarray] = {}
+        self.blocks: dict[int, int] = {}
+
+    def size_cells(self, counts: dict[int, int]) -> None:
+        """Take the numbers of vectors of all cells, and name those to split."""
+        self.expected = np.zeros(len(self.coarse))
+        self.expected[list(counts)] = list(counts.values())
+        for cell in np.flatnonzero(self.expected > CELL_ROWS).tolist():
             centre = self.coarse[cell] + self.books[0]
-            self.sub[int(cell)] = centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-            inside = sample[first == cell]
-            parts = np.bincount((inside @ self.sub[int(cell)].T).argmax(1), minlength=len(centre)) / len(sample) * total
-            for part in np.flatnonzero(parts > CELL_ROWS):
-                self.blocks[self.key(int(cell), int(part))] = int(np.ceil(parts[part] / CELL_ROWS))
+            self.sub[cell] = centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+            self.sub_sizes[cell] = np.full(len(centre), self.expected[cell] / len(centre))
+
+    def size_parts(self, counts: dict[int, int]) -> None:
+        """Take the numbers of vectors of all parts of split cells, by key, and name those to search in blocks."""
+        for cell in self.sub:
+            self.sub_sizes[cell] = np.array([counts.get(self.key(cell, part), 0) for part in range(len(self.sub[cell]))], dtype=float)
+        self.blocks = {k: -(-n // CELL_ROWS) for k, n in counts.items() if n > CELL_ROWS}
+
+    def home_keys(self, rows: np.ndarray) -> np.ndarray:
+        """Key of the cell, or of the part of a split cell, that each vector belongs to."""
+        cells = (rows @ self.coarse.T).argmax(1)
+        keys = cells.astype(np.int64) * 65_536
+        for cell, centres in self.sub.items():
+            at = np.flatnonzero(cells == cell)
+            if len(at):
+                keys[at] += (rows[at] @ centres.T).argmax(1) + 1
+        return keys
 
     @staticmethod
     def key(cell: int, part: int = -1) -> int:
+        """``cell * 65,536`` for a whole cell, one and more on top of it for its parts."""
         return cell * 65_536 + part + 1
 
     def encode(self, rows: np.ndarray, cells: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -104,35 +128,34 @@ class AdditiveQuantizer:
         at = np.arange(n)
         return codes[at, best], np.linalg.norm(rows - residual[at, best], axis=1).astype(np.float32)
 
-    def probes(self, rows: np.ndarray, margin: float, least: int = SHORTLIST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(home cell of each row, and row numbers with keys of all cells to search, home first).
+    def probes(self, rows: np.ndarray, margin: float, least: int = SHORTLIST) -> tuple[np.ndarray, np.ndarray]:
+        """(home cell of each row; row numbers, keys of all cells to search, and whether it is the row's own).
 
-        Besides the cells within the margin the nearest ones are searched until they are expected to hold ``least`` vectors.
+        Besides the cells within the margin the nearest ones are searched until they hold ``least`` vectors.
         """
-        score = rows @ self.coarse.T
-        home = score.argmax(1)
-        near = score >= score[np.arange(len(rows)), home][:, None] - margin
-        top = min(len(self.coarse), 64)
-        order = np.argpartition(-score, top - 1, axis=1)[:, :top]
-        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(score, order, 1), axis=1, kind="stable"), 1)
-        sizes = self.expected[order]
-        np.put_along_axis(near, order, np.take_along_axis(near, order, 1) | (np.cumsum(sizes, axis=1) - sizes < least), 1)
-        row, cell = np.nonzero(near)
-        keys = np.array([self.key(int(c)) for c in range(len(self.coarse))], dtype=np.int64)[cell]
-        is_home = cell == home[row]
-        if self.sub:
-            rows_of, keys_of, home_of = [row[[int(c) not in self.sub for c in cell]]], [keys[[int(c) not in self.sub for c in cell]]], [is_home[[int(c) not in self.sub for c in cell]]]
-            for hot, centres in self.sub.items():
-                at = np.flatnonzero(cell == hot)
-                if len(at):
-                    inner = rows[row[at]] @ centres.T
-                    near = inner.argmax(1)
-                    i, part = np.nonzero(inner >= inner[np.arange(len(at)), near][:, None] - margin)
-                    rows_of.append(row[at][i])
-                    keys_of.append(hot * 65_536 + part + 1)
-                    home_of.append(is_home[at][i] & (part == near[i]))
-            row, keys, is_home = np.concatenate(rows_of), np.concatenate(keys_of), np.concatenate(home_of)
-        return home, np.stack([row, keys, is_home.astype(np.int64)], axis=1)
+        row, cell, first = _nearest(rows @ self.coarse.T, self.expected, margin, least)
+        home = cell[first]
+        keys = cell.astype(np.int64) * 65_536
+        kept = [np.stack([row, keys, first], axis=1)[~np.isin(cell, list(self.sub))]] if self.sub else [np.stack([row, keys, first], axis=1)]
+        for hot, centres in self.sub.items():
+            at = np.flatnonzero(cell == hot)
+            if len(at):
+                i, part, own = _nearest(rows[row[at]] @ centres.T, self.sub_sizes[hot], margin, least)
+                kept.append(np.stack([row[at][i], hot * 65_536 + part + 1, first[at][i] & own], axis=1))
+        return home, np.concatenate(kept)
+
+
+def _nearest(score: np.ndarray, sizes: np.ndarray, margin: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, is the row's nearest) of the cells to search, given the rows' inner products with all cells."""
+    top = min(score.shape[1], PROBES)
+    order = np.argpartition(-score, top - 1, axis=1)[:, :top]
+    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(score, order, 1), axis=1, kind="stable"), 1)
+    ranked = np.take_along_axis(score, order, 1)
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    near = ((ranked >= ranked[:, :1] - margin) | (before < least)) & (before < PROBE_ROWS)
+    near[:, 0] = True
+    row, at = np.nonzero(near)
+    return row, order[row, at], at == 0
 
 
 def _unit(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -141,6 +164,17 @@ def _unit(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _cell_counts(usable: DataFrame, quantizer, dim: int) -> dict[int, int]:
+    """Number of vectors of every cell and part, over all vectors; as many rows as the codebooks have words at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = np.unique(quantizer.value.home_keys(_unit(batch.column(0), dim).astype(np.float32)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+    return {r.key: r.n for r in usable.select("vec").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+
+
 def _spread(quantizer, dim: int, margin: float):
     """Rows for the cells: a vector at home (base) and where else it has to search."""
 
@@ -285,7 +319,13 @@ def most_similar(
 
     drawn = usable.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(total)) < sample_rows).select("vec").limit(2 * sample_rows).toArrow()
     sample = _unit(drawn["vec"], dim).astype(np.float32) if drawn.num_rows else _unit(usable.select("vec").limit(1).toArrow()["vec"], dim).astype(np.float32)
-    quantizer = spark.sparkContext.broadcast(AdditiveQuantizer(sample, total))
+    fitted = AdditiveQuantizer(sample, total)
+    searched = searched.select("id", "vec")
+    counts = _cell_counts(searched, spark.sparkContext.broadcast(fitted), dim)
+    fitted.size_cells({key // 65_536: n for key, n in counts.items()})
+    if fitted.sub:
+        fitted.size_parts({key: n for key, n in _cell_counts(searched, spark.sparkContext.broadcast(fitted), dim).items() if key % 65_536})
+    quantizer = spark.sparkContext.broadcast(fitted)
 
     cells = searched.mapInArrow(_spread(quantizer, dim, margin), "cell bigint, block int, base boolean, asks boolean, id bigint, vec binary, codes binary, norm float")
     found = cells.groupBy("cell", "block").applyInArrow(_search(quantizer, k, least, shortlist), schema)

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow.compute  # noqa: F401
 
-from lodestone.llm.similar_vectors import AdditiveQuantizer, most_similar, similar_pairs
+from lodestone.llm.similar_vectors import PROBES, AdditiveQuantizer, most_similar, similar_pairs
 from lodestone.sources.tables import table
 
 
@@ -67,10 +67,38 @@ def test_encoding_comes_closer_with_more_codebooks():
 def test_hot_cells_are_split(spark):
     rng = np.random.default_rng(9)
     rows = rng.normal(size=(3000, 8)) * 0.05 + np.eye(8)[0]
-    q = AdditiveQuantizer((rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)[:100], 3_000_000, 3, 16)
+    unit = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    q = AdditiveQuantizer(unit[:100], 3_000_000, 3, 16)
+    count = lambda: dict(zip(*[a.tolist() for a in np.unique(q.home_keys(unit), return_counts=True)]))
+    q.size_cells({key // 65_536: 1000 * n for key, n in count().items()})
+    q.size_parts({key: 1000 * n for key, n in count().items()})
     assert q.sub and q.blocks
-    home, sent = q.probes((rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32), 0.0, 1)
-    assert sorted(set(sent[sent[:, 2] == 1, 0])) == list(range(3000)) and (sent[:, 2] == 1).sum() == 3000
+    home, sent = q.probes(unit, 0.0, 1)
+    own = sent[sent[:, 2] == 1]
+    assert sorted(own[:, 0]) == list(range(3000)) and (own[np.argsort(own[:, 0]), 1] == q.home_keys(unit)).all()
+
+
+def near_copies(n, dim=256):
+    """A third of n vectors are near copies of one, made by three of 300 small edits each; the rest are spread."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=dim)
+    edits = rng.normal(size=(300, dim)) * 0.12
+    copies = np.array([base + edits[rng.choice(300, 3, replace=False)].sum(0) + rng.normal(size=dim) * 0.01 for _ in range(n // 3)])
+    return np.concatenate([copies, rng.normal(size=(n - n // 3, dim)) + 2 * rng.normal(size=(50, dim))[rng.integers(0, 50, n - n // 3)]]).astype(np.float32)
+
+
+def test_dense_near_copies_are_found_and_sent_a_bounded_number_of_times(spark):
+    rows = near_copies(12_000)
+    unit = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    q = AdditiveQuantizer(unit, len(unit), 3)
+    q.size_cells(dict(enumerate(np.bincount((unit @ q.coarse.T).argmax(1), minlength=len(q.coarse)).tolist())))
+    assert np.bincount(q.probes(unit, 0.06)[1][:, 0]).max() <= PROBES
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id bigint, embedding array<float>")
+    got = {}
+    for r in most_similar(df).where("id < 4000 and id % 50 = 0").collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    hits = [len(got[i] & set(sorted(np.argsort(-np.where(np.arange(len(unit)) == i, -9, unit @ unit[i]), kind="stable")[:5].tolist()))) for i in range(0, 4000, 50)]
+    assert sum(hits) >= 0.95 * 5 * len(hits)
 
 
 def test_blocks_find_what_one_group_finds(spark):
