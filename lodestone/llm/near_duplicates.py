@@ -35,6 +35,8 @@ SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 WORD_TABLE = 16_384
 #: Members of a bucket from which on those unlike its pivot meet by their rarest words.
 CROWDED = 32
+#: Parts of a hot bucket; also, one in so many texts is looked at to find these, of which so many must share the bucket.
+SALTS, SAMPLED_OFTEN = 64, 8
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -145,6 +147,24 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float, keep_unlike:
     return exact.unionByName(near.where("not near").select("a", "b", F.lit(None).cast("double").alias("sim")))
 
 
+def _starred(texts: DataFrame, bands: int) -> DataFrame:
+    """(bucket, id, pivot, n): members of the buckets of n > 1 texts with the least of their ids, which has no row.
+
+    One exchange serves the counts and the members. Buckets that a 64th of the texts shows to hold more than
+    a thousandth of all (and eight of that sample), so at most ``bands`` thousand, are spread over 64 parts.
+    """
+    banded = texts.select(F.explode("buckets").alias("bucket"), "id").where("bucket is not null and id is not null")
+    often = max(SAMPLED_OFTEN, texts.count() // SALTS // 1000)
+    sampled = texts.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SALTS)) == 0).select(F.explode("buckets").alias("bucket"))
+    hot = F.broadcast(cut_lineage(sampled.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") >= often).select("bucket", F.lit(True).alias("hot"))))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(-1).cast("int")
+    salted = banded.join(hot, "bucket", "left").select("bucket", "id", salt.alias("salt")).repartition("bucket", "salt")
+    parts = salted.groupBy("bucket", "salt").agg(F.min("id").alias("pivot"), F.count("*").alias("n"))
+    spread = F.broadcast(parts.where("salt >= 0").groupBy("bucket").agg(F.min("pivot").alias("hot_pivot"), F.sum("n").alias("hot_n")))
+    joined = salted.join(parts.where("salt < 0 and n > 1").hint("shuffle_hash"), ["bucket", "salt"], "left").join(spread, "bucket", "left")
+    return joined.select("bucket", "id", F.coalesce("hot_pivot", "pivot").alias("pivot"), F.coalesce("hot_n", "n").alias("n")).where("id != pivot")
+
+
 def near_duplicate_links(
     notes: DataFrame, id_col: str = "id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -158,11 +178,7 @@ def near_duplicate_links(
     chosen = source.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     texts = cut_lineage(chosen.select("id", "text").mapInArrow(_signatures(bands, rows), "id bigint, words array<bigint>, buckets array<bigint>, " + ", ".join(f"{x} bigint" for x in SKETCH)))
 
-    # Counted before the shuffle, so a bucket with a third of all notes sends a row for each task; in the
-    # join AQE splits its members, and its one pivot row is repeated.
-    banded = texts.select(F.explode("buckets").alias("bucket"), "id").where("bucket is not null and id is not null")
-    pivots = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    starred = cut_lineage(banded.join(pivots.hint("shuffle_hash"), "bucket").where("id != pivot"))
+    starred = cut_lineage(_starred(texts, bands))
     star = _verify(starred.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts, similarity)
     star = cut_lineage(star)
 

@@ -278,7 +278,9 @@ def _cosine(a: str, b: str) -> Column:
 def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     """(id, vec, copy): vectors of ``dim`` finite numbers that are not all zero; copy is a hash of the rounded direction."""
     good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim)).where(good).withColumn("__norm", _norm("vec")).withColumn("copy", F.xxhash64(F.transform("vec", lambda x: F.round(x / F.col("__norm") * 10_000).cast("int")))).drop("__norm")
+    norms = F.array_repeat(_norm("vec"), F.size("vec"))  # one norm for all numbers; named within the lambda it would be taken anew for each
+    direction = F.zip_with("vec", norms, lambda x, n: F.round(x / n * 10_000).cast("int"))
+    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim)).where(good).withColumn("copy", F.xxhash64(direction))
 
 
 def most_similar(

@@ -85,6 +85,23 @@ def test_notes_of_one_template_are_not_expanded(spark, monkeypatch):
         assert made.pop("pairs") <= 200
 
 
+def test_spread_buckets_have_the_same_members(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [1, *{rng.randrange(2, 60) for _ in range(3)}]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, buckets array<bigint>")
+    plain = None
+    for often in (10**9, 1):
+        monkeypatch.setattr(nd, "SAMPLED_OFTEN", often)
+        got = sorted(tuple(r) for r in nd._starred(df, 4).select("bucket", "id", "pivot", "n").collect())
+        plain = plain or got
+        assert got == plain and sum(1 for r in got if r[0] == 1) == 899
+    of = {}
+    for i, buckets in rows:
+        for b in buckets:
+            of.setdefault(b, []).append(i)
+    assert plain == sorted((b, i, min(ids), len(ids)) for b, ids in of.items() for i in ids if i != min(ids))
+
+
 def test_rare_words_lose_no_pair(spark):
     rng = random.Random(5)
     sets = []
