@@ -8,15 +8,20 @@ So each node of a trie of words needs one token id; words that share a prefix sh
 a word's ids are read by walking back from its node.
 
 Words are the pieces of the tokenizer's own pre-tokenising pattern. Each task keeps one trie for
-all its documents, so nothing is shuffled; the trie is dropped when it reaches ``MAX_NODES``.
+all its documents, so nothing is shuffled; the trie is dropped when it, the words or the remembered
+pairs reach their bounds, which keep a worker's share below 150 MB.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +30,8 @@ from pyspark.sql import types as T
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pre-tokenising pattern that belongs to the byte_bpe_50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_NODES = 3_000_000
+#: Nodes, words (of up to ``WORD_BYTES`` bytes in all) and pairs of tokens that a worker remembers.
+MAX_NODES, MAX_WORDS, WORD_BYTES, MAX_PAIRS = 300_000, 100_000, 4_000_000, 200_000
 #: Longer pieces are encoded by the same recurrence over an array of their own, outside the trie.
 LONG_PIECE = 256
 
@@ -38,14 +44,15 @@ class TrieEncoder:
         self.text_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.max_nodes = max_nodes
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[int, int]] = [{}]
-        self.last = [-1]  # last token of the prefix at the node
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.children: dict[int, int] = {}  # node * 256 + byte -> node
+        self.last = array("i", [-1])  # last token of the prefix at the node
+        self.words: dict[str, array] = {}
+        self.word_bytes = 0
 
     def merge(self, text: bytes) -> list[int]:
         """Plain merging by rank; only ever applied to the bytes of one or two tokens."""
@@ -72,10 +79,10 @@ class TrieEncoder:
         return known
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= MAX_PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self.merge(self.text_of[left] + self.text_of[right]) == [left, right]
         return known
@@ -88,15 +95,17 @@ class TrieEncoder:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
-    def trace(self, data: bytes, last: list[int]) -> tuple[int, ...]:
-        out, end = [], len(data)
+    def trace(self, data: bytes, last: list[int]) -> array:
+        out, end = array("i"), len(data)
         while end:
             out.append(last[end])
             end -= len(self.text_of[last[end]])
-        return tuple(reversed(out))
+        out.reverse()
+        return out
 
     def add_words(self, words: list[str]) -> None:
         """Insert distinct words; in sorted order their walk is the trie's depth-first order."""
+        children, last_of = self.children, self.last
         for word in sorted(words):
             data = word.encode("utf-8", "surrogatepass")
             last = [-1] * (len(data) + 1)
@@ -106,23 +115,38 @@ class TrieEncoder:
             else:
                 node = 0
                 for end, byte in enumerate(data, 1):
-                    child = self.children[node].get(byte)
+                    child = children.get(node << 8 | byte)
                     if child is None:
-                        child = len(self.children)
-                        self.children[node][byte] = child
-                        self.children.append({})
-                        self.last.append(self.last_token(data, end, last))
+                        child = children[node << 8 | byte] = len(last_of)
+                        last_of.append(self.last_token(data, end, last))
                     node = child
-                    last[end] = self.last[node]
+                    last[end] = last_of[node]
             self.words[word] = self.trace(data, last)
+            self.word_bytes += len(data)
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        split = [PIECES.findall(t) if t else [] for t in texts]
-        if len(self.children) > self.max_nodes or len(self.words) > self.max_nodes // 4:
+    def split(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, all of them known afterwards."""
+        pieces = [PIECES.findall(t) if t else [] for t in texts]
+        if len(self.last) > self.max_nodes or len(self.words) > MAX_WORDS or self.word_bytes > WORD_BYTES:
             self.clear()
-        self.add_words(list({w for words in split for w in words if w not in self.words}))
+        self.add_words(list(set(chain.from_iterable(pieces)).difference(self.words)))
+        return pieces
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[array, list[int]]:
+        """(ids of all texts one after another, where each text's ids end)."""
+        get = self.words.__getitem__
+        flat, ends = array("i"), []
+        for words in self.split(texts):
+            for ids in map(get, words):
+                flat += ids
+            ends.append(len(flat))
+        return flat, ends
+
+    def count_batch(self, texts: list[str | None]) -> list[int]:
+        """Number of ids of each text."""
+        pieces = self.split(texts)
         get = self.words.__getitem__
-        return [[i for w in words for i in get(w)] for words in split]
+        return [sum(map(len, map(get, words))) for words in pieces]
 
 
 PIECES = regex.compile(PATTERN)
@@ -142,13 +166,24 @@ def encoder_for(raw: bytes) -> TrieEncoder:
     return _ENCODERS[key]
 
 
+def _portions(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of so many rows and bytes of text; a longer text has its own."""
+    begin = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+        if i > begin and (i - begin == rows or held + n > size):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def encode_corpus(
     documents: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     vocabulary: str = "byte_bpe_50k.tiktoken",
     tokenizers: str = TOKENIZERS,
-    rows_a_batch: int = 256,
 ) -> DataFrame:
     """(id, ids): token ids of each text, one row for each input row.
 
@@ -166,10 +201,11 @@ def encode_corpus(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(raw.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows_a_batch):
-                part = batch.slice(at, rows_a_batch)
-                rows = encoder.encode_batch(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.field("element", pa.int32(), False)))], names=[id_col, "ids"])
+            for part in _portions(batch, 1):
+                flat, ends = encoder.encode_batch(part.column(1).to_pylist())
+                values = pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32), pa.int32())
+                rows = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values, type=pa.list_(pa.field("element", pa.int32(), False)))
+                yield pa.RecordBatch.from_arrays([part.column(0), rows], names=[id_col, "ids"])
 
     return ids.mapInArrow(run, schema)
 
@@ -184,7 +220,7 @@ def token_counts(documents: DataFrame, text_col: str = "text", out_col: str = "n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(raw.value)
         for batch in batches:
-            counts = [len(ids) for ids in encoder.encode_batch(batch.column(where).to_pylist())]
+            counts = [n for part in _portions(batch, where) for n in encoder.count_batch(part.column(where).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, out_col])
 
     return documents.mapInArrow(run, schema)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe_trie import TOKENIZERS, token_counts
 from lodestone.sources.storage import cut_lineage
 
-BUCKETS = 256
+#: Documents of a source whose running sum is taken together, about.
+RANGE_ROWS = 50_000
 
 
 def source_key(column: str = "source") -> Column:
@@ -62,20 +63,22 @@ def mix_sources(
     keys; the last one that would overshoot is left out, so no share exceeds its target. Documents
     of no tokens are never used. A repeated id counts as one document each time it occurs.
 
-    A source may hold most rows: its running sum is taken by ranges of keys (256 for each source),
-    each summed on its own and offset by the sums of the ranges before it.
+    A source may hold most rows: its running sum is taken by ranges of keys, each summed on its own and
+    offset by the sums of the ranges before it. Ranges are equal steps of the keys' logarithm, of which
+    no step holds more than a fourth of its width in octaves, whatever the weights; their number grows
+    with the source. The sizes are counted once, while the plan is built.
     """
     sized = token_counts(documents.select(id_col, F.col(text_col).alias("__text"), source_key().alias("source"), quality_weight(text_col).alias("weight")), "__text", tokenizers=tokenizers).drop("__text")
     keyed = cut_lineage(sized.where("n_tokens > 0 and source is not null").withColumn("key", -F.log(_uniform(id_col, seed)) / F.col("weight")))
-    sizes = keyed.groupBy("source").agg(F.sum("n_tokens").alias("size"))
-    budgets = F.broadcast(plan_budgets(sizes, targets, total))  # one row for each listed source
-    planned = keyed.join(budgets, "source").withColumn("epochs", F.floor(F.col("budget") / F.col("size"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("size"))
-    # 1 - exp(-key * weight) is uniform: ranges of exp(-key) split a source about evenly
-    ranged = planned.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
+    sizes = cut_lineage(keyed.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("documents")))
+    budgets = plan_budgets(sizes.drop("documents"), targets, total).join(sizes.select("source", "documents"), "source")
+    planned = keyed.join(F.broadcast(budgets), "source").withColumn("epochs", F.floor(F.col("budget") / F.col("size"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("size"))  # one row for each listed source
+    steps = F.ceil(F.col("documents") / (4 * RANGE_ROWS))
+    ranged = planned.withColumn("range", F.floor(F.log2("key") * steps).cast("bigint"))
     sums = ranged.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))
     before = sums.withColumn("before", F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source", "range", "before")
     inside = Window.partitionBy("source", "range").orderBy("key", id_col).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.join(F.broadcast(before), ["source", "range"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
+    summed = ranged.join(before, ["source", "range"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
     repeats = (F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).cast("int")
     return summed.select(id_col, "source", "n_tokens", repeats.alias("repeats")).where("repeats > 0")
 

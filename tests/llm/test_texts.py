@@ -5,6 +5,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
+from lodestone.llm import mixing
 from lodestone.llm import sentences as sn
 from lodestone.llm.bpe_trie import TOKENIZERS, TrieEncoder, encode_corpus, read_ranks, token_counts
 from lodestone.llm.mixing import mix_report, mix_sources
@@ -13,6 +14,12 @@ from lodestone.sources.tables import table
 WILD = ["", " ", "\n\n  x", "don't WE'LL", "a" * 3000, " " * 700, "日本語テキスト。", "\U0001f469\u200d\U0001f4bb", "<|endoftext|>", "x\u0301\x00\ufeff", "http://a.b/c?d=e&f=1,000.50", "ไทย ำ้", "\ud7ff", "1234567890" * 30]
 
 
+def encoded(encoder, texts):
+    flat, ends = encoder.encode_batch(texts)
+    assert encoder.count_batch(texts) == [b - a for a, b in zip([0, *ends], ends)]
+    return [list(flat[a:b]) for a, b in zip([0, *ends], ends)]
+
+
 @pytest.fixture(scope="module")
 def encoder():
     with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
@@ -36,14 +43,32 @@ def test_ids_equal_the_public_tokenizer(spark, data, reference):
 def test_wild_texts(encoder, reference):
     rng = random.Random(2)
     texts = WILD + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FFF), 32])) for _ in range(60)) for _ in range(200)]
-    assert encoder.encode_batch(texts) == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(encoder, texts) == [reference.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_encoder_forgets_when_full(reference):
     with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
         small = TrieEncoder(read_ranks(f.read()), max_nodes=50)
     for text in ["alpha beta gamma delta " * 5, "epsilon zeta", "alpha beta gamma"]:
-        assert small.encode_batch([text]) == [reference.encode(text, add_special_tokens=False).ids]
+        assert encoded(small, [text]) == [reference.encode(text, add_special_tokens=False).ids]
+
+
+def test_a_full_encoder_stays_below_its_bound():
+    """A worker that has met ever new words holds less than 150 MB."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        raw = f.read()
+    tracemalloc.start()
+    full = TrieEncoder(read_ranks(raw))
+    cleared = 0
+    while not cleared:
+        before = len(full.words)
+        full.count_batch([" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(20_000))])
+        cleared = len(full.words) < before
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    tracemalloc.stop()
 
 
 def test_encoding_edges(spark):
@@ -67,6 +92,41 @@ def test_mix_meets_its_shares(spark, data):
     assert {tuple(r) for r in mix_sources(docs, targets).collect()} == {tuple(r) for r in rows}
 
 
+@pytest.mark.parametrize("rows", [50_000, 3])
+def test_mix_equals_a_plain_computation(spark, data, monkeypatch, rows):
+    """Budgets, epochs and the documents of the last one, by loops over sorted keys; whatever the ranges."""
+    import math
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "RANGE_ROWS", rows)
+    docs, targets = table(spark, data, "documents"), table(spark, data, "mix_targets")
+    keyed = token_counts(docs.select("doc_id", "text", mixing.source_key().alias("source"), mixing.quality_weight().alias("w"), mixing._uniform("doc_id", 11).alias("u")), "text").drop("text").collect()
+    of = defaultdict(list)
+    for r in keyed:
+        if r.source is not None and r.n_tokens > 0:
+            of[r.source].append((-math.log(r.u) / r.w, r.doc_id, r.n_tokens))
+    share, most = defaultdict(float), defaultdict(int)
+    for t in targets.select(mixing.source_key().alias("source"), F.col("target_share").alias("share"), "max_repeats").collect():
+        if t.source in of and t.share > 0 and t.max_repeats > 0:
+            share[t.source] += t.share
+            most[t.source] = max(most[t.source], t.max_repeats)
+    whole = sum(share.values())
+    size = {s: sum(n for _, _, n in of[s]) for s in share}
+    total = min(size[s] * most[s] / (share[s] / whole) for s in share)
+    want = {}
+    for s in share:
+        budget = math.floor(min(total * share[s] / whole, size[s] * most[s]) + 1e-6)
+        epochs, upto = budget // size[s], 0
+        for _, doc, n in sorted(of[s]):
+            upto += n
+            repeats = epochs + (upto <= budget - epochs * size[s])
+            if repeats:
+                want[doc] = repeats
+    assert {r.doc_id: r.repeats for r in mix_sources(docs, targets).collect()} == want
+
+
 def test_epochs_come_before_the_fraction(spark):
     docs = spark.createDataFrame([(i, "word " * 10, "Small-Source") for i in range(4)] + [(100 + i, "word " * 10, "large") for i in range(200)] + [(900, None, "large"), (901, "", "large"), (902, "x", None), (903, "x", "other")], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("small_source", 2.0, 5), ("large", 2.0, 1), ("none", 1.0, 3), ("zero", 0.0, 1), (None, 1.0, 1)], "source string, target_share double, max_repeats int")
