@@ -158,10 +158,11 @@ def _starred(texts: DataFrame, bands: int) -> DataFrame:
     sampled = texts.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SALTS)) == 0).select(F.explode("buckets").alias("bucket"))
     hot = F.broadcast(cut_lineage(sampled.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") >= often).select("bucket", F.lit(True).alias("hot"))))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(-1).cast("int")
-    salted = banded.join(hot, "bucket", "left").select("bucket", "id", salt.alias("salt")).repartition("bucket", "salt")
+    salted = banded.join(hot, "bucket", "left").select("bucket", "id", salt.alias("salt")).where("salt is not null").repartition("bucket", "salt")
     parts = salted.groupBy("bucket", "salt").agg(F.min("id").alias("pivot"), F.count("*").alias("n"))
     spread = F.broadcast(parts.where("salt >= 0").groupBy("bucket").agg(F.min("pivot").alias("hot_pivot"), F.sum("n").alias("hot_n")))
-    joined = salted.join(parts.where("salt < 0 and n > 1").hint("shuffle_hash"), ["bucket", "salt"], "left").join(spread, "bucket", "left")
+    # no further filter on the keys here: it would move below the exchange, which could then not be shared
+    joined = salted.join(parts.where("n > 1").hint("shuffle_hash"), ["bucket", "salt"], "left").join(spread, "bucket", "left")
     return joined.select("bucket", "id", F.coalesce("hot_pivot", "pivot").alias("pivot"), F.coalesce("hot_n", "n").alias("n")).where("id != pivot")
 
 
