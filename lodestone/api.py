@@ -46,8 +46,7 @@ class Engine:
         if mode == "symbol":
             return lookup.symbol_lookup(self.symbols, query, k, kind)
         if mode == "grep":
-            keyed = self.corpus.groupBy("path").agg(F.max("content").alias("content"))
-            return grep.grep_lines(keyed, query, k, path_prefix=path_prefix)
+            return grep.grep_lines(self.corpus, query, k, path_prefix=path_prefix)
         if mode == "paths":
             return lookup.list_paths(self.files, query, max(k, 40))
         if mode == "recent":

@@ -53,7 +53,9 @@ def expand_query(query: str) -> list[str]:
     return list(terms)[:MAX_TERMS]
 
 
-_SIGNALS = (r"`([^`]+)`", r"([\w./-]+\.[a-zA-Z]{1,5})\b", r"\b([A-Z][a-zA-Z0-9]*[A-Z][A-Za-z0-9]*)\b", r"\b([a-z]+[A-Z][A-Za-z0-9]*)\b", r"\b([a-z]+_[a-z0-9_]+)\b")
+# The names that stand out, in this order; words are of ASCII letters, digits and _.
+_EDGE = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_SIGNALS = (r"`([^`]+)`", rf"([A-Za-z0-9_./-]+\.[a-zA-Z]{{1,5}}){_EDGE[1]}", *[rf"{_EDGE[0]}({word}){_EDGE[1]}" for word in (r"[A-Z][a-zA-Z0-9]*[A-Z][A-Za-z0-9]*", r"[a-z]+[A-Z][A-Za-z0-9]*", r"[a-z]+_[a-z0-9_]+")])
 
 
 def query_signals(text: Column) -> Column:
@@ -68,12 +70,13 @@ def query_signals(text: Column) -> Column:
 def classify_query(query: Column) -> Column:
     """identifier (one dotted name), natural (words, no runs of capitals) or mixed."""
     q = F.trim(query)
-    return F.when(q.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)*$"), "identifier").when(q.contains(" ") & q.rlike("[a-z]{3,}") & ~q.rlike("[A-Z]{2,}"), "natural").otherwise("mixed")
+    return F.when(q.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)*\z"), "identifier").when(q.contains(" ") & q.rlike("[a-z]{3,}") & ~q.rlike("[A-Z]{2,}"), "natural").otherwise("mixed")
 
 
 def classify_intent(prompt: Column) -> Column:
     """code, question or meta; a code-like name in the prompt always means code, an empty prompt is meta."""
     q = F.trim(prompt)
+    # What marks code, talk about the work itself, and questions.
     code = q.rlike(r"[A-Z][a-z]+[A-Z]|[a-z]+[A-Z][a-zA-Z]|[a-z]+_[a-z]+|\.[A-Za-z0-9_]+\(|[A-Za-z0-9_./-]+\.[a-zA-Z]{1,5}([^A-Za-z0-9_]|$)|`[^`]+`")
     low = F.concat(F.lit(" "), F.lower(q), F.lit(" "))
     meta = low.rlike(r"^ (stop|done|thanks|thank you)[^a-z0-9_]|[^a-z0-9_]explain what you (did|just did|changed)[^a-z0-9_]|[^a-z0-9_](commit|push|merge|revert|stash|summarize|pull request|thanks|thank you|pr)[^a-z0-9_]")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,8 +66,30 @@ def hash_embedding_of(text: str, dim: int = 256) -> np.ndarray:
 
 
 def hash_similarity(rows: DataFrame, id_col: str, text_col: str, query: str, dim: int = 256) -> DataFrame:
-    """(id, score): cosine of each text's feature-hash embedding with the query's."""
-    parts = hash_embedding(rows, id_col, text_col, dim)
-    wanted = F.array(*[F.lit(float(x)) for x in hash_embedding_of(query, dim)])
-    inner = F.sum(F.col("weight") * F.element_at(wanted, F.col("idx") + 1))
-    return parts.groupBy(id_col).agg((inner / F.nullif(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), F.lit(0.0))).alias("score")).where("score is not null")
+    """(id, score): cosine of each text's feature-hash embedding with the query's, in one pass and without a shuffle.
+
+    Tokens are split by the JVM; each batch hashes its distinct tokens once. Texts without tokens give no row.
+    """
+    wanted = hash_embedding_of(query, dim)
+    tokens = rows.select(F.col(id_col), embedding_tokens(F.col(text_col)).alias("__tokens")).where(F.size("__tokens") > 0)
+    schema = T.StructType([tokens.schema[0], T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                lists = batch.column(1)
+                coded = lists.flatten().dictionary_encode()
+                digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in coded.dictionary.to_pylist()]
+                raw = np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 32)
+                word = raw.astype(np.int64)
+                place = lambda at: (word[:, at] << 24 | word[:, at + 1] << 16 | word[:, at + 2] << 8 | word[:, at + 3]) % dim
+                sign = lambda at: np.where(word[:, at] % 2 == 0, 1.0, -1.0)
+                code, row = coded.indices.to_numpy(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+                flat = np.bincount(row * dim + place(0)[code], sign(4)[code], batch.num_rows * dim) + np.bincount(row * dim + place(8)[code], 0.5 * sign(12)[code], batch.num_rows * dim)
+                made = flat.reshape(-1, dim)
+                norm = np.sqrt((made * made).sum(1))
+                keep = np.flatnonzero(norm > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array((made[keep] * wanted).sum(1) / norm[keep])], names=schema.names)
+
+    return tokens.mapInArrow(run, schema)

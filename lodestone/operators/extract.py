@@ -10,14 +10,20 @@ from lodestone.functions.text import extension, identifier_tokens
 MAX_SIGNATURE = 240
 _NAME = "[A-Za-z_][A-Za-z0-9_]*"
 _CALL = rf"(?:^|[^A-Za-z0-9_])({_NAME}(?:\.{_NAME})?)[ \t]*\("
+SCRIPTS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 # Extensions tried for a relative import, in this order.
 IMPORT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".json")
 
 
 def source_lines(files: DataFrame, *extensions: str) -> DataFrame:
-    """(workspace, path, line, text) of the files with these extensions; lines keep no carriage return."""
-    rows = files.where(extension(F.col("path")).isin(*extensions)).select("workspace", "path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
-    return rows.select("workspace", "path", (F.col("i") + 1).alias("line"), F.rtrim("text", F.lit("\r")).alias("text"))
+    """(workspace, path, ext, line, text, before) of the files with these extensions, ``before`` being the line above;
+    lines keep no carriage return. The texts are split once, and no line is shuffled.
+    """
+    ext = extension(F.col("path"))
+    lines = F.transform(F.split("content", "\n"), lambda x: F.rtrim(x, F.lit("\r")))
+    zipped = F.arrays_zip(lines.alias("text"), F.concat(F.array(F.lit("")), lines).alias("before"))
+    rows = files.where(ext.isin(*extensions)).select("workspace", "path", ext.alias("ext"), F.posexplode(zipped).alias("i", "x"))
+    return rows.select("workspace", "path", "ext", (F.col("i") + 1).alias("line"), "x.text", "x.before").where("text is not null")
 
 
 def _symbols(lines: DataFrame, cases: list[tuple[str, str, int]]) -> DataFrame:
@@ -28,7 +34,10 @@ def _symbols(lines: DataFrame, cases: list[tuple[str, str, int]]) -> DataFrame:
         kind = F.when(hit, label) if kind is None else kind.when(hit, label)
         found = F.regexp_extract("text", regex, group)
         name = F.when(hit, found) if name is None else name.when(hit, found)
-    named = lines.withColumn("kind", kind).withColumn("name", name).where("kind is not null")
+    return _described(lines.withColumn("kind", kind).withColumn("name", name).where("kind is not null"))
+
+
+def _described(named: DataFrame) -> DataFrame:
     return named.select("workspace", "path", "name", "kind", "line", F.col("line").alias("end_line"), F.substring(F.trim("text"), 1, MAX_SIGNATURE).alias("signature"), identifier_tokens(F.col("name")).alias("tokens"))
 
 
@@ -41,7 +50,8 @@ _TS = [
     (rf"^(?:export[ \t]+)?(?:default[ \t]+)?(?:abstract[ \t]+)?class[ \t]+({_NAME})", "class", 1),
     (rf"^(?:export[ \t]+)?interface[ \t]+({_NAME})", "interface", 1),
     (rf"^(?:export[ \t]+)?type[ \t]+({_NAME})[^=]*=", "type", 1),
-    (rf"^(?:export[ \t]+)?(?:const|let|var)[ \t]+({_NAME})", "const", 1),
+    (rf"^(?:export[ \t]+)?const[ \t]+({_NAME})", "const", 1),
+    (rf"^(?:export[ \t]+)?(?:let|var)[ \t]+({_NAME})", "variable", 1),
 ]
 
 
@@ -55,37 +65,88 @@ def go_symbols(files: DataFrame) -> DataFrame:
     return _symbols(source_lines(files, "go"), [(_GO_FUNC, "function", 1), (_GO_TYPE, "type", 1)])
 
 
+_TS_CLASS = _TS[1][0]
+#: A method: at most four blanks or one tab deep, modifiers, its name and parameters, and an opening brace.
+_MEMBER = rf"^(?: {{1,4}}|\t)(?:(?:public|private|protected|static|async|override|readonly)[ \t]+)*\*?({_NAME})[ \t]*(?:<[^<>()]*>)?\(.*\)[ \t]*(?::[^={{]+)?\{{"
+#: Words that stand before a parenthesis without being called.
+KEYWORDS = "if for while switch catch with function return typeof await async export default else do case throw yield void delete in of import super new get set static const let var class extends instanceof constructor".split()
+
+
 def script_symbols(files: DataFrame) -> DataFrame:
-    """Top-level functions, classes, interfaces, types and constants of JavaScript and TypeScript files, by line; members are not found."""
-    return _symbols(source_lines(files, "ts", "tsx", "js", "jsx", "mjs", "cjs"), _TS)
+    """Functions, classes, interfaces, types, constants and variables at the top level of JavaScript and TypeScript
+    files, and methods of top-level classes as ``Class.method``, each by its line.
+
+    Of all lines only those that open or close a class and those that look like a method meet in the
+    window that finds a method's class.
+    """
+    lines = source_lines(files, *SCRIPTS)
+    opened, closed = F.regexp_extract("text", _TS_CLASS, 1), F.col("text").startswith("}")
+    member = F.regexp_extract("text", _MEMBER, 1)
+    marked = lines.select("workspace", "path", "line", "text", F.when(opened != "", opened).when(closed, F.lit("")).alias("holder"), member.alias("member"))
+    marked = marked.where("holder is not null or member != ''").where(~F.col("member").isin(*KEYWORDS))
+    within = Window.partitionBy("workspace", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    methods = marked.withColumn("class", F.last("holder", True).over(within)).where("member != '' and class != ''")
+    named = methods.withColumn("name", F.concat("class", F.lit("."), "member")).withColumn("kind", F.lit("method"))
+    return _symbols(lines, _TS).unionByName(_described(named))
 
 
 def import_edges(files: DataFrame) -> DataFrame:
-    """(workspace, from_path, to_specifier, line) of Python, Go, JavaScript and TypeScript imports.
+    """(workspace, from_path, to_specifier, line) of Python, Go, JavaScript and TypeScript imports, in one pass over the lines.
 
     Python gives the module of a from-import, else the rest of the line; Go the first quoted line
     after ``import (``; scripts the quoted specifier of import and re-export lines.
     """
-    py = source_lines(files, "py").where(~F.col("text").rlike(_PY_DEF) & ~F.col("text").rlike(_PY_CLASS))
+    text, ext = F.col("text"), F.col("ext")
     regex = r"^[ \t]*(?:from[ \t]+([^ \t]+)[ \t]+)?import[ \t]+(.+)$"
     module = F.nullif(F.regexp_extract("text", regex, 1), F.lit(""))
-    py = py.where(F.col("text").rlike(regex)).select("workspace", F.col("path").alias("from_path"), F.trim(F.coalesce(module, F.regexp_extract("text", regex, 2))).alias("to_specifier"), "line")
-    before = F.lag("text").over(Window.partitionBy("workspace", "path").orderBy("line"))
+    python = F.when(text.rlike(regex) & ~text.rlike(_PY_DEF) & ~text.rlike(_PY_CLASS), F.trim(F.coalesce(module, F.regexp_extract("text", regex, 2))))
     quoted = r'^[ \t]*"([^"]+)"[ \t]*$'
-    go = source_lines(files, "go").withColumn("before", before).where(F.col("text").rlike(quoted) & F.col("before").rlike(r"import[ \t]*\("))
-    go = go.select("workspace", F.col("path").alias("from_path"), F.regexp_extract("text", quoted, 1).alias("to_specifier"), "line")
+    go = F.when(text.rlike(quoted) & F.col("before").rlike(r"import[ \t]*\("), F.regexp_extract("text", quoted, 1))
     spec = r"""^(?:import|export)[ \t{*].*?["']([^"']+)["'];?[ \t]*$"""
-    ts = source_lines(files, "ts", "tsx", "js", "jsx", "mjs", "cjs").where(F.col("text").rlike(spec) & F.col("text").rlike("(from|import)[ \t]*[\"']"))
-    ts = ts.select("workspace", F.col("path").alias("from_path"), F.regexp_extract("text", spec, 1).alias("to_specifier"), "line")
-    return py.unionByName(go).unionByName(ts)
+    script = F.when(text.rlike(spec) & text.rlike("(from|import)[ \t]*[\"']"), F.regexp_extract("text", spec, 1))
+    found = F.when(ext == "py", python).when(ext == "go", go).otherwise(script)
+    lines = source_lines(files, "py", "go", *SCRIPTS)
+    return lines.select("workspace", F.col("path").alias("from_path"), found.alias("to_specifier"), "line").where("to_specifier is not null")
+
+
+#: What a script line loses before its calls are read, in this order: strings, comments, optional chaining, functions and
+#: constructors that are named but not called; and a blank behind every parenthesis, so that one match does not take the next one's start.
+_STRIPPED = [
+    (r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`", "''"), (r"//.*$|/\*.*?\*/", ""), (r"^[ \t]*/?\*.*$", ""), (r"\?\.", "."),
+    (rf"(^|[^A-Za-z0-9_$.])(?:function[ \t]*\*?[ \t]*(?:{_NAME})?|new[ \t]+[A-Za-z0-9_$.]+)", "$1"), (r"\(", "( "),
+]
+#: A called name with what stands before its dots; behind a closing parenthesis or bracket the name alone.
+_SCRIPT_CALL = r"(?:^|[^A-Za-z0-9_$.]|[)\]]\.)([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)[ \t]*(?:<[^<>()]*>)?\("
+
+
+def script_calls(text: Column) -> Column:
+    """Names that a line of a script calls, in order: ``a`` or ``a.b``; of longer chains and of ``this`` the last name.
+
+    A line scanner: calls within template strings and on the first line of a method's definition up to its
+    parameters are not seen, and block comments are known by their leading asterisk.
+    """
+    code = text
+    for pattern, instead in _STRIPPED[:-1]:
+        code = F.regexp_replace(code, pattern, instead)
+    head = F.regexp_extract(code, _MEMBER, 1)
+    code = F.when((head != "") & ~head.isin(*KEYWORDS), F.regexp_replace(code, rf"^[ \t]*(?:[a-z]+[ \t]+)*\*?{_NAME}[ \t]*(?:<[^<>()]*>)?\(", "(")).otherwise(code)
+    chains = F.regexp_extract_all(F.regexp_replace(code, *_STRIPPED[-1]), F.lit(_SCRIPT_CALL), F.lit(1))
+    parts = F.transform(chains, lambda c: F.split(c, r"\."))
+    called = F.filter(parts, lambda x: ~F.element_at(x, -1).isin(*KEYWORDS) & ((F.size(x) > 1) | (x[0] != "this")))
+    return F.transform(called, lambda x: F.when((F.size(x) == 2) & ~x[0].isin("this", "super"), F.array_join(x, ".")).otherwise(F.element_at(x, -1)))
 
 
 def call_edges(files: DataFrame) -> DataFrame:
-    """(workspace, from_path, to_name, line) of the first call of each Python and Go line that defines nothing."""
-    name = F.regexp_extract("text", _CALL, 1)
-    py = source_lines(files, "py").where(~F.col("text").rlike(_PY_DEF) & ~F.col("text").rlike(_PY_CLASS)).withColumn("to_name", name).where(~F.col("to_name").isin("", "def", "class", "if", "for", "while", "return"))
-    go = source_lines(files, "go").where(~F.col("text").rlike(_GO_FUNC)).withColumn("to_name", name).where(~F.col("to_name").isin("", "func"))
-    return py.unionByName(go).select("workspace", F.col("path").alias("from_path"), "to_name", "line")
+    """(workspace, from_path, to_name, line): calls, in one pass over the lines.
+
+    Of each Python and Go line that defines nothing the first call, of a JavaScript or TypeScript line all.
+    """
+    text, ext, name = F.col("text"), F.col("ext"), F.regexp_extract("text", _CALL, 1)
+    python = F.when(~text.rlike(_PY_DEF) & ~text.rlike(_PY_CLASS) & ~name.isin("", "def", "class", "if", "for", "while", "return"), F.array(name))
+    go = F.when(~text.rlike(_GO_FUNC) & ~name.isin("", "func"), F.array(name))
+    found = F.when(ext == "py", python).when(ext == "go", go).when(F.contains("text", F.lit("(")), script_calls(text))
+    lines = source_lines(files, "py", "go", *SCRIPTS)
+    return lines.select("workspace", F.col("path").alias("from_path"), F.explode(found).alias("to_name"), "line")
 
 
 def _normal(path: Column) -> Column:
@@ -161,6 +222,28 @@ def build_chunks(symbols: DataFrame, files: DataFrame, most_doc: int = 8, most_b
     return joined.select("id", "workspace", "path", F.col("line").alias("start_line"), "end_line", header.alias("header"), text.alias("text"))
 
 
+def changed_lines(old: DataFrame, new: DataFrame, *extensions: str) -> DataFrame:
+    """(workspace, path, line) of lines of the new texts that the old text of the same file does not hold; of files that have both."""
+    before, after = (source_lines(df, *extensions).select("workspace", "path", "line", "text") for df in (old, new))
+    both = after.join(old.select("workspace", "path").distinct(), ["workspace", "path"], "left_semi")
+    return both.join(before.select("workspace", "path", "text"), ["workspace", "path", "text"], "left_anti").select("workspace", "path", "line")
+
+
+def hunk_lines(diffs: DataFrame, text_col: str = "diff") -> DataFrame:
+    """(workspace, path, line) of the new lines that unified diffs without context name; a hunk that only removes names the line before it.
+
+    diffs (workspace, diff) hold one text each: ``+++ b/path`` lines and ``@@ -a,b +c,d @@`` headers; removed
+    files (``+++ /dev/null``) give nothing.
+    """
+    parts = F.split(F.col(text_col), r"(?m)^(?=\+\+\+ )")
+    files = diffs.select("workspace", F.explode(parts).alias("part")).select("workspace", "part", F.regexp_extract("part", r"^\+\+\+ b/([^\t\r\n]+)", 1).alias("path")).where("path != ''")
+    header = r"(?m)^@@ -\d+(?:,\d+)? (\+\d+(?:,\d+)?) @@"
+    hunks = files.select("workspace", "path", F.explode(F.regexp_extract_all("part", F.lit(header), F.lit(1))).alias("h"))
+    start = F.regexp_extract("h", r"\+(\d+)", 1).cast("int")
+    size = F.coalesce(F.nullif(F.regexp_extract("h", r",(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
+    return hunks.select("workspace", "path", F.explode(F.sequence(start, start + F.greatest(size, F.lit(1)) - 1)).alias("line")).distinct()
+
+
 def changed_symbols(changes: DataFrame, symbols: DataFrame, most: int = 6) -> DataFrame:
     """(workspace, path, name, line): symbols whose lines hold a changed line, at most ``most`` for each file.
 

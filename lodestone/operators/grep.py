@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,25 +17,34 @@ from lodestone.functions.text import literals_of_regex, snippet_around
 LONGEST = 12
 
 
-@lru_cache(maxsize=65_536)
-def pair_weight(pair: bytes) -> int:
-    return int.from_bytes(hashlib.sha256(pair).digest()[:4], "big")
+@lru_cache(maxsize=1)
+def pair_weights() -> np.ndarray:
+    """Weight of every pair of bytes: the first four bytes of its SHA-256."""
+    return np.array([int.from_bytes(hashlib.sha256(bytes((a, b))).digest()[:4], "big") for a in range(256) for b in range(256)], dtype=np.int64)
 
 
 def sparse_ngrams(data: bytes) -> list[bytes]:
-    """Distinct substrings of 2 to 12 bytes whose two end pairs outweigh every pair between them."""
-    weights = [pair_weight(data[i : i + 2]) for i in range(len(data) - 1)]
-    out: dict[bytes, None] = {}
-    for i, first in enumerate(weights):
-        inside = -1
-        for j in range(i, min(len(weights), i + LONGEST - 1)):
-            last = weights[j]
-            if j == i or (min(first, last) > inside):
-                out[data[i : j + 2]] = None
-            if j > i:
-                inside = max(inside, last)
-            if inside >= first:
-                break
+    """Distinct substrings of 2 to 12 bytes, within a line, whose two end pairs outweigh every pair between them.
+
+    All places of a text are tested at once, one length after another.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    weights = pair_weights()[raw[:-1].astype(np.int64) << 8 | raw[1:]] if len(raw) > 1 else np.empty(0, np.int64)
+    breaks = np.concatenate([[0], np.cumsum(raw == 10)])
+    inside = np.full(len(weights), -1, dtype=np.int64)
+    out: set[bytes] = set()
+    for gap in range(min(LONGEST - 1, len(weights))):
+        n = len(weights) - gap
+        size = gap + 2
+        good = breaks[size : size + n] == breaks[:n]
+        if gap:
+            if gap > 1:
+                np.maximum(inside[:n], weights[gap - 1 : gap - 1 + n], out=inside[:n])
+            good &= np.minimum(weights[:n], weights[gap:]) > inside[:n]
+        at = np.flatnonzero(good)
+        if len(at):
+            grams = np.lib.stride_tricks.sliding_window_view(raw, size)[at]
+            out.update(g.tobytes() for g in np.unique(np.ascontiguousarray(grams).view(f"V{size}").ravel()))
     return list(out)
 
 
@@ -55,46 +65,53 @@ def gram_hash(gram: bytes) -> str:
     return hashlib.sha256(gram).hexdigest()[:16]
 
 
-def ngram_postings(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
-    """(hash, path), distinct: the sparse n-grams of every text, whole. Null texts give none."""
+KEYS = ("workspace", "path")
+
+
+def ngram_postings(files: DataFrame, keys: Sequence[str] = KEYS, text_col: str = "content") -> DataFrame:
+    """(hash, keys), distinct: the sparse n-grams of every text, whole. Null texts give none; a file occurs once."""
+    chosen = files.select(*keys, text_col)
+    schema = T.StructType([T.StructField("hash", T.StringType()), *chosen.schema.fields[:-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = sorted({gram_hash(g) for line in (text or "").split("\n") for g in sparse_ngrams(line.encode("utf-8", "surrogatepass"))})
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([path] * len(grams), batch.schema.field(0).type)], names=["hash", path_col])
+            grams = [[gram_hash(g) for g in sparse_ngrams((text or "").encode("utf-8", "surrogatepass"))] for text in batch.column(len(keys)).to_pylist()]
+            for begin in range(0, len(grams), 64):  # bounded batches of postings
+                part = grams[begin : begin + 64]
+                rows = pa.array(np.repeat(np.arange(begin, begin + len(part)), [len(g) for g in part]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([h for g in part for h in g], pa.string()), *[c.take(rows) for c in batch.columns[:-1]]], names=schema.names)
 
-    chosen = files.select(path_col, text_col)
-    schema = T.StructType([T.StructField("hash", T.StringType()), chosen.schema[0]])
     return chosen.mapInArrow(run, schema).distinct()
 
 
-def grep_candidates(postings: DataFrame, literals: list[str], path_col: str = "path") -> DataFrame:
-    """Paths that hold every n-gram that covers the literals: relational division over the postings."""
+def grep_candidates(postings: DataFrame, literals: list[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Files that hold every n-gram that covers the literals: relational division over the postings."""
     wanted = sorted({gram_hash(g) for literal in literals for g in covering_ngrams(literal)})
-    found = postings.where(F.col("hash").isin(*wanted)).groupBy(path_col).agg(F.countDistinct("hash").alias("n"))
-    return found.where(F.col("n") == len(wanted)).select(path_col)
+    found = postings.where(F.col("hash").isin(*wanted)).groupBy(*keys).agg(F.countDistinct("hash").alias("n"))
+    return found.where(F.col("n") == len(wanted)).select(*keys)
 
 
-def grep_lines(files: DataFrame, pattern: str, k: int | None = 20, path_col: str = "path", text_col: str = "content", path_prefix: str | None = None) -> DataFrame:
-    """(path, line, text, snippet) of lines that match, the first k by path and line (None: all).
+def grep_lines(files: DataFrame, pattern: str, k: int | None = 20, keys: Sequence[str] = KEYS, text_col: str = "content", path_prefix: str | None = None) -> DataFrame:
+    """(keys, line, text, snippet) of lines that match, the first k by path, the other keys and line (None: all).
 
-    A literal of the pattern filters whole texts before they are split into lines. Lines keep no
-    carriage return. Null texts have no lines.
+    The keys name a file, its path last. A literal of the pattern filters whole texts before they are split
+    into lines. Lines keep no carriage return. Null texts have no lines.
     """
-    rows = files.select(path_col, text_col)
+    rows = files.select(*keys, text_col)
     if path_prefix:
-        rows = rows.where(F.col(path_col).startswith(path_prefix))
+        rows = rows.where(F.col(keys[-1]).startswith(path_prefix))
     for literal in literals_of_regex(pattern):
         rows = rows.where(F.contains(text_col, F.lit(literal)))
-    lines = rows.select(path_col, F.transform(F.split(text_col, "\n"), lambda x: F.rtrim(x, F.lit("\r"))).alias("lines"))
-    hits = lines.select(path_col, "lines", F.posexplode("lines").alias("i", "text")).where(F.col("text").rlike(pattern))
-    out = hits.select(path_col, (F.col("i") + 1).alias("line"), "text", snippet_around(F.col("lines"), F.col("i") + 1).alias("snippet"))
-    return out if k is None else out.orderBy(path_col, "line").limit(k)
+    lines = rows.select(*keys, F.transform(F.split(text_col, "\n"), lambda x: F.rtrim(x, F.lit("\r"))).alias("lines"))
+    # only matching lines leave the text's own row, with their places
+    marked = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(pattern), i + 1)), lambda i: i.isNotNull())
+    hits = lines.select(*keys, "lines", F.explode(marked).alias("line"))
+    out = hits.select(*keys, "line", F.element_at("lines", F.col("line")).alias("text"), snippet_around(F.col("lines"), F.col("line")).alias("snippet"))
+    return out if k is None else out.orderBy(*reversed(keys), "line").limit(k)
 
 
-def grep_fast(files: DataFrame, postings: DataFrame, pattern: str, k: int | None = 20, path_col: str = "path", text_col: str = "content") -> DataFrame:
-    """The same rows as ``grep_lines``, with the texts narrowed by the n-gram postings first where the pattern has a sure literal."""
+def grep_fast(files: DataFrame, postings: DataFrame, pattern: str, k: int | None = 20, keys: Sequence[str] = KEYS, text_col: str = "content") -> DataFrame:
+    """The same rows as ``grep_lines``, with the texts narrowed by stored n-gram postings first where the pattern has a sure literal."""
     literals = literals_of_regex(pattern)
-    chosen = files.join(grep_candidates(postings, literals, path_col), path_col, "left_semi") if literals else files
-    return grep_lines(chosen, pattern, k, path_col, text_col)
+    chosen = files.join(grep_candidates(postings, literals, keys), list(keys), "left_semi") if literals else files
+    return grep_lines(chosen, pattern, k, keys, text_col)

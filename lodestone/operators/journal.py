@@ -53,16 +53,11 @@ def ledger_by_mode(events: DataFrame) -> DataFrame:
     return events.where("event_type = 'inject'").groupBy(mode.alias("mode")).agg(F.count("*").alias("injects"), F.coalesce(F.sum("injected_tokens"), F.lit(0)).alias("injected_tokens"))
 
 
-def upper_median(column: str) -> Column:
-    """The value at place floor(n / 2) of the sorted non-null values."""
-    return F.element_at(F.array_sort(F.collect_list(column)), (F.floor(F.count(column) / 2) + 1).cast("int"))
-
-
 def event_summary(events: DataFrame, *keys: str) -> DataFrame:
     """Hit rates, delta percentiles, timeouts and counts; rates are null where nothing counts.
 
-    The hit rate leaves out injects without a prompt, the code hit rate is of code injects. The p50 is
-    percentile_disc, which keeps counts of distinct values instead of all of them.
+    The hit rate leaves out injects without a prompt, the code hit rate is of code injects. The p50 is the
+    upper of two middle values: percentile_disc from above, which keeps counts of distinct values.
     """
     inject = F.col("event_type") == "inject"
     asked = inject & ~F.coalesce("no_prompt", F.lit(False))
@@ -72,7 +67,7 @@ def event_summary(events: DataFrame, *keys: str) -> DataFrame:
     late = inject & (F.coalesce("timed_out_delta", F.lit(False)) | F.coalesce("timed_out_retrieve", F.lit(False)))
     columns = [
         F.count("*").alias("events"), F.count(F.when(inject, 1)).alias("injects"), F.count(F.when(asked, 1)).alias("asked"), rate(asked).alias("hit_rate"), rate(code).alias("code_hit_rate"),
-        F.expr("percentile_disc(0.5) within group (order by case when event_type = 'inject' then delta_ms end)").alias("p50_delta_ms"), F.count(F.when(late, 1)).alias("timeouts"),
+        F.expr("percentile_disc(0.5) within group (order by case when event_type = 'inject' then delta_ms end desc)").alias("p50_delta_ms"), F.count(F.when(late, 1)).alias("timeouts"),
         F.count(_of("index")).alias("indexes"), F.count(_of("doctor")).alias("doctors"),
     ]
     return events.groupBy(*keys).agg(*columns) if keys else events.agg(*columns)
@@ -128,12 +123,28 @@ def repeat_reads(events: DataFrame, least: int = 2) -> DataFrame:
     return paths.groupBy("workspace", "path").agg(F.count("*").alias("reads")).where(F.col("reads") >= least)
 
 
-def prior_reads(events: DataFrame, within: int = 500) -> DataFrame:
-    """(workspace, event_id, path, prior): how many of the workspace's last 500 path reads before an event touched the same path."""
-    paths = events.where("event_type = 'mcp' and workspace is not null").select("workspace", "event_id", F.explode(F.array_distinct("paths")).alias("path"))
-    numbered = paths.withColumn("seq", F.dense_rank().over(Window.partitionBy("workspace").orderBy("event_id")))
-    before = Window.partitionBy("workspace", "path").orderBy("seq").rangeBetween(-within, -1)
-    return numbered.withColumn("prior", F.count("*").over(before)).select("workspace", "event_id", "path", "prior")
+def prior_reads(events: DataFrame, within: int = 500, rows_a_range: int = 100_000) -> DataFrame:
+    """(scope, event_id, path, prior): how many of the last 500 reads of a session before an event touched the same path.
+
+    A session is its id, or the workspace where an event names none. Reads are numbered by ranges of
+    event_id and by offsets of the ranges before, and counted in blocks of numbers that overlap by 500, so
+    a session or path with a third of all events is spread over many tasks.
+    """
+    paths = events.where("event_type = 'mcp'").select(scope_key().alias("scope"), "event_id", F.explode(F.array_distinct("paths")).alias("path")).where("scope is not null and event_id is not null")
+    ids = paths.select("scope", "event_id").distinct()
+    ends = ids.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count("*").alias("n")).head()
+    width = max(1, ((ends.b or 0) - (ends.a or 0) + 1) * rows_a_range // max(1, ends.n))
+    ranged = ids.withColumn("range", F.floor((F.col("event_id") - (ends.a or 0)) / width))
+    before = Window.partitionBy("scope").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = ranged.groupBy("scope", "range").agg(F.count("*").alias("c")).withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    inside = F.row_number().over(Window.partitionBy("scope", "range").orderBy("event_id"))
+    numbered = ranged.withColumn("place", inside).join(offsets, ["scope", "range"]).select("scope", "event_id", (F.col("place") + F.col("offset")).alias("seq"))
+    block = 20 * within
+    own = F.floor(F.col("seq") / block)
+    blocks = F.array_distinct(F.array(own, F.floor((F.col("seq") + within) / block)))  # a read also stands before those of the next block
+    placed = paths.join(numbered, ["scope", "event_id"]).select("scope", "event_id", "path", "seq", own.alias("own"), F.explode(blocks).alias("block"))
+    counted = placed.withColumn("prior", F.count("*").over(Window.partitionBy("scope", "path", "block").orderBy("seq").rangeBetween(-within, -1)))
+    return counted.where("own = block").select("scope", "event_id", "path", "prior")
 
 
 def liveness(events: DataFrame, as_of: str, stale_days: int = 14, kinds: tuple[str, ...] = ("inject", "guardrail", "mcp", "index", "doctor", "file-event", "session-start", "stop", "routing", "heartbeat")) -> DataFrame:

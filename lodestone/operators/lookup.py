@@ -73,9 +73,8 @@ def fallback_ladder(symbols: DataFrame, files: DataFrame, identifiers: Sequence[
         found = symbol_lookup(symbols, name, 2)
         parts.append(found.select(F.lit(0).alias("stage"), F.lit(pos).alias("pos"), "workspace", "path", "line", F.col("name").alias("text")))
     for pos, name in enumerate(names):
-        keyed = files.select(F.concat("workspace", F.lit("\n"), "path").alias("key"), "content")
-        found = grep_lines(keyed, name, 2, "key")
-        parts.append(found.select(F.lit(1).alias("stage"), F.lit(pos).alias("pos"), F.split_part("key", F.lit("\n"), F.lit(1)).alias("workspace"), F.split_part("key", F.lit("\n"), F.lit(2)).alias("path"), "line", "text"))
+        found = grep_lines(files, name, 2)
+        parts.append(found.select(F.lit(1).alias("stage"), F.lit(pos).alias("pos"), "workspace", "path", "line", "text"))
     if not parts:
         return symbols.select(F.lit(0).alias("stage"), "workspace", "path", "line", F.col("name").alias("text")).limit(0)
     union = parts[0]

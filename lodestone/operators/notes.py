@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import cosine, dot
-from lodestone.operators.search import lsh_buckets
+from lodestone.operators.search import lsh_pairs
 
 # Fixed values of the recall contract.
 HALF_LIFE_DAYS, DECAY_AFTER_DAYS, DECAY_BELOW, SESSION_CAP, DUPLICATE_COSINE = 30.0, 60, 0.02, 50, 0.9
@@ -71,18 +71,31 @@ def exact_duplicates(notes: DataFrame) -> DataFrame:
 def close_notes(notes: DataFrame, queries: DataFrame, dim: int = 256, least: float = DUPLICATE_COSINE) -> DataFrame:
     """(id, near_id, similarity): for every query note the most similar other note of its kind, found by shared LSH buckets, at least 0.9.
 
-    Queries are a stated set against all notes; vectors are fetched for distinct candidate pairs only.
+    Queries are a stated set against all notes; vectors are fetched for the pairs nearest by sketch only.
     """
-    usable = lambda d: d.where((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
-    held = lsh_buckets(usable(notes), "id", "embedding", dim)
-    asked = lsh_buckets(usable(queries), "id", "embedding", dim).withColumnRenamed("id", "query_id")
-    pairs = asked.join(held, ["table_id", "bucket"]).where("query_id != id").select("query_id", "id").distinct()
-    side = notes.select("id", note_kind(F.col("kind")).alias("kind"), "embedding")
-    scored = pairs.join(side.toDF("query_id", "qkind", "qv"), "query_id").join(side, "id").where("kind = qkind").select("query_id", "id", F.round(cosine(F.col("qv"), F.col("embedding")), 4).alias("similarity")).where(F.col("similarity") >= least)
+    side = lambda d: d.where((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).select("id", note_kind(F.col("kind")).alias("kind"), "embedding")
+    held, asked = side(notes), side(queries)
+    pairs = lsh_pairs(asked, held, "id", "embedding", dim, 2, ["kind"])
+    met = pairs.join(asked.toDF("query_id", "qkind", "qv"), "query_id").join(held, "id").where(F.col("kind").eqNullSafe(F.col("qkind")))
+    scored = met.select("query_id", "id", F.round(cosine(F.col("qv"), F.col("embedding")), 4).alias("similarity")).where(F.col("similarity") >= least)
     best = scored.groupBy("query_id").agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("id"))).alias("b"))
     return best.select(F.col("query_id").alias("id"), F.col("b.id").alias("near_id"), F.col("b.similarity").alias("similarity"))
 
 
+def merged_notes(notes: DataFrame, close: DataFrame) -> DataFrame:
+    """(id, text, use_count): what saving each note of ``close`` (id, near_id) makes of the note it is near to.
+
+    The longer text stays, the kept note's own where they are as long; every note merged into one counts
+    as a use. Notes that a kept note is itself merged into are followed one step only, as saving does.
+    """
+    size = lambda c: F.length(F.coalesce(c, F.lit("")))
+    fresh = close.select("id", "near_id").join(notes.select("id", F.col("text").alias("fresh")), "id")
+    longest = fresh.groupBy("near_id").agg(F.max_by("fresh", F.struct(size(F.col("fresh")), -F.col("id"))).alias("fresh"), F.count("*").alias("n"))
+    kept = notes.select(F.col("id").alias("near_id"), "text", "use_count").join(longest, "near_id")
+    text = F.when(size(F.col("fresh")) > size(F.col("text")), F.col("fresh")).otherwise(F.col("text"))
+    return kept.select(F.col("near_id").alias("id"), text.alias("text"), (F.coalesce("use_count", F.lit(0)) + F.col("n")).alias("use_count"))
+
+
 def decayed(notes: DataFrame, as_of: str) -> DataFrame:
     """(id): notes to forget: not of kind session, at least 60 days unused, and of weight below 0.02."""
     used = F.coalesce("last_used_at", "created_at")
@@ -102,16 +115,16 @@ def distilled(notes: DataFrame, k: int = 30) -> DataFrame:
 
 
 def stale_notes(notes: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, n_paths, n_stale): notes that recorded file hashes of which one is gone or differs now.
+    """(id, n_paths, n_stale): notes that recorded file hashes of which one is gone or differs now in the note's workspace.
 
-    A recorded hash may be shorter than the current one and is compared with its beginning.
+    A recorded hash may be shorter than the current one and is compared with its beginning. Notes
+    without a workspace know no files. ``files`` has one row for each (workspace, path).
     """
-    pairs = notes.select("id", F.explode(csv_list(F.col("path_hashes"))).alias("pair")).where(F.contains("pair", F.lit(":")))
-    recorded = pairs.select("id", F.regexp_extract("pair", "^(.*):([^:]*)$", 1).alias("path"), F.regexp_extract("pair", "^(.*):([^:]*)$", 2).alias("was"))
-    now = files.where("hash is not null").groupBy("path").agg(F.collect_set("hash").alias("hashes"))
-    checked = recorded.join(now, "path", "left")
-    fresh = F.coalesce(F.exists("hashes", lambda h: h.startswith(F.col("was"))), F.lit(False))
-    counted = checked.groupBy("id").agg(F.count("*").alias("n_paths"), F.sum(F.when(fresh, 0).otherwise(1)).alias("n_stale"))
+    pairs = notes.select("id", "workspace", F.explode(csv_list(F.col("path_hashes"))).alias("pair")).where(F.contains("pair", F.lit(":")))
+    recorded = pairs.select("id", "workspace", F.regexp_extract("pair", "^(.*):([^:]*)$", 1).alias("path"), F.regexp_extract("pair", "^(.*):([^:]*)$", 2).alias("was"))
+    checked = recorded.join(files.select("workspace", "path", "hash"), ["workspace", "path"], "left")
+    fresh = F.coalesce(F.col("hash").startswith(F.col("was")), F.lit(False))
+    counted = checked.groupBy("id").agg(F.count("*").alias("n_paths"), F.count_if(~fresh).alias("n_stale"))
     return counted.where("n_stale > 0")
 
 

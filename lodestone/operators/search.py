@@ -7,11 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import expand_query
 from lodestone.functions.vectors import dot, hash_similarity
+from lodestone.sources.storage import cut_lineage
 
 K1, B, IDF_FLOOR, RRF_K, MIN_COSINE = 1.2, 0.75, 1e-6, 60, 0.12
 
@@ -33,33 +34,49 @@ def ranked(df: DataFrame, id_col: str, k: int, digits: int = 6) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))  # k rows
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[str | tuple[str, bool]]) -> DataFrame:
-    """(id, score) of the documents that hold a phrase; a prefix phrase counts every term that starts with it.
+def _wanted(phrases: Sequence[str | tuple[str, bool]]) -> list[tuple[str, bool]]:
+    pairs = [(p, False) if isinstance(p, str) else p for p in phrases]
+    return [(p, prefix) for p, prefix in pairs if p.isascii() and p.isalnum()]  # no other term can occur
 
-    Lengths and frequencies are array functions within the scan; corpus statistics are one aggregate
-    row. Nothing is shuffled, whatever the size of the corpus or the frequency of a term. Documents
-    of null or empty text count in the average length and never match.
-    """
-    wanted = [(p, False) if isinstance(p, str) else p for p in phrases]
-    wanted = [(p, prefix) for p, prefix in wanted if p.isascii() and p.isalnum()]  # no other term can occur
+
+def term_counts(docs: DataFrame, ids: Sequence[str], text_col: str, phrases: Sequence[str | tuple[str, bool]]) -> DataFrame:
+    """(ids, dl, hits, tf0, tf1, ...): length of each text in terms, and how often each phrase occurs in it."""
+    wanted = _wanted(phrases)
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     # one pass of a regular expression finds the few terms that can matter; frequencies are counted among those
     prefixes = "|".join(sorted({p for p, prefix in wanted if prefix})) or "(?!)"
     exact = "|".join(sorted({p for p, prefix in wanted if not prefix})) or "(?!)"
     relevant = F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])((?:{prefixes})[a-z0-9]*|(?:{exact})(?![a-z0-9]))"), F.lit(1))
-    counted = docs.select(F.col(id_col), F.regexp_count(low, F.lit("[a-z0-9]+")).alias("dl"), relevant.alias("t"))
+    counted = docs.select(*ids, F.regexp_count(low, F.lit("[a-z0-9]+")).alias("dl"), relevant.alias("t"))
     tf = [F.size(F.filter("t", (lambda p, pre: lambda x: x.startswith(p) if pre else x == p)(p, pre))) for p, pre in wanted]
-    measured = counted.select(id_col, "dl", F.size("t").alias("hits"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
-    stats = measured.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(wanted))]).head()
-    if not stats.n or not wanted:
-        return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    return counted.select(*ids, "dl", F.size("t").alias("hits"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
+
+
+def bm25(docs: DataFrame, id_col: str | Sequence[str], text_col: str, phrases: Sequence[str | tuple[str, bool]]) -> DataFrame:
+    """(id, score) of the documents that hold a phrase; a prefix phrase counts every term that starts with it.
+
+    One pass over the texts, while the plan is built: lengths and frequencies are array functions
+    within the scan, corpus statistics are observed on the way, and only the counts of texts with a hit
+    are written to the shared folder, where scoring reads them. Nothing is shuffled, whatever the size of
+    the corpus or the frequency of a term. ``id_col`` may be several columns. Documents of null or empty
+    text count in the average length and never match.
+    """
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    wanted = _wanted(phrases)
+    if not wanted:
+        return docs.select(*ids, F.lit(0.0).alias("score")).limit(0)
+    seen = Observation()
+    stats = [F.count("*").alias("n"), F.sum("dl").alias("dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(wanted))]]
+    hits = cut_lineage(term_counts(docs, ids, text_col, phrases).observe(seen, *stats).where("hits > 0"))
+    found = seen.get
+    n, average = found["n"], (found["dl"] or 0) / (found["n"] or 1) or 1.0
     score = F.lit(0.0)
     for i in range(len(wanted)):
-        odds = (stats.n - stats[f"n{i}"] + 0.5) / (stats[f"n{i}"] + 0.5)
+        odds = (n - found[f"n{i}"] + 0.5) / (found[f"n{i}"] + 0.5)
         idf = float(np.log(odds)) if odds > 1 else IDF_FLOOR
         f = F.col(f"tf{i}")
-        score = score + F.when(f > 0, F.lit(max(idf, IDF_FLOOR)) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl or 1.0)))).otherwise(0.0)
-    return measured.where("hits > 0").select(id_col, score.alias("score"))
+        score = score + F.when(f > 0, F.lit(max(idf, IDF_FLOOR)) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(average)))).otherwise(0.0)
+    return hits.select(*ids, score.alias("score"))
 
 
 def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -81,28 +98,31 @@ def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hit_key() -> list[str]:
-    return ["path", "line", "symbol"]
+HIT_KEY = ["workspace", "path", "line", "symbol"]
 
 
 def lexical_union(symbols: DataFrame, chunks: DataFrame, files: DataFrame, phrases: Sequence[str | tuple[str, bool]], k: int = 20, path_prefix: str | None = None) -> DataFrame:
-    """(path, line, symbol, source, score): the k best of three ranked sources.
+    """(workspace, path, line, symbol, source, score): the k best of three ranked sources.
 
-    symbols (id, path, name, line, text) weigh 1.0, chunks (id, path, name, line, text) 0.9, files
-    without chunks (path, text) 0.8; each gives its best 3k, 2k and k, the best score of a (path, line,
-    symbol) stays. The path prefix is applied below the top-k, which can only find more.
+    symbols and chunks (id, workspace, path, name, line, text) weigh 1.0 and 0.9, files without chunks
+    (workspace, path, text) 0.8; each gives its best 3k, 2k and k, the best score of a (workspace, path,
+    line, symbol) stays. The path prefix is applied below the top-k, which can only find more. Texts are
+    read once; what is joined to the hits are ids, places and names.
     """
     within = (lambda d: d.where(F.col("path").startswith(path_prefix))) if path_prefix else (lambda d: d)
+    order = [F.desc("score"), *HIT_KEY]
 
-    def best(docs: DataFrame, id_col: str, weight: float, name: str, n: int, line: Column, symbol: Column) -> DataFrame:
-        scored = within(docs.join(bm25(docs, id_col, "text", phrases), id_col))
-        rows = scored.select("path", line.alias("line"), symbol.alias("symbol"), F.lit(name).alias("source"), F.round(F.col("score") * weight, 6).alias("score"))
-        return rows.orderBy(F.desc("score"), "path", "line", "symbol").limit(n)
+    def best(scored: DataFrame, weight: float, name: str, n: int) -> DataFrame:
+        rows = within(scored).select("workspace", "path", "line", "symbol", F.lit(name).alias("source"), F.round(F.col("score") * weight, 6).alias("score"))
+        return rows.orderBy(*order).limit(n)
 
-    bare = files.join(chunks.select("path").distinct(), "path", "left_anti")
-    union = best(symbols, "id", 1.0, "symbols", 3 * k, F.col("line"), F.col("name")).unionByName(best(chunks, "id", 0.9, "chunks", 2 * k, F.col("line"), F.col("name"))).unionByName(best(bare, "path", 0.8, "files", k, F.lit(0), F.lit("")))
-    order = Window.partitionBy(*hit_key()).orderBy(F.desc("score"), "source")
-    return union.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r").orderBy(F.desc("score"), "path", "line", "symbol").limit(k)
+    placed = lambda docs: docs.select("id", "workspace", "path", "line", F.col("name").alias("symbol")).join(bm25(docs, "id", "text", phrases), "id")
+    key = ["workspace", "path"]
+    bare = files.join(chunks.select(*key).distinct(), key, "left_anti")
+    whole = bm25(bare, key, "text", phrases).select(*key, F.lit(0).alias("line"), F.lit("").alias("symbol"), "score")
+    union = best(placed(symbols), 1.0, "symbols", 3 * k).unionByName(best(placed(chunks), 0.9, "chunks", 2 * k)).unionByName(best(whole, 0.8, "files", k))
+    first = Window.partitionBy(*HIT_KEY).orderBy(F.desc("score"), "source")
+    return union.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r").orderBy(*order).limit(k)
 
 
 def cosine_topk(vectors: DataFrame, query: Sequence[float], id_col: str, vector_col: str, k: int = 8, least: float = MIN_COSINE, exclude: object = None) -> DataFrame:
@@ -147,29 +167,66 @@ def hyperplanes(dim: int, bits: int = 12, tables: int = 8) -> np.ndarray:
     return out
 
 
-def lsh_buckets(vectors: DataFrame, id_col: str, vector_col: str, dim: int, bits: int = 12, tables: int = 8) -> DataFrame:
-    """(id, table_id, bucket) of every vector of ``dim`` numbers: signs against the hyperplanes of each table."""
-    planes = hyperplanes(dim, bits, tables).reshape(-1, dim).T
-    weights = 1 << np.arange(bits)
+#: Rows that a bucket should hold about, tables, least sure bits that a query flips, and pairs by sketch that are rescored.
+BUCKET_ROWS, TABLES, FLIPS, LSH_SHORTLIST = 32, 16, 5, 192
+#: Packed signs, 64 to a word, that rows of shared buckets are ranked by.
+SKETCH_WORDS = 8
 
-    @F.pandas_udf("array<int>")
-    def sketch(batch: pd.Series) -> pd.Series:
-        signs = (np.stack(batch.to_numpy()).astype(np.float64) @ planes >= 0).reshape(len(batch), tables, bits)
-        return pd.Series(list((signs * weights).sum(2).astype(np.int32)))
 
-    usable = vectors.where(F.size(vector_col) == dim)
-    return usable.select(F.col(id_col), F.posexplode(sketch(F.col(vector_col))).alias("table_id", "bucket"))
+def lsh_bits(rows: int) -> int:
+    """Bits of a bucket's key, so that a bucket holds some 32 of so many rows: 2 to 24."""
+    return int(min(24, max(2, round(np.log2(max(rows, 1) / BUCKET_ROWS)))))
 
 
-def lsh_neighbours(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 8, bits: int = 12, tables: int = 8) -> DataFrame:
-    """(query_id, id, score, rank): candidates that share a bucket in some table, rescored exactly.
+def lsh_buckets(vectors: DataFrame, id_col: str, vector_col: str, dim: int, bits: int = 12, tables: int = 8, flips: int = 0) -> DataFrame:
+    """(id, table_id, bucket, sketch) of every vector of ``dim`` numbers: signs against the hyperplanes of each table.
 
-    A stated set of queries against all rows: buckets meet by an equi-join, pairs are made distinct
-    before their vectors are fetched.
+    With ``flips`` a row is put into all buckets that differ in its so many least sure bits. ``sketch``
+    holds 512 further signs, packed.
+    """
+    planes = hyperplanes(dim, bits, tables).reshape(-1, dim).T
+    further = hyperplanes(dim, 64, tables + SKETCH_WORDS)[tables:].reshape(-1, dim).T
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    flips = min(flips, bits)
+    chosen = (np.arange(1 << flips)[:, None] >> np.arange(flips)) & 1  # every set of flipped places
+
+    @F.pandas_udf("struct<buckets:array<array<int>>,sketch:array<bigint>>")
+    def sketch(batch: pd.Series) -> pd.DataFrame:
+        rows = np.stack(batch.to_numpy()).astype(np.float64)
+        inner = (rows @ planes).reshape(len(rows), tables, bits)
+        own = ((inner >= 0) * weights).sum(2)
+        unsure = weights[np.argsort(np.abs(inner), axis=2, kind="stable")[:, :, :flips]]
+        probed = own[:, :, None] ^ (unsure[:, :, None, :] * chosen).sum(3) if flips else own[:, :, None]
+        packed = np.packbits(rows @ further >= 0, axis=1).view(np.int64)
+        return pd.DataFrame({"buckets": [list(map(list, r)) for r in probed.astype(np.int32)], "sketch": list(packed)})
+
+    made = vectors.where(F.size(vector_col) == dim).select(F.col(id_col), sketch(F.col(vector_col)).alias("s"))
+    exploded = made.select(id_col, F.posexplode("s.buckets").alias("table_id", "b"), F.col("s.sketch").alias("sketch"))
+    return exploded.select(id_col, "table_id", F.explode("b").alias("bucket"), "sketch")
+
+
+def lsh_pairs(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str, dim: int, copies: int, by: Sequence[str] = ()) -> DataFrame:
+    """(query_id, id): for every query the rows nearest by sketch among those it shares a bucket with in some table.
+
+    A stated set of queries against all rows: buckets, of a size that does not grow with the rows, meet by
+    an equi-join; each query also looks into the buckets on the other side of its least sure bits. Of
+    rows with the same vector (and the same ``by``) only the ``copies`` least ids are met, counted off before
+    the shuffle, as all others come after them in any ranking.
     """
-    asked = lsh_buckets(queries, id_col, vector_col, dim, bits, tables).withColumnRenamed(id_col, "query_id")
-    held = lsh_buckets(vectors, id_col, vector_col, dim, bits, tables)
-    pairs = asked.join(held, ["table_id", "bucket"]).where(F.col("query_id") != F.col(id_col)).select("query_id", id_col).distinct()
-    scored = pairs.join(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv")), "query_id").join(vectors.select(id_col, F.col(vector_col).alias("v")), id_col)
+    bits = lsh_bits(vectors.count())
+    same = Window.partitionBy(*by, F.xxhash64(vector_col)).orderBy(id_col)
+    least = vectors.withColumn("__r", F.row_number().over(same)).where(F.col("__r") <= copies)
+    asked = lsh_buckets(queries, id_col, vector_col, dim, bits, TABLES, FLIPS).withColumnRenamed(id_col, "query_id").withColumnRenamed("sketch", "asked")
+    held = lsh_buckets(least, id_col, vector_col, dim, bits, TABLES)
+    apart = sum((F.bit_count(F.col("asked")[i].bitwiseXOR(F.col("sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    pairs = asked.join(held, ["table_id", "bucket"]).where(F.col("query_id") != F.col(id_col)).select("query_id", id_col, apart.alias("apart"))
+    nearest = Window.partitionBy("query_id").orderBy("apart", id_col)
+    return pairs.groupBy("query_id", id_col).agg(F.min("apart").alias("apart")).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= LSH_SHORTLIST).select("query_id", id_col)
+
+
+def lsh_neighbours(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 8) -> DataFrame:
+    """(query_id, id, score, rank): the k best by exact cosine of the rows that ``lsh_pairs`` finds."""
+    scored = lsh_pairs(queries, vectors, id_col, vector_col, dim, k + 1)
+    scored = scored.join(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv")), "query_id").join(vectors.select(id_col, F.col(vector_col).alias("v")), id_col)
     scored = scored.select("query_id", id_col, F.round(dot(F.col("qv"), F.col("v")), 4).alias("score")).where(F.col("score") >= MIN_COSINE)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))).where(F.col("rank") <= k)

@@ -15,15 +15,13 @@ def index_tables(files: DataFrame, corpus: DataFrame) -> dict[str, DataFrame]:
     symbols = symbols.withColumn("id", F.xxhash64("workspace", "path", "line", "name", "kind"))
     chunks = extract.build_chunks(symbols, corpus)
     imports = extract.resolve_imports(extract.import_edges(corpus), files)
-    keyed = corpus.select(F.concat_ws("\n", "workspace", "path").alias("key"), "content")
-    split = lambda df: df.select(F.split_part("key", F.lit("\n"), F.lit(1)).alias("workspace"), F.split_part("key", F.lit("\n"), F.lit(2)).alias("path"), *[c for c in df.columns if c != "key"])
     tokens = chunks.select("workspace", "id", search.terms(F.concat_ws("\n", "header", "text")).alias("t"))
     postings = tokens.select("workspace", "id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("workspace", "term", "id", "length").agg(F.count("*").alias("tf"))
     inputs = symbols.select("id", "workspace", "name", "kind").join(chunks.select("id", "text"), "id").select("workspace", "id", F.concat(F.concat_ws(" ", "name", "kind"), F.lit("\n"), "text").alias("input"))
     vectors = hash_embedding(inputs, "id", "input").join(symbols.select("id", "workspace"), "id")
     return {
         "symbols": symbols, "chunks": chunks, "imports": imports, "calls": extract.resolve_calls(extract.call_edges(corpus), symbols, imports),
-        "ngrams": split(grep.ngram_postings(keyed, "key", "content")), "postings": postings, "vectors": vectors,
+        "ngrams": grep.ngram_postings(corpus), "postings": postings, "vectors": vectors,
     }
 
 

@@ -74,9 +74,10 @@ def built_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def changed_symbols(s: SparkSession, d: str) -> DataFrame:
-    """Symbols that hold a changed line, every 50th line of every file standing for a change."""
-    lines = extract.source_lines(corpus_of(s, d), "py", "go", "ts", "js", "mjs", "cjs").where("line % 50 = 0")
-    return extract.changed_symbols(lines.select("workspace", "path", "line"), symbols_of(s, d))
+    """Symbols that hold a line which the newest version of a file has and its oldest has not."""
+    rows = table(s, d, "corpus")
+    oldest = rows.groupBy("workspace", "path").agg(F.min_by("content", F.struct("mtime_ms", F.xxhash64("content"))).alias("content"))
+    return extract.changed_symbols(extract.changed_lines(oldest, corpus_of(s, d), *T.SYMBOL_EXTENSIONS), symbols_of(s, d))
 
 
 def parse_agreement(s: SparkSession, d: str) -> DataFrame:
@@ -251,8 +252,24 @@ im AS (SELECT workspace, path AS from_path, trim(coalesce(nullif(regexp_extract(
   FROM l WHERE {_EXT} = 'py' AND regexp_matches(text, '^[ \t]*(?:from[ \t]+([^ \t]+)[ \t]+)?import[ \t]+(.+)$') AND NOT regexp_matches(text, '{_PY_DEF}') AND NOT regexp_matches(text, '{_PY_CLASS}')
 UNION ALL SELECT workspace, path, regexp_extract(text, '^[ \t]*"([^"]+)"[ \t]*$', 1), line::INT FROM lg WHERE {_EXT} = 'go' AND regexp_matches(text, '^[ \t]*"([^"]+)"[ \t]*$') AND regexp_matches(before, 'import[ \t]*\(')
 UNION ALL SELECT workspace, path, regexp_extract(text, '^(?:import|export)[ \t{{*].*?["'']([^"'']+)["''];?[ \t]*$', 1), line::INT FROM l WHERE {_EXT} IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs') AND regexp_matches(text, '^(?:import|export)[ \t{{*].*?["'']([^"'']+)["''];?[ \t]*$') AND regexp_matches(text, '(from|import)[ \t]*["'']'))"""
-_CALLS = rf"""cl AS (SELECT * FROM (SELECT workspace, path AS from_path, regexp_extract(text, '{_CALL}', 1) AS to_name, line::INT AS line, {_EXT} AS e FROM l WHERE ({_EXT} = 'py' AND NOT regexp_matches(text, '{_PY_DEF}') AND NOT regexp_matches(text, '{_PY_CLASS}')) OR ({_EXT} = 'go' AND NOT regexp_matches(text, '{_GO_FUNC}')))
-  WHERE to_name <> '' AND NOT (e = 'py' AND to_name IN ('def', 'class', 'if', 'for', 'while', 'return')) AND NOT (e = 'go' AND to_name = 'func'))"""
+_SCRIPT = "('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs')"
+_MEMBER = r"^(?: {1,4}|\t)(?:(?:public|private|protected|static|async|override|readonly)[ \t]+)*\*?([A-Za-z_][A-Za-z0-9_]*)[ \t]*(?:<[^<>()]*>)?\(.*\)[ \t]*(?::[^={]+)?\{"
+_WORDS = str(tuple(extract.KEYWORDS))
+
+
+def _calls_sql() -> str:
+    code = "text"
+    for pattern, instead in extract._STRIPPED[:-1]:
+        code = f"regexp_replace({code}, '{pattern.replace(chr(39), chr(39) * 2)}', '{instead.replace(chr(39), chr(39) * 2).replace('$1', chr(92) + '1')}', 'g')"
+    return rf"""l1 AS (SELECT workspace, path, line, {code} AS t FROM l WHERE {_EXT} IN {_SCRIPT} AND contains(text, '(')), l2 AS (SELECT *, regexp_extract(t, '{_MEMBER}', 1) AS h FROM l1),
+l3 AS (SELECT workspace, path, line, replace(CASE WHEN h <> '' AND h NOT IN {_WORDS} THEN regexp_replace(t, '^[ \t]*(?:[a-z]+[ \t]+)*\*?[A-Za-z_][A-Za-z0-9_]*[ \t]*(?:<[^<>()]*>)?\(', '(') ELSE t END, '(', '( ') AS t FROM l2),
+l4 AS (SELECT workspace, path, line, string_split(unnest(regexp_extract_all(t, '{extract._SCRIPT_CALL}', 1)), '.') AS x FROM l3),
+cl AS (SELECT * EXCLUDE (e) FROM (SELECT workspace, path AS from_path, regexp_extract(text, '{_CALL}', 1) AS to_name, line::INT AS line, {_EXT} AS e FROM l WHERE ({_EXT} = 'py' AND NOT regexp_matches(text, '{_PY_DEF}') AND NOT regexp_matches(text, '{_PY_CLASS}')) OR ({_EXT} = 'go' AND NOT regexp_matches(text, '{_GO_FUNC}')))
+  WHERE to_name <> '' AND NOT (e = 'py' AND to_name IN ('def', 'class', 'if', 'for', 'while', 'return')) AND NOT (e = 'go' AND to_name = 'func')
+  UNION ALL SELECT workspace, path, CASE WHEN len(x) = 2 AND x[1] NOT IN ('this', 'super') THEN array_to_string(x, '.') ELSE x[-1] END, line::INT FROM l4 WHERE x[-1] NOT IN {_WORDS} AND NOT (len(x) = 1 AND x[1] = 'this'))"""
+
+
+_CALLS = _calls_sql()
 
 
 def _resolved_sql() -> str:
@@ -289,14 +306,19 @@ def oracle_sql() -> dict[str, str]:
         "path_safety": f"WITH {SQL_FILES} SELECT workspace, x.p AS path, x.ok AS safe FROM (SELECT workspace, unnest([struct_pack(p := path, ok := TRUE), struct_pack(p := '/' || path, ok := FALSE), struct_pack(p := '../' || path, ok := FALSE), struct_pack(p := 'a/../' || path, ok := TRUE), struct_pack(p := 'a/../../' || path, ok := FALSE)]) AS x FROM f)",
         "py_symbols": _symbols_sql("'py'", [(_PY_DEF, "function"), (_PY_CLASS, "class")]),
         "go_symbols": _symbols_sql("'go'", [(_GO_FUNC, "function"), (_GO_TYPE, "type")]),
-        "script_symbols": _symbols_sql("'ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'", [(r, k) for r, k, _ in extract._TS]),
+        "script_symbols": _symbols_sql("'ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'", [(r, k) for r, k, _ in extract._TS]).replace("y AS (", f"""v AS (SELECT workspace, path, line, text, regexp_extract(text, '{extract._TS_CLASS}', 1) AS o, regexp_extract(text, '{_MEMBER}', 1) AS m FROM l WHERE {_EXT} IN {_SCRIPT}),
+z AS (SELECT *, last_value(CASE WHEN o <> '' THEN o WHEN starts_with(text, '}}') THEN '' END IGNORE NULLS) OVER (PARTITION BY workspace, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM v),
+xx AS (SELECT * FROM x UNION ALL SELECT workspace, path, held || '.' || m, 'method', line::INT, text FROM z WHERE m <> '' AND held <> '' AND m NOT IN {_WORDS}),
+y AS (""").replace("AS a FROM x WHERE", "AS a FROM xx WHERE"),
         "import_edges": f"WITH {_IMPORTS} SELECT workspace, from_path, to_specifier, line FROM im",
         "call_edges": f"WITH {SQL_CORPUS}, {SQL_LINES}, {_CALLS} SELECT workspace, from_path, to_name, line FROM cl",
         "resolve_imports": f"WITH {_resolved_sql()} SELECT workspace, from_path, to_specifier, line, to_path FROM ri",
         "resolve_targets": rf"""WITH {_resolved_sql()}, {SQL_SYMBOLS}, {_CALLS}, nm AS (SELECT DISTINCT cl.workspace, cl.to_name, s.path AS to_path FROM (SELECT DISTINCT workspace, to_name FROM cl) cl JOIN s ON s.workspace = cl.workspace AND string_split(s.name, '.')[-1] = string_split(cl.to_name, '.')[-1] AND (s.name = cl.to_name OR suffix(s.name, '.' || cl.to_name))),
 oy AS (SELECT workspace, to_name, count(*) AS n, min(to_path) AS one FROM nm GROUP BY ALL), im2 AS (SELECT x.workspace, x.from_path, x.to_name, min(x.to_path) AS imp FROM (SELECT DISTINCT cl.workspace, cl.from_path, cl.to_name, ri.to_path FROM cl JOIN ri ON ri.workspace = cl.workspace AND ri.from_path = cl.from_path WHERE ri.to_path IS NOT NULL) x JOIN nm USING (workspace, to_name, to_path) GROUP BY ALL)
 SELECT cl.workspace, cl.from_path, cl.to_name, cl.line, CASE WHEN oy.n = 1 THEN oy.one ELSE coalesce(sm.to_path, im2.imp) END AS to_path FROM cl LEFT JOIN oy ON oy.workspace = cl.workspace AND oy.to_name = cl.to_name LEFT JOIN nm sm ON sm.workspace = cl.workspace AND sm.to_name = cl.to_name AND sm.to_path = cl.from_path LEFT JOIN im2 ON im2.workspace = cl.workspace AND im2.from_path = cl.from_path AND im2.to_name = cl.to_name""",
-        "changed_symbols": f"""WITH {SQL_CORPUS}, {SQL_LINES}, {SQL_SYMBOLS}, x AS (SELECT DISTINCT s.workspace, s.path, s.name, s.line FROM s JOIN l ON l.workspace = s.workspace AND l.path = s.path AND l.line BETWEEN s.line AND s.end_line WHERE l.line % 50 = 0 AND regexp_extract(l.path, '\\.([^./]+)$', 1) IN ('py', 'go', 'ts', 'js', 'mjs', 'cjs'))
+        "changed_symbols": f"""WITH {SQL_CORPUS}, {SQL_LINES}, {SQL_SYMBOLS}, ol AS (SELECT workspace, path, rtrim(unnest(string_split(arg_min(content, mtime_ms), chr(10))), chr(13)) AS text FROM corpus WHERE {_EXT} IN {T.SYMBOL_EXTENSIONS} GROUP BY workspace, path),
+nl AS (SELECT * FROM l WHERE {_EXT} IN {T.SYMBOL_EXTENSIONS} AND NOT EXISTS (SELECT 1 FROM ol WHERE ol.workspace = l.workspace AND ol.path = l.path AND ol.text = l.text)),
+x AS (SELECT DISTINCT s.workspace, s.path, s.name, s.line FROM s JOIN nl ON nl.workspace = s.workspace AND nl.path = s.path AND nl.line BETWEEN s.line AND s.end_line)
 SELECT workspace, path, name, line FROM (SELECT *, row_number() OVER (PARTITION BY workspace, path ORDER BY line, name) AS r FROM x) WHERE r <= 6""",
         "parse_agreement": f"WITH {SQL_FILES}, p AS (SELECT DISTINCT ON (workspace, path) workspace, path, language AS rep FROM parse_results) SELECT {_LANG.replace('path', 'f.path')} AS scanned, {_canonical('rep')} AS reported, count(*) AS n FROM f LEFT JOIN p ON p.workspace = f.workspace AND p.path = f.path GROUP BY ALL",
         "impact_definitions": f"WITH {SQL_SYMBOLS}, x AS (SELECT DISTINCT workspace, path, line, name, (name = '{NAME}')::INT AS e FROM s WHERE name = '{NAME}' OR suffix(name, '.{NAME}')), o AS (SELECT *, row_number() OVER (ORDER BY e DESC, workspace, path, line, name) AS rank FROM x) SELECT workspace, path, line, name, rank FROM o WHERE rank <= 20",

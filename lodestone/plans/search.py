@@ -14,7 +14,7 @@ from lodestone.operators.extract import import_edges
 from lodestone.plans.common import (
     SQL_CHUNKS, SQL_CORPUS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, TERMS, WORKSPACE, bm25_sql, chunks_of, corpus_of, files_of, named_chunks, named_symbols, notes_of, symbols_of,
 )
-from lodestone.sources.storage import cut_lineage
+from lodestone.sources.storage import folder_exists, shared_folder
 from lodestone.sources.tables import table
 
 QUERY, NAME = "validate token cache", "loadPolicy"
@@ -36,8 +36,8 @@ def notes_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_union(s: SparkSession, d: str) -> DataFrame:
-    files = cut_lineage(corpus_of(s, d).groupBy("path").agg(F.max("content").alias("text")))
-    return search.lexical_union(named_symbols(s, d), cut_lineage(named_chunks(s, d)), files, PHRASES, 20)
+    files = corpus_of(s, d).select("workspace", "path", F.col("content").alias("text"))
+    return search.lexical_union(named_symbols(s, d), named_chunks(s, d), files, PHRASES, 20)
 
 
 def bm25_batch(s: SparkSession, d: str) -> DataFrame:
@@ -90,19 +90,23 @@ def lsh_sizes(s: SparkSession, d: str) -> DataFrame:
     return search.lsh_buckets(table(s, d, "embeddings"), "vec_id", "embedding", 64).groupBy("table_id", "bucket").agg(F.count("*").alias("n"))
 
 
+def _document_lines(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.select("doc_id", (F.col("i") + 1).alias("n"), "line").where(F.trim("line") != "")
+
+
 def classify_queries(s: SparkSession, d: str) -> DataFrame:
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(s, d, "documents").where("text is not null").select("doc_id", T.classify_query(first).alias("kind"))
+    """Every line of every document as a query."""
+    return _document_lines(s, d).select("doc_id", "n", T.classify_query(F.col("line")).alias("kind"))
 
 
 def classify_intents(s: SparkSession, d: str) -> DataFrame:
-    low = F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[^ -~]", " ")
-    return table(s, d, "documents").where("text is not null").select("doc_id", T.classify_intent(low).alias("intent")).groupBy("intent").agg(F.count("*").alias("n"))
+    """Every line of every document as a prompt."""
+    return _document_lines(s, d).groupBy("doc_id", T.classify_intent(F.col("line")).alias("intent")).agg(F.count("*").alias("n"))
 
 
 def query_signals(s: SparkSession, d: str) -> DataFrame:
-    ascii_only = F.regexp_replace("text", "[^ -~]", " ")
-    return notes_of(s, d).where("text is not null").select("id", F.array_join(T.query_signals(ascii_only), "|").alias("signals"))
+    return notes_of(s, d).where("text is not null").select("id", F.array_join(T.query_signals(F.col("text")), "|").alias("signals"))
 
 
 def identifier_tokens(s: SparkSession, d: str) -> DataFrame:
@@ -110,18 +114,26 @@ def identifier_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def grep_pattern(s: SparkSession, d: str) -> DataFrame:
-    keyed = corpus_of(s, d).groupBy("path").agg(F.max("content").alias("content"))
-    return grep.grep_lines(keyed, PATTERN, None).select("path", "line", "text")
+    return grep.grep_lines(corpus_of(s, d), PATTERN, None).select("workspace", "path", "line", "text")
+
+
+def stored_postings(s: SparkSession, d: str) -> DataFrame:
+    """The n-gram postings of the whole corpus as an index holds them, in folders by the first two digits of the hash:
+    written once for a session and folder, read by every further query.
+    """
+    at = f"{shared_folder(s)}/ngrams-{s.sparkContext.applicationId}-{abs(hash(d)):x}"
+    if not folder_exists(s, f"{at}/_SUCCESS"):
+        grep.ngram_postings(corpus_of(s, d)).withColumn("part", F.substring("hash", 1, 2)).repartition("part").write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(at)
+    return s.read.schema("hash string, workspace string, path string, part string").parquet(at)
 
 
 def grep_literal(s: SparkSession, d: str) -> DataFrame:
-    keyed = corpus_of(s, d).groupBy("path").agg(F.max("content").alias("content"))
-    return grep.grep_fast(keyed, grep.ngram_postings(keyed), NAME, None).select("path", "line", "snippet")
+    corpus = corpus_of(s, d)
+    return grep.grep_fast(corpus, stored_postings(s, d), NAME, None).select("workspace", "path", "line", "snippet")
 
 
 def ngram_sizes(s: SparkSession, d: str) -> DataFrame:
-    postings = grep.ngram_postings(corpus_of(s, d).groupBy("path").agg(F.max("content").alias("content")))
-    return postings.groupBy("hash").agg(F.count("*").alias("n_paths"))
+    return grep.ngram_postings(corpus_of(s, d)).groupBy("hash").agg(F.count("*").alias("n_paths"))
 
 
 def symbol_lookup(s: SparkSession, d: str) -> DataFrame:
@@ -137,8 +149,8 @@ def recent_symbols(s: SparkSession, d: str) -> DataFrame:
 
 
 def merged_hits(s: SparkSession, d: str) -> DataFrame:
-    chunks = cut_lineage(named_chunks(s, d))
-    scored = chunks.join(search.bm25(chunks, "id", "text", PHRASES), "id")
+    chunks = named_chunks(s, d)
+    scored = chunks.drop("text").join(search.bm25(chunks, "id", "text", PHRASES), "id")
     hits = scored.select("workspace", "path", "line", F.col("name").alias("symbol"), F.round("score", 6).alias("score"))
     return lookup.merge_per_file(hits)
 
@@ -215,7 +227,7 @@ def ir_gate(s: SparkSession, d: str) -> DataFrame:
 
 
 def bench_report(s: SparkSession, d: str) -> DataFrame:
-    chunks = chunks_of(s, d).where("workspace is not null and symbol_id % 50 = 0")
+    chunks = chunks_of(s, d).where("workspace is not null")
     files = F.col("path")
     tasks = chunks.select(F.col("symbol_id").alias("task_id"), "workspace", T.token_estimate(F.length(F.coalesce("text", F.lit("")))).alias("injected"), F.array(files).alias("paths"))
     return evaluation.bench_report(tasks, files_of(s, d))
@@ -282,8 +294,8 @@ def _hash_topk_sql() -> str:
 
 
 _NAMED = "nc AS (SELECT symbol_id AS id, h.workspace, h.path, s.name, s.line, concat_ws(chr(10), h.header, h.text) AS text FROM h JOIN s ON s.id = h.symbol_id)"
-_KEYED = "k AS (SELECT path, max(content) AS content FROM c GROUP BY path)"
-_KEYED_LINES = "kl AS (SELECT path, unnest(generate_series(1, len(a))) AS line, rtrim(unnest(a), chr(13)) AS text, list_transform(a, lambda x: rtrim(x, chr(13))) AS a FROM (SELECT path, string_split(content, chr(10)) AS a FROM k))"
+_KEYED_LINES = "kl AS (SELECT workspace, path, unnest(generate_series(1, len(a))) AS line, rtrim(unnest(a), chr(13)) AS text, list_transform(a, lambda x: rtrim(x, chr(13))) AS a FROM (SELECT workspace, path, string_split(content, chr(10)) AS a FROM c))"
+_DOC_LINES = "dl AS (SELECT * FROM (SELECT doc_id, unnest(generate_series(1, len(a))) AS n, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(line) <> '')"
 _COVER = """hit AS (SELECT id AS hit_id, workspace, path, line + 2 AS line, coalesce(signature, '') AS snippet FROM s),
 sp AS (SELECT DISTINCT workspace, path, least(start_line, end_line) AS b, greatest(start_line, end_line) AS e FROM h WHERE start_line IS NOT NULL AND end_line IS NOT NULL),
 cv AS (SELECT hit_id, b, e FROM (SELECT hit_id, b, e, row_number() OVER (PARTITION BY hit_id ORDER BY (b <> line)::INT, e - b, b) AS r FROM hit JOIN sp USING (workspace, path) WHERE line BETWEEN b AND e) WHERE r = 1)"""
@@ -324,12 +336,12 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": f"WITH {bm25_sql('documents', 'doc_id', 'text', TERMS)} {_top('bm', 'doc_id', 20)}",
         "bm25_prefix_topk": f"WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {_NAMED}, {bm25_sql('nc', 'id', 'text', PHRASES)} {_top('bm', 'id', 20)}",
         "notes_bm25_topk": f"WITH n AS (SELECT id, concat_ws(' ', text, tags, paths) AS text FROM memories), {bm25_sql('n', 'id', 'text', TERMS)} {_top('bm', 'id', 20)}",
-        "lexical_union": f"""WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {SQL_CORPUS}, {_NAMED}, ns AS (SELECT id, path, name, line, concat_ws(' ', name, tokens, signature, path) AS text FROM s),
-fl AS (SELECT path, max(content) AS text FROM c WHERE path NOT IN (SELECT path FROM nc) GROUP BY path), {bm25_sql('ns', 'id', 'text', PHRASES, 'a')}, {bm25_sql('nc', 'id', 'text', PHRASES, 'b')}, {bm25_sql('fl', 'path', 'text', PHRASES, 'e')},
-u AS ((SELECT path, line, name AS symbol, 'symbols' AS source, round(score, 6) AS score FROM a JOIN ns USING (id) ORDER BY score DESC, path, line, symbol LIMIT 60)
-UNION ALL (SELECT path, line, name, 'chunks', round(score * 0.9, 6) AS sc FROM b JOIN nc USING (id) ORDER BY sc DESC, path, line, name LIMIT 40)
-UNION ALL (SELECT id, 0, '', 'files', round(score * 0.8, 6) AS sc FROM e ORDER BY sc DESC, id LIMIT 20))
-SELECT path, line, symbol, source, score FROM (SELECT *, row_number() OVER (PARTITION BY path, line, symbol ORDER BY score DESC, source) AS r FROM u) WHERE r = 1 ORDER BY score DESC, path, line, symbol LIMIT 20""",
+        "lexical_union": f"""WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {SQL_CORPUS}, {_NAMED}, ns AS (SELECT id, workspace, path, name, line, concat_ws(' ', name, tokens, signature, path) AS text FROM s),
+fl AS (SELECT struct_pack(w := workspace, p := path) AS key, content AS text FROM c WHERE NOT EXISTS (SELECT 1 FROM nc WHERE nc.workspace = c.workspace AND nc.path = c.path)), {bm25_sql('ns', 'id', 'text', PHRASES, 'a')}, {bm25_sql('nc', 'id', 'text', PHRASES, 'b')}, {bm25_sql('fl', 'key', 'text', PHRASES, 'e')},
+u AS ((SELECT workspace, path, line, name AS symbol, 'symbols' AS source, round(score, 6) AS score FROM a JOIN ns USING (id) ORDER BY score DESC, workspace, path, line, symbol LIMIT 60)
+UNION ALL (SELECT workspace, path, line, name, 'chunks', round(score * 0.9, 6) AS sc FROM b JOIN nc USING (id) ORDER BY sc DESC, workspace, path, line, name LIMIT 40)
+UNION ALL (SELECT id.w, id.p, 0, '', 'files', round(score * 0.8, 6) AS sc FROM e ORDER BY sc DESC, id.w, id.p LIMIT 20))
+SELECT workspace, path, line, symbol, source, score FROM (SELECT *, row_number() OVER (PARTITION BY workspace, path, line, symbol ORDER BY score DESC, source) AS r FROM u) WHERE r = 1 ORDER BY score DESC, workspace, path, line, symbol LIMIT 20""",
         "bm25_batch": f"WITH {_batch_sql()} SELECT query_id, id, score, rank FROM hits",
         "cosine_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), x AS (SELECT vec_id AS id, round(list_inner_product(embedding::DOUBLE[], q), 4) AS score FROM embeddings, q), bm AS (SELECT * FROM x WHERE score >= 0.12) " + _top("bm", "vec_id", 8, 4),
         "rrf_fusion": f"WITH {bm25_sql('documents', 'doc_id', 'text', TERMS[:2], 'a')}, {bm25_sql('documents', 'doc_id', 'text', TERMS[2:], 'b')}, ra AS ({_top('a', 'doc_id', 20, cte='a')}), rb AS ({_top('b', 'doc_id', 20, cte='b')}), bm AS (SELECT doc_id AS id, sum(1.0 / (60 + rank)) AS score FROM (SELECT doc_id, rank FROM ra UNION ALL SELECT doc_id, rank FROM rb) GROUP BY doc_id) {_top('bm', 'doc_id', 20, 9)}",
@@ -338,18 +350,18 @@ SELECT path, line, symbol, source, score FROM (SELECT *, row_number() OVER (PART
         "hash_embedding_topk": f"WITH {_hash_topk_sql()} {_top('hs', 'doc_id', 20, 4, cte='hs')}",
         "symbol_embedding_input": f"WITH {SQL_SYMBOLS}, {SQL_CHUNKS} SELECT symbol_id, concat_ws(' ', name, s.kind) || chr(10) || coalesce(text, '') AS input FROM h JOIN s ON s.id = h.symbol_id",
         "rerank_overlap": f"WITH {bm25_sql('documents', 'doc_id', 'text', TERMS)}, r AS ({_top('bm', 'doc_id', 20)}), o AS (SELECT doc_id, score, round(len(list_intersect(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), {sorted({p for p, x in search.phrases_of(DOC_QUERY) if not x})!r}))::DOUBLE / {len({p for p, x in search.phrases_of(DOC_QUERY) if not x})}, 6) AS overlap FROM r JOIN documents USING (doc_id)) SELECT doc_id, score, overlap FROM o ORDER BY overlap DESC, score DESC, doc_id LIMIT 8",
-        "classify_query": r"""WITH q AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS q FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN regexp_matches(q, '^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)*$') THEN 'identifier' WHEN contains(q, ' ') AND regexp_matches(q, '[a-z]{3,}') AND NOT regexp_matches(q, '[A-Z]{2,}') THEN 'natural' ELSE 'mixed' END AS kind FROM q""",
-        "classify_intent": r"""WITH q AS (SELECT trim(regexp_replace(split_part(text, chr(10), 1), '[^ -~]', ' ', 'g')) AS q FROM documents WHERE text IS NOT NULL), w AS (SELECT q, ' ' || lower(q) || ' ' AS l FROM q),
-i AS (SELECT CASE WHEN q = '' THEN 'meta' WHEN regexp_matches(q, '[A-Z][a-z]+[A-Z]|[a-z]+[A-Z][a-zA-Z]|[a-z]+_[a-z]+|\.[A-Za-z0-9_]+\(|[A-Za-z0-9_./-]+\.[a-zA-Z]{1,5}([^A-Za-z0-9_]|$)|`[^`]+`') THEN 'code'
+        "classify_query": f"WITH {_DOC_LINES}, " + r"""q AS (SELECT doc_id, n, trim(line) AS q FROM dl)
+SELECT doc_id, n, CASE WHEN regexp_matches(q, '^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)*$') THEN 'identifier' WHEN contains(q, ' ') AND regexp_matches(q, '[a-z]{3,}') AND NOT regexp_matches(q, '[A-Z]{2,}') THEN 'natural' ELSE 'mixed' END AS kind FROM q""",
+        "classify_intent": f"WITH {_DOC_LINES}, " + r"""q AS (SELECT doc_id, trim(line) AS q FROM dl), w AS (SELECT doc_id, q, ' ' || lower(q) || ' ' AS l FROM q),
+i AS (SELECT doc_id, CASE WHEN q = '' THEN 'meta' WHEN regexp_matches(q, '[A-Z][a-z]+[A-Z]|[a-z]+[A-Z][a-zA-Z]|[a-z]+_[a-z]+|\.[A-Za-z0-9_]+\(|[A-Za-z0-9_./-]+\.[a-zA-Z]{1,5}([^A-Za-z0-9_]|$)|`[^`]+`') THEN 'code'
 WHEN regexp_matches(l, '^ (stop|done|thanks|thank you)[^a-z0-9_]|[^a-z0-9_]explain what you (did|just did|changed)[^a-z0-9_]|[^a-z0-9_](commit|push|merge|revert|stash|summarize|pull request|thanks|thank you|pr)[^a-z0-9_]') THEN 'meta'
-WHEN regexp_matches(l, '[^a-z0-9_](explain|why|how does|what is|tell me about)[^a-z0-9_]') THEN 'question' ELSE 'code' END AS intent FROM w) SELECT intent, count(*) AS n FROM i GROUP BY intent""",
-        "query_signals": r"""WITH t AS (SELECT id, regexp_replace(text, '[^ -~]', ' ', 'g') AS t FROM memories WHERE text IS NOT NULL),
+WHEN regexp_matches(l, '[^a-z0-9_](explain|why|how does|what is|tell me about)[^a-z0-9_]') THEN 'question' ELSE 'code' END AS intent FROM w) SELECT doc_id, intent, count(*) AS n FROM i GROUP BY ALL""",
+        "query_signals": r"""WITH t AS (SELECT id, text AS t FROM memories WHERE text IS NOT NULL),
 a AS (SELECT id, list_filter(list_transform(list_concat(regexp_extract_all(t, '`([^`]+)`', 1), regexp_extract_all(t, '([\w./-]+\.[a-zA-Z]{1,5})\b', 1), regexp_extract_all(t, '\b([A-Z][a-zA-Z0-9]*[A-Z][A-Za-z0-9]*)\b', 1), regexp_extract_all(t, '\b([a-z]+[A-Z][A-Za-z0-9]*)\b', 1), regexp_extract_all(t, '\b([a-z]+_[a-z0-9_]+)\b', 1)), lambda x: trim(x)), lambda x: length(x) >= 2) AS a FROM t),
 l AS (SELECT id, a, list_transform(a, lambda x: lower(x)) AS l FROM a) SELECT id, coalesce(array_to_string(list_filter(a, lambda x, i: list_position(l, lower(x)) = i)[1:12], '|'), '') AS signals FROM l""",
         "tokenize_identifier": f"WITH {SQL_SYMBOLS}, {_identifier_sql()} SELECT id, tokens FROM tk",
-        "grep_lines": f"WITH {SQL_CORPUS}, {_KEYED}, {_KEYED_LINES} SELECT path, line, text FROM kl WHERE regexp_matches(text, '{grep_rx}')",
-        "grep_prefilter": f"WITH {SQL_CORPUS}, {_KEYED}, {_KEYED_LINES} SELECT path, line, substr(array_to_string(list_transform(a[greatest(line - 2, 1):line + 2], lambda x, i: (i + greatest(line - 2, 1) - 1)::VARCHAR || '| ' || x), chr(10)), 1, 800) AS snippet FROM kl WHERE contains(text, '{NAME}')",
+        "grep_lines": f"WITH {SQL_CORPUS}, {_KEYED_LINES} SELECT workspace, path, line, text FROM kl WHERE regexp_matches(text, '{grep_rx}')",
+        "grep_prefilter": f"WITH {SQL_CORPUS}, {_KEYED_LINES} SELECT workspace, path, line, substr(array_to_string(list_transform(a[greatest(line - 2, 1):line + 2], lambda x, i: (i + greatest(line - 2, 1) - 1)::VARCHAR || '| ' || x), chr(10)), 1, 800) AS snippet FROM kl WHERE contains(text, '{NAME}')",
         "symbol_lookup": f"""WITH {SQL_SYMBOLS}, x AS (SELECT DISTINCT workspace, path, line, name, kind, CASE WHEN name = 'policy' THEN 0 WHEN starts_with(lower(name), 'policy') THEN 1 ELSE 2 END AS tier FROM s WHERE contains(lower(name), 'policy')),
 o AS (SELECT *, row_number() OVER (ORDER BY tier, length(name), name, workspace, path, line) AS r FROM x) SELECT workspace, path, line, name, kind, 31 - r AS score FROM o WHERE r <= 30""",
         "list_paths": f"WITH {SQL_FILES} SELECT DISTINCT workspace, path FROM f WHERE starts_with(path, 'services/') ORDER BY path, workspace LIMIT 40",
@@ -373,7 +385,7 @@ fin AS (SELECT rg.hit_id, bd.f1 AS first, bd.l1 AS last, coalesce(CASE WHEN trim
 SELECT hit_id, first, last, length(sn)::INT AS n_chars, md5(sn) AS body, length(trim(sn)) >= 24 AND first IS NOT NULL AS quality FROM fin""",
         "ir_metrics": f"WITH {_metrics_sql()} SELECT query_id, recall5::DOUBLE AS recall5, recall10::DOUBLE AS recall10, rr::DOUBLE AS rr, ndcg10::DOUBLE AS ndcg10 FROM m",
         "ir_gate": f"WITH {_metrics_sql()}, a AS (SELECT round(avg(recall5::DOUBLE), 4) AS recall5, round(avg(rr::DOUBLE), 4) AS mrr, round(avg(ndcg10::DOUBLE), 4) AS ndcg10 FROM m) SELECT metric, value, floor, value >= floor AS passed FROM (SELECT 'recall5' AS metric, recall5 AS value, 0.5::DOUBLE AS floor FROM a UNION ALL SELECT 'mrr', mrr, 0.6 FROM a UNION ALL SELECT 'ndcg10', ndcg10, 0.45 FROM a)",
-        "bench_report": f"""WITH {SQL_CHUNKS}, {SQL_FILES}, t AS (SELECT symbol_id AS task_id, workspace, path, ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS injected FROM h WHERE workspace IS NOT NULL AND symbol_id % 50 = 0),
+        "bench_report": f"""WITH {SQL_CHUNKS}, {SQL_FILES}, t AS (SELECT symbol_id AS task_id, workspace, path, ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS injected FROM h WHERE workspace IS NOT NULL),
 w AS (SELECT workspace, ceil(count(*) * 40 / 4.0)::BIGINT AS walk FROM f GROUP BY workspace)
 SELECT task_id, injected, (coalesce(walk, 0) + coalesce(least(ceil(coalesce(size, 0) / 4.0)::BIGINT, 8000), 0) * (f.path IS NOT NULL)::INT)::BIGINT AS baseline, (coalesce(walk, 0) + coalesce(least(ceil(coalesce(size, 0) / 4.0)::BIGINT, 8000), 0) * (f.path IS NOT NULL)::INT - injected)::BIGINT AS net FROM t LEFT JOIN w USING (workspace) LEFT JOIN f ON f.workspace = t.workspace AND f.path = t.path""",
     }

@@ -188,7 +188,7 @@ _DERIVED = "injected_tokens + response_tokens AS spent, avoided_window + avoided
 _SUMMARY = """count(*) AS events, count(*) FILTER (WHERE event_type = 'inject') AS injects, count(*) FILTER (WHERE event_type = 'inject' AND NOT coalesce(no_prompt, FALSE)) AS asked,
 round(count(*) FILTER (WHERE event_type = 'inject' AND NOT coalesce(no_prompt, FALSE) AND hits > 0)::DOUBLE / nullif(count(*) FILTER (WHERE event_type = 'inject' AND NOT coalesce(no_prompt, FALSE)), 0), 6) AS hit_rate,
 round(count(*) FILTER (WHERE event_type = 'inject' AND intent = 'code' AND hits > 0)::DOUBLE / nullif(count(*) FILTER (WHERE event_type = 'inject' AND intent = 'code'), 0), 6) AS code_hit_rate,
-quantile_disc(CASE WHEN event_type = 'inject' THEN delta_ms END, 0.5) AS p50_delta_ms, count(*) FILTER (WHERE event_type = 'inject' AND (coalesce(timed_out_delta, FALSE) OR coalesce(timed_out_retrieve, FALSE))) AS timeouts,
+list_sort(list(delta_ms) FILTER (WHERE event_type = 'inject' AND delta_ms IS NOT NULL))[count(delta_ms) FILTER (WHERE event_type = 'inject') // 2 + 1] AS p50_delta_ms, count(*) FILTER (WHERE event_type = 'inject' AND (coalesce(timed_out_delta, FALSE) OR coalesce(timed_out_retrieve, FALSE))) AS timeouts,
 count(*) FILTER (WHERE event_type = 'index') AS indexes, count(*) FILTER (WHERE event_type = 'doctor') AS doctors"""
 _AGE = f"CASE WHEN {{0}} IS NULL THEN 1e9 ELSE greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us({{0}}), 0) / 86400000000.0 END"
 _USED = "coalesce(last_used_at, created_at)"
@@ -221,7 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "dual_scope": f"{j}, m AS (SELECT 'global' AS scope, * FROM j UNION ALL SELECT 'project', * FROM j WHERE workspace = '{WORKSPACE}'), x AS (SELECT scope, count(*) AS events, count(*) FILTER (WHERE workspace IS NULL) AS untagged, {_LEDGER} FROM m GROUP BY scope), y AS (SELECT *, {_DERIVED} FROM x) SELECT scope, events, untagged, injects, spent, avoided, net FROM y",
         "session_claims": f"{j}, p AS (SELECT coalesce(session, workspace) AS scope, event_id, unnest(paths) AS path FROM j WHERE event_type = 'mcp' AND ok) SELECT scope, path, min(event_id) AS event_id FROM p WHERE scope IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2",
         "repeat_reads": f"{j}, p AS (SELECT DISTINCT workspace, event_id, unnest(paths) AS path FROM j WHERE event_type = 'mcp' AND workspace IS NOT NULL) SELECT workspace, path, count(*) AS reads FROM p GROUP BY 1, 2 HAVING count(*) >= 2",
-        "prior_reads": f"{j}, p AS (SELECT DISTINCT workspace, event_id, unnest(paths) AS path FROM j WHERE event_type = 'mcp' AND workspace IS NOT NULL), q AS (SELECT *, dense_rank() OVER (PARTITION BY workspace ORDER BY event_id) AS seq FROM p) SELECT workspace, event_id, path, count(*) OVER (PARTITION BY workspace, path ORDER BY seq RANGE BETWEEN 500 PRECEDING AND 1 PRECEDING) AS prior FROM q",
+        "prior_reads": f"{j}, p AS (SELECT DISTINCT coalesce(session, workspace) AS scope, event_id, unnest(paths) AS path FROM j WHERE event_type = 'mcp'), q AS (SELECT *, dense_rank() OVER (PARTITION BY scope ORDER BY event_id) AS seq FROM p WHERE scope IS NOT NULL) SELECT scope, event_id, path, count(*) OVER (PARTITION BY scope, path ORDER BY seq RANGE BETWEEN 500 PRECEDING AND 1 PRECEDING) AS prior FROM q",
         "hook_liveness": f"{j}, e AS (SELECT unnest({list(kinds)}) AS event_type), g AS (SELECT event_type, count(*) AS n, max(at_ts) AS last_at FROM j GROUP BY 1) SELECT e.event_type, coalesce(n, 0) AS n, last_at, CASE WHEN n IS NULL THEN 'never' WHEN last_at < TIMESTAMP '{AS_OF}' - INTERVAL 14 DAYS THEN 'stale' ELSE 'fired' END AS status FROM e LEFT JOIN g USING (event_type)",
         "usage_advice": f"{ws} SELECT workspace, array_to_string(list_filter([CASE WHEN events = 0 THEN 'no events' END, CASE WHEN asked > 0 AND hit_rate < 0.25 THEN 'reindex' END, CASE WHEN calls = 0 THEN 'tools unused' END, CASE WHEN net < 0 THEN 'prefer windows over files' END, CASE WHEN timeouts > 0 THEN 'index live' END], lambda x: x IS NOT NULL), '; ') AS advice FROM a JOIN b USING (workspace)",
         "health_classes": f"{ws} SELECT workspace, CASE WHEN hit_rate IS NULL THEN NULL WHEN hit_rate >= 0.5 THEN 'ok' WHEN hit_rate >= 0.25 THEN 'warn' ELSE 'bad' END AS hit_rate, CASE WHEN net > 0 THEN 'ok' WHEN net = 0 THEN 'warn' ELSE 'bad' END AS net, CASE WHEN timeouts = 0 THEN 'ok' WHEN timeouts <= 3 THEN 'warn' ELSE 'bad' END AS timeouts FROM a JOIN b USING (workspace)",
@@ -239,8 +239,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seen DESC, path)
         "decay_prune": f"SELECT id FROM (SELECT id, kind, use_count, coalesce({_AGE.format(_USED)}, 1e9) AS age FROM memories) WHERE lower(trim(kind)) <> 'session' AND age >= 60 AND 0.25 * pow(0.5, age / 30.0) + 0.15 * least(1.0, coalesce(use_count, 0) / 5.0) < 0.02",
         "session_cap": "SELECT workspace, id FROM (SELECT workspace, id, row_number() OVER (PARTITION BY workspace ORDER BY created_at DESC NULLS LAST, id DESC) AS r FROM memories WHERE lower(trim(kind)) = 'session') WHERE r > 5",
         "distill_notes": "SELECT id, lower(trim(kind)) AS kind, coalesce(use_count, 0) AS uses FROM memories WHERE lower(trim(kind)) <> 'session' AND trim(coalesce(text, '')) <> '' ORDER BY uses DESC, id DESC LIMIT 30",
-        "stale_notes": f"""WITH {SQL_FILES}, p AS (SELECT id, unnest(string_split(path_hashes, ',')) AS pair FROM memories WHERE path_hashes IS NOT NULL), q AS (SELECT id, regexp_extract(pair, '^(.*):([^:]*)$', 1) AS path, regexp_extract(pair, '^(.*):([^:]*)$', 2) AS was FROM p WHERE contains(pair, ':')),
-x AS (SELECT id, EXISTS (SELECT 1 FROM f WHERE f.path = q.path AND starts_with(f.hash, q.was)) AS fresh FROM q) SELECT id, count(*) AS n_paths, count(*) FILTER (WHERE NOT fresh) AS n_stale FROM x GROUP BY id HAVING count(*) FILTER (WHERE NOT fresh) > 0""",
+        "stale_notes": f"""WITH {SQL_FILES}, p AS (SELECT id, workspace, unnest(string_split(path_hashes, ',')) AS pair FROM memories WHERE path_hashes IS NOT NULL), q AS (SELECT id, workspace, regexp_extract(pair, '^(.*):([^:]*)$', 1) AS path, regexp_extract(pair, '^(.*):([^:]*)$', 2) AS was FROM p WHERE contains(pair, ':')),
+x AS (SELECT id, EXISTS (SELECT 1 FROM f WHERE f.workspace = q.workspace AND f.path = q.path AND starts_with(f.hash, q.was)) AS fresh FROM q) SELECT id, count(*) AS n_paths, count(*) FILTER (WHERE NOT fresh) AS n_stale FROM x GROUP BY id HAVING count(*) FILTER (WHERE NOT fresh) > 0""",
         "session_notes": f"""{j}, t AS (SELECT DISTINCT coalesce(session, workspace) AS scope, unnest(paths) AS path FROM j), g AS (SELECT scope, list_sort(list(path)) AS p FROM t WHERE path IS NOT NULL AND scope IS NOT NULL GROUP BY scope)
 SELECT scope, 'edited ' || array_to_string(p[1:5], ', ') || CASE WHEN len(p) > 5 THEN ' (+' || (len(p) - 5) || ' more)' ELSE '' END AS text FROM g""",
         "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",

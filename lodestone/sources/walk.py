@@ -11,10 +11,12 @@ from lodestone.functions.text import SYMBOL_EXTENSIONS, TEXT_EXTENSIONS, extensi
 def walk_corpus(spark: SparkSession, root: str, workspace: str, extra_rules: tuple[str, ...] = (), most_bytes: int = 1_500_000) -> DataFrame:
     """(workspace, path, content, mtime_ms, size) of the indexable files below a folder.
 
-    Ignored folders and patterns, other extensions and files above 1.5 MB are left out before their
-    content is read; bytes that are not UTF-8 become replacement characters.
+    Other extensions are never listed, and the content of files above 1.5 MB is never read. Files in ignored
+    folders and of ignored patterns are left out, though read. Bytes that are not UTF-8 become
+    replacement characters.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = ",".join(e for x in (*SYMBOL_EXTENSIONS, *TEXT_EXTENSIONS) for e in (x, x.upper()))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{listed}}}").load(root)
     base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
     path = F.expr("substring(path, instr(path, base) + length(base))")
     listed = found.withColumn("base", base).withColumn("rel", path)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestone.operators.index import replace_paths, without_paths
+from lodestone.operators.index import without_paths
 from lodestone.operators.journal import ledger_columns, scope_key
+from lodestone.sources.storage import cut_lineage, folder_exists, partition_folder, remove_folder
 
 
 def with_event_time(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -40,38 +41,65 @@ def session_totals(events: DataFrame, gap: str = "30 minutes", delay: str = "1 h
     return grouped.select("workspace", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _remember(most: int) -> Callable:
+def _remember(most: int, idle_ms: int) -> Callable:
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent, latest = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         last = 0
         for batch in batches:
+            if latest and int(batch["at"].min().timestamp() * 1000) - latest > idle_ms:
+                recent = []
             for event_id, path in batch.sort_values("event_id")[["event_id", "path"]].itertuples(index=False):
                 recent = [path, *(p for p in recent if p != path)][:most]
                 last = max(last, int(event_id))
-        state.update((recent,))
+            latest = max(latest, int(batch["at"].max().timestamp() * 1000))
+        state.update((recent, latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"scope": [key[0]], "last_event": [last], "paths": [",".join(recent)]})
 
     return update
 
 
-def turn_states(events: DataFrame, most: int = 20) -> DataFrame:
-    """(scope, last_event, paths) after every batch: each session's last 20 distinct paths, kept as state of that size."""
-    paths = events.select(scope_key().alias("scope"), "event_id", F.explode("paths").alias("path")).where("scope is not null and path is not null")
-    return paths.groupBy("scope").applyInPandasWithState(_remember(most), "scope string, last_event bigint, paths string", "paths array<string>", "update", GroupStateTimeout.NoTimeout)
+def turn_states(events: DataFrame, most: int = 20, delay: str = "1 hour", idle_hours: float = 24) -> DataFrame:
+    """(scope, last_event, paths) after every batch: each session's last 20 distinct paths, kept as state of that size.
+
+    A session without events for a day of event time is forgotten. Events without a time are left out.
+    """
+    timed = with_event_time(events, delay).where("at is not null")
+    paths = timed.select("at", scope_key().alias("scope"), "event_id", F.explode("paths").alias("path")).where("scope is not null and path is not null")
+    schema = "scope string, last_event bigint, paths string"
+    return paths.groupBy("scope").applyInPandasWithState(_remember(most, int(idle_hours * 3_600_000)), schema, "paths array<string>, latest bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_files(changes: DataFrame, build: Callable[[DataFrame], DataFrame], read: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, every: str | None = None):
-    """Keep an index table in step with a stream of changes (workspace, path, op, content, ...): op is upsert or delete.
+def upsert_files(changes: DataFrame, build: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, every: str | None = None, parts: int = 64):
+    """Keep an index table in step with a stream of changes (workspace, path, op, seq, content, ...): op is upsert or delete.
 
-    In each micro-batch the last change of a path counts (by ``seq``); rows of changed and deleted paths
-    are replaced by what ``build`` makes of the changed ones. A batch that is run again gives the same table.
+    The table (workspace, path, ...) lies at ``table`` in folders by workspace and ``part``, a hash of the
+    path. In each micro-batch the last change of a path counts (by ``seq``); of the folders that changed paths
+    lie in, and of no others, the rows of these paths are replaced by what ``build`` makes of them. A batch
+    that is run again gives the same table. A null workspace is written as an empty one.
     """
+    placed = lambda df: df.withColumn("workspace", F.coalesce("workspace", F.lit(""))).withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int"))
 
     def apply(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in ("workspace", "path")]
-        last = batch.groupBy("workspace", "path").agg(F.max_by(F.struct(*rest), "seq").alias("v")).select("workspace", "path", "v.*")
-        kept = without_paths(read(), last.where("op = 'delete'"))
-        write(replace_paths(kept, build(last.where("op = 'upsert'"))))
+        last = cut_lineage(placed(batch.groupBy("workspace", "path").agg(F.max_by(F.struct(*rest), "seq").alias("v")).select("workspace", "path", "v.*")))
+        fresh = placed(build(last.where("op = 'upsert'").drop("part")))
+        touched = [(r.workspace, r.part) for r in last.select("workspace", "part").distinct().collect()]  # folders of one micro-batch
+        held = [(w, p) for w, p in touched if folder_exists(spark, f"{table}/{partition_folder(workspace=w, part=p)}")]
+        new = fresh
+        if held:
+            old = spark.read.schema(fresh.schema).option("basePath", table).parquet(*[f"{table}/{partition_folder(workspace=w, part=p)}" for w, p in held])
+            new = without_paths(old.select(*fresh.columns), last).unionByName(fresh)
+        new = cut_lineage(new)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace", "part").parquet(table)
+        filled = {(r.workspace, r.part) for r in new.select("workspace", "part").distinct().collect()}
+        for w, p in held:
+            if (w or "", p) not in {(a or "", b) for a, b in filled}:
+                remove_folder(spark, f"{table}/{partition_folder(workspace=w, part=p)}")
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import components, evaluation, extract, graph, grep, index, journal, lookup, notes, search, windows
 from lodestone.sources import journal as journal_io
 from lodestone.sources.storage import cut_lineage
-from lodestone.sources.tables import latest_versions
+from lodestone.sources.tables import latest_versions, table
 from lodestone.sources.versioned import current_version, read_version, write_version
 
 
@@ -142,6 +142,12 @@ def test_symbols(spark):
     assert {(r.path, r.name, r.kind, r.line) for r in extract.python_symbols(s).collect()} == {("src/billing.py", "InvoiceService", "class", 1), ("src/billing.py", "create_invoice", "function", 2), ("src/billing.py", "calculate_tax", "function", 6), ("crlf.py", "f", "function", 1)}
     assert {(r.name, r.kind) for r in extract.go_symbols(s).collect()} == {("Run", "function"), ("S", "type")}
     assert {(r.name, r.kind, r.line) for r in extract.script_symbols(s).collect()} == {("svc", "const", 3), ("boot", "function", 5), ("Credentials", "interface", 1), ("A", "class", 4)}
+    code = "export class Desk {\n  private open = 1;\n  constructor(a) {\n  }\n  async lend(book: Book): Promise<void> {\n    if (ready(book)) {\n      this.shelf.find(book.id).mark(new Slip(), `x ${y()}`);\n    }\n  }\n  static back() { return super.back(lend(1), 'no()'); } // gone()\n}\nlet late = run(a?.b(), c.d.e());\nfunction alone(x) {\n  return (x);\n}\n"
+    desk = frame(spark, [("w", "desk.ts", code), ("v", "desk.ts", "function other() {}\r\n")], "workspace string, path string, content string")
+    got = {(r.workspace, r.name, r.kind, r.line) for r in extract.script_symbols(desk).collect()}
+    assert got == {("w", "Desk", "class", 1), ("w", "Desk.lend", "method", 5), ("w", "Desk.back", "method", 10), ("w", "late", "variable", 12), ("w", "alone", "function", 13), ("v", "other", "function", 1)}
+    calls = [(r.line, r.to_name) for r in extract.call_edges(desk).orderBy("line").collect()]
+    assert sorted(calls) == sorted([(6, "ready"), (7, "find"), (7, "mark"), (10, "back"), (10, "lend"), (12, "run"), (12, "a.b"), (12, "e")])
 
 
 def test_imports_resolve_to_files(spark):
@@ -171,6 +177,15 @@ def test_changed_symbols(spark):
     assert [r.name for r in extract.changed_symbols(changes, symbols).collect()] == ["f"]
 
 
+def test_changed_lines_and_hunks(spark):
+    old = frame(spark, [("w", "a.py", "x\ny\nz"), ("w", "gone.py", "x")], "workspace string, path string, content string")
+    new = frame(spark, [("w", "a.py", "x\nnew\nz\nlast"), ("w", "fresh.py", "x"), ("v", "a.py", "q")], "workspace string, path string, content string")
+    assert {(r.workspace, r.path, r.line) for r in extract.changed_lines(old, new, "py").collect()} == {("w", "a.py", 2), ("w", "a.py", 4)}
+    diff = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +3,2 @@ def f\n-a\n+b\n@@ -9 +12 @@\n-c\n+d\n@@ -20,2 +21,0 @@\n-e\n--- a/y.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n"
+    got = extract.hunk_lines(frame(spark, [("w", diff), ("w", None), ("w", "")], "workspace string, diff string")).collect()
+    assert {(r.path, r.line) for r in got} == {("x.py", 3), ("x.py", 4), ("x.py", 12), ("x.py", 21)}
+
+
 # graphs
 
 def test_importers_have_a_visited_set(spark):
@@ -233,10 +248,29 @@ def test_budget_keeps_the_first(spark):
 
 
 def test_grep_prefilter_equals_scan(spark):
-    files = frame(spark, [("a", "x loadPolicy y\nz"), ("b", "loadPolic"), ("c", None), ("d", "\nreload loadPolicy(loadPolicy)")], "path string, content string")
+    rows = [("v", "a", "x loadPolicy y\nz"), ("w", "a", "other loadPolicy"), ("w", "b", "loadPolic"), ("w", "c", None), ("w", "d", "\nreload loadPolicy(loadPolicy)")]
+    files = frame(spark, rows, "workspace string, path string, content string")
     scan = grep.grep_lines(files, "loadPolicy", None)
     fast = grep.grep_fast(files, grep.ngram_postings(files), "loadPolicy", None)
-    assert {tuple(r) for r in scan.collect()} == {tuple(r) for r in fast.collect()} and scan.count() == 2
+    assert {tuple(r) for r in scan.collect()} == {tuple(r) for r in fast.collect()} and scan.count() == 3
+    assert {(r.workspace, r.path) for r in scan.collect()} == {("v", "a"), ("w", "a"), ("w", "d")}
+
+
+def test_ngrams_equal_their_definition():
+    import hashlib
+
+    rng = random.Random(4)
+    weight = lambda pair: int.from_bytes(hashlib.sha256(pair).digest()[:4], "big")
+    for _ in range(30):
+        data = bytes(rng.choice(b"abcdeXY_ \n\xc3") for _ in range(rng.randrange(0, 60)))
+        want = set()
+        for line in data.split(b"\n"):
+            for i in range(len(line)):
+                for j in range(i + 2, min(len(line), i + 12) + 1):
+                    w = [weight(line[k : k + 2]) for k in range(i, j - 1)]
+                    if len(w) == 1 or all(min(w[0], w[-1]) > x for x in w[1:-1]):
+                        want.add(line[i:j])
+        assert set(grep.sparse_ngrams(data)) == want
 
 
 def test_bm25_edges(spark):
@@ -257,11 +291,51 @@ def test_lsh_tables_differ_and_find_copies(spark):
     planes = search.hyperplanes(8, 4, 3)
     assert not (planes[0] == planes[1]).all()
     rng = random.Random(5)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(40)]
-    rows.append((100, rows[7][1]))
+    made = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(40)]
+    rows = [(i, [x / sum(y * y for y in v) ** 0.5 for x in v]) for i, v in enumerate(made)]
+    rows += [(100 + i, rows[7][1]) for i in range(300)]
     vectors = frame(spark, rows, "id int, v array<float>")
-    got = search.lsh_neighbours(vectors.where("id = 100"), vectors, "id", "v", 8, 1, 6, 4).collect()
-    assert got[0].id == 7
+    got = search.lsh_neighbours(vectors.where("id in (7, 100, 399)"), vectors, "id", "v", 8, 3).collect()
+    assert {(r.query_id, r.rank, r.id) for r in got} == {(7, 1, 100), (7, 2, 101), (7, 3, 102), (100, 1, 7), (100, 2, 101), (100, 3, 102), (399, 1, 7), (399, 2, 100), (399, 3, 101)}
+    assert search.lsh_neighbours(vectors.limit(0), vectors, "id", "v", 8).count() == 0 and search.lsh_neighbours(vectors, vectors.limit(0), "id", "v", 8).count() == 0
+
+
+def test_lsh_recall(spark):
+    """Of the true top 8 of rows whose id is divisible by 50, and of the nearest notes at 0.9 or more, against brute force."""
+    import numpy as np
+
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding").collect()
+    at = np.array([r.embedding for r in rows], dtype=np.float64)
+    ids = np.array([r.vec_id for r in rows])
+    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+    got = {(r.query_id, r.vec_id) for r in search.lsh_neighbours(vectors.where("vec_id % 50 = 0"), vectors, "vec_id", "embedding", 64).collect()}
+    want = set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = np.round(at @ at[q], 4)
+        order = [j for j in np.lexsort((ids, -score)) if j != q and score[j] >= 0.12][:8]
+        want |= {(int(ids[q]), int(ids[j])) for j in order}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_near_notes_recall_and_merge(spark):
+    import numpy as np
+
+    held = table(spark, "/root/testdata/sf0.1", "memories").where("size(embedding) = 256").select("id", "kind", "text", "use_count", "embedding")
+    rows = [r for r in held.select("id", "kind", "embedding").collect() if np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    unit = np.array([np.array(r.embedding) / np.linalg.norm(r.embedding) for r in rows])
+    kinds = np.array([(r.kind or "").strip().lower() for r in rows])
+    ids = np.array([r.id for r in rows])
+    want = {}
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = np.where((kinds == kinds[q]) & (ids != ids[q]), unit @ unit[q], -9)
+        if score.max().round(4) >= 0.9:
+            want[int(ids[q])] = round(float(score.max()), 3)
+    close = notes.close_notes(held, held.where("id % 50 = 0"))
+    got = {r.id: round(r.similarity, 3) for r in close.collect()}
+    assert want and sum(abs(got.get(i, 0) - s) < 0.002 for i, s in want.items()) >= 0.95 * len(want)
+    small = frame(spark, [(1, "short", 2), (2, "much longer", 0), (3, "tiny!", None)], "id bigint, text string, use_count int")
+    pairs = frame(spark, [(2, 1, 0.95), (3, 1, 0.95)], "id bigint, near_id bigint, similarity double")
+    assert [tuple(r) for r in notes.merged_notes(small, pairs).collect()] == [(1, "much longer", 4)]
 
 
 # evaluation and notes
@@ -284,9 +358,24 @@ def test_recall_prefers_scope_and_copes_with_bad_vectors(spark):
 
 
 def test_stale_notes(spark):
-    n = frame(spark, [(1, "a:12,b:99"), (2, "a:12"), (3, None), (4, "gone:1")], "id bigint, path_hashes string")
-    files = frame(spark, [("a", "1234"), ("b", "0000")], "path string, hash string")
-    assert {(r.id, r.n_paths, r.n_stale) for r in notes.stale_notes(n, files).collect()} == {(1, 2, 1), (4, 1, 1)}
+    n = frame(spark, [(1, "w", "a:12,b:99"), (2, "w", "a:12"), (3, "w", None), (4, "w", "gone:1"), (5, "v", "a:12"), (6, None, "a:12")], "id bigint, workspace string, path_hashes string")
+    files = frame(spark, [("w", "a", "1234"), ("w", "b", "0000"), ("v", "a", "9999")], "workspace string, path string, hash string")
+    assert {(r.id, r.n_paths, r.n_stale) for r in notes.stale_notes(n, files).collect()} == {(1, 2, 1), (4, 1, 1), (5, 1, 1), (6, 1, 1)}
+
+
+def test_prior_reads_by_ranges_equal_one_pass(spark):
+    rng = random.Random(6)
+    rows = [(i * 7 % 1009, "mcp", rng.choice(["s", "s", "s", "t", None]), rng.choice(["w", None]), [rng.choice("abcd") for _ in range(rng.randrange(0, 3))] or None) for i in range(900)]
+    events = frame(spark, rows, "event_id bigint, event_type string, session string, workspace string, paths array<string>")
+    want = []
+    for scope in ("s", "t", "w"):
+        reads = sorted((e, sorted(set(p))) for e, _, s, w, p in rows if (s or w) == scope and p)
+        for i, (e, paths) in enumerate(reads):
+            want += [(scope, e, p, sum(p in q for _, q in reads[max(0, i - 20) : i])) for p in paths]
+    for size in (100_000, 7):
+        got = [(r.scope, r.event_id, r.path, r.prior) for r in journal.prior_reads(events, 20, size).collect()]
+        assert sorted(got) == sorted(want)
+    assert journal.prior_reads(events.limit(0)).count() == 0
 
 
 def test_cut_lineage_keeps_rows_and_schema(spark):

@@ -36,24 +36,37 @@ def test_first_claims_equal_batch_claims(spark, data, tmp_path):
 
 def test_turn_states_hold_the_newest_paths(spark, data, tmp_path):
     rows, live = events(spark, data, tmp_path)
-    drain(stream.turn_states(live, 20), "update", "turns")
+    drain(stream.turn_states(live, 20, "3650 days"), "update", "turns")
     last = spark.sql("select scope, max_by(paths, last_event) p from turns group by scope")
-    want = {r.scope: set(r.paths.split(",")) for r in journal.turn_state(journal.events_once(rows)).collect()}
+    want = {r.scope: set(r.paths.split(",")) for r in journal.turn_state(journal.events_once(rows).where("at_ts is not null")).collect()}
     assert {r.scope: set(r.p.split(",")) for r in last.collect() if len(want[r.scope]) < 20} == {k: v for k, v in want.items() if len(v) < 20}
 
 
-def test_upserts_equal_a_rebuild(spark, tmp_path):
-    state = {"t": spark.createDataFrame([("w", "a", 1), ("w", "b", 2), ("w", "c", 3)], "workspace string, path string, n int")}
-    changes = spark.createDataFrame([("w", "a", "upsert", 1, "xx"), ("w", "a", "upsert", 2, "xxx"), ("w", "b", "delete", 3, None), ("w", "d", "upsert", 4, "y")], "workspace string, path string, op string, seq int, content string")
-    changes.write.parquet(str(tmp_path / "ch"))
-    live = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "ch"))
-    build = lambda df: df.select("workspace", "path", F.length("content").alias("n"))
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    schema = "event_id bigint, at_ts timestamp_ntz, session string, workspace string, paths array<string>"
+    days = [(1, "2026-01-01", "s", "a"), (2, "2026-01-09", "t", "b"), (3, "2026-01-20", "t", "c"), (4, "2026-01-21", "s", "d"), (5, "2026-01-21", "t", "e")]
+    for i, (event, day, session, path) in enumerate(days):
+        rows = spark.createDataFrame([(event, day, session, None, [path])], "event_id bigint, at_ts string, session string, workspace string, paths array<string>")
+        rows.withColumn("at_ts", F.col("at_ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(stream.turn_states(live, 20, "1 hour", 48), "update", "idle")
+    got = {(r.scope, r.last_event): r.paths for r in spark.sql("select * from idle").collect()}
+    assert got[("s", 4)] == "d" and got[("t", 5)] == "e,c"
 
-    def write(df):
-        state["t"] = spark.createDataFrame(df.collect(), df.schema)
 
-    stream.upsert_files(live, build, lambda: state["t"], write, str(tmp_path / "cp")).awaitTermination()
-    assert {(r.path, r.n) for r in state["t"].collect()} == {("a", 3), ("c", 3), ("d", 1)}
+def test_upserts_equal_a_rebuild(spark, tmp_path):
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "cp")
+    build = lambda df: df.select("workspace", "path", F.length("content").alias("n"))
+    schema = "workspace string, path string, op string, seq int, content string"
+    batches = [
+        [("w", "a", "upsert", 1, "x"), ("w", "b", "upsert", 2, "xx"), ("w", "c", "upsert", 3, "xxx"), ("v:1", "a", "upsert", 4, "zz"), (None, "n", "upsert", 5, "q")],
+        [("w", "a", "upsert", 11, "xx"), ("w", "a", "upsert", 12, "xxxx"), ("w", "b", "delete", 13, None), ("w", "d", "upsert", 14, "y"), ("v:1", "a", "delete", 15, None)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ch"))
+        live = spark.readStream.schema(schema).parquet(str(tmp_path / "ch"))
+        stream.upsert_files(live, build, table, checkpoint, parts=4).awaitTermination()
+    assert {(r.path, r.n) for r in spark.read.parquet(table).collect()} == {("a", 4), ("c", 3), ("d", 1), ("n", 1)}
 
 
 def test_walk(spark, tmp_path):
