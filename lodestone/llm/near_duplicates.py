@@ -201,7 +201,7 @@ def near_duplicate_links(
         hot = cut_lineage(members_of.select("id").unionByName(members_of.select(F.col("pivot").alias("id"))).distinct())
         known = linked.join(hot.withColumnRenamed("id", "a"), "a", "left_semi").join(hot.withColumnRenamed("id", "b"), "b", "left_semi")
         labels = connected_components(known, "a", "b").toDF("id", "label")
-        labelled = hot.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        labelled = cut_lineage(hot.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")))  # written, so that the join knows its size
         met = met.unionByName(rare_word_pairs(texts.join(labelled, "id").select("id", "label", "words"), similarity))
 
     more = met.distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
