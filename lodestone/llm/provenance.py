@@ -139,9 +139,9 @@ def merkle_nodes(leaves: DataFrame) -> DataFrame:
     A folder's hash is made of the hashes of its entries, not of their names: copies keep their hash
     when files are renamed. Sum, parity and number of the entries' hashes are combined, so the entries
     of a folder with millions of files are aggregated before the shuffle and never gathered. One pass
-    for each level of the deepest path.
+    for each level of the deepest path, which reads the files of that level only.
     """
-    nodes = cut_lineage(leaves.select("workspace", F.col("path").alias("node"), F.col("content").alias("hash"), "chars", F.size(F.split("path", "/")).alias("depth")))
+    nodes = cut_lineage(leaves.select("workspace", F.col("path").alias("node"), F.col("content").alias("hash"), "chars", F.size(F.split("path", "/")).alias("depth")), by="depth")
     deepest = nodes.agg(F.max("depth")).head()[0] or 0
     levels, below = [nodes], None
     for depth in range(deepest, 1, -1):

@@ -300,13 +300,19 @@ _F_STRING = re.compile(r"""(?:[fFtT][rR]?|[rR][fFtT])(\"\"\"|'''|"|')""")
 _PY_ANY_STRING = re.compile(r"""[rRbBuU]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')""")
 
 
-def _f_string_end(text: str, at: int) -> int:
+#: Fixed value: f-strings within f-strings that Python reads at most.
+MOST_NESTED = 150
+
+
+def _f_string_end(text: str, at: int, level: int = 1) -> int:
     """Where the f-string that begins at a place ends, with strings of any quotes inside its braces."""
+    if level > MOST_NESTED:
+        raise ScanError(at, "too many nested f-strings")
     opened = _F_STRING.match(text, at)
     quote, i, depth = opened.group(1), opened.end(), 0
     while i < len(text):
         if depth:
-            inner = _F_STRING.match(text, i) and _f_string_end(text, i)
+            inner = _F_STRING.match(text, i) and _f_string_end(text, i, level + 1)
             if not inner and (m := _PY_ANY_STRING.match(text, i)):
                 inner = m.end()
             if inner:

@@ -236,5 +236,9 @@ def chunk_boundaries(chunks: DataFrame, limit: int = LIMIT, key_col: str = "symb
 
 
 def chunk_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, key_col: str = "symbol_id") -> DataFrame:
-    """(key, piece, pieces, header, start_line, end_line, overlap, text), one row for each piece; repeated rows count once."""
-    return split_chunks(chunks, limit, overlap, key_col).select(key_col, F.inline("pieces")).distinct()
+    """(key, piece, pieces, header, start_line, end_line, overlap, text), one row for each piece; repeated rows count once.
+
+    Repeated chunks are dropped before they are cut, so a text is shuffled once and not as its pieces and overlaps.
+    """
+    once = chunks.select(key_col, "path", "header", "text", "start_line", "end_line").where(F.length("text") > 0).distinct()
+    return split_chunks(once, limit, overlap, key_col).select(key_col, F.inline("pieces"))

@@ -74,3 +74,20 @@ def test_patched_copies_among_many_holders_of_their_lines(spark):
     assert judge(copies + [(f"o{i}/x", "src/bundle.js", base + "\n" + lib(f"b{i}_", 150)) for i in range(20)]) == copied
     # older versions share half of the lines, with the copies and with one another, and their own half with none
     assert judge(copies + [(f"o{i}/x", "src/older.js", "\n".join(base.split("\n")[20 * (i % 2) :][:20]) + "\n" + lib(f"old{i}_", 20)) for i in range(20)]) == copied
+
+
+def test_a_chain_of_versions_is_found_whole(spark):
+    """Twelve owners hold successive versions of one file: each shares enough with its neighbours only."""
+    lines = [f"export function step{i}(a) {{ return a * {i} + {i * 7} }}" for i in range(80)]
+    corpus = []
+    for owner in range(12):
+        for k in range(4):
+            lines[(owner * 4 + k) * 7 % 80] = f"export function step{owner}_{k}(b) {{ return b - {owner * 5 + k} }}"
+        corpus.append((f"o{owner}/x", f"src/v{owner}.js", "\n".join(lines)))
+    shingles = [{tuple(t.split("\n")[i : i + 3]) for i in range(78)} for _, _, t in corpus]
+    want = {c[:2] for i, c in enumerate(corpus) if any(i != j and len(shingles[i] & shingles[j]) >= 0.7 * len(shingles[i]) for j in range(12))}
+    # a popular library of other lines, and a bundle that holds the whole first version and much else
+    library = "\n".join(f"function lib{i}(x) {{ return x + {i} }}" for i in range(60))
+    others = [(f"p{i}/x", "src/lib.js", library + f"\n// {i}") for i in range(6)] + [("q/x", "src/bundle.js", corpus[0][2] + "\n" + "\n".join(f"let z{i} = {i * 3}" for i in range(400)))]
+    got = {(r.workspace, r.path) for r in not_hand_written(spark.createDataFrame([], "workspace string, path string"), spark.createDataFrame(corpus + others, "workspace string, path string, content string")).collect()}
+    assert len(want) >= 11 and got == want | {o[:2] for o in others[:6]}

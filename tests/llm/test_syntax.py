@@ -76,3 +76,9 @@ def test_judging_and_rates(spark):
     assert got == {("w", "a.py", "python", False), ("w", "b.PY", "python", True), (None, "d.json", "json", False), ("w", "e.py", "python", True)}
     assert {(r.workspace, r.language, r.n_files, r.n_invalid) for r in invalid_rates(judge_files(df)).collect()} == {("w", "python", 3, 1), (None, "json", 1, 1)}
     assert judge_files(df.limit(0)).count() == 0
+
+
+def test_nested_f_strings_end_at_pythons_own_limit():
+    quotes = ["'", '"']
+    nested = lambda n: "".join(f"f{quotes[i % 2]}{{" for i in range(n)) + "1" + "".join(f"}}{quotes[i % 2]}" for i in reversed(range(n)))
+    assert is_valid("a.py", f"x = {nested(40)}\n") and not is_valid("a.py", f"x = {nested(2000)}\n")
