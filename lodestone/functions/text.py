@@ -67,6 +67,16 @@ def query_signals(text: Column) -> Column:
     return F.slice(first, 1, MAX_SIGNALS)
 
 
+def signals_of(text: str) -> list[str]:
+    """The same for one string of the driver's."""
+    first: dict[str, str] = {}
+    for pattern in _SIGNALS:
+        for found in re.findall(pattern, text):
+            if len(found.strip(" ")) >= 2:
+                first.setdefault(found.strip(" ").lower(), found.strip(" "))
+    return list(first.values())[:MAX_SIGNALS]
+
+
 def classify_query(query: Column) -> Column:
     """identifier (one dotted name), natural (words, no runs of capitals) or mixed."""
     q = F.trim(query)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,31 +65,48 @@ def hash_embedding_of(text: str, dim: int = 256) -> np.ndarray:
     return out / norm if norm else out
 
 
-def hash_similarity(rows: DataFrame, id_col: str, text_col: str, query: str, dim: int = 256) -> DataFrame:
-    """(id, score): cosine of each text's feature-hash embedding with the query's, in one pass and without a shuffle.
+def _embed(lists: pa.ListArray, dim: int) -> np.ndarray:
+    """One row for each list of tokens; distinct tokens are hashed once."""
+    coded = lists.flatten().dictionary_encode()
+    digests = b"".join(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in coded.dictionary.to_pylist())
+    word = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 32).astype(np.int64)
+    place = lambda at: (word[:, at] << 24 | word[:, at + 1] << 16 | word[:, at + 2] << 8 | word[:, at + 3]) % dim
+    sign = lambda at: np.where(word[:, at] % 2 == 0, 1.0, -1.0)
+    code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    flat = np.bincount(row * dim + place(0)[code], sign(4)[code], len(lists) * dim) + np.bincount(row * dim + place(8)[code], 0.5 * sign(12)[code], len(lists) * dim)
+    return flat.reshape(-1, dim)
 
-    Tokens are split by the JVM; each batch hashes its distinct tokens once. Texts without tokens give no row.
-    """
-    wanted = hash_embedding_of(query, dim)
+
+def _by_rows(rows: DataFrame, id_col: str, text_col: str, field: T.StructField, dim: int, made: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+    """(id, field) of what ``made`` makes of the unit embeddings of a batch; texts without tokens or of no length give no row."""
     tokens = rows.select(F.col(id_col), embedding_tokens(F.col(text_col)).alias("__tokens")).where(F.size("__tokens") > 0)
-    schema = T.StructType([tokens.schema[0], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([tokens.schema[0], field])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
-                lists = batch.column(1)
-                coded = lists.flatten().dictionary_encode()
-                digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in coded.dictionary.to_pylist()]
-                raw = np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 32)
-                word = raw.astype(np.int64)
-                place = lambda at: (word[:, at] << 24 | word[:, at + 1] << 16 | word[:, at + 2] << 8 | word[:, at + 3]) % dim
-                sign = lambda at: np.where(word[:, at] % 2 == 0, 1.0, -1.0)
-                code, row = coded.indices.to_numpy(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
-                flat = np.bincount(row * dim + place(0)[code], sign(4)[code], batch.num_rows * dim) + np.bincount(row * dim + place(8)[code], 0.5 * sign(12)[code], batch.num_rows * dim)
-                made = flat.reshape(-1, dim)
-                norm = np.sqrt((made * made).sum(1))
+                vectors = _embed(batch.column(1), dim)
+                norm = np.sqrt((vectors * vectors).sum(1))
                 keep = np.flatnonzero(norm > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array((made[keep] * wanted).sum(1) / norm[keep])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), made(vectors[keep] / norm[keep, None])], names=schema.names)
 
     return tokens.mapInArrow(run, schema)
+
+
+def hash_vectors(rows: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFrame:
+    """(id, embedding): unit feature-hash embeddings as arrays, in one pass and without a shuffle; what an index stores."""
+
+    def packed(unit: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, dim, dtype=np.int32)), pa.array(unit.ravel()))
+
+    return _by_rows(rows, id_col, text_col, T.StructField("embedding", T.ArrayType(T.DoubleType())), dim, packed)
+
+
+def hash_similarity(rows: DataFrame, id_col: str, text_col: str, query: str, dim: int = 256) -> DataFrame:
+    """(id, score): cosine of each text's feature-hash embedding with the query's, in one pass and without a shuffle.
+
+    Tokens are split by the JVM; each batch hashes its distinct tokens once. Texts without tokens give no row.
+    """
+    wanted = hash_embedding_of(query, dim)
+    return _by_rows(rows, id_col, text_col, T.StructField("score", T.DoubleType()), dim, lambda unit: pa.array((unit * wanted).sum(1)))

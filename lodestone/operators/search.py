@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import expand_query
-from lodestone.functions.vectors import dot, hash_similarity
+from lodestone.functions.vectors import dot, hash_embedding_of, hash_similarity
 from lodestone.sources.storage import cut_lineage
 
 K1, B, IDF_FLOOR, RRF_K, MIN_COSINE = 1.2, 0.75, 1e-6, 60, 0.12
@@ -79,6 +79,50 @@ def bm25(docs: DataFrame, id_col: str | Sequence[str], text_col: str, phrases: S
     return hits.select(*ids, score.alias("score"))
 
 
+def postings_of(docs: DataFrame, ids: Sequence[str], text_col: str) -> DataFrame:
+    """(ids, length, term, tf, part): the postings of all texts, whole; ``part`` is the term's first two characters.
+
+    Stored in folders by ``part``, a query reads those of its terms only. Texts without a term have a row of a null term, for the statistics.
+    """
+    tokens = docs.select(*ids, terms(F.col(text_col)).alias("t"))
+    rows = tokens.select(*ids, F.size("t").alias("length"), F.explode_outer("t").alias("term"))
+    return rows.groupBy(*ids, "length", "term").agg(F.count("term").alias("tf")).withColumn("part", F.coalesce(F.substring("term", 1, 2), F.lit("")))
+
+
+def posting_stats(docs: DataFrame, text_col: str, *by: str) -> DataFrame:
+    """(by, n, total): number and summed lengths of the texts, which a query would else have to read all postings for."""
+    return docs.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.size(terms(F.col(text_col)))).alias("total"))
+
+
+def bm25_stored(postings: DataFrame, stats: DataFrame, ids: Sequence[str], phrases: Sequence[str | tuple[str, bool]]) -> DataFrame:
+    """(ids, score): the same as ``bm25``, from stored postings; the folders of the phrases' first letters are read and no text.
+
+    Only postings of matching terms are shuffled; the document frequencies, one row for each phrase, reach the driver.
+    """
+    wanted = _wanted(phrases)
+    totals = stats.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).head()
+    if not wanted or not totals.n:
+        return postings.select(*ids, F.lit(0.0).alias("score")).limit(0)
+    average = (totals.total or 0) / totals.n or 1.0
+    match = [(F.col("term").startswith(p) if prefix else F.col("term") == p) for p, prefix in wanted]
+    folder = F.col("part").isin(*sorted({p[:2] for p, prefix in wanted}))
+    for p, prefix in wanted:
+        if prefix and len(p) < 2:
+            folder = folder | F.col("part").startswith(p)
+    hit = match[0]
+    for m in match[1:]:
+        hit = hit | m
+    which = F.filter(F.array(*[F.when(m, i) for i, m in enumerate(match)]), lambda i: i.isNotNull())
+    found = postings.where(folder).where(hit).select(*ids, "length", "tf", F.explode(which).alias("phrase"))
+    counted = cut_lineage(found.groupBy(*ids, "length", "phrase").agg(F.sum("tf").alias("tf")))
+    idf = {r.phrase: max(float(np.log(max((totals.n - r.df + 0.5) / (r.df + 0.5), 1.0))), IDF_FLOOR) for r in counted.groupBy("phrase").agg(F.count("*").alias("df")).collect()}
+    if not idf:
+        return postings.select(*ids, F.lit(0.0).alias("score")).limit(0)
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in idf.items() for x in pair]), F.col("phrase"))
+    part = weight * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
+    return counted.groupBy(*ids).agg(F.sum(part).alias("score"))
+
+
 def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(query_id, id, score, rank): the k best documents of every query, through a join of postings.
 
@@ -148,10 +192,23 @@ def rerank_overlap(hits: DataFrame, query: str, text_col: str = "snippet", id_co
     return hits.withColumn("overlap", F.round(share, 6)).orderBy(F.desc("overlap"), F.desc("score"), id_col).limit(k)
 
 
+def is_identifier(query: str) -> bool:
+    """Whether a query is a single name, which only its letters can find."""
+    return " " not in query.strip() and query.strip().replace(".", "").replace("_", "").isalnum()
+
+
+def hybrid_stored(postings: DataFrame, stats: DataFrame, vectors: DataFrame, query: str, id_col: str = "id", k: int = 20) -> DataFrame:
+    """(id, score, rank): the same as ``hybrid_search``, from stored postings and vectors (id, embedding)."""
+    lexical = ranked(bm25_stored(postings, stats, [id_col], phrases_of(query)), id_col, k)
+    if is_identifier(query):
+        return lexical
+    return rrf([lexical, cosine_topk(vectors, hash_embedding_of(query).tolist(), id_col, "embedding", k)], id_col, k)
+
+
 def hybrid_search(docs: DataFrame, query: str, id_col: str, text_col: str, k: int = 20) -> DataFrame:
     """(id, score, rank): BM25 and the feature-hash cosine fused by reciprocal rank; a single identifier is searched lexically only."""
     lexical = ranked(bm25(docs, id_col, text_col, phrases_of(query)), id_col, k)
-    if query.strip().replace(".", "").replace("_", "").isalnum() and " " not in query.strip():
+    if is_identifier(query):
         return lexical
     similar = hash_similarity(docs, id_col, text_col, query).where(F.col("score") >= MIN_COSINE)
     return rrf([lexical, ranked(similar, id_col, k, 4)], id_col, k)

@@ -5,28 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import hash_embedding
+from lodestone.functions.vectors import hash_vectors
 from lodestone.operators import extract, grep, search
 
 
 def index_tables(files: DataFrame, corpus: DataFrame) -> dict[str, DataFrame]:
-    """The tables of an index: symbols, chunks, imports, calls, ngrams, postings and vectors (sparse), each keyed by workspace."""
+    """The tables of an index: files, corpus, symbols, chunks, imports, calls, ngrams, postings with their stats, and vectors, each keyed by workspace.
+
+    files and corpus are current versions, one row for each (workspace, path).
+    """
+    corpus = corpus.where("workspace is not null and path is not null")
     symbols = extract.python_symbols(corpus).unionByName(extract.go_symbols(corpus)).unionByName(extract.script_symbols(corpus))
     symbols = symbols.withColumn("id", F.xxhash64("workspace", "path", "line", "name", "kind"))
     chunks = extract.build_chunks(symbols, corpus)
     imports = extract.resolve_imports(extract.import_edges(corpus), files)
-    tokens = chunks.select("workspace", "id", search.terms(F.concat_ws("\n", "header", "text")).alias("t"))
-    postings = tokens.select("workspace", "id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("workspace", "term", "id", "length").agg(F.count("*").alias("tf"))
-    inputs = symbols.select("id", "workspace", "name", "kind").join(chunks.select("id", "text"), "id").select("workspace", "id", F.concat(F.concat_ws(" ", "name", "kind"), F.lit("\n"), "text").alias("input"))
-    vectors = hash_embedding(inputs, "id", "input").join(symbols.select("id", "workspace"), "id")
+    docs = chunks.select("workspace", "id", F.concat_ws("\n", "header", "text").alias("text"))
+    named = symbols.select("id", "name", "kind").join(chunks.select("id", "workspace", "text"), "id")
+    inputs = named.select(F.struct("workspace", "id").alias("key"), F.concat(F.concat_ws(" ", "name", "kind"), F.lit("\n"), "text").alias("input"))
+    vectors = hash_vectors(inputs, "key", "input").select("key.workspace", "key.id", "embedding")
     return {
-        "symbols": symbols, "chunks": chunks, "imports": imports, "calls": extract.resolve_calls(extract.call_edges(corpus), symbols, imports),
-        "ngrams": grep.ngram_postings(corpus), "postings": postings, "vectors": vectors,
+        "files": files, "corpus": corpus, "symbols": symbols, "chunks": chunks, "imports": imports, "calls": extract.resolve_calls(extract.call_edges(corpus), symbols, imports),
+        "ngrams": grep.ngram_postings(corpus).withColumn("part", F.substring("hash", 1, 2)),
+        "postings": search.postings_of(docs, ["workspace", "id"], "text"), "stats": search.posting_stats(docs, "text", "workspace"), "vectors": vectors,
     }
 
 
 def build_index(files: DataFrame, corpus: DataFrame, root: str) -> dict[str, str]:
-    """Write every index table as a new version below ``root``, partitioned by workspace; returns the versions."""
+    """Write every index table as a new version below ``root``, in folders by workspace; returns the versions.
+
+    Postings lie by the first two characters of the term, n-grams by the first two of the hash within the workspace, so a
+    query reads the folders that its terms can be in.
+    """
     from lodestone.sources.versioned import write_version
 
-    return {name: write_version(df, f"{root}/{name}", ["workspace"]) for name, df in index_tables(files, corpus).items()}
+    return {name: write_version(df, f"{root}/{name}", ["workspace", "part"] if "part" in df.columns else ["workspace"]) for name, df in index_tables(files, corpus).items()}
