@@ -62,3 +62,31 @@ def hits_as_text(hits: DataFrame, group: str | None = None) -> DataFrame:
     line = F.concat(F.lit("- "), F.when(F.coalesce("symbol", F.lit("")) != "", F.concat(F.lit("**"), "symbol", F.lit("** "))).otherwise(""), place(F.col("path"), F.col("first"), F.col("last")), F.when(F.coalesce("snippet", F.lit("")) != "", F.concat(F.lit("\n  "), F.regexp_replace("snippet", "\n", "\n  "))).otherwise(""))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x.l), "\n").alias("text")
     return hits.groupBy(group).agg(text) if group else hits.agg(text)
+
+
+def _as_list(df: DataFrame, order: Column, line: Column, group: str | None, title: str, none: str) -> DataFrame:
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: x.l), "\n")
+    text = F.concat(F.lit(f"{title}\n\n"), F.when(body == "", none).otherwise(body)).alias("text")
+    return df.groupBy(group).agg(text) if group else df.agg(text)
+
+
+def notes_as_text(notes: DataFrame, title: str, group: str | None = None) -> DataFrame:
+    """(group, text): notes (id, kind, text, tags, paths, rank) as a titled Markdown list in rank order; tags and paths are comma lists.
+
+    For results of bounded size; one row, which says so where there are none, without a group.
+    """
+    tags = F.when(F.coalesce("tags", F.lit("")) != "", F.concat(F.lit(" ["), F.regexp_replace("tags", ",", ", "), F.lit("]"))).otherwise("")
+    paths = F.when(F.coalesce("paths", F.lit("")) != "", F.concat(F.lit(" — `"), F.regexp_replace("paths", ",", "`, `"), F.lit("`"))).otherwise("")
+    line = F.concat(F.lit("- (#"), F.col("id").cast("string"), F.lit(" "), F.coalesce("kind", F.lit("")), tags, F.lit(") "), F.coalesce("text", F.lit("")), paths)
+    return _as_list(notes, F.col("rank"), line, group, title, "(no notes yet)")
+
+
+def impact_as_text(impact: DataFrame, name: str) -> DataFrame:
+    """(text): sections of an impact result (section, workspace, path, line, score) as Markdown, each sorted by score and place, ``(none)`` where empty."""
+    line = F.concat(F.lit("- `"), place(F.col("path"), F.nullif("line", F.lit(0)), F.lit(None).cast("int")), F.lit("`"))
+    listed = F.array_sort(F.collect_list(F.struct("section", (-F.col("score")).alias("s"), "workspace", "path", "line", line.alias("l"))))
+    parts = [F.lit(f"## impact: {name}")]
+    for section, title in (("definition", "definitions"), ("caller", "callers"), ("importer", "importers"), ("reference", "references")):
+        rows = F.transform(F.filter("rows", (lambda s: lambda x: x.section == s)(section)), lambda x: x.l)
+        parts.append(F.concat(F.lit(f"\n\n### {title}\n"), F.when(F.size(rows) == 0, "(none)").otherwise(F.array_join(rows, "\n"))))
+    return impact.agg(listed.alias("rows")).select(F.concat(*parts).alias("text"))

@@ -28,6 +28,19 @@ def ir_metrics(hits: DataFrame, qrels: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").agg(F.round(got(5), 6).alias("recall5"), F.round(got(10), 6).alias("recall10"), F.round(F.coalesce(1.0 / F.min("rank"), F.lit(0.0)), 6).alias("rr"), F.round(dcg / best, 6).alias("ndcg10"))
 
 
+def graded_hits(hits: DataFrame, golden: DataFrame) -> DataFrame:
+    """(query_id, item, rank): the golden item that each hit counts for, as ``ir_metrics`` takes it.
+
+    hits (query_id, rank, path, symbol), golden (query_id, item), an item being ``path#symbol`` or ``path``: a hit
+    counts for its symbol where that is asked for, else for its path; hits that nobody asked for are left out.
+    """
+    asked = golden.select("query_id", "item").distinct()
+    keyed = hits.select("query_id", "rank", F.col("path"), F.concat("path", F.lit("#"), "symbol").alias("exact"))
+    by_symbol = keyed.join(asked.select("query_id", F.col("item").alias("exact"), F.lit(True).alias("named")), ["query_id", "exact"], "left")
+    by_path = by_symbol.join(asked.select("query_id", F.col("item").alias("path"), F.lit(True).alias("placed")), ["query_id", "path"], "left")
+    return by_path.select("query_id", F.when(F.col("named"), F.col("exact")).when(F.col("placed"), F.col("path")).alias("item"), "rank").where("item is not null")
+
+
 def mean_metrics(metrics: DataFrame) -> DataFrame:
     """(queries, recall5, recall10, mrr, ndcg10): means over the queries."""
     return metrics.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 4).alias(n) for c, n in (("recall5", "recall5"), ("recall10", "recall10"), ("rr", "mrr"), ("ndcg10", "ndcg10"))])

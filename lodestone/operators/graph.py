@@ -105,3 +105,47 @@ def call_graph_nodes(calls: DataFrame, symbols: DataFrame, top: int = 48) -> Dat
     place = F.struct("workspace", "path", "line")
     defined = symbols.join(F.broadcast(chosen.select("name")), "name", "left_semi").groupBy("name").agg(F.min_by("kind", place).alias("kind"), F.min_by("line", place).alias("line"), F.countDistinct("workspace", "path").alias("n_paths"))
     return chosen.join(defined, "name", "left").select("name", "kind", "line", F.coalesce("n_paths", F.lit(0)).alias("n_paths"), "callers", "sites")
+
+
+def enclosing(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(workspace, from_path, to_name, line, n, from_symbol): calls of one line counted, with the innermost symbol that holds the line, if any.
+
+    An equi-join on the file with the line range as residue; an aggregate keeps one symbol for each call.
+    """
+    key = ["workspace", "from_path", "to_name", "line"]
+    counted = calls.groupBy(*key).agg(F.count("*").alias("n"))
+    last = F.coalesce("end_line", "line")
+    spans = symbols.select("workspace", F.col("path").alias("from_path"), F.col("name").alias("symbol"), F.least("line", last).alias("a"), F.greatest("line", last).alias("b")).distinct()
+    met = counted.join(spans, ["workspace", "from_path"]).where("line between a and b")
+    best = met.groupBy(*key).agg(F.min_by("symbol", F.struct(F.col("b") - F.col("a"), -F.col("a"), F.col("symbol"))).alias("from_symbol"))
+    return counted.join(best, key, "left")
+
+
+def node_details(held: DataFrame, symbols: DataFrame, top: int = 48, paths: int = 6, peers: int = 8) -> DataFrame:
+    """(name, kind, signature, line, paths, callers, callees, top_callers, top_callees) of the most called useful names.
+
+    ``held`` are calls with their symbols, as ``enclosing`` gives them. Kind, signature (160 characters) and line
+    are of the first definition; callers and callees are numbers of calls by and of useful names, callers that of
+    all calls where no caller is known; the peers with most calls are listed, joined by blanks.
+    """
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
+    counted = held.where(useful_callee(F.col("to_name"))).groupBy(last("to_name").alias("name")).agg(F.sum("n").alias("sites"))
+    chosen = counted.orderBy(F.desc("sites"), "name").limit(top)
+    names = F.broadcast(chosen.select("name"))  # ``top`` rows
+    place = F.struct("workspace", "path", "line")
+    defined = symbols.join(names, "name", "left_semi")
+    first = defined.groupBy("name").agg(F.min_by("kind", place).alias("kind"), F.min_by(F.substring("signature", 1, 160), place).alias("signature"), F.min_by("line", place).alias("line"))
+    ordered = Window.partitionBy("name").orderBy("path")
+    listed = defined.select("name", "path").distinct().withColumn("r", F.row_number().over(ordered)).where(F.col("r") <= paths).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("path")), " ").alias("paths"))
+
+    def side(name, peer, total: str, best: str) -> DataFrame:
+        pairs = held.select(name.alias("name"), peer.alias("peer"), "n").where(F.coalesce(F.col("peer"), F.lit("")) != "").where(useful_callee(F.col("peer"))).join(names, "name").groupBy("name", "peer").agg(F.sum("n").alias("w"))
+        numbered = pairs.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("w"), "peer")))
+        shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= peers, F.struct("r", "peer")))), lambda x: x.peer), " ")
+        return numbered.groupBy("name").agg(F.sum("w").alias(total), shown.alias(best))
+
+    callers = side(last("to_name"), F.col("from_symbol"), "callers", "top_callers")
+    callees = side(last("from_symbol"), F.col("to_name"), "callees", "top_callees")
+    joined = chosen.join(first, "name", "left").join(listed, "name", "left").join(callers, "name", "left").join(callees, "name", "left")
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return joined.select("name", "kind", "signature", "line", empty("paths"), F.coalesce("callers", "sites").alias("callers"), F.coalesce("callees", F.lit(0)).alias("callees"), empty("top_callers"), empty("top_callees"))

@@ -117,6 +117,26 @@ def session_claims(events: DataFrame) -> DataFrame:
     return paths.groupBy("scope", "path").agg(F.min("event_id").alias("event_id"))
 
 
+def locate_credit(hits: DataFrame, files: DataFrame, walk_chars: int = 40, cap: int = 8000) -> DataFrame:
+    """(scope, event_id, paths, window_tokens, discovery_tokens): what the quality hits of each event are credited with.
+
+    hits (scope, event_id, workspace, path, delivered, quality): only quality hits count, a path once in a session, at
+    its first event; its credit is the file's tokens, at most ``cap``, less the delivered ones. The listing of the
+    workspace is credited once in a session, at its first event with a quality hit. Unknown files give 0.
+    """
+    good = hits.where(F.col("quality") & F.col("scope").isNotNull() & (F.trim("path") != "")).select("scope", "event_id", "workspace", F.regexp_replace(F.trim("path"), r"\\\\", "/").alias("path"), "delivered")
+    first = good.groupBy("scope", "path").agg(F.min(F.struct("event_id", "workspace", "delivered")).alias("f")).select("scope", "path", "f.*")
+    tokens = F.least(F.ceil(F.coalesce("size", F.lit(0)) / 4).cast("bigint"), F.lit(cap)).alias("tokens")
+    known = files.select("workspace", "path", tokens)
+    credit = F.greatest(F.coalesce("tokens", F.lit(0)) - F.greatest("delivered", F.lit(0)), F.lit(0))
+    windows = first.join(known, ["workspace", "path"], "left").groupBy("scope", "event_id").agg(F.count("*").alias("paths"), F.sum(credit).alias("window_tokens"))
+    opened = good.groupBy("scope").agg(F.min(F.struct("event_id", "workspace")).alias("f")).select("scope", "f.*")
+    listing = files.groupBy("workspace").agg(F.ceil(F.count("*") * walk_chars / 4).cast("bigint").alias("walk"))
+    discovery = opened.join(listing, "workspace", "left").select("scope", "event_id", F.coalesce("walk", F.lit(0)).alias("discovery_tokens"))
+    both = windows.join(discovery, ["scope", "event_id"], "full")
+    return both.select("scope", "event_id", F.coalesce("paths", F.lit(0)).alias("paths"), F.coalesce("window_tokens", F.lit(0)).alias("window_tokens"), F.coalesce("discovery_tokens", F.lit(0)).alias("discovery_tokens"))
+
+
 def repeat_reads(events: DataFrame, least: int = 2) -> DataFrame:
     """(workspace, path, reads): paths that calls of one workspace touched again and again, at least ``least`` times."""
     paths = events.where("event_type = 'mcp' and workspace is not null").select("workspace", F.explode(F.array_distinct("paths")).alias("path"))

@@ -35,10 +35,20 @@ def list_paths(files: DataFrame, prefix: str, k: int = 40) -> DataFrame:
     return starts if not starts.isEmpty() else distinct.where(F.contains("path", F.lit(prefix))).orderBy("path", "workspace").limit(k)
 
 
-def recent_symbols(symbols: DataFrame, files: DataFrame, k: int = 20) -> DataFrame:
-    """(workspace, path, line, name, mtime_ms): symbols of the most recently changed files, by line within a file."""
+def recent_symbols(symbols: DataFrame, files: DataFrame, k: int = 20, changes: DataFrame | None = None, as_of: str | None = None, days: int = 2) -> DataFrame:
+    """(workspace, path, line, name, mtime_ms): symbols of the most recently changed files, by line within a file.
+
+    With a feed of changes (workspace, path, at) the files that it names within ``days`` before ``as_of`` come first,
+    the last changed first; the others follow by their time.
+    """
     joined = symbols.select("workspace", "path", "line", "name").distinct().join(files.select("workspace", "path", "mtime_ms"), ["workspace", "path"])
-    return joined.orderBy(F.desc("mtime_ms"), "workspace", "path", "line", "name").limit(k)
+    columns = ["workspace", "path", "line", "name", "mtime_ms"]
+    if changes is None:
+        return joined.orderBy(F.desc("mtime_ms"), "workspace", "path", "line", "name").limit(k)
+    clock = F.lit(as_of).cast("timestamp")
+    at = F.col("at").cast("timestamp")
+    named = changes.where((at <= clock) & (at > clock - F.expr(f"interval {days} days"))).groupBy("workspace", "path").agg(F.max(at).alias("changed"))
+    return joined.join(named, ["workspace", "path"], "left").orderBy(F.desc_nulls_last("changed"), F.desc("mtime_ms"), "workspace", "path", "line", "name").limit(k).select(*columns)
 
 
 def merge_per_file(hits: DataFrame) -> DataFrame:

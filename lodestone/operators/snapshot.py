@@ -61,6 +61,20 @@ def top_shares(counts: DataFrame, name: str, k: int) -> DataFrame:
     return shown.select(name, "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("share"))  # k rows
 
 
+def usage_health(events: DataFrame, least_asked: int = 10, floor: float = 0.25) -> DataFrame:
+    """(check, value, status): hit rate of injects with a prompt, once there are ten, and share of injects that timed out."""
+    inject = F.col("event_type") == "inject"
+    asked = inject & ~F.coalesce("no_prompt", F.lit(False))
+    late = inject & (F.coalesce("timed_out_delta", F.lit(False)) | F.coalesce("timed_out_retrieve", F.lit(False)))
+    n = events.agg(F.count_if(asked).alias("asked"), F.count_if(asked & (F.col("hits") > 0)).alias("hit"), F.count_if(inject).alias("injects"), F.count_if(late).alias("late"))
+    rate, share = F.round(F.col("hit") / F.nullif("asked", F.lit(0)), 6), F.round(F.col("late") / F.nullif("injects", F.lit(0)), 6)
+    rows = F.array(
+        F.struct(F.lit("hit rate").alias("check"), rate.alias("value"), F.when((F.col("asked") >= least_asked) & (rate < floor), "warn").otherwise("ok").alias("status")),
+        F.struct(F.lit("timeouts").alias("check"), share.alias("value"), F.when(share > 0.5, "warn").otherwise("ok").alias("status")),
+    )
+    return n.select(F.inline(rows))
+
+
 def index_health(files: DataFrame, symbols: DataFrame, chunks: DataFrame, embedded: DataFrame) -> DataFrame:
     """(check, value, status): has files, symbols and chunks; share of symbols with a chunk and of notes with an embedding."""
     n = table_counts(files=files, symbols=symbols.select("id").distinct(), chunks=chunks.select("symbol_id").distinct())

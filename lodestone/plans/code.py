@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import format as fm
 from lodestone.functions import text as T
 from lodestone.operators import extract, graph, index, snapshot
-from lodestone.plans.common import AS_OF, SQL_CHUNKS, SQL_CORPUS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, chunks_of, corpus_of, files_of, notes_of, symbols_of
+from lodestone.plans.common import SQL_CHUNKS, SQL_CORPUS, SQL_EVENTS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, chunks_of, corpus_of, events_of, files_of, notes_of, symbols_of
 from lodestone.sources.storage import cut_lineage
 from lodestone.sources.tables import table
 
@@ -127,6 +128,14 @@ def call_graph_nodes(s: SparkSession, d: str) -> DataFrame:
     return graph.call_graph_nodes(stored_calls(s, d), symbols_of(s, d))
 
 
+def call_graph_details(s: SparkSession, d: str) -> DataFrame:
+    return graph.node_details(cut_lineage(graph.enclosing(calls(s, d), symbols_of(s, d))), symbols_of(s, d))
+
+
+def impact_text(s: SparkSession, d: str) -> DataFrame:
+    return fm.impact_as_text(impact(s, d), NAME)
+
+
 def counts(s: SparkSession, d: str) -> DataFrame:
     return snapshot.table_counts(files=files_of(s, d), symbols=symbols_of(s, d), chunks=chunks_of(s, d), notes=notes_of(s, d), parsed=table(s, d, "parse_results").dropDuplicates(["workspace", "path"]))
 
@@ -156,7 +165,7 @@ def shares(s: SparkSession, d: str) -> DataFrame:
 
 
 def health(s: SparkSession, d: str) -> DataFrame:
-    return snapshot.index_health(files_of(s, d), symbols_of(s, d), chunks_of(s, d), notes_of(s, d))
+    return snapshot.index_health(files_of(s, d), symbols_of(s, d), chunks_of(s, d), notes_of(s, d)).unionByName(snapshot.usage_health(events_of(s, d)))
 
 
 def workspace_stats(s: SparkSession, d: str) -> DataFrame:
@@ -210,7 +219,7 @@ def queries() -> dict:
         "corpus_walk": corpus_walk, "ignore_last_match": ignored_files, "ext_classify": extension_classes, "path_safety": safe_paths, "py_symbols": py_symbols, "go_symbols": go_symbols, "script_symbols": script_symbols,
         "import_edges": imports, "call_edges": calls, "resolve_imports": resolved_imports, "resolve_targets": resolved_calls, "chunk_build": built_chunks, "changed_symbols": changed_symbols, "parse_agreement": parse_agreement,
         "impact_definitions": impact_definitions, "impact_importers_bfs": key_importers, "impact_file_importers": impact_importers, "impact_callers": impact_callers, "impact_references": impact_references, "impact": impact, "call_graph_topk": call_graph,
-        "call_graph_nodes": call_graph_nodes, "table_counts": counts, "symbol_kinds": symbol_kinds, "folder_rollup": folders, "language_counts": languages, "heaviest_files": heaviest, "directory_listing": listing, "top_shares": shares,
+        "call_graph_nodes": call_graph_nodes, "call_graph_details": call_graph_details, "impact_markdown": impact_text, "table_counts": counts, "symbol_kinds": symbol_kinds, "folder_rollup": folders, "language_counts": languages, "heaviest_files": heaviest, "directory_listing": listing, "top_shares": shares,
         "index_health": health, "workspace_stats": workspace_stats, "dirty_diff": dirty_diff, "version_diff": version_diff, "prune_missing": prune_missing, "delete_by_path": without_missing, "integrity_check": orphans, "git_status_parse": status_lines,
     }
 
@@ -333,6 +342,22 @@ ed AS (SELECT from_path, to_name, count(*) AS weight FROM cl JOIN ch USING (to_n
 ad AS (SELECT from_path FROM (SELECT from_path, row_number() OVER (ORDER BY min(n)) AS p FROM nu GROUP BY from_path) WHERE p <= 24) SELECT from_path AS source, to_name AS target, weight FROM nu WHERE from_path IN (SELECT from_path FROM ad) ORDER BY n LIMIT 90""",
         "call_graph_nodes": f"""WITH {SQL_CORPUS}, {SQL_LINES}, {SQL_SYMBOLS}, {_CALLS}, dg AS (SELECT string_split(to_name, '.')[-1] AS name, count(*) AS sites, count(DISTINCT (workspace, from_path)) AS callers FROM cl WHERE {useful} GROUP BY 1 ORDER BY sites DESC, name LIMIT 48),
 fd AS (SELECT name, arg_min(kind, struct_pack(w := workspace, p := path, l := line)) AS kind, arg_min(line, struct_pack(w := workspace, p := path, l := line)) AS line, count(DISTINCT (workspace, path)) AS n_paths FROM s WHERE name IN (SELECT name FROM dg) GROUP BY name) SELECT name, kind, line, coalesce(n_paths, 0) AS n_paths, callers, sites FROM dg LEFT JOIN fd USING (name)""",
+        "call_graph_details": rf"""WITH {SQL_CORPUS}, {SQL_LINES}, {SQL_SYMBOLS}, {_CALLS}, cc AS (SELECT workspace, from_path, to_name, line, count(*) AS n FROM cl GROUP BY ALL),
+sp AS (SELECT DISTINCT workspace, path, name, least(line, coalesce(end_line, line)) AS a, greatest(line, coalesce(end_line, line)) AS b FROM s),
+bs AS (SELECT cc.workspace, cc.from_path, cc.to_name, cc.line, arg_min(sp.name, struct_pack(z := b - a, y := -a, x := sp.name)) AS sym FROM cc JOIN sp ON sp.workspace = cc.workspace AND sp.path = cc.from_path AND cc.line BETWEEN a AND b GROUP BY ALL),
+he AS (SELECT cc.*, bs.sym FROM cc LEFT JOIN bs ON bs.workspace = cc.workspace AND bs.from_path = cc.from_path AND bs.to_name = cc.to_name AND bs.line = cc.line),
+dg AS (SELECT string_split(to_name, '.')[-1] AS name, sum(n)::BIGINT AS sites FROM he WHERE {useful} GROUP BY 1 ORDER BY sites DESC, name LIMIT 48),
+fd AS (SELECT name, arg_min_null(kind, struct_pack(w := workspace, p := path, l := line)) AS kind, arg_min_null(substr(signature, 1, 160), struct_pack(w := workspace, p := path, l := line)) AS signature, arg_min_null(line, struct_pack(w := workspace, p := path, l := line)) AS line FROM s WHERE name IN (SELECT name FROM dg) GROUP BY name),
+pt AS (SELECT name, string_agg(path, ' ' ORDER BY path) AS paths FROM (SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY path) AS r FROM (SELECT DISTINCT name, path FROM s WHERE name IN (SELECT name FROM dg))) WHERE r <= 6 GROUP BY name),
+p1 AS (SELECT string_split(to_name, '.')[-1] AS name, sym AS to_name, n FROM he WHERE sym <> ''), q1 AS (SELECT name, to_name AS peer, sum(n)::BIGINT AS w FROM p1 WHERE {useful} GROUP BY ALL), r1 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY w DESC, peer) AS r FROM q1),
+ca AS (SELECT name, sum(w)::BIGINT AS callers, string_agg(peer, ' ' ORDER BY r) FILTER (WHERE r <= 8) AS tc FROM r1 GROUP BY name),
+q2 AS (SELECT string_split(sym, '.')[-1] AS name, to_name AS peer, sum(n)::BIGINT AS w FROM he WHERE sym <> '' AND {useful} GROUP BY ALL), r2 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY w DESC, peer) AS r FROM q2),
+ce AS (SELECT name, sum(w)::BIGINT AS callees, string_agg(peer, ' ' ORDER BY r) FILTER (WHERE r <= 8) AS tc FROM r2 GROUP BY name)
+SELECT dg.name, fd.kind, fd.signature, fd.line, coalesce(paths, '') AS paths, coalesce(callers, sites) AS callers, coalesce(callees, 0) AS callees, coalesce(ca.tc, '') AS top_callers, coalesce(ce.tc, '') AS top_callees
+FROM dg LEFT JOIN fd USING (name) LEFT JOIN pt USING (name) LEFT JOIN ca USING (name) LEFT JOIN ce USING (name)""",
+        "impact_markdown": f"""WITH RECURSIVE {_impact_sql(NAME, 2)}, al AS (SELECT 'definition' AS section, workspace, path, line, 1.0::DOUBLE AS score FROM df UNION ALL SELECT 'importer', workspace, path, 0, (3 - depth)::DOUBLE FROM ip UNION ALL SELECT 'caller', workspace, path, line, 0.8 FROM cb UNION ALL SELECT 'reference', workspace, path, 0, 0.5 FROM rf),
+ls AS (SELECT section, string_agg('- `' || path || CASE WHEN line > 0 THEN ':' || line ELSE '' END || '`', chr(10) ORDER BY score DESC, workspace, path, line) AS t FROM al GROUP BY section)
+SELECT '## impact: {NAME}' || (SELECT string_agg(chr(10) || chr(10) || '### ' || k.title || chr(10) || coalesce(ls.t, '(none)'), '' ORDER BY k.o) FROM (VALUES (1, 'definition', 'definitions'), (2, 'caller', 'callers'), (3, 'importer', 'importers'), (4, 'reference', 'references')) k(o, section, title) LEFT JOIN ls ON ls.section = k.section) AS text""",
         "table_counts": f"WITH {SQL_FILES} SELECT 'files' AS name, count(*) AS n FROM f UNION ALL SELECT 'symbols', count(DISTINCT id) FROM symbols UNION ALL SELECT 'chunks', count(DISTINCT symbol_id) FROM chunks UNION ALL SELECT 'notes', count(*) FROM memories UNION ALL SELECT 'parsed', count(*) FROM (SELECT DISTINCT workspace, path FROM parse_results)",
         "symbol_kinds": f"WITH {SQL_SYMBOLS} SELECT kind, count(*) AS n FROM s GROUP BY kind",
         "folder_rollup": f"WITH {SQL_FILES} SELECT CASE WHEN NOT contains(path, '/') THEN '(root)' WHEN string_split(path, '/')[1] IN ('src', 'packages', 'apps', 'services', 'libs') AND len(string_split(path, '/')) > 2 THEN string_split(path, '/')[1] || '/' || string_split(path, '/')[2] ELSE string_split(path, '/')[1] END AS folder, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, folder LIMIT 20",
@@ -341,9 +366,11 @@ fd AS (SELECT name, arg_min(kind, struct_pack(w := workspace, p := path, l := li
         "directory_listing": f"""WITH {SQL_FILES}, x AS (SELECT DISTINCT workspace, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, string_split(path, '/')[-1] AS name FROM f), k AS (SELECT * FROM (SELECT workspace, dir, count(*) AS n_files, row_number() OVER (PARTITION BY workspace ORDER BY dir) AS r FROM x GROUP BY 1, 2) WHERE r <= 12),
 y AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY workspace, dir ORDER BY name) AS r FROM x) WHERE r <= 8) SELECT k.workspace, k.dir, k.n_files, string_agg(y.name, ', ' ORDER BY y.name) AS names FROM k JOIN y ON y.workspace = k.workspace AND y.dir = k.dir GROUP BY ALL""",
         "top_shares": f"WITH {SQL_SYMBOLS}, t AS (SELECT workspace, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, workspace LIMIT 12) SELECT workspace, n, round(n / sum(n) OVER (), 6)::DOUBLE AS share FROM t",
-        "index_health": f"""WITH {SQL_FILES}, n AS (SELECT 'files' AS c, count(*)::DOUBLE AS v FROM f UNION ALL SELECT 'symbols', count(DISTINCT id) FROM symbols UNION ALL SELECT 'chunks', count(DISTINCT symbol_id) FROM chunks),
+        "index_health": f"""WITH {SQL_FILES}, {SQL_EVENTS}, ua AS (SELECT count(*) FILTER (WHERE NOT coalesce(no_prompt, FALSE)) AS asked, count(*) FILTER (WHERE NOT coalesce(no_prompt, FALSE) AND hits > 0) AS hit, count(*) AS injects, count(*) FILTER (WHERE coalesce(timed_out_delta, FALSE) OR coalesce(timed_out_retrieve, FALSE)) AS late FROM j WHERE event_type = 'inject'),
+n AS (SELECT 'files' AS c, count(*)::DOUBLE AS v FROM f UNION ALL SELECT 'symbols', count(DISTINCT id) FROM symbols UNION ALL SELECT 'chunks', count(DISTINCT symbol_id) FROM chunks),
 v AS (SELECT 'chunk coverage' AS c, round(count(DISTINCT id) FILTER (WHERE id IN (SELECT symbol_id FROM chunks WHERE text IS NOT NULL)) / greatest(count(DISTINCT id), 1)::DOUBLE, 6) AS v FROM symbols UNION ALL SELECT 'embedding coverage', round(count(embedding) / greatest(count(*), 1)::DOUBLE, 6) FROM memories)
-SELECT c AS "check", v AS value, CASE WHEN v > 0 THEN 'ok' ELSE 'bad' END AS status FROM n UNION ALL SELECT c, v, CASE WHEN v >= 0.8 THEN 'ok' WHEN v >= 0.5 THEN 'warn' ELSE 'bad' END FROM v""",
+SELECT c AS "check", v AS value, CASE WHEN v > 0 THEN 'ok' ELSE 'bad' END AS status FROM n UNION ALL SELECT c, v, CASE WHEN v >= 0.8 THEN 'ok' WHEN v >= 0.5 THEN 'warn' ELSE 'bad' END FROM v
+UNION ALL SELECT 'hit rate', round(hit::DOUBLE / nullif(asked, 0), 6), CASE WHEN asked >= 10 AND hit::DOUBLE / asked < 0.25 THEN 'warn' ELSE 'ok' END FROM ua UNION ALL SELECT 'timeouts', round(late::DOUBLE / nullif(injects, 0), 6), CASE WHEN late::DOUBLE / injects > 0.5 THEN 'warn' ELSE 'ok' END FROM ua""",
         "workspace_stats": f"WITH {SQL_FILES}, {SQL_SYMBOLS}, a AS (SELECT workspace, count(*) AS n_files FROM f GROUP BY 1), b AS (SELECT workspace, count(*) AS n_symbols FROM s GROUP BY 1) SELECT workspace, n_files, coalesce(n_symbols, 0) AS n_symbols FROM a LEFT JOIN b USING (workspace) WHERE workspace IS NOT NULL AND NOT contains(workspace, '/tmp/') AND NOT contains(workspace, '/var/folders/') AND NOT starts_with(workspace, 'tmp/')",
         "dirty_diff": f"WITH {scans} SELECT workspace, path, CASE WHEN no0 THEN 'added' WHEN no1 THEN 'removed' ELSE 'changed' END AS status FROM jo WHERE no0 OR no1 OR NOT ((m0 IS NOT DISTINCT FROM m1 AND s0 IS NOT DISTINCT FROM s1) OR h0 IS NOT DISTINCT FROM h1)",
         "version_diff": f"""WITH {scans}, p AS (SELECT workspace, path, coalesce(h1, h0) AS hash, CASE WHEN h0 IS NULL THEN 'A' WHEN h1 IS NULL THEN 'D' ELSE 'M' END AS change FROM jo WHERE h0 IS DISTINCT FROM h1),

@@ -222,6 +222,16 @@ def ir_metrics(s: SparkSession, d: str) -> DataFrame:
     return evaluation.ir_metrics(*_golden(s, d))
 
 
+def golden_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Each asked symbol's own place as golden item of grade 2, by path and symbol, and its file as one of grade 1."""
+    docs = symbols_of(s, d).select("id", F.concat_ws(":", "workspace", "path").alias("path"), F.col("name").alias("symbol"), T.identifier_tokens(F.col("name")).alias("text"))
+    asked = docs.where("id % 50 = 0").select(F.col("id").alias("query_id"), "path", "symbol", F.col("text").alias("query"))
+    hits = search.bm25_batch(asked, docs.select("id", "text"), 10).join(docs.select("id", "path", "symbol"), "id").select("query_id", "rank", "path", "symbol")
+    items = F.array(F.struct(F.concat("path", F.lit("#"), "symbol").alias("item"), F.lit(2).alias("grade")), F.struct(F.col("path").alias("item"), F.lit(1).alias("grade")))
+    golden = asked.select("query_id", F.inline(items))
+    return evaluation.ir_metrics(evaluation.graded_hits(hits, golden), golden)
+
+
 def ir_gate(s: SparkSession, d: str) -> DataFrame:
     return evaluation.gate(evaluation.mean_metrics(evaluation.ir_metrics(*_golden(s, d))))
 
@@ -239,7 +249,7 @@ def queries() -> dict:
         "hybrid_search": hybrid, "hash_embedding_sparse": hash_embeddings, "hash_embedding_topk": hash_topk, "symbol_embedding_input": symbol_inputs, "rerank_overlap": rerank, "lsh_candidates": lsh_candidates, "lsh_bucket_sizes": lsh_sizes,
         "classify_query": classify_queries, "classify_intent": classify_intents, "query_signals": query_signals, "tokenize_identifier": identifier_tokens, "grep_lines": grep_pattern, "grep_prefilter": grep_literal,
         "ngram_postings": ngram_sizes, "symbol_lookup": symbol_lookup, "list_paths": list_paths, "recent_symbols": recent_symbols, "merge_per_file": merged_hits, "token_budget_pack": packed_budget, "zero_hit_ladder": fallback,
-        "context_pack": context_pack, "fts_snippet": snippets, "hits_markdown": hits_markdown, "prompt_pack": packed_prompt, "span_cover": span_cover, "hit_windows": hit_windows, "ir_metrics": ir_metrics, "ir_gate": ir_gate, "bench_report": bench_report,
+        "context_pack": context_pack, "fts_snippet": snippets, "hits_markdown": hits_markdown, "prompt_pack": packed_prompt, "span_cover": span_cover, "hit_windows": hit_windows, "ir_metrics": ir_metrics, "ir_gate": ir_gate, "golden_metrics": golden_metrics, "bench_report": bench_report,
     }
 
 
@@ -384,6 +394,11 @@ bd AS (SELECT hit_id, f1, l1, substr(array_to_string(a[f1:l1], chr(10)), 1, 3500
 fin AS (SELECT rg.hit_id, bd.f1 AS first, bd.l1 AS last, coalesce(CASE WHEN trim(body) <> '' THEN body END, snippet) AS sn FROM rg LEFT JOIN bd USING (hit_id))
 SELECT hit_id, first, last, length(sn)::INT AS n_chars, md5(sn) AS body, length(trim(sn)) >= 24 AND first IS NOT NULL AS quality FROM fin""",
         "ir_metrics": f"WITH {_metrics_sql()} SELECT query_id, recall5::DOUBLE AS recall5, recall10::DOUBLE AS recall10, rr::DOUBLE AS rr, ndcg10::DOUBLE AS ndcg10 FROM m",
+        "golden_metrics": f"""WITH {_batch_sql()}, gq AS (SELECT id AS query_id, concat(workspace, ':', path) AS path, name FROM s WHERE id % 50 = 0), hp AS (SELECT query_id, rank, concat(workspace, ':', path) AS path, name FROM hits JOIN s USING (id)),
+go AS (SELECT query_id, path || '#' || name AS item, 2 AS grade FROM gq UNION ALL SELECT query_id, path, 1 FROM gq), mt AS (SELECT query_id, CASE WHEN hp.name = gq.name THEN hp.path || '#' || hp.name ELSE hp.path END AS item, min(rank) AS rank FROM hp JOIN gq USING (query_id, path) GROUP BY ALL),
+cr AS (SELECT go.query_id, grade, rank FROM go LEFT JOIN mt USING (query_id, item))
+SELECT query_id, round((count(*) FILTER (WHERE rank <= 5))::DOUBLE / least(count(*), 5), 6) AS recall5, round((count(*) FILTER (WHERE rank <= 10))::DOUBLE / least(count(*), 10), 6) AS recall10, round(coalesce(1.0 / min(rank), 0)::DOUBLE, 6) AS rr,
+round(sum(CASE WHEN rank <= 10 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) / (3 / log2(2) + 1 / log2(3)), 6)::DOUBLE AS ndcg10 FROM cr GROUP BY query_id""",
         "ir_gate": f"WITH {_metrics_sql()}, a AS (SELECT round(avg(recall5::DOUBLE), 4) AS recall5, round(avg(rr::DOUBLE), 4) AS mrr, round(avg(ndcg10::DOUBLE), 4) AS ndcg10 FROM m) SELECT metric, value, floor, value >= floor AS passed FROM (SELECT 'recall5' AS metric, recall5 AS value, 0.5::DOUBLE AS floor FROM a UNION ALL SELECT 'mrr', mrr, 0.6 FROM a UNION ALL SELECT 'ndcg10', ndcg10, 0.45 FROM a)",
         "bench_report": f"""WITH {SQL_CHUNKS}, {SQL_FILES}, t AS (SELECT symbol_id AS task_id, workspace, path, ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS injected FROM h WHERE workspace IS NOT NULL),
 w AS (SELECT workspace, ceil(count(*) * 40 / 4.0)::BIGINT AS walk FROM f GROUP BY workspace)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import format as fm
 from lodestone.functions import text as T
 from lodestone.functions.vectors import hash_embedding_of
 from lodestone.operators import journal, notes, search
@@ -51,6 +52,20 @@ def session_claims(s: SparkSession, d: str) -> DataFrame:
     return journal.session_claims(events_of(s, d))
 
 
+def locate_credit(s: SparkSession, d: str) -> DataFrame:
+    """Credit of every call that named paths; its answer, shared among them, is what was delivered of each."""
+    calls = events_of(s, d).where("event_type = 'mcp' and ok")
+    each = F.floor(F.coalesce("response_tokens", F.lit(0)) / F.size("paths"))
+    hits = calls.where(F.size("paths") > 0).select(journal.scope_key().alias("scope"), "event_id", "workspace", F.explode(F.array_distinct("paths")).alias("path"), each.alias("delivered"), (F.coalesce("response_tokens", F.lit(0)) >= 6).alias("quality"))
+    return journal.locate_credit(hits, files_of(s, d))
+
+
+def notes_text(s: SparkSession, d: str) -> DataFrame:
+    """The distilled notes as Markdown."""
+    kept = notes.distilled(notes_of(s, d)).join(notes_of(s, d).select("id", "text", "tags", "paths"), "id")
+    return fm.notes_as_text(kept.withColumn("rank", F.struct((-F.col("uses")).alias("u"), (-F.col("id")).alias("i"))), "## notes")
+
+
 def repeat_reads(s: SparkSession, d: str) -> DataFrame:
     return journal.repeat_reads(events_of(s, d))
 
@@ -173,7 +188,7 @@ def props_hits(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         "token_ledger": token_ledger, "ledger_by_mode": ledger_by_mode, "event_summary": event_summary, "latency_percentiles": latency_percentiles, "hits_histogram": hits_histogram, "workspace_rollup": workspace_rollup,
-        "event_mix": event_mix, "dual_scope": dual_scope, "session_claims": session_claims, "repeat_reads": repeat_reads, "prior_reads": prior_reads, "hook_liveness": liveness, "usage_advice": usage_advice, "health_classes": health_classes,
+        "event_mix": event_mix, "dual_scope": dual_scope, "session_claims": session_claims, "locate_credit": locate_credit, "notes_markdown": notes_text, "repeat_reads": repeat_reads, "prior_reads": prior_reads, "hook_liveness": liveness, "usage_advice": usage_advice, "health_classes": health_classes,
         "guardrail_decision": guardrail, "scoped_walk": scoped_walks, "shell_discovery": shell_discovery, "turn_state": turn_state, "journal_lines": journal_lines, "token_estimates": token_estimates, "recall_score": recall_score,
         "recall_updates": recall_updates, "exact_duplicate_notes": exact_duplicates, "near_duplicate_notes": near_duplicates, "decay_prune": decay_prune, "session_cap": session_cap, "distill_notes": distilled, "stale_notes": stale,
         "session_notes": session_notes, "hourly_events": hourly_events, "event_sessions": event_sessions, "props_hits": props_hits,
@@ -220,6 +235,14 @@ def oracle_sql() -> dict[str, str]:
         "event_mix": f"{j} SELECT CASE WHEN event_type IN {known} THEN event_type ELSE 'other' END AS label, count(*) AS n FROM j GROUP BY 1",
         "dual_scope": f"{j}, m AS (SELECT 'global' AS scope, * FROM j UNION ALL SELECT 'project', * FROM j WHERE workspace = '{WORKSPACE}'), x AS (SELECT scope, count(*) AS events, count(*) FILTER (WHERE workspace IS NULL) AS untagged, {_LEDGER} FROM m GROUP BY scope), y AS (SELECT *, {_DERIVED} FROM x) SELECT scope, events, untagged, injects, spent, avoided, net FROM y",
         "session_claims": f"{j}, p AS (SELECT coalesce(session, workspace) AS scope, event_id, unnest(paths) AS path FROM j WHERE event_type = 'mcp' AND ok) SELECT scope, path, min(event_id) AS event_id FROM p WHERE scope IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2",
+        "locate_credit": f"""{j}, {SQL_FILES}, h AS (SELECT DISTINCT coalesce(session, workspace) AS scope, event_id, workspace, unnest(paths) AS path, coalesce(response_tokens, 0) // len(paths) AS delivered FROM j WHERE event_type = 'mcp' AND ok AND len(paths) > 0 AND coalesce(response_tokens, 0) >= 6),
+g AS (SELECT scope, event_id, workspace, trim(path) AS path, delivered FROM h WHERE scope IS NOT NULL AND trim(path) <> ''), fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, path ORDER BY event_id, workspace, delivered) AS r FROM g) WHERE r = 1),
+w AS (SELECT fi.scope, fi.event_id, count(*) AS paths, sum(greatest(coalesce(least(ceil(coalesce(f.size, 0) / 4.0)::BIGINT, 8000) * (f.path IS NOT NULL)::INT, 0) - greatest(delivered, 0), 0))::BIGINT AS window_tokens FROM fi LEFT JOIN f ON f.workspace = fi.workspace AND f.path = fi.path GROUP BY ALL),
+op AS (SELECT scope, event_id, workspace FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY event_id, workspace) AS r FROM g) WHERE r = 1), wl AS (SELECT workspace, ceil(count(*) * 40 / 4.0)::BIGINT AS walk FROM f GROUP BY workspace),
+di AS (SELECT scope, event_id, coalesce(walk, 0) AS walk FROM op LEFT JOIN wl USING (workspace))
+SELECT coalesce(w.scope, di.scope) AS scope, coalesce(w.event_id, di.event_id) AS event_id, coalesce(paths, 0) AS paths, coalesce(window_tokens, 0) AS window_tokens, coalesce(walk, 0) AS discovery_tokens FROM w FULL JOIN di ON w.scope = di.scope AND w.event_id = di.event_id""",
+        "notes_markdown": """WITH k AS (SELECT id, lower(trim(kind)) AS kind, coalesce(use_count, 0) AS uses, text, tags, paths FROM memories WHERE lower(trim(kind)) <> 'session' AND trim(coalesce(text, '')) <> '' ORDER BY uses DESC, id DESC LIMIT 30)
+SELECT '## notes' || chr(10) || chr(10) || coalesce(string_agg('- (#' || id || ' ' || coalesce(kind, '') || CASE WHEN coalesce(tags, '') <> '' THEN ' [' || replace(tags, ',', ', ') || ']' ELSE '' END || ') ' || text || CASE WHEN coalesce(paths, '') <> '' THEN ' — `' || replace(paths, ',', '`, `') || '`' ELSE '' END, chr(10) ORDER BY uses DESC, id DESC), '(no notes yet)') AS text FROM k""",
         "repeat_reads": f"{j}, p AS (SELECT DISTINCT workspace, event_id, unnest(paths) AS path FROM j WHERE event_type = 'mcp' AND workspace IS NOT NULL) SELECT workspace, path, count(*) AS reads FROM p GROUP BY 1, 2 HAVING count(*) >= 2",
         "prior_reads": f"{j}, p AS (SELECT DISTINCT coalesce(session, workspace) AS scope, event_id, unnest(paths) AS path FROM j WHERE event_type = 'mcp'), q AS (SELECT *, dense_rank() OVER (PARTITION BY scope ORDER BY event_id) AS seq FROM p WHERE scope IS NOT NULL) SELECT scope, event_id, path, count(*) OVER (PARTITION BY scope, path ORDER BY seq RANGE BETWEEN 500 PRECEDING AND 1 PRECEDING) AS prior FROM q",
         "hook_liveness": f"{j}, e AS (SELECT unnest({list(kinds)}) AS event_type), g AS (SELECT event_type, count(*) AS n, max(at_ts) AS last_at FROM j GROUP BY 1) SELECT e.event_type, coalesce(n, 0) AS n, last_at, CASE WHEN n IS NULL THEN 'never' WHEN last_at < TIMESTAMP '{AS_OF}' - INTERVAL 14 DAYS THEN 'stale' ELSE 'fired' END AS status FROM e LEFT JOIN g USING (event_type)",

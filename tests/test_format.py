@@ -72,3 +72,11 @@ def test_index_build(spark, tmp_path):
     assert read("chunks").where("path = 'a.py'").head().text.startswith("a.py > load_policy") and read("imports").head().to_path == "c.ts"
     assert {r.workspace for r in read("ngrams").select("workspace").distinct().collect()} == {"w", "v"}
     assert read("postings").where("term = 'policy'").count() == 1 and read("vectors").count() > 0 and read("calls").where("to_name = 'save'").count() == 1
+
+
+def test_notes_and_impact_as_text(spark):
+    notes = spark.createDataFrame([(2, "fact", "b", "x,y", "p,q", 2), (1, "decision", "a", None, None, 1)], "id bigint, kind string, text string, tags string, paths string, rank int")
+    assert fm.notes_as_text(notes, "## n").head().text == "## n\n\n- (#1 decision) a\n- (#2 fact [x, y]) b — `p`, `q`"
+    assert fm.notes_as_text(notes.limit(0), "## n").head().text == "## n\n\n(no notes yet)"
+    impact = spark.createDataFrame([("definition", "w", "a.ts", 3, 1.0), ("importer", "w", "b.ts", 0, 2.0)], "section string, workspace string, path string, line int, score double")
+    assert fm.impact_as_text(impact, "f").head().text == "## impact: f\n\n### definitions\n- `a.ts:3`\n\n### callers\n(none)\n\n### importers\n- `b.ts`\n\n### references\n(none)"

@@ -382,3 +382,35 @@ def test_cut_lineage_keeps_rows_and_schema(spark):
     df = frame(spark, [(1, [1, 2], None), (2, None, "x")], "a int, b array<int>, c string")
     cut = cut_lineage(df)
     assert cut.schema == df.schema and sorted(cut.collect()) == sorted(df.collect())
+
+
+def test_golden_items_by_symbol_then_path(spark):
+    golden = frame(spark, [("q", "a.ts#f"), ("q", "a.ts"), ("q", "b.ts"), ("r", "a.ts")], "query_id string, item string")
+    hits = frame(spark, [("q", 1, "a.ts", "f"), ("q", 2, "a.ts", "g"), ("q", 3, "b.ts", None), ("q", 4, "c.ts", "f"), ("r", 1, "a.ts", "f")], "query_id string, rank int, path string, symbol string")
+    got = {tuple(r) for r in evaluation.graded_hits(hits, golden).collect()}
+    assert got == {("q", "a.ts#f", 1), ("q", "a.ts", 2), ("q", "b.ts", 3), ("r", "a.ts", 1)}
+
+
+def test_locate_credit_once_and_for_quality_only(spark):
+    files = frame(spark, [("w", "a", 4000), ("w", "b", 100_000), ("w", "c", None)], "workspace string, path string, size bigint")
+    hits = frame(spark, [("s", 1, "w", "a", 10, False), ("s", 2, "w", "a", 10, True), ("s", 3, "w", "a", 0, True), ("s", 3, "w", "b", 100, True), ("s", 3, "w", "gone", 0, True), ("t", 4, "w", "a", 2000, True), (None, 5, "w", "a", 0, True)], "scope string, event_id bigint, workspace string, path string, delivered bigint, quality boolean")
+    got = {tuple(r) for r in journal.locate_credit(hits, files).collect()}
+    assert got == {("s", 2, 1, 990, 30), ("s", 3, 2, 7900, 0), ("t", 4, 1, 0, 30)}
+    assert journal.locate_credit(hits.limit(0), files).count() == 0
+
+
+def test_recent_changes_come_first(spark):
+    symbols = frame(spark, [("w", "old", 1, "a"), ("w", "new", 1, "b"), ("w", "fed", 2, "c"), ("w", "fed", 1, "d")], "workspace string, path string, line int, name string")
+    files = frame(spark, [("w", "old", 1), ("w", "new", 9), ("w", "fed", 2)], "workspace string, path string, mtime_ms bigint")
+    changes = frame(spark, [("w", "fed", "2026-05-31 12:00:00"), ("w", "old", "2026-05-01 12:00:00")], "workspace string, path string, at string")
+    assert [r.name for r in lookup.recent_symbols(symbols, files, 4).collect()] == ["b", "d", "c", "a"]
+    assert [r.name for r in lookup.recent_symbols(symbols, files, 4, changes, "2026-06-01 00:00:00").collect()] == ["d", "c", "b", "a"]
+
+
+def test_enclosing_symbol_is_the_innermost(spark):
+    symbols = frame(spark, [("w", "a", "C", 1, 9, "class"), ("w", "a", "C.m", 2, 5, "method"), ("v", "a", "other", 1, 9, "class")], "workspace string, path string, name string, line int, end_line int, kind string").withColumn("signature", F.lit("s"))
+    calls = frame(spark, [("w", "a", "run", 3), ("w", "a", "run", 3), ("w", "a", "x.run", 7), ("w", "a", "run", 20)], "workspace string, from_path string, to_name string, line int")
+    held = graph.enclosing(calls, symbols)
+    assert {(r.to_name, r.line, r.n, r.from_symbol) for r in held.collect()} == {("run", 3, 2, "C.m"), ("x.run", 7, 1, "C"), ("run", 20, 1, None)}
+    (node,) = graph.node_details(held, symbols).collect()
+    assert (node.name, node.kind, node.callers, node.callees, node.top_callers) == ("run", None, 2, 0, "C.m")
