@@ -31,11 +31,16 @@ def index_tables(files: DataFrame, corpus: DataFrame) -> dict[str, DataFrame]:
 
 
 def build_index(files: DataFrame, corpus: DataFrame, root: str) -> dict[str, str]:
-    """Write every index table as a new version below ``root``, in folders by workspace; returns the versions.
+    """Write every index table as a new version below ``root``; returns the versions.
 
-    Postings lie by the first two characters of the term, n-grams by the first two of the hash within the workspace, so a
-    query reads the folders that its terms can be in.
+    Postings lie in folders by the first two characters of the term and n-grams by the first two of the hash, sorted by
+    workspace within, so a query reads the folders that its terms can be in; the other tables lie by workspace.
+    Rows go to the files evenly, a large folder to several.
     """
     from lodestone.sources.versioned import write_version
 
-    return {name: write_version(df, f"{root}/{name}", ["workspace", "part"] if "part" in df.columns else ["workspace"]) for name, df in index_tables(files, corpus).items()}
+    written = {}
+    for name, df in index_tables(files, corpus).items():
+        by = "part" if "part" in df.columns else "workspace"
+        written[name] = write_version(df.hint("rebalance", by).sortWithinPartitions(*dict.fromkeys([by, "workspace"])), f"{root}/{name}", [by])
+    return written

@@ -123,7 +123,7 @@ def stored_postings(s: SparkSession, d: str) -> DataFrame:
     """
     at = f"{shared_folder(s)}/ngrams-{s.sparkContext.applicationId}-{abs(hash(d)):x}"
     if not folder_exists(s, f"{at}/_SUCCESS"):
-        grep.ngram_postings(corpus_of(s, d)).withColumn("part", F.substring("hash", 1, 2)).repartition("part").write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(at)
+        grep.ngram_postings(corpus_of(s, d)).withColumn("part", F.substring("hash", 1, 2)).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(at)
     return s.read.schema("hash string, workspace string, path string, part string").parquet(at)
 
 
