@@ -120,6 +120,7 @@ class Segmenter:
         if not text or text.isspace():
             return []
         self.text = text
+        self._low: str | None = None
         self._periods: dict[str, list[int]] | None = None
         self._tokens: Counter | None = None
         self._names: tuple[set[str], set[str]] | None = None
@@ -359,6 +360,12 @@ class Segmenter:
             role = PRIOR.get(word) or ("may close" if _DOTTED.fullmatch(word) else "")
         elif role == "plain":
             role = ""
+        if not role and self._periods is None and len(self.text) < 20_000:
+            # too few of its periods elsewhere in a short text: the document is silent, without a look at all words
+            if self._low is None:
+                self._low = self.text.lower()
+            if self._low.count(word.rpartition(".")[2] + ".") <= DOCUMENT_LEAST:
+                return ""
         if self._periods is None:
             self._periods = period_words(self.text)
         counts = self._periods.get(word)
