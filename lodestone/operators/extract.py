@@ -119,18 +119,14 @@ _STRIPPED = [
 _SCRIPT_CALL = r"(?:^|[^A-Za-z0-9_$.]|[)\]]\.)([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)[ \t]*(?:<[^<>()]*>)?\("
 
 
-def script_calls(text: Column) -> Column:
-    """Names that a line of a script calls, in order: ``a`` or ``a.b``; of longer chains and of ``this`` the last name.
-
-    A line scanner: calls within template strings and on the first line of a method's definition up to its
-    parameters are not seen, and block comments are known by their leading asterisk.
-    """
-    code = text
+def _stripped(text: Column) -> Column:
     for pattern, instead in _STRIPPED[:-1]:
-        code = F.regexp_replace(code, pattern, instead)
-    head = F.regexp_extract(code, _MEMBER, 1)
-    code = F.when((head != "") & ~head.isin(*KEYWORDS), F.regexp_replace(code, rf"^[ \t]*(?:[a-z]+[ \t]+)*\*?{_NAME}[ \t]*(?:<[^<>()]*>)?\(", "(")).otherwise(code)
-    chains = F.regexp_extract_all(F.regexp_replace(code, *_STRIPPED[-1]), F.lit(_SCRIPT_CALL), F.lit(1))
+        text = F.regexp_replace(text, pattern, instead)
+    return text
+
+
+def _called_names(chains: Column) -> Column:
+    """``a`` or ``a.b``; of longer chains and of ``this`` the last name; keywords are left out."""
     parts = F.transform(chains, lambda c: F.split(c, r"\."))
     called = F.filter(parts, lambda x: ~F.element_at(x, -1).isin(*KEYWORDS) & ((F.size(x) > 1) | (x[0] != "this")))
     return F.transform(called, lambda x: F.when((F.size(x) == 2) & ~x[0].isin("this", "super"), F.array_join(x, ".")).otherwise(F.element_at(x, -1)))
@@ -139,14 +135,23 @@ def script_calls(text: Column) -> Column:
 def call_edges(files: DataFrame) -> DataFrame:
     """(workspace, from_path, to_name, line): calls, in one pass over the lines.
 
-    Of each Python and Go line that defines nothing the first call, of a JavaScript or TypeScript line all.
+    Of each Python and Go line that defines nothing the first call, of a JavaScript or TypeScript line all. A line
+    scanner: calls within template strings are not seen, nor is a method's definition, and block comments are
+    known by their leading asterisk.
     """
-    text, ext, name = F.col("text"), F.col("ext"), F.regexp_extract("text", _CALL, 1)
-    python = F.when(~text.rlike(_PY_DEF) & ~text.rlike(_PY_CLASS) & ~name.isin("", "def", "class", "if", "for", "while", "return"), F.array(name))
-    go = F.when(~text.rlike(_GO_FUNC) & ~name.isin("", "func"), F.array(name))
-    found = F.when(ext == "py", python).when(ext == "go", go).when(F.contains("text", F.lit("(")), script_calls(text))
-    lines = source_lines(files, "py", "go", *SCRIPTS)
-    return lines.select("workspace", F.col("path").alias("from_path"), F.explode(found).alias("to_name"), "line")
+    text, ext = F.col("text"), F.col("ext")
+    lines = source_lines(files, "py", "go", *SCRIPTS).where(F.contains("text", F.lit("(")))
+    # step by step, so that what a script line is stripped to is worked out once
+    coded = lines.select("workspace", "path", "line", "text", "ext", F.when(ext.isin(*SCRIPTS), _stripped(text)).alias("code"))
+    headed = coded.withColumn("head", F.regexp_extract("code", _MEMBER, 1))
+    head = rf"^[ \t]*(?:[a-z]+[ \t]+)*\*?{_NAME}[ \t]*(?:<[^<>()]*>)?\("
+    bodied = headed.withColumn("code", F.when((F.col("head") != "") & ~F.col("head").isin(*KEYWORDS), F.regexp_replace("code", head, "(")).otherwise(F.col("code")))
+    chained = bodied.withColumn("chains", F.regexp_extract_all(F.regexp_replace("code", *_STRIPPED[-1]), F.lit(_SCRIPT_CALL), F.lit(1))).withColumn("name", F.when(F.col("code").isNull(), F.regexp_extract("text", _CALL, 1)))
+    name = F.col("name")
+    python = F.when(~name.isin("", "def", "class", "if", "for", "while", "return") & ~text.rlike(_PY_DEF) & ~text.rlike(_PY_CLASS), F.array(name))
+    go = F.when(~name.isin("", "func") & ~text.rlike(_GO_FUNC), F.array(name))
+    found = F.when(ext == "py", python).when(ext == "go", go).otherwise(_called_names(F.col("chains")))
+    return chained.select("workspace", F.col("path").alias("from_path"), F.explode(found).alias("to_name"), "line")
 
 
 def _normal(path: Column) -> Column:
