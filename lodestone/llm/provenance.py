@@ -42,6 +42,8 @@ _ACTIVE = frozenset("def class function func if for while return try with switch
 # Files too small to tell a copy by.
 COPY_CHARS, COPY_SHINGLES = 200, 8
 DATA_CHARS, DATA_LITERALS = 1000, 50
+#: Parts of a hot shingle; also, one in so many texts is looked at to find these, of which so many must hold it.
+SALTS, SAMPLED_OFTEN = 64, 8
 
 
 def _comments_around(lines: list[str]) -> list[str]:
@@ -172,6 +174,27 @@ def shared_nodes(nodes: DataFrame, least_chars: int = 200) -> DataFrame:
     return counted.join(shared, "hash").select("workspace", "node")
 
 
+def _held_between_owners(texts: DataFrame) -> DataFrame:
+    """(content, chars, lo, hi, k, shingle, n): shingles of the texts that two owners hold, n being the number of texts that hold each.
+
+    One exchange serves the counts and the holders. Shingles that a 64th of the texts shows in more than a
+    thousandth of all (and eight of that sample) are spread over 64 parts; there are at most a thousand times as many
+    of these as a text has shingles.
+    """
+    often = max(SAMPLED_OFTEN, texts.count() // SALTS // 1000)
+    sampled = texts.where(F.pmod(F.xxhash64("content", F.lit("sample")), F.lit(SALTS)) == 0).select(F.explode("shingles").alias("shingle"))
+    hot = F.broadcast(cut_lineage(sampled.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") >= often).select("shingle", F.lit(True).alias("hot"))))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("content"), F.lit(SALTS))).otherwise(-1).cast("int")
+    held = texts.select("content", "chars", "lo", "hi", F.size("shingles").alias("k"), F.explode("shingles").alias("shingle"))
+    columns = ["content", "chars", "lo", "hi", "k", "shingle"]
+    salted = held.join(hot, "shingle", "left").select(*columns, salt.alias("salt")).where("salt is not null and shingle is not null").repartition("shingle", "salt")
+    parts = salted.groupBy("shingle", "salt").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.expr("count(content, chars, k)").alias("m"))
+    spread = F.broadcast(parts.where("salt >= 0").groupBy("shingle").agg(F.min("first").alias("hot_first"), F.max("last").alias("hot_last"), F.sum("m").alias("hot_m")))
+    # both uses of the exchange read all its columns and filter none of its keys, else they would not share it
+    joined = salted.join(parts.hint("shuffle_hash"), ["shingle", "salt"]).join(spread, "shingle", "left")
+    return joined.where(F.coalesce("hot_first", "first") != F.coalesce("hot_last", "last")).select(*columns, F.coalesce("hot_m", "m").alias("n"))
+
+
 def patched_copies(written: DataFrame, least_share: float = 0.7) -> DataFrame:
     """(workspace, path) of files of which ``least_share`` of the shingles stand in one file of another owner, of like size.
 
@@ -184,9 +207,7 @@ def patched_copies(written: DataFrame, least_share: float = 0.7) -> DataFrame:
     """
     sized = written.where((F.col("chars") >= COPY_CHARS) & (F.size("shingles") >= COPY_SHINGLES))
     texts = cut_lineage(sized.groupBy("content").agg(F.first("chars").alias("chars"), F.first("shingles").alias("shingles"), F.min(_owner()).alias("lo"), F.max(_owner()).alias("hi")))
-    held = texts.select("content", "chars", "lo", "hi", F.size("shingles").alias("k"), F.explode("shingles").alias("shingle"))
-    between = held.groupBy("shingle").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count("*").alias("n")).where("first != last")
-    held = cut_lineage(held.join(between.select("shingle", "n"), "shingle"))
+    held = cut_lineage(_held_between_owners(texts))
 
     need = F.ceil(F.col("k") * least_share - 1e-9)
     rarest = F.sort_array(F.collect_list(F.struct("n", "shingle")))

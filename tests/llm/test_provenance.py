@@ -91,3 +91,21 @@ def test_a_chain_of_versions_is_found_whole(spark):
     others = [(f"p{i}/x", "src/lib.js", library + f"\n// {i}") for i in range(6)] + [("q/x", "src/bundle.js", corpus[0][2] + "\n" + "\n".join(f"let z{i} = {i * 3}" for i in range(400)))]
     got = {(r.workspace, r.path) for r in not_hand_written(spark.createDataFrame([], "workspace string, path string"), spark.createDataFrame(corpus + others, "workspace string, path string, content string")).collect()}
     assert len(want) >= 11 and got == want | {o[:2] for o in others[:6]}
+
+
+def test_spread_shingles_are_held_by_the_same_texts(spark, monkeypatch):
+    import random
+
+    from lodestone.llm import provenance as pv
+
+    rng = random.Random(2)
+    rows = [(i, 500, i % 3 if i % 5 else 7, i % 3 if i % 5 else 7, sorted({1, *(rng.randrange(2, 90) for _ in range(4))})) for i in range(700)]
+    texts = spark.createDataFrame(rows, "content bigint, chars bigint, lo bigint, hi bigint, shingles array<bigint>")
+    of = {}
+    for content, _, lo, hi, shingles in rows:
+        for x in shingles:
+            of.setdefault(x, []).append((content, lo))
+    want = sorted((content, x, len(held)) for x, held in of.items() if len({o for _, o in held}) > 1 for content, _ in held)
+    for often in (10**9, 1):
+        monkeypatch.setattr(pv, "SAMPLED_OFTEN", often)
+        assert sorted((r.content, r.shingle, r.n) for r in pv._held_between_owners(texts).collect()) == want
