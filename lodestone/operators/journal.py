@@ -73,6 +73,33 @@ def event_summary(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(*columns) if keys else events.agg(*columns)
 
 
+def summary_scope(events: DataFrame, workspace: str | None = None) -> DataFrame:
+    """The injects that a summary of a workspace rests on: its own, where there are none those without a workspace, else all.
+
+    Where that scope has injects without a prompt only, while others have one, all injects. One aggregate row decides.
+    """
+    injects = events.where("event_type = 'inject'")
+    own = F.col("workspace") == workspace if workspace else F.lit(False)
+    legacy = F.coalesce("workspace", F.lit("")) == ""
+    asked = ~F.coalesce("no_prompt", F.lit(False))
+    n = injects.agg(F.count_if(own).alias("own"), F.count_if(legacy).alias("legacy"), F.count_if(own & asked).alias("own_asked"), F.count_if(legacy & asked).alias("legacy_asked"), F.count_if(asked).alias("asked")).head()
+    scope, in_scope = (own, n.own_asked) if n.own else (legacy, n.legacy_asked) if n.legacy else (F.lit(True), n.asked)
+    return injects if not in_scope and n.asked else injects.where(scope)
+
+
+def inject_summary(events: DataFrame, workspace: str | None = None) -> DataFrame:
+    """(injects, asked, p50_delta, p95_delta, p50_retrieve, p95_retrieve, hits): nearest-rank percentiles of the scoped
+    injects and a histogram of the hits of those with a prompt, as ``hits:n`` in order of hits.
+    """
+    scoped = summary_scope(events, workspace)
+    asked = ~F.coalesce("no_prompt", F.lit(False))
+    disc = lambda q, c: F.expr(f"percentile_disc({q}) within group (order by {c})")
+    counts = scoped.where(asked).groupBy(F.coalesce("hits", F.lit(0)).alias("hits")).agg(F.count("*").alias("n"))  # one row for each number of hits
+    text = counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hits", "n"))), lambda x: F.concat(x.hits.cast("string"), F.lit(":"), x.n.cast("string"))), " ").alias("hits"))
+    figures = scoped.agg(F.count("*").alias("injects"), F.count_if(asked).alias("asked"), disc(0.5, "delta_ms").alias("p50_delta"), disc(0.95, "delta_ms").alias("p95_delta"), disc(0.5, "retrieve_ms").alias("p50_retrieve"), disc(0.95, "retrieve_ms").alias("p95_retrieve"))
+    return figures.join(F.broadcast(text), F.lit(True))  # one row each
+
+
 def latency_percentiles(events: DataFrame) -> DataFrame:
     """(event_type, n, p50_delta, p95_delta, p50_retrieve, p95_retrieve), nearest rank, of event types that have such times."""
     disc = lambda q, c: F.expr(f"percentile_disc({q}) within group (order by {c})")

@@ -54,12 +54,19 @@ def recent_symbols(symbols: DataFrame, files: DataFrame, k: int = 20, changes: D
 def merge_per_file(hits: DataFrame) -> DataFrame:
     """(workspace, path, score, symbols, lines, n): hits (workspace, path, line, symbol, score) of each file as one.
 
-    Distinct symbols and lines are sorted and joined with ``, ``; the score is the best.
+    Distinct symbols and lines are sorted and joined with ``, ``; the score is the best. Hits with a ``snippet`` keep it:
+    of several the file has the lines first and then the snippets, best first, between ``---``; for ranked results of bounded size.
     """
-    return hits.groupBy("workspace", "path").agg(
+    columns = [
         F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("symbol")), ", ").alias("symbols"),
         F.array_join(F.transform(F.array_sort(F.collect_set("line")), lambda x: x.cast("string")), ", ").alias("lines"), F.count("*").alias("n"),
-    )
+    ]
+    if "snippet" not in hits.columns:
+        return hits.groupBy("workspace", "path").agg(*columns)
+    held = F.array_sort(F.collect_list(F.when(F.coalesce("snippet", F.lit("")) != "", F.struct((-F.col("score")).alias("s"), "line", "symbol", "snippet"))))
+    merged = hits.groupBy("workspace", "path").agg(*columns, F.array_join(F.transform(held, lambda x: x.snippet), "\n---\n").alias("snippet"))
+    headed = F.concat_ws("\n", F.when(F.col("lines") != "", F.concat(F.lit("lines "), F.col("lines"))), F.nullif("snippet", F.lit("")))
+    return merged.withColumn("snippet", F.when(F.col("n") > 1, headed).otherwise(F.col("snippet")))
 
 
 def pack_budget(hits: DataFrame, order: Sequence, chars, budget: int = BUDGET_TOKENS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import is_safe_path
+from lodestone.functions.text import extension_class, ignore_rules, is_ignored
 
 MOST_LINES, MOST_CHARS, PAD, ANCHOR, MOST_BYTES, QUALITY_CHARS = 80, 3500, 2, 40, 1_500_000, 24
 
@@ -42,9 +42,10 @@ def cover_spans(hits: DataFrame, spans: DataFrame) -> DataFrame:
 def read_windows(ranges: DataFrame, files: DataFrame) -> DataFrame:
     """ranges (hit_id, workspace, path, first, last) with first, last, clamped and body of at most 3,500 characters.
 
-    Unsafe and unknown paths and files above 1.5 MB give no row. A null text counts as empty.
+    Unsafe, ignored and unknown paths, extensions that are not indexed and files above 1.5 MB give no row. A null text counts as empty.
     """
-    known = files.where(is_safe_path(F.col("path")) & (F.octet_length("content") <= MOST_BYTES))
+    served = (extension_class(F.col("path")) != "other") & ~is_ignored(F.col("path"), ignore_rules())
+    known = files.where(served & (F.octet_length(F.coalesce("content", F.lit(""))) <= MOST_BYTES))
     lines = known.select("workspace", "path", F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: F.rtrim(x, F.lit("\r"))).alias("lines"))
     joined = ranges.join(lines, ["workspace", "path"])
     a, b, clamped = clamp_range(F.col("first"), F.col("last"), F.size("lines"))

@@ -155,6 +155,11 @@ def merged_hits(s: SparkSession, d: str) -> DataFrame:
     return lookup.merge_per_file(hits)
 
 
+def merged_snippets(s: SparkSession, d: str) -> DataFrame:
+    """The twenty best chunks as one hit for each file, with their snippets."""
+    return lookup.merge_per_file(_best_chunks(s, d).select("workspace", "path", "line", "symbol", "score", "snippet"))
+
+
 def packed_budget(s: SparkSession, d: str) -> DataFrame:
     scored = search.ranked(search.bm25(table(s, d, "documents"), "doc_id", "text", TERMS), "doc_id", 200).join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return lookup.pack_budget(scored, [F.desc("score"), F.col("doc_id")], F.col("n_chars")).select("doc_id", "cost", "cum_cost")
@@ -248,7 +253,7 @@ def queries() -> dict:
         "bm25_topk": bm25_topk, "bm25_prefix_topk": prefix_topk, "notes_bm25_topk": notes_topk, "lexical_union": lexical_union, "bm25_batch": bm25_batch, "cosine_topk": cosine_topk, "rrf_fusion": rrf_fusion,
         "hybrid_search": hybrid, "hash_embedding_sparse": hash_embeddings, "hash_embedding_topk": hash_topk, "symbol_embedding_input": symbol_inputs, "rerank_overlap": rerank, "lsh_candidates": lsh_candidates, "lsh_bucket_sizes": lsh_sizes,
         "classify_query": classify_queries, "classify_intent": classify_intents, "query_signals": query_signals, "tokenize_identifier": identifier_tokens, "grep_lines": grep_pattern, "grep_prefilter": grep_literal,
-        "ngram_postings": ngram_sizes, "symbol_lookup": symbol_lookup, "list_paths": list_paths, "recent_symbols": recent_symbols, "merge_per_file": merged_hits, "token_budget_pack": packed_budget, "zero_hit_ladder": fallback,
+        "ngram_postings": ngram_sizes, "symbol_lookup": symbol_lookup, "list_paths": list_paths, "recent_symbols": recent_symbols, "merge_per_file": merged_hits, "merged_snippets": merged_snippets, "token_budget_pack": packed_budget, "zero_hit_ladder": fallback,
         "context_pack": context_pack, "fts_snippet": snippets, "hits_markdown": hits_markdown, "prompt_pack": packed_prompt, "span_cover": span_cover, "hit_windows": hit_windows, "ir_metrics": ir_metrics, "ir_gate": ir_gate, "golden_metrics": golden_metrics, "bench_report": bench_report,
     }
 
@@ -311,6 +316,12 @@ sp AS (SELECT DISTINCT workspace, path, least(start_line, end_line) AS b, greate
 cv AS (SELECT hit_id, b, e FROM (SELECT hit_id, b, e, row_number() OVER (PARTITION BY hit_id ORDER BY (b <> line)::INT, e - b, b) AS r FROM hit JOIN sp USING (workspace, path) WHERE line BETWEEN b AND e) WHERE r = 1)"""
 
 
+def _served_sql() -> str:
+    from lodestone.plans.code import _EXT, _ignored_sql
+
+    return f"{_EXT} IN {(*T.SYMBOL_EXTENSIONS, *T.TEXT_EXTENSIONS)} AND NOT {_ignored_sql()} AND strlen(coalesce(content, '')) <= 1500000"
+
+
 def _ladder_sql() -> str:
     names = [NAME, "trackShard"]
     parts = []
@@ -378,6 +389,9 @@ o AS (SELECT *, row_number() OVER (ORDER BY tier, length(name), name, workspace,
         "recent_symbols": f"WITH {SQL_FILES}, {SQL_SYMBOLS} SELECT DISTINCT s.workspace, s.path, s.line, s.name, f.mtime_ms FROM s JOIN f USING (workspace, path) ORDER BY mtime_ms DESC, workspace, path, line, name LIMIT 20",
         "merge_per_file": f"""WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {_NAMED}, {bm25_sql('nc', 'id', 'text', PHRASES)}, hit AS (SELECT workspace, path, line, name, round(score, 6) AS score FROM bm JOIN nc USING (id))
 SELECT workspace, path, max(score) AS score, array_to_string(list_sort(list(DISTINCT name)), ', ') AS symbols, array_to_string(list_sort(list(DISTINCT line)), ', ') AS lines, count(*) AS n FROM hit GROUP BY workspace, path""",
+        "merged_snippets": f"""WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {_NAMED}, {bm25_sql('nc', 'id', 'text', PHRASES)}, r AS ({_top('bm', 'id', 20)}), x AS (SELECT workspace, path, line, name, r.score, substr(text, 1, 60) AS sn FROM r JOIN nc USING (id)),
+g AS (SELECT workspace, path, max(score) AS score, array_to_string(list_sort(list(DISTINCT name)), ', ') AS symbols, array_to_string(list_sort(list(DISTINCT line)), ', ') AS lines, count(*) AS n, string_agg(sn, chr(10) || '---' || chr(10) ORDER BY score DESC, line, name, sn) FILTER (WHERE sn <> '') AS sn FROM x GROUP BY workspace, path)
+SELECT workspace, path, score, symbols, lines, n, CASE WHEN n > 1 THEN concat_ws(chr(10), CASE WHEN lines <> '' THEN 'lines ' || lines END, sn) ELSE coalesce(sn, '') END AS snippet FROM g""",
         "token_budget_pack": f"""WITH {bm25_sql('documents', 'doc_id', 'text', TERMS)}, r AS ({_top('bm', 'doc_id', 200)}), x AS (SELECT doc_id, score, ceil(n_chars / 4.0)::BIGINT AS cost FROM r JOIN documents USING (doc_id)),
 o AS (SELECT doc_id, cost, (sum(cost) OVER w)::BIGINT AS cum_cost, row_number() OVER w AS rn FROM x WINDOW w AS (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT doc_id, cost, cum_cost FROM o WHERE rn = 1 OR cum_cost <= 1400""",
         "zero_hit_ladder": _ladder_sql(),
@@ -388,7 +402,7 @@ SELECT workspace, string_agg('- ' || CASE WHEN coalesce(name, '') <> '' THEN '**
         "span_cover": f"WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {_COVER} SELECT hit_id, line, b AS start_line, e AS end_line FROM hit LEFT JOIN cv USING (hit_id)",
         "hit_windows": f"""WITH {SQL_SYMBOLS}, {SQL_CHUNKS}, {SQL_CORPUS}, {_COVER},
 rg AS (SELECT hit_id, workspace, path, snippet, CASE WHEN b IS NULL THEN line - 2 WHEN e - b + 1 > 80 THEN greatest(b, line - 40) ELSE b END AS f0, CASE WHEN b IS NULL THEN line + 2 WHEN e - b + 1 > 80 THEN least(greatest(b, line - 40) + 79, e) ELSE e END AS l0 FROM hit LEFT JOIN cv USING (hit_id)),
-ln AS (SELECT workspace, path, list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: rtrim(x, chr(13))) AS a FROM c),
+ln AS (SELECT workspace, path, list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: rtrim(x, chr(13))) AS a FROM c WHERE {_served_sql()}),
 cl AS (SELECT hit_id, snippet, a, least(greatest(f0, 1), len(a)) AS f1, l0 FROM rg JOIN ln USING (workspace, path)), c2 AS (SELECT hit_id, snippet, a, f1, least(greatest(l0, f1), len(a), f1 + 79) AS l1 FROM cl),
 bd AS (SELECT hit_id, f1, l1, substr(array_to_string(a[f1:l1], chr(10)), 1, 3500) AS body FROM c2),
 fin AS (SELECT rg.hit_id, bd.f1 AS first, bd.l1 AS last, coalesce(CASE WHEN trim(body) <> '' THEN body END, snippet) AS sn FROM rg LEFT JOIN bd USING (hit_id))

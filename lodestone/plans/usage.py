@@ -32,6 +32,10 @@ def latency_percentiles(s: SparkSession, d: str) -> DataFrame:
     return journal.latency_percentiles(events_of(s, d))
 
 
+def inject_summary(s: SparkSession, d: str) -> DataFrame:
+    return journal.inject_summary(events_of(s, d), WORKSPACE)
+
+
 def hits_histogram(s: SparkSession, d: str) -> DataFrame:
     return journal.hits_histogram(events_of(s, d))
 
@@ -187,7 +191,7 @@ def props_hits(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "token_ledger": token_ledger, "ledger_by_mode": ledger_by_mode, "event_summary": event_summary, "latency_percentiles": latency_percentiles, "hits_histogram": hits_histogram, "workspace_rollup": workspace_rollup,
+        "token_ledger": token_ledger, "ledger_by_mode": ledger_by_mode, "event_summary": event_summary, "latency_percentiles": latency_percentiles, "hits_histogram": hits_histogram, "inject_summary": inject_summary, "workspace_rollup": workspace_rollup,
         "event_mix": event_mix, "dual_scope": dual_scope, "session_claims": session_claims, "locate_credit": locate_credit, "notes_markdown": notes_text, "repeat_reads": repeat_reads, "prior_reads": prior_reads, "hook_liveness": liveness, "usage_advice": usage_advice, "health_classes": health_classes,
         "guardrail_decision": guardrail, "scoped_walk": scoped_walks, "shell_discovery": shell_discovery, "turn_state": turn_state, "journal_lines": journal_lines, "token_estimates": token_estimates, "recall_score": recall_score,
         "recall_updates": recall_updates, "exact_duplicate_notes": exact_duplicates, "near_duplicate_notes": near_duplicates, "decay_prune": decay_prune, "session_cap": session_cap, "distill_notes": distilled, "stale_notes": stale,
@@ -230,6 +234,8 @@ def oracle_sql() -> dict[str, str]:
         "ledger_by_mode": f"{j} SELECT coalesce(mode, 'on') AS mode, count(*) AS injects, coalesce(sum(injected_tokens), 0)::BIGINT AS injected_tokens FROM j WHERE event_type = 'inject' GROUP BY 1",
         "event_summary": f"{j} SELECT workspace, {_SUMMARY} FROM j WHERE workspace IS NOT NULL GROUP BY workspace",
         "latency_percentiles": f"{j} SELECT event_type, count(*) AS n, quantile_disc(delta_ms, 0.5) AS p50_delta, quantile_disc(delta_ms, 0.95) AS p95_delta, quantile_disc(retrieve_ms, 0.5) AS p50_retrieve, quantile_disc(retrieve_ms, 0.95) AS p95_retrieve FROM j WHERE delta_ms IS NOT NULL OR retrieve_ms IS NOT NULL GROUP BY 1",
+        "inject_summary": f"""{j}, i AS (SELECT *, NOT coalesce(no_prompt, FALSE) AS asked FROM j WHERE event_type = 'inject' AND workspace = '{WORKSPACE}'), h AS (SELECT coalesce(hits, 0) AS hits, count(*) AS n FROM i WHERE asked GROUP BY 1)
+SELECT count(*) AS injects, count(*) FILTER (WHERE asked) AS asked, quantile_disc(delta_ms, 0.5) AS p50_delta, quantile_disc(delta_ms, 0.95) AS p95_delta, quantile_disc(retrieve_ms, 0.5) AS p50_retrieve, quantile_disc(retrieve_ms, 0.95) AS p95_retrieve, (SELECT coalesce(string_agg(hits || ':' || n, ' ' ORDER BY hits), '') FROM h) AS hits FROM i""",
         "hits_histogram": f"{j} SELECT coalesce(hits, 0) AS hits, count(*) AS n FROM j WHERE event_type IN ('inject', 'mcp') GROUP BY 1",
         "workspace_rollup": f"{j}, x AS (SELECT coalesce(nullif(workspace, ''), '(untagged)') AS workspace, {_LEDGER} FROM j GROUP BY 1) SELECT workspace, injects, calls, injected_tokens + response_tokens AS spent, avoided_window + avoided_discovery + avoided_blocked - injected_tokens - response_tokens AS net FROM x",
         "event_mix": f"{j} SELECT CASE WHEN event_type IN {known} THEN event_type ELSE 'other' END AS label, count(*) AS n FROM j GROUP BY 1",

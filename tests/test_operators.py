@@ -234,8 +234,8 @@ def test_smallest_cover_wins(spark):
 
 
 def test_window_reading(spark):
-    files = frame(spark, [("w", "f.txt", "\n".join(f"line{i}" for i in range(1, 6))), ("w", "../up", "x"), ("w", "long", "\n".join("l" for _ in range(300)))], "workspace string, path string, content string")
-    ranges = frame(spark, [(1, "w", "f.txt", 2, 4), (2, "w", "../up", 1, 1), (3, "w", "f.txt", 4, 99), (4, "w", "long", 10, 200)], "hit_id int, workspace string, path string, first int, last int")
+    files = frame(spark, [("w", "f.md", "\n".join(f"line{i}" for i in range(1, 6))), ("w", "../up.md", "x"), ("w", "long.md", "\n".join("l" for _ in range(300)))], "workspace string, path string, content string")
+    ranges = frame(spark, [(1, "w", "f.md", 2, 4), (2, "w", "../up.md", 1, 1), (3, "w", "f.md", 4, 99), (4, "w", "long.md", 10, 200)], "hit_id int, workspace string, path string, first int, last int")
     got = {r.hit_id: r for r in windows.read_windows(ranges, files).collect()}
     assert got[1].body == "line2\nline3\nline4" and not got[1].clamped and 2 not in got
     assert (got[3].first, got[3].last, got[3].clamped) == (4, 5, True) and got[4].last - got[4].first == 79
@@ -414,3 +414,25 @@ def test_enclosing_symbol_is_the_innermost(spark):
     assert {(r.to_name, r.line, r.n, r.from_symbol) for r in held.collect()} == {("run", 3, 2, "C.m"), ("x.run", 7, 1, "C"), ("run", 20, 1, None)}
     (node,) = graph.node_details(held, symbols).collect()
     assert (node.name, node.kind, node.callers, node.callees, node.top_callers) == ("run", None, 2, 0, "C.m")
+
+
+def test_merged_snippets(spark):
+    hits = frame(spark, [("w", "a", 9, "g", 1.0, "late"), ("w", "a", 2, "f", 2.0, "first"), ("w", "a", 2, "f", 0.5, None), ("w", "b", 1, "h", 3.0, "only"), ("v", "a", 1, "x", 1.0, "")], "workspace string, path string, line int, symbol string, score double, snippet string")
+    got = {(r.workspace, r.path): (r.symbols, r.snippet) for r in lookup.merge_per_file(hits).collect()}
+    assert got == {("w", "a"): ("f, g", "lines 2, 9\nfirst\n---\nlate"), ("w", "b"): ("h", "only"), ("v", "a"): ("x", "")}
+
+
+def test_summary_scopes(spark):
+    schema = "event_type string, workspace string, no_prompt boolean, hits int, delta_ms double, retrieve_ms double"
+    own, legacy, other = ("inject", "w", None, 2, 5.0, 1.0), ("inject", None, None, 1, 6.0, 1.0), ("inject", "v", None, 0, 7.0, 1.0)
+    rows = frame(spark, [own, own, legacy, other, ("mcp", "w", None, 3, None, None)], schema)
+    assert tuple(journal.inject_summary(rows, "w").head()) == (2, 2, 5.0, 5.0, 1.0, 1.0, "2:2")
+    assert journal.summary_scope(rows, "u").count() == 1 and journal.summary_scope(frame(spark, [other], schema), "u").count() == 1
+    silent = frame(spark, [("inject", "w", True, None, 1.0, None), other], schema)
+    assert journal.summary_scope(silent, "w").count() == 2 and journal.inject_summary(rows.limit(0), "w").head().injects == 0
+
+
+def test_windows_of_ignored_files_are_not_served(spark):
+    files = frame(spark, [("w", "src/a.ts", "x\ny"), ("w", "node_modules/a.ts", "x"), ("w", "a.exe", "x"), ("w", "../a.ts", "x")], "workspace string, path string, content string")
+    ranges = files.select(F.monotonically_increasing_id().alias("hit_id"), "workspace", "path", F.lit(1).alias("first"), F.lit(1).alias("last"))
+    assert [r.path for r in windows.read_windows(ranges, files).collect()] == ["src/a.ts"]
