@@ -76,3 +76,20 @@ def bm25_sql(source: str, id_col: str, text: str, phrases: list, name: str = "bm
         f"{name}_m AS (SELECT id, len(t) AS dl, {tf} FROM {name}_t), {name}_s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {n} FROM {name}_m), "
         f"{name} AS (SELECT id, {part} AS score FROM {name}_m, {name}_s WHERE {hit})"
     )
+
+
+def hash_sql(source: str, p: str = "") -> str:
+    """CTEs that end in {p}em (doc_id, idx, weight): the feature-hash embeddings of source (doc_id, text), by their definition."""
+    hexint = "('0x' || substr(d, {0}, {1}))::BIGINT"
+    return f"""{p}tok AS (SELECT doc_id, unnest(list_concat(list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> ''),
+  list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')))) AS token FROM {source}),
+{p}dg AS (SELECT doc_id, sha256(token) AS d FROM {p}tok),
+{p}em AS (SELECT doc_id, idx, sum(w) AS weight FROM (
+  SELECT doc_id, ({hexint.format(1, 8)} % 256)::INT AS idx, CASE WHEN {hexint.format(9, 2)} % 2 = 0 THEN 1.0 ELSE -1.0 END AS w FROM {p}dg
+  UNION ALL SELECT doc_id, ({hexint.format(17, 8)} % 256)::INT, CASE WHEN {hexint.format(25, 2)} % 2 = 0 THEN 0.5 ELSE -0.5 END FROM {p}dg) GROUP BY doc_id, idx)"""
+
+
+def hash_vector_sql(text: str, name: str) -> str:
+    """CTEs that end in ``name`` (v): the unit feature-hash embedding of one text as a list of 256 numbers."""
+    made = hash_sql(f"(SELECT 0 AS doc_id, '{text}' AS text)", f"{name}_")
+    return f"""{made}, {name} AS (SELECT list(coalesce(weight, 0)::DOUBLE / (SELECT sqrt(sum(weight::DOUBLE * weight)) FROM {name}_em) ORDER BY i) AS v FROM range(256) r(i) LEFT JOIN {name}_em ON idx = i)"""

@@ -12,7 +12,7 @@ from lodestone.operators import evaluation, grep, lookup, search, windows
 from lodestone.operators.pack import prompt_pack
 from lodestone.operators.extract import import_edges
 from lodestone.plans.common import (
-    SQL_CHUNKS, SQL_CORPUS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, TERMS, WORKSPACE, bm25_sql, chunks_of, corpus_of, files_of, named_chunks, named_symbols, notes_of, symbols_of,
+    SQL_CHUNKS, SQL_CORPUS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, TERMS, WORKSPACE, bm25_sql, chunks_of, corpus_of, files_of, hash_sql, hash_vector_sql, named_chunks, named_symbols, notes_of, symbols_of,
 )
 from lodestone.sources.storage import folder_exists, shared_folder
 from lodestone.sources.tables import table
@@ -291,21 +291,8 @@ m AS (SELECT qr.query_id, CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END AS recall5,
   round(CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1) ELSE 0.0 END, 6) AS ndcg10 FROM qr LEFT JOIN it USING (query_id, item))"""
 
 
-def _hash_sql() -> str:
-    hexint = "('0x' || substr(d, {0}, {1}))::BIGINT"
-    return f"""tok AS (SELECT doc_id, unnest(list_concat(list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> ''),
-  list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')))) AS token FROM documents),
-dg AS (SELECT doc_id, sha256(token) AS d FROM tok),
-em AS (SELECT doc_id, idx, sum(w) AS weight FROM (
-  SELECT doc_id, ({hexint.format(1, 8)} % 256)::INT AS idx, CASE WHEN {hexint.format(9, 2)} % 2 = 0 THEN 1.0 ELSE -1.0 END AS w FROM dg
-  UNION ALL SELECT doc_id, ({hexint.format(17, 8)} % 256)::INT, CASE WHEN {hexint.format(25, 2)} % 2 = 0 THEN 0.5 ELSE -0.5 END FROM dg) GROUP BY doc_id, idx)"""
-
-
 def _hash_topk_sql() -> str:
-    from lodestone.functions.vectors import hash_embedding_of
-
-    vector = "[" + ", ".join(f"{x!r}::DOUBLE" for x in map(float, hash_embedding_of(DOC_QUERY))) + "]"
-    return f"{_hash_sql()}, hs AS (SELECT doc_id AS id, sum(weight * {vector}[idx + 1]) / sqrt(sum(weight * weight)) AS score FROM em GROUP BY doc_id HAVING sum(weight * weight) > 0)"
+    return f"{hash_sql('documents')}, {hash_vector_sql(DOC_QUERY, 'qv')}, hs AS (SELECT doc_id AS id, sum(weight * v[idx + 1]) / sqrt(sum(weight * weight)) AS score FROM em, qv GROUP BY doc_id HAVING sum(weight * weight) > 0)"
 
 
 _NAMED = "nc AS (SELECT symbol_id AS id, h.workspace, h.path, s.name, s.line, concat_ws(chr(10), h.header, h.text) AS text FROM h JOIN s ON s.id = h.symbol_id)"
@@ -367,7 +354,7 @@ SELECT workspace, path, line, symbol, source, score FROM (SELECT *, row_number()
         "cosine_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), x AS (SELECT vec_id AS id, round(list_inner_product(embedding::DOUBLE[], q), 4) AS score FROM embeddings, q), bm AS (SELECT * FROM x WHERE score >= 0.12) " + _top("bm", "vec_id", 8, 4),
         "rrf_fusion": f"WITH {bm25_sql('documents', 'doc_id', 'text', TERMS[:2], 'a')}, {bm25_sql('documents', 'doc_id', 'text', TERMS[2:], 'b')}, ra AS ({_top('a', 'doc_id', 20, cte='a')}), rb AS ({_top('b', 'doc_id', 20, cte='b')}), bm AS (SELECT doc_id AS id, sum(1.0 / (60 + rank)) AS score FROM (SELECT doc_id, rank FROM ra UNION ALL SELECT doc_id, rank FROM rb) GROUP BY doc_id) {_top('bm', 'doc_id', 20, 9)}",
         "hybrid_search": f"WITH {bm25_sql('documents', 'doc_id', 'text', search.phrases_of(DOC_QUERY), 'a')}, ra AS ({_top('a', 'doc_id', 20, cte='a')}), {_hash_topk_sql()}, hf AS (SELECT * FROM hs WHERE score >= 0.12), rb AS ({_top('hf', 'doc_id', 20, 4, cte='hf')}), bm AS (SELECT doc_id AS id, sum(1.0 / (60 + rank)) AS score FROM (SELECT doc_id, rank FROM ra UNION ALL SELECT doc_id, rank FROM rb) GROUP BY doc_id) {_top('bm', 'doc_id', 20, 9)}",
-        "hash_embedding_sparse": f"WITH {_hash_sql()} SELECT doc_id, idx, weight::DOUBLE AS weight FROM em",
+        "hash_embedding_sparse": f"WITH {hash_sql('documents')} SELECT doc_id, idx, weight::DOUBLE AS weight FROM em",
         "hash_embedding_topk": f"WITH {_hash_topk_sql()} {_top('hs', 'doc_id', 20, 4, cte='hs')}",
         "symbol_embedding_input": f"WITH {SQL_SYMBOLS}, {SQL_CHUNKS} SELECT symbol_id, concat_ws(' ', name, s.kind) || chr(10) || coalesce(text, '') AS input FROM h JOIN s ON s.id = h.symbol_id",
         "rerank_overlap": f"WITH {bm25_sql('documents', 'doc_id', 'text', TERMS)}, r AS ({_top('bm', 'doc_id', 20)}), o AS (SELECT doc_id, score, round(len(list_intersect(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), {sorted({p for p, x in search.phrases_of(DOC_QUERY) if not x})!r}))::DOUBLE / {len({p for p, x in search.phrases_of(DOC_QUERY) if not x})}, 6) AS overlap FROM r JOIN documents USING (doc_id)) SELECT doc_id, score, overlap FROM o ORDER BY overlap DESC, score DESC, doc_id LIMIT 8",

@@ -9,7 +9,7 @@ from lodestone.functions import format as fm
 from lodestone.functions import text as T
 from lodestone.functions.vectors import hash_embedding_of
 from lodestone.operators import journal, notes, search
-from lodestone.plans.common import AS_OF, SQL_EVENTS, SQL_FILES, TERMS, WORKSPACE, events_of, files_of, notes_of
+from lodestone.plans.common import AS_OF, SQL_EVENTS, SQL_FILES, TERMS, WORKSPACE, bm25_sql, events_of, files_of, hash_vector_sql, notes_of
 from lodestone.sources.journal import read_lines, to_lines
 from lodestone.sources.tables import table
 
@@ -214,11 +214,8 @@ _USED = "coalesce(last_used_at, created_at)"
 
 
 def _recall_sql() -> str:
-    from lodestone.plans.common import bm25_sql
-
-    vector = "[" + ", ".join(f"{x!r}::DOUBLE" for x in map(float, hash_embedding_of(RECALL_QUERY))) + "]"
-    return f"""{bm25_sql('memories', 'id', 'text', TERMS)}, lx AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(score, 6) AS score FROM bm) ORDER BY score DESC, id LIMIT 20),
-b AS (SELECT m.id, coalesce(CASE WHEN len(embedding) = 256 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 THEN list_inner_product(embedding::DOUBLE[], {vector}) END, 0) AS cos, pow(0.5, coalesce({_AGE.format(_USED)}, 1e9) / 30.0) AS rec, least(1.0, coalesce(use_count, 0) / 5.0) AS us,
+    return f"""{hash_vector_sql(RECALL_QUERY, 'qv')}, {bm25_sql('memories', 'id', 'text', TERMS)}, lx AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(score, 6) AS score FROM bm) ORDER BY score DESC, id LIMIT 20),
+b AS (SELECT m.id, coalesce(CASE WHEN len(embedding) = 256 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 THEN list_inner_product(embedding::DOUBLE[], (SELECT v FROM qv)) END, 0) AS cos, pow(0.5, coalesce({_AGE.format(_USED)}, 1e9) / 30.0) AS rec, least(1.0, coalesce(use_count, 0) / 5.0) AS us,
  list_filter(string_split(coalesce(paths, ''), ','), lambda x: x <> '') AS own, coalesce(60.0 / (60 + rank), 0) AS lex FROM memories m LEFT JOIN lx USING (id)),
 sc AS (SELECT id, list_contains(own, 'libs/lazy-budget/lib/collectManifest.js') AS inside, len(own) > 0 AS declared, 0.6 * greatest(cos, lex) + 0.25 * rec + 0.15 * us AS raw FROM b),
 rc AS (SELECT id, round(CASE WHEN inside THEN raw * 1.5 ELSE raw END, 6) AS score FROM sc WHERE round(raw, 6) > 0 AND (inside OR NOT declared OR round(raw, 6) >= 0.08) ORDER BY score DESC, id LIMIT 10)"""
@@ -265,6 +262,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seen DESC, path)
         "recall_score": f"WITH {_recall_sql()} SELECT id, score::DOUBLE AS score FROM rc",
         "recall_updates": f"WITH {_recall_sql()} SELECT id, coalesce(use_count, 0) + 1 AS use_count FROM rc JOIN memories USING (id)",
         "exact_duplicate_notes": "SELECT lower(trim(kind)) AS kind, text, min(id) AS keep_id, count(*) AS n, (sum(coalesce(use_count, 0)) + count(*) - 1)::BIGINT AS uses FROM memories WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+        "near_duplicate_notes": """WITH m AS (SELECT id, lower(trim(kind)) AS kind, embedding::DOUBLE[] AS e FROM memories WHERE len(embedding) = 256 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0),
+p AS (SELECT q.id, m.id AS near_id, round(list_inner_product(q.e, m.e) / nullif(sqrt(list_inner_product(q.e, q.e) * list_inner_product(m.e, m.e)), 0), 4) AS similarity FROM m q JOIN m ON q.id <> m.id AND q.kind IS NOT DISTINCT FROM m.kind WHERE q.id % 50 = 0)
+SELECT id, near_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, near_id) AS r FROM p WHERE similarity >= 0.9) WHERE r = 1""",
         "decay_prune": f"SELECT id FROM (SELECT id, kind, use_count, coalesce({_AGE.format(_USED)}, 1e9) AS age FROM memories) WHERE lower(trim(kind)) <> 'session' AND age >= 60 AND 0.25 * pow(0.5, age / 30.0) + 0.15 * least(1.0, coalesce(use_count, 0) / 5.0) < 0.02",
         "session_cap": "SELECT workspace, id FROM (SELECT workspace, id, row_number() OVER (PARTITION BY workspace ORDER BY created_at DESC NULLS LAST, id DESC) AS r FROM memories WHERE lower(trim(kind)) = 'session') WHERE r > 5",
         "distill_notes": "SELECT id, lower(trim(kind)) AS kind, coalesce(use_count, 0) AS uses FROM memories WHERE lower(trim(kind)) <> 'session' AND trim(coalesce(text, '')) <> '' ORDER BY uses DESC, id DESC LIMIT 30",
