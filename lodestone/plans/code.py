@@ -325,7 +325,7 @@ y AS (""").replace("AS a FROM x WHERE", "AS a FROM xx WHERE"),
         "resolve_targets": rf"""WITH {_resolved_sql()}, {SQL_SYMBOLS}, {_CALLS}, nm AS (SELECT DISTINCT cl.workspace, cl.to_name, s.path AS to_path FROM (SELECT DISTINCT workspace, to_name FROM cl) cl JOIN s ON s.workspace = cl.workspace AND string_split(s.name, '.')[-1] = string_split(cl.to_name, '.')[-1] AND (s.name = cl.to_name OR suffix(s.name, '.' || cl.to_name))),
 oy AS (SELECT workspace, to_name, count(*) AS n, min(to_path) AS one FROM nm GROUP BY ALL), im2 AS (SELECT x.workspace, x.from_path, x.to_name, min(x.to_path) AS imp FROM (SELECT DISTINCT cl.workspace, cl.from_path, cl.to_name, ri.to_path FROM cl JOIN ri ON ri.workspace = cl.workspace AND ri.from_path = cl.from_path WHERE ri.to_path IS NOT NULL) x JOIN nm USING (workspace, to_name, to_path) GROUP BY ALL)
 SELECT cl.workspace, cl.from_path, cl.to_name, cl.line, CASE WHEN oy.n = 1 THEN oy.one ELSE coalesce(sm.to_path, im2.imp) END AS to_path FROM cl LEFT JOIN oy ON oy.workspace = cl.workspace AND oy.to_name = cl.to_name LEFT JOIN nm sm ON sm.workspace = cl.workspace AND sm.to_name = cl.to_name AND sm.to_path = cl.from_path LEFT JOIN im2 ON im2.workspace = cl.workspace AND im2.from_path = cl.from_path AND im2.to_name = cl.to_name""",
-        "chunk_build": f"""WITH {SQL_CORPUS}, {SQL_SYMBOLS}, ls AS (SELECT workspace, path, list_transform(string_split(content, chr(10)), lambda x: rtrim(x, chr(13))) AS a FROM c WHERE content IS NOT NULL),
+        "chunk_build": rf"""WITH {SQL_CORPUS}, {SQL_SYMBOLS}, ls AS (SELECT workspace, path, list_transform(string_split(content, chr(10)), lambda x: rtrim(x, chr(13))) AS a FROM c WHERE content IS NOT NULL),
 j0 AS (SELECT s.id, s.line, s.end_line, substr(s.path || ' > ' || s.name || '(' || coalesce(s.signature, '') || ')', 1, 300) AS header, a, list_reverse(a[greatest(s.line - 16, 1):s.line - 1]) AS up FROM s JOIN ls ON ls.workspace = s.workspace AND ls.path = s.path),
 j1 AS (SELECT *, list_position(list_transform(up, lambda x: trim(x, ' ') <> ''), TRUE) AS k FROM j0), j2 AS (SELECT *, CASE WHEN k > 0 THEN up[k:] ELSE [] END AS rest FROM j1),
 j3 AS (SELECT *, list_position(list_transform(rest, lambda x: regexp_matches(trim(x, ' '), '^(//|#|/\*|\*|\"\"\")')), FALSE) AS stop FROM j2),
