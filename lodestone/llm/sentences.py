@@ -168,7 +168,7 @@ class Segmenter:
             if numbered:
                 kind = numbered.group(2) or "a)"
                 number = int(numbered.group(1)) if numbered.group(1) else ord(numbered.group(3).lower()) - 96
-                before = text[begin:at].rsplit(None, 1)[-1:] if begin is not None else []
+                before = text[max(begin, at - 200) : at].rsplit(None, 1)[-1:] if begin is not None else []
                 opens = number == 1 and (in_list or before and before[0][-1] in ":.!?") and not (before and self._abbreviation(before[0].lower().rstrip("."), 1))
                 if begin is None or (in_list and order == (kind, number - 1)) or opens:
                     item, order = True, (kind, number)
