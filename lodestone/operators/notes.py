@@ -104,9 +104,16 @@ def decayed(notes: DataFrame, as_of: str) -> DataFrame:
 
 
 def session_overflow(notes: DataFrame, cap: int = SESSION_CAP) -> DataFrame:
-    """(workspace, id): session notes beyond the newest 50 of their workspace."""
-    order = Window.partitionBy("workspace").orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
-    return notes.where(note_kind(F.col("kind")) == "session").select("workspace", "id", "created_at").withColumn("r", F.row_number().over(order)).where(F.col("r") > cap).select("workspace", "id")
+    """(workspace, id): session notes beyond the newest 50 of their workspace; without a time they are the oldest.
+
+    Only the newest 50 of each workspace are ranked, which is counted off before the shuffle; the others are those older than the last of them.
+    """
+    order = F.struct(F.coalesce(F.col("created_at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), F.col("id"))
+    held = notes.where(note_kind(F.col("kind")) == "session").select(F.col("workspace").alias("workspace"), "id", order.alias("o"))
+    newest = Window.partitionBy("workspace").orderBy(F.desc("o"))
+    last = held.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= cap).groupBy("workspace").agg(F.min("o").alias("least"))
+    joined = held.alias("h").join(last.alias("l"), F.col("h.workspace").eqNullSafe(F.col("l.workspace"))).where("h.o < l.least")
+    return joined.select("h.workspace", "h.id")
 
 
 def distilled(notes: DataFrame, k: int = 30) -> DataFrame:
@@ -128,8 +135,12 @@ def stale_notes(notes: DataFrame, files: DataFrame) -> DataFrame:
     return counted.where("n_stale > 0")
 
 
-def session_note(paths: Column, symbols: Column) -> Column:
-    """The text of an automatic note: ``changed a, b`` or ``edited x, y (+n more)``; null without paths."""
+def session_note(paths: Column, symbols: Column, total: Column | None = None) -> Column:
+    """The text of an automatic note: ``changed a, b`` or ``edited x, y (+n more)``; null without paths.
+
+    ``total`` is the number of paths where ``paths`` holds the first five only.
+    """
+    n = F.size(paths) if total is None else total
     shown = F.array_join(F.slice(paths, 1, 5), ", ")
-    more = F.when(F.size(paths) > 5, F.concat(F.lit(" (+"), (F.size(paths) - 5).cast("string"), F.lit(" more)"))).otherwise("")
+    more = F.when(n > 5, F.concat(F.lit(" (+"), (n - 5).cast("string"), F.lit(" more)"))).otherwise("")
     return F.when(F.size(paths) > 0, F.when(F.size(symbols) > 0, F.concat(F.lit("changed "), F.array_join(F.slice(symbols, 1, 6), ", "))).otherwise(F.concat(F.lit("edited "), shown, more)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import format as fm
 from lodestone.functions import text as T
 from lodestone.operators import extract, graph, index, snapshot
-from lodestone.plans.common import SQL_CHUNKS, SQL_CORPUS, SQL_EVENTS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, chunks_of, corpus_of, events_of, files_of, notes_of, symbols_of
+from lodestone.plans.common import SQL_CORPUS, SQL_EVENTS, SQL_FILES, SQL_LINES, SQL_SYMBOLS, chunks_of, corpus_of, events_of, files_of, notes_of, symbols_of
 from lodestone.sources.storage import cut_lineage
 from lodestone.sources.tables import table
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import format as fm
@@ -167,9 +167,12 @@ def stale(s: SparkSession, d: str) -> DataFrame:
 
 
 def session_notes(s: SparkSession, d: str) -> DataFrame:
-    """Automatic notes of what each session touched."""
-    touched = events_of(s, d).select(journal.scope_key().alias("scope"), F.explode("paths").alias("path")).where("scope is not null and path is not null").groupBy("scope").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    return touched.select("scope", notes.session_note(F.col("paths"), F.array().cast("array<string>")).alias("text"))
+    """Automatic notes of what each session touched; of a session's paths only the first five are gathered."""
+    touched = events_of(s, d).select(journal.scope_key().alias("scope"), F.explode("paths").alias("path")).where("scope is not null and path is not null").distinct()
+    first = Window.partitionBy("scope").orderBy("path")
+    shown = touched.withColumn("r", F.row_number().over(first)).where("r <= 5").groupBy("scope").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    counted = touched.groupBy("scope").agg(F.count("*").alias("n"))
+    return shown.join(counted, "scope").select("scope", notes.session_note(F.col("paths"), F.array().cast("array<string>"), F.col("n")).alias("text"))
 
 
 def hourly_events(s: SparkSession, d: str) -> DataFrame:
