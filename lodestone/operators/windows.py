@@ -28,11 +28,12 @@ def clamp_range(first: Column, last: Column, total: Column) -> tuple[Column, Col
 def cover_spans(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """hits (hit_id, workspace, path, line) with start_line and end_line of the span that covers each, if any.
 
-    A span that starts at the line wins, then the smallest covering one, then the first by start. An
+    Spans with a null end do not count. A span that starts at the line wins, then the smallest covering one, then the first by start. An
     equi-join on the file with the range as residue; one row for each hit is kept by an aggregate, so a
     file with many spans gathers nothing.
     """
-    ranges = spans.select("workspace", "path", F.least("start_line", "end_line").alias("s"), F.greatest("start_line", "end_line").alias("e")).where("s is not null and e is not null").distinct()
+    known = spans.where("start_line is not null and end_line is not null")
+    ranges = known.select("workspace", "path", F.least("start_line", "end_line").alias("s"), F.greatest("start_line", "end_line").alias("e")).distinct()
     met = hits.select("hit_id", "workspace", "path", "line").join(ranges, ["workspace", "path"]).where("line between s and e")
     order = F.struct(F.when(F.col("s") == F.col("line"), 0).otherwise(1), F.col("e") - F.col("s"), F.col("s"))
     best = met.groupBy("hit_id").agg(F.min_by(F.struct("s", "e"), order).alias("b"))

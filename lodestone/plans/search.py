@@ -318,7 +318,7 @@ def _ladder_sql() -> str:
             f"(SELECT 0 AS stage, {pos} AS pos, workspace, path, line, name AS text FROM (SELECT DISTINCT workspace, path, line, name, kind, CASE WHEN name = '{name}' THEN 0 WHEN starts_with(lower(name), '{low}') THEN 1 ELSE 2 END AS tier FROM s WHERE contains(lower(name), '{low}')) ORDER BY tier, length(name), name, workspace, path, line LIMIT 2)"
         )
     for pos, name in enumerate(names):
-        parts.append(f"(SELECT 1 AS stage, {pos} AS pos, workspace, path, line, text FROM l WHERE contains(text, '{name}') ORDER BY workspace || chr(10) || path, line LIMIT 2)")
+        parts.append(f"(SELECT 1 AS stage, {pos} AS pos, workspace, path, line, text FROM l WHERE contains(text, '{name}') ORDER BY path, workspace, line LIMIT 2)")
     return f"WITH {SQL_SYMBOLS}, {SQL_CORPUS}, {SQL_LINES}, u AS ({' UNION ALL '.join(parts)}) SELECT stage, workspace, path, line, text FROM u ORDER BY stage, pos, workspace, path, line LIMIT 8"
 
 

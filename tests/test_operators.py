@@ -436,3 +436,9 @@ def test_windows_of_ignored_files_are_not_served(spark):
     files = frame(spark, [("w", "src/a.ts", "x\ny"), ("w", "node_modules/a.ts", "x"), ("w", "a.exe", "x"), ("w", "../a.ts", "x")], "workspace string, path string, content string")
     ranges = files.select(F.monotonically_increasing_id().alias("hit_id"), "workspace", "path", F.lit(1).alias("first"), F.lit(1).alias("last"))
     assert [r.path for r in windows.read_windows(ranges, files).collect()] == ["src/a.ts"]
+
+
+def test_spans_with_a_null_end_cover_nothing(spark):
+    hits = frame(spark, [(1, "w", "a", 5)], "hit_id int, workspace string, path string, line int")
+    spans = frame(spark, [("w", "a", 5, None), ("w", "a", None, 5), ("w", "a", 9, 2)], "workspace string, path string, start_line int, end_line int")
+    assert [(r.start_line, r.end_line) for r in windows.cover_spans(hits, spans).collect()] == [(2, 9)]
