@@ -39,6 +39,10 @@ WORDS_AT_ONCE = 100_000
 CORPUS_LEAST, DOCUMENT_LEAST = 20, 2
 BEFORE_ORDINAL = frozenset("am vom zum bis seit ab der die das dem den des im".split())
 
+#: Characters of a run without white space that are looked at around a terminator; of a longer one those next to it.
+LONGEST_WORD = 256
+
+_TOKEN = re.compile(r"\S+")
 _LINE = re.compile(r"[^\n]*(?:\n|\Z)")
 _HEADING = re.compile(r"[^\S\n]*#+(?:[^\S\n]|\r?\n|\Z)")
 _FENCE = re.compile(r"[^\S\n]*(`{3,}|~{3,})")
@@ -92,7 +96,7 @@ def period_words(text: str) -> dict[str, list[int]]:
             kind = 3
         elif c.islower():
             end = at
-            while end < size and not text[end].isspace():
+            while end < size and end - at < LONGEST_WORD and not text[end].isspace():
                 end += 1
             kind = -1 if _is_code(text[at:end]) else 0
         else:
@@ -185,28 +189,31 @@ class Segmenter:
     def _pairs(self, begin: int, end: int) -> list[tuple[int, int]]:
         """Outermost quotations, brackets and code spans of a block that are closed within it."""
         text, stack, found = self.text, [], []
+        held: Counter = Counter()  # open marks on the stack
         for m in _MARK.finditer(text, begin, end):
             mark, at = m.group(), m.start()
             opener = None
             if mark in ("`", '"'):
-                opener = mark if any(s[0] == mark for s in stack) else None
+                opener = mark if held[mark] else None
             elif mark == "“":
-                opener = "„" if any(s[0] == "„" for s in stack) else None
+                opener = "„" if held["„"] else None
             elif mark == "’":
-                opener = "‘" if any(s[0] == "‘" for s in stack) and not text[at + 1 : at + 2].isalpha() else None
+                opener = "‘" if held["‘"] and not text[at + 1 : at + 2].isalpha() else None
                 if opener is None:
                     continue
             elif mark in _PAIR:
-                opener = next((s[0] for s in reversed(stack) if s[0] in _PAIR[mark]), None)
-                if opener is None:
+                if not any(held[o] for o in _PAIR[mark]):
                     continue
+                opener = next(s[0] for s in reversed(stack) if s[0] in _PAIR[mark])
             if stack and stack[-1][0] == "`" and mark != "`":
                 continue
             if opener is None:
                 stack.append((mark, at))
+                held[mark] += 1
                 continue
             while stack[-1][0] != opener:
-                stack.pop()
+                held[stack.pop()[0]] -= 1
+            held[opener] -= 1
             found.append((stack.pop()[1], at))
         found.sort()
         outer: list[tuple[int, int]] = []
@@ -258,7 +265,7 @@ class Segmenter:
         return at
 
     def _word_at(self, at: int, end: int) -> str:
-        m = re.compile(r"\S+").match(self.text, at, end)
+        m = _TOKEN.match(self.text, at, min(end, at + LONGEST_WORD))
         return m.group() if m else ""
 
     def _after_pair(self, start: int, opened: int, closed: int, at: int, end: int, inner: str) -> int | None:
@@ -308,7 +315,8 @@ class Segmenter:
     def _period_ends(self, start: int, at: int, following: int, gap: bool, end: int) -> bool:
         text = self.text
         begin = at
-        while begin > start and not text[begin - 1].isspace() and text[begin - 1] not in "([{“\"«„（":
+        bound = max(start, at - LONGEST_WORD)
+        while begin > bound and not text[begin - 1].isspace() and text[begin - 1] not in "([{“\"«„（":
             begin -= 1
         word = text[begin:at]
         if not word:

@@ -268,3 +268,12 @@ def test_joined_abbreviations_give_the_same_units(spark, data):
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900_000 + i, f"It has qzty. 5 of them, qzty. Five or {i}.") for i in range(30)] + [(None, "No qzty. Five."), (None, None)], "doc_id bigint, text string"))
     rows = [sorted((r.doc_id or -1, r.start_pos) for r in sn.sentence_starts(more, at_once=n).collect()) for n in (100_000, 0)]
     assert rows[0] == rows[1]
+
+
+def test_runs_without_white_space_take_linear_time():
+    import time
+
+    for text in ("a.b." * 50_000, "(" * 100_000, "[" * 50_000 + ")" * 50_000, "`" + "[)" * 50_000, "Ab" * 50_000 + ".Cd" * 50_000, "« " * 50_000 + "» " * 50_000):
+        began = time.perf_counter()
+        assert len(sn.Segmenter().starts(text)) >= 1
+        assert time.perf_counter() - began < 20
