@@ -134,9 +134,10 @@ class TrieEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[array, list[int]]:
         """(ids of all texts one after another, where each text's ids end)."""
-        get = self.words.__getitem__
+        pieces = self.split(texts)
+        get = self.words.__getitem__  # only now: a full encoder begins a new dictionary
         flat, ends = array("i"), []
-        for words in self.split(texts):
+        for words in pieces:
             for ids in map(get, words):
                 flat += ids
             ends.append(len(flat))

@@ -53,6 +53,14 @@ def test_encoder_forgets_when_full(reference):
         assert encoded(small, [text]) == [reference.encode(text, add_special_tokens=False).ids]
 
 
+def test_a_batch_that_finds_the_encoder_full_is_encoded(encoder, reference):
+    small = TrieEncoder(encoder.ranks, max_nodes=5)
+    for text in ["alpha beta", "alpha gamma", "delta"]:
+        flat, ends = small.encode_batch([text, None, text])
+        ids = reference.encode(text, add_special_tokens=False).ids
+        assert list(flat) == ids * 2 and ends == [len(ids), len(ids), 2 * len(ids)]
+
+
 def test_a_full_encoder_stays_below_its_bound():
     """A worker that has met ever new words holds less than 150 MB."""
     import tracemalloc
