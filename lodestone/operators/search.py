@@ -7,8 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import expand_query
 from lodestone.functions.vectors import dot, hash_embedding_of, hash_similarity
@@ -123,23 +126,83 @@ def bm25_stored(postings: DataFrame, stats: DataFrame, ids: Sequence[str], phras
     return counted.groupBy(*ids).agg(F.sum(part).alias("score"))
 
 
-def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): the k best documents of every query, through a join of postings.
+def _best_of_block(texts: pa.Table, asked: pa.Table, k: int, average: float) -> pa.Table:
+    """(asked, id, score): the k best texts of one block for each query, exactly; texts whose rounded scores are equal go by id.
 
-    Terms are aggregated to (term, id, tf) before the join; the document frequency of a term, a
-    count of its postings, joins the query side. Queries are a stated set, documents are all.
+    texts (ids, bag): texts of the same terms are one row, with the k smallest of their ids in order. asked (asked, terms):
+    the terms of a query with their idf, the rarest last.
     """
-    tokens = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).head()
-    postings = tokens.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    frequency = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.ln((F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weighted = asked.join(frequency, "term").select("query_id", "term", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl or 1.0)))
-    scored = postings.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    held = texts.column("ids").combine_chunks()
+    by_id = pc.sort_indices(pc.list_element(held, 0))
+    ids, bags = held.take(by_id), texts.column("bag").combine_chunks().take(by_id)
+    n, words = len(ids), pc.split_pattern(bags, " ")
+    length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    coded = pc.list_flatten(words).dictionary_encode()
+    code_of = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+    at, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length), return_counts=True)
+    term, row = np.divmod(at, max(n, 1))
+    begins = np.searchsorted(term, np.arange(len(code_of) + 1))
+    norm = tf + K1 * (1 - B + B * length[row] / average)
+    copies, values = pc.list_value_length(ids).to_numpy(zero_copy_only=False), pc.list_flatten(ids)
+    offsets = np.cumsum(copies) - copies
+    which, rows, scores = [], [], []
+    for q, wanted in enumerate(asked.column("terms").to_pylist()):
+        spans = [(begins[c], begins[c + 1], w["idf"]) for w in wanted if (c := code_of.get(w["term"])) is not None]
+        if not spans:
+            continue
+        score = np.bincount(np.concatenate([row[a:b] for a, b, _ in spans]), np.concatenate([idf * tf[a:b] * (K1 + 1) / norm[a:b] for a, b, idf in spans]))
+        mark = np.rint(score * 1e6)
+        # k texts of one term reach the bound, so no text below it is among the best
+        bound = next((np.partition(mark[row[a:b]], b - a - k)[b - a - k] for a, b, _ in reversed(spans) if b - a >= k), 0)
+        found = np.flatnonzero(mark >= bound)
+        found = found[score[found] > 0]
+        best = found[np.lexsort((found, -mark[found]))[:k]]
+        enough = np.searchsorted(np.cumsum(copies[best]), k)
+        if enough < len(best):
+            best = best[mark[best] >= mark[best[enough]]]
+        which.append(np.full(len(best), q))
+        rows.append(best)
+        scores.append(score[best])
+    hit = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    each = copies[hit]
+    places = np.repeat(offsets[hit] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    query = np.repeat(np.concatenate(which) if which else hit, each)
+    return pa.table({"asked": asked.column("asked").take(pa.array(query, pa.int64())), "id": values.take(pa.array(places, pa.int64())), "score": np.repeat(np.concatenate(scores) if scores else np.empty(0), each)})
+
+
+def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text", block: int = 16_384) -> DataFrame:
+    """(query_id, id, score, rank): the k best documents of every query; ids are unique.
+
+    Texts of the same terms are scored once, and so are queries. Blocks of texts meet blocks of queries, and each
+    pair of blocks is scored over postings in arrays: what is shuffled are texts, queries and the k best of each
+    block, never the pairs of queries and texts that share a term. Document frequencies, one row for each term
+    asked for, join the query side. Terms are written to the shared folder while the plan is built, which also
+    counts the texts and queries.
+    """
+    seen, known = Observation(), Observation()
+    tokens = cut_lineage(docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).observe(seen, F.count("*").alias("n"), F.sum(F.size("t")).alias("dl")))
+    words = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("asked"))
+    asked = cut_lineage(words.observe(known, F.count("*").alias("n")))
+    n, average = seen.get["n"], (seen.get["dl"] or 0) / (seen.get["n"] or 1) or 1.0
+    blocks, chunks = -(-n // block) or 1, -(-known.get["n"] // block) or 1
+
+    wanted = asked.select("asked").distinct().select("asked", F.explode(F.split("asked", " ")).alias("term"))
+    frequency = tokens.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    weighted = wanted.join(frequency, "term").groupBy("asked").agg(F.array_sort(F.collect_list(F.struct(idf.alias("idf"), "term"))).alias("terms"))
+    same = tokens.where(F.size("t") > 0).select("id", F.array_join(F.array_sort("t"), " ").alias("bag"))
+    first = same.withColumn("r", F.row_number().over(Window.partitionBy("bag").orderBy("id"))).where(F.col("r") <= k)
+    bags = first.groupBy("bag").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+    spread = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = bags.select(spread("bag", blocks).alias("block"), every(chunks).alias("chunk"), "ids", "bag").repartition(blocks * chunks, "block", "chunk")
+    right = weighted.select(every(blocks).alias("block"), spread("asked", chunks).alias("chunk"), "asked", "terms").repartition(blocks * chunks, "block", "chunk")
+    schema = T.StructType([T.StructField("asked", T.StringType()), T.StructField("id", tokens.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(lambda texts, some: _best_of_block(texts, some, k, average), schema)
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
+    top = found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return asked.join(top, "asked").select("query_id", "id", "score", "rank")
 
 
 HIT_KEY = ["workspace", "path", "line", "symbol"]

@@ -1,6 +1,8 @@
 """Operators on small tables made here: exact numbers, ties, nulls and empty input."""
 
+import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -280,6 +282,53 @@ def test_bm25_edges(spark):
     assert search.bm25(docs.limit(0), "id", "text", ["cache"]).count() == 0 and search.bm25(docs, "id", "text", ["no such"]).count() == 0
 
 
+def shuffled_rows(spark, df):
+    """Rows that the stages of one run of ``df`` write to their shuffles."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for stage, n in written().items() if stage not in before)
+
+
+def batch_by_definition(queries, docs, k):
+    cut = lambda text: [t for t in re.split("[^a-z0-9]+", (text or "").lower()) if t]
+    texts = {i: cut(t) for i, t in docs}
+    average, out = sum(map(len, texts.values())) / len(texts), set()
+    df = {t: sum(t in x for x in texts.values()) for x in texts.values() for t in x}
+    for q, query in queries:
+        scores = {}
+        for i, x in texts.items():
+            if parts := [max(math.log((len(docs) - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / average)) for t in set(cut(query)) if t in x]:
+                scores[i] = round(sum(parts), 6)
+        out |= {(q, i, scores[i], r) for r, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 40, 10_000])
+def test_batch_bm25_equals_its_definition(spark, block):
+    rng = random.Random(6)
+    docs = [(i, rng.choice([None, "", "Zeta-eta", " ".join(rng.choices("ab ab cd ef gh ij kl x1 x2 rare".split(), k=rng.randrange(1, 7)))])) for i in rng.sample(range(1000), 300)]
+    queries = [(1, "ab cd"), (2, "AB, cd"), (3, ""), (4, None), (5, "nowhere"), (6, "rare x1 x1 ab"), (7, "zeta nowhere"), (8, "gh ij kl ef"), (9, "x2")]
+    got = search.bm25_batch(frame(spark, queries, "query_id int, query string"), frame(spark, docs, "id bigint, text string"), 4, block=block)
+    assert {tuple(r) for r in got.collect()} == batch_by_definition(queries, docs, 4) and got.count() == len(set(map(tuple, got.collect())))
+    none = frame(spark, [], "id string, text string")
+    assert search.bm25_batch(frame(spark, queries, "query_id int, query string"), none).count() == 0
+    named = search.bm25_batch(frame(spark, queries, "query_id int, query string"), frame(spark, [(f"d{i}", t) for i, t in docs], "id string, text string"), 4, block=block)
+    assert {tuple(r) for r in named.collect()} == batch_by_definition(queries, [(f"d{i}", t) for i, t in docs], 4)
+
+
+def test_batch_bm25_shuffles_no_pairs_of_queries_and_texts(spark):
+    docs = frame(spark, [(i, f"common w{i}") for i in range(3000)], "id bigint, text string")
+    queries = docs.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("text").alias("query"))
+    assert shuffled_rows(spark, search.bm25_batch(queries, docs)) < 50_000  # of 900,000 pairs
+
+
 def test_rrf_does_not_depend_on_the_order_of_lists(spark):
     a = frame(spark, [(1, 1), (2, 2)], "id int, rank int")
     b = frame(spark, [(2, 1), (3, 2)], "id int, rank int")
