@@ -25,7 +25,7 @@ def index_tables(files: DataFrame, corpus: DataFrame) -> dict[str, DataFrame]:
     vectors = hash_vectors(inputs, "key", "input").select("key.workspace", "key.id", "embedding")
     return {
         "files": files, "corpus": corpus, "symbols": symbols, "chunks": chunks, "imports": imports, "calls": extract.resolve_calls(extract.call_edges(corpus), symbols, imports),
-        "ngrams": grep.ngram_postings(corpus).withColumn("part", F.substring("hash", 1, 2)),
+        "ngrams": grep.ngram_postings(corpus, settled=True).withColumn("part", F.substring("hash", 1, 2)),
         "postings": search.postings_of(docs, ["workspace", "id"], "text"), "stats": search.posting_stats(docs, "text", "workspace"), "vectors": vectors,
     }
 

@@ -258,6 +258,26 @@ def test_grep_prefilter_equals_scan(spark):
     assert {(r.workspace, r.path) for r in scan.collect()} == {("v", "a"), ("w", "a"), ("w", "d")}
 
 
+def test_postings_of_a_batch_are_not_held_at_once(spark, monkeypatch):
+    """Few of the more than a million postings of the batch are there at any time; all would take 100 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    run = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, schema: run.append(f) or df)
+    grep.ngram_postings(frame(spark, [], "workspace string, path string, content string"), settled=True)
+    rng = random.Random(3)
+    texts = ["\n".join("".join(rng.choices("abcdefghij_(). ", k=60)) for _ in range(50)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["w"] * 400), pa.array([f"p{i}" for i in range(400)]), pa.array(texts)], names=["workspace", "path", "content"])
+    wanted = sum(len(grep.sparse_ngrams(t.encode())) for t in texts)
+    tracemalloc.start()
+    found = sum(part.num_rows for part in run[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == wanted > 1_000_000 and peak < 50_000_000
+
+
 def test_ngrams_equal_their_definition():
     import hashlib
 
