@@ -278,6 +278,16 @@ def test_postings_of_a_batch_are_not_held_at_once(spark, monkeypatch):
     assert found == wanted > 1_000_000 and peak < 50_000_000
 
 
+def test_ngram_counts_shuffle_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(grep, "HELD", 50)
+    files = frame(spark, [("w", f"p{i}", None if i == 7 else f"let loadPolicy = {i % 5}\nreturn\n") for i in range(200)], "workspace string, path string, content string").coalesce(2)
+    counted = grep.ngram_counts(files)
+    want = grep.ngram_postings(files).groupBy("hash").count()
+    assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in want.collect()}
+    monkeypatch.undo()
+    assert shuffled_rows(spark, grep.ngram_counts(files)) < 200 < shuffled_rows(spark, want)
+
+
 def test_ngrams_equal_their_definition():
     import hashlib
 
