@@ -359,6 +359,15 @@ def test_batch_bm25_shuffles_no_pairs_of_queries_and_texts(spark):
     assert shuffled_rows(spark, search.bm25_batch(queries, docs)) < 50_000  # of 900,000 pairs
 
 
+@pytest.mark.parametrize("name", ["ir_metrics"])
+def test_graded_queries_shuffle_no_pairs(spark, tmp_path, name):
+    from lodestone.plans import search as plans
+
+    rows = frame(spark, [(50 * i, "w", f"p{i}", f"commonW{i}") for i in range(1000)], "id bigint, workspace string, path string, name string")
+    rows.write.parquet(f"{tmp_path}/symbols.parquet")
+    assert shuffled_rows(spark, plans.queries()[name](spark, str(tmp_path))) < 100_000  # of a million pairs
+
+
 def test_rrf_does_not_depend_on_the_order_of_lists(spark):
     a = frame(spark, [(1, 1), (2, 2)], "id int, rank int")
     b = frame(spark, [(2, 1), (3, 2)], "id int, rank int")
