@@ -359,7 +359,7 @@ def test_batch_bm25_shuffles_no_pairs_of_queries_and_texts(spark):
     assert shuffled_rows(spark, search.bm25_batch(queries, docs)) < 50_000  # of 900,000 pairs
 
 
-@pytest.mark.parametrize("name", ["ir_metrics", "golden_metrics"])
+@pytest.mark.parametrize("name", ["ir_metrics", "golden_metrics", "ir_gate"])
 def test_graded_queries_shuffle_no_pairs(spark, tmp_path, name):
     from lodestone.plans import search as plans
 
