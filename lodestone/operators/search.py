@@ -137,31 +137,44 @@ def _best_of_block(texts: pa.Table, asked: pa.Table, k: int, average: float) ->
     ids, bags = held.take(by_id), texts.column("bag").combine_chunks().take(by_id)
     n, words = len(ids), pc.split_pattern(bags, " ")
     length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    coded = pc.list_flatten(words).dictionary_encode()
-    code_of = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
-    at, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length), return_counts=True)
+    lists = asked.column("terms").combine_chunks()
+    coded = pc.list_flatten(lists).field("term").dictionary_encode()
+    codes, idf = coded.indices.to_numpy(), np.empty(len(coded.dictionary))
+    idf[codes] = pc.list_flatten(lists).field("idf").to_numpy()
+    code = pc.index_in(pc.list_flatten(words), value_set=coded.dictionary)  # null where no query asks for the term
+    known = code.is_valid().to_numpy(zero_copy_only=False)
+    at, tf = np.unique(code.drop_null().to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length)[known], return_counts=True)
     term, row = np.divmod(at, max(n, 1))
-    begins = np.searchsorted(term, np.arange(len(code_of) + 1))
-    norm = tf + K1 * (1 - B + B * length[row] / average)
+    begins = np.searchsorted(term, np.arange(len(idf) + 1)).tolist()
+    part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / average))
     copies, values = pc.list_value_length(ids).to_numpy(zero_copy_only=False), pc.list_flatten(ids)
     offsets = np.cumsum(copies) - copies
-    which, rows, scores = [], [], []
-    for q, wanted in enumerate(asked.column("terms").to_pylist()):
-        spans = [(begins[c], begins[c + 1], w["idf"]) for w in wanted if (c := code_of.get(w["term"])) is not None]
+    which, rows, scores, total = [], [], [], np.zeros(n)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
+    for q, (begin, end) in enumerate(zip([0, *ends], ends)):
+        spans = [(begins[c], begins[c + 1]) for c in codes[begin:end].tolist() if begins[c] < begins[c + 1]]
         if not spans:
             continue
-        score = np.bincount(np.concatenate([row[a:b] for a, b, _ in spans]), np.concatenate([idf * tf[a:b] * (K1 + 1) / norm[a:b] for a, b, idf in spans]))
+        held_by = np.concatenate([row[a:b] for a, b in spans])
+        np.add.at(total, held_by, np.concatenate([part[a:b] for a, b in spans]))
+        score = total[held_by]  # a text stands here once for each of its terms
+        total[held_by] = 0
+        until, bound = len(score), 0.0
+        for a, b in reversed(spans):  # k texts of one term reach the bound, so no text below it is among the best
+            if b - a >= k:
+                bound = np.partition(score[until - (b - a) : until], b - a - k)[b - a - k] - 2e-6  # ranked by six digits
+                break
+            until -= b - a
+        above = np.flatnonzero(score >= bound)
+        found, one = np.unique(held_by[above], return_index=True)
+        score = score[above[one]]
         mark = np.rint(score * 1e6)
-        # k texts of one term reach the bound, so no text below it is among the best
-        bound = next((np.partition(mark[row[a:b]], b - a - k)[b - a - k] for a, b, _ in reversed(spans) if b - a >= k), 0)
-        found = np.flatnonzero(mark >= bound)
-        found = found[score[found] > 0]
-        best = found[np.lexsort((found, -mark[found]))[:k]]
-        enough = np.searchsorted(np.cumsum(copies[best]), k)
+        best = np.lexsort((found, -mark))[:k]
+        enough = np.searchsorted(np.cumsum(copies[found[best]]), k)
         if enough < len(best):
             best = best[mark[best] >= mark[best[enough]]]
         which.append(np.full(len(best), q))
-        rows.append(best)
+        rows.append(found[best])
         scores.append(score[best])
     hit = np.concatenate(rows) if rows else np.empty(0, np.int64)
     each = copies[hit]
@@ -170,34 +183,37 @@ def _best_of_block(texts: pa.Table, asked: pa.Table, k: int, average: float) ->
     return pa.table({"asked": asked.column("asked").take(pa.array(query, pa.int64())), "id": values.take(pa.array(places, pa.int64())), "score": np.repeat(np.concatenate(scores) if scores else np.empty(0), each)})
 
 
-def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text", block: int = 16_384) -> DataFrame:
+def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text", block: int = 49_152, chunk: int = 8_192) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of every query; ids are unique.
 
     Texts of the same terms are scored once, and so are queries. Blocks of texts meet blocks of queries, and each
     pair of blocks is scored over postings in arrays: what is shuffled are texts, queries and the k best of each
     block, never the pairs of queries and texts that share a term. Document frequencies, one row for each term
     asked for, join the query side. Terms are written to the shared folder while the plan is built, which also
-    counts the texts and queries.
+    counts the texts, and about how many differ: ``block`` texts and ``chunk`` queries of other terms make a pair
+    of blocks, however many copies they have.
     """
     seen, known = Observation(), Observation()
-    tokens = cut_lineage(docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).observe(seen, F.count("*").alias("n"), F.sum(F.size("t")).alias("dl")))
+    split = docs.select(F.col(id_col).alias("id"), F.sort_array(terms(F.col(text_col))).alias("t"))
+    tokens = cut_lineage(split.observe(seen, F.count("*").alias("n"), F.sum(F.size("t")).alias("dl"), F.approx_count_distinct(F.xxhash64("t")).alias("bags")))
     words = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("asked"))
-    asked = cut_lineage(words.observe(known, F.count("*").alias("n")))
+    asked = cut_lineage(words.observe(known, F.approx_count_distinct("asked").alias("n")))
     n, average = seen.get["n"], (seen.get["dl"] or 0) / (seen.get["n"] or 1) or 1.0
-    blocks, chunks = -(-n // block) or 1, -(-known.get["n"] // block) or 1
+    blocks, chunks = -(-seen.get["bags"] // block) or 1, -(-known.get["n"] // min(block, chunk)) or 1
 
     wanted = asked.select("asked").distinct().select("asked", F.explode(F.split("asked", " ")).alias("term"))
-    frequency = tokens.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    frequency = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weighted = wanted.join(frequency, "term").groupBy("asked").agg(F.array_sort(F.collect_list(F.struct(idf.alias("idf"), "term"))).alias("terms"))
-    same = tokens.where(F.size("t") > 0).select("id", F.array_join(F.array_sort("t"), " ").alias("bag"))
+    same = tokens.where(F.size("t") > 0).select("id", F.array_join("t", " ").alias("bag"))
     first = same.withColumn("r", F.row_number().over(Window.partitionBy("bag").orderBy("id"))).where(F.col("r") <= k)
     bags = first.groupBy("bag").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
     spread = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = bags.select(spread("bag", blocks).alias("block"), every(chunks).alias("chunk"), "ids", "bag").repartition(blocks * chunks, "block", "chunk")
-    right = weighted.select(every(blocks).alias("block"), spread("asked", chunks).alias("chunk"), "asked", "terms").repartition(blocks * chunks, "block", "chunk")
+    parts = 3 * blocks * chunks  # so that few pairs of blocks fall into one partition
+    left = bags.select(spread("bag", blocks).alias("block"), every(chunks).alias("chunk"), "ids", "bag").repartition(parts, "block", "chunk")
+    right = weighted.select(every(blocks).alias("block"), spread("asked", chunks).alias("chunk"), "asked", "terms").repartition(parts, "block", "chunk")
     schema = T.StructType([T.StructField("asked", T.StringType()), T.StructField("id", tokens.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(lambda texts, some: _best_of_block(texts, some, k, average), schema)
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "id")

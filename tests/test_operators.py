@@ -372,6 +372,22 @@ def test_graded_queries_shuffle_no_pairs(spark, tmp_path, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("name", ["ir_metrics"])
+def test_graded_queries_meet_no_more_blocks_for_copies(spark, tmp_path, monkeypatch, name):
+    from functools import partial
+
+    from lodestone.plans import search as plans
+
+    rows = frame(spark, [(5 * i, "w", f"p{i}", f"commonW{i // 10 % 60}") for i in range(6000)], "id bigint, workspace string, path string, name string")
+    rows.write.parquet(f"{tmp_path}/symbols.parquet")
+    monkeypatch.setattr(search, "bm25_batch", partial(search.bm25_batch, block=100))  # 60 names, so one block of texts and one of queries
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled_rows(spark, plans.queries()[name](spark, str(tmp_path))) < 40_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rrf_does_not_depend_on_the_order_of_lists(spark):
     a = frame(spark, [(1, 1), (2, 2)], "id int, rank int")
     b = frame(spark, [(2, 1), (3, 2)], "id int, rank int")
