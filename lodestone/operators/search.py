@@ -190,8 +190,8 @@ def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str =
     pair of blocks is scored over postings in arrays: what is shuffled are texts, queries and the k best of each
     block, never the pairs of queries and texts that share a term. Document frequencies, one row for each term
     asked for, join the query side. Terms are written to the shared folder while the plan is built, which also
-    counts the texts, and about how many differ: ``block`` texts and ``chunk`` queries of other terms make a pair
-    of blocks, however many copies they have.
+    counts the texts, and about how many differ: ``block`` texts, fewer if they have over 24 terms on average, and
+    ``chunk`` queries of other terms make a pair of blocks, however many copies they have.
     """
     seen, known = Observation(), Observation()
     split = docs.select(F.col(id_col).alias("id"), F.sort_array(terms(F.col(text_col))).alias("t"))
@@ -199,7 +199,7 @@ def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str =
     words = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("asked"))
     asked = cut_lineage(words.observe(known, F.approx_count_distinct("asked").alias("n")))
     n, average = seen.get["n"], (seen.get["dl"] or 0) / (seen.get["n"] or 1) or 1.0
-    blocks, chunks = -(-seen.get["bags"] // block) or 1, -(-known.get["n"] // min(block, chunk)) or 1
+    blocks, chunks = int(-(-seen.get["bags"] * max(1.0, average / 24) // block)) or 1, -(-known.get["n"] // min(block, chunk)) or 1
 
     wanted = asked.select("asked").distinct().select("asked", F.explode(F.split("asked", " ")).alias("term"))
     frequency = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
