@@ -103,14 +103,25 @@ class Grammar:
 
         first, last = parse(self.bodies[name])
 
+        # of the states that a state reaches without a symbol, those with a symbol of their own and the last one tell sets apart
+        reached: dict[int, frozenset[int]] = {}
+        closures: dict[frozenset[int], frozenset[int]] = {}
+
+        def reach(state: int) -> frozenset[int]:
+            if state not in reached:
+                seen, todo = {state}, [state]
+                while todo:
+                    for b in moves[todo.pop()].get(None, ()):
+                        if b not in seen:
+                            seen.add(b)
+                            todo.append(b)
+                reached[state] = frozenset(s for s in seen if s == last or moves[s].keys() - {None})
+            return reached[state]
+
         def closure(states: frozenset[int]) -> frozenset[int]:
-            seen, todo = set(states), list(states)
-            while todo:
-                for b in moves[todo.pop()].get(None, ()):
-                    if b not in seen:
-                        seen.add(b)
-                        todo.append(b)
-            return frozenset(seen)
+            if states not in closures:
+                closures[states] = frozenset().union(*map(reach, states))
+            return closures[states]
 
         numbers: dict[frozenset[int], int] = {}
         todo = []

@@ -7,6 +7,8 @@ import warnings
 
 import pytest
 
+from lodestone.llm import grammars
+from lodestone.llm.gll import Grammar
 from lodestone.llm.syntax import invalid_rates, is_valid, judge_files
 from lodestone.sources.tables import current_corpus
 
@@ -82,3 +84,8 @@ def test_nested_f_strings_end_at_pythons_own_limit():
     quotes = ["'", '"']
     nested = lambda n: "".join(f"f{quotes[i % 2]}{{" for i in range(n)) + "1" + "".join(f"}}{quotes[i % 2]}" for i in reversed(range(n)))
     assert is_valid("a.py", f"x = {nested(40)}\n") and not is_valid("a.py", f"x = {nested(2000)}\n")
+
+
+def test_automata_have_no_two_states_for_the_same_symbols():
+    assert len(Grammar("A = ('a' | 'b')*").edges) == 1
+    assert len(Grammar(grammars.TYPESCRIPT).edges) < 4_000  # every worker compiles them
