@@ -30,8 +30,7 @@ def identifier_tokens(name: Column) -> Column:
 
     Null gives null; an empty name gives an empty string.
     """
-    spaced = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    parts = F.filter(F.split(spaced, r"[^A-Za-z0-9]+"), lambda x: x != "")
+    parts = F.regexp_extract_all(name, F.lit("[A-Z]+(?=[A-Z][a-z])|[A-Z]*[a-z0-9]+|[A-Z]+"), F.lit(0))
     return F.array_join(F.filter(F.array_distinct(F.concat(F.array(F.lower(name)), F.transform(parts, F.lower))), lambda x: x != ""), " ")
 
 

@@ -22,7 +22,7 @@ K1, B, IDF_FLOOR, RRF_K, MIN_COSINE = 1.2, 0.75, 1e-6, 60, 0.12
 
 def terms(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits, in order, with repeats; empty for null."""
-    return F.coalesce(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def phrases_of(query: str) -> list[tuple[str, bool]]:
@@ -183,23 +183,39 @@ def _best_of_block(texts: pa.Table, asked: pa.Table, k: int, average: float) ->
     return pa.table({"asked": asked.column("asked").take(pa.array(query, pa.int64())), "id": values.take(pa.array(places, pa.int64())), "score": np.repeat(np.concatenate(scores) if scores else np.empty(0), each)})
 
 
-def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text", block: int = 49_152, chunk: int = 8_192) -> DataFrame:
-    """(query_id, id, score, rank): the k best documents of every query; ids are unique.
+def split_texts(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, dict]:
+    """docs with ``id`` and the terms ``t`` of each text, in order, in place of the text, and counts: texts ``n``, terms ``dl``, about how many ``bags`` differ.
+
+    Read and split once, while the plan is built, and written to the shared folder.
+    """
+    seen = Observation()
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    split = docs.select(F.col(id_col).alias("id"), F.sort_array(terms(F.col(text_col))).alias("t"), *rest)
+    texts = cut_lineage(split.observe(seen, F.count("*").alias("n"), F.sum(F.size("t")).alias("dl"), F.approx_count_distinct(F.xxhash64("t")).alias("bags")))
+    return texts, seen.get
+
+
+def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best documents of every query; ids are unique. Sizes are those of ``best_texts``."""
+    asked = queries.select(F.col(query_id).alias("query_id"), terms(F.col(query_text)).alias("t"))
+    return best_texts(asked, *split_texts(docs.select(id_col, text_col), id_col, text_col), k, **sizes)
+
+
+def best_texts(queries: DataFrame, tokens: DataFrame, counts: dict, k: int = 10, block: int = 131_072, chunk: int = 4_096) -> DataFrame:
+    """(query_id, id, score, rank): the k best texts of every query, from the terms ``t`` of queries (query_id, t) and of ``split_texts``.
 
     Texts of the same terms are scored once, and so are queries. Blocks of texts meet blocks of queries, and each
     pair of blocks is scored over postings in arrays: what is shuffled are texts, queries and the k best of each
     block, never the pairs of queries and texts that share a term. Document frequencies, one row for each term
-    asked for, join the query side. Terms are written to the shared folder while the plan is built, which also
-    counts the texts, and about how many differ: ``block`` texts, fewer if they have over 24 terms on average, and
-    ``chunk`` queries of other terms make a pair of blocks, however many copies they have.
+    asked for, join the query side. ``block`` texts, fewer if they have over 12 terms on average, and ``chunk``
+    queries of other terms make a pair of blocks, however many copies they have. Queries are written to the shared
+    folder and counted while the plan is built.
     """
-    seen, known = Observation(), Observation()
-    split = docs.select(F.col(id_col).alias("id"), F.sort_array(terms(F.col(text_col))).alias("t"))
-    tokens = cut_lineage(split.observe(seen, F.count("*").alias("n"), F.sum(F.size("t")).alias("dl"), F.approx_count_distinct(F.xxhash64("t")).alias("bags")))
-    words = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("asked"))
+    known = Observation()
+    words = queries.select("query_id", F.explode("t").alias("term")).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("asked"))
     asked = cut_lineage(words.observe(known, F.approx_count_distinct("asked").alias("n")))
-    n, average = seen.get["n"], (seen.get["dl"] or 0) / (seen.get["n"] or 1) or 1.0
-    blocks, chunks = int(-(-seen.get["bags"] * max(1.0, average / 24) // block)) or 1, -(-known.get["n"] // min(block, chunk)) or 1
+    n, average = counts["n"], (counts["dl"] or 0) / (counts["n"] or 1) or 1.0
+    blocks, chunks = int(-(-counts["bags"] * max(1.0, average / 12) // block)) or 1, -(-known.get["n"] // min(block, chunk)) or 1
 
     wanted = asked.select("asked").distinct().select("asked", F.explode(F.split("asked", " ")).alias("term"))
     frequency = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -211,7 +227,7 @@ def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str =
 
     spread = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    parts = 3 * blocks * chunks  # so that few pairs of blocks fall into one partition
+    parts = 3 * blocks * chunks + 32  # so that few pairs of blocks fall into one partition
     left = bags.select(spread("bag", blocks).alias("block"), every(chunks).alias("chunk"), "ids", "bag").repartition(parts, "block", "chunk")
     right = weighted.select(every(blocks).alias("block"), spread("asked", chunks).alias("chunk"), "asked", "terms").repartition(parts, "block", "chunk")
     schema = T.StructType([T.StructField("asked", T.StringType()), T.StructField("id", tokens.schema["id"].dataType), T.StructField("score", T.DoubleType())])

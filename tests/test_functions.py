@@ -1,5 +1,7 @@
 """Truth tables of the column functions."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +20,12 @@ def test_identifier_tokens(spark):
     assert column(spark, ["validateJwt", "HTTPServer", "a_b", "", None], "string", T.identifier_tokens) == ["validatejwt validate jwt", "httpserver http server", "a_b a b", "", None]
 
 
+def test_identifier_tokens_of_any_letters(spark):
+    rng = random.Random(8)
+    names = ["ABCd", "aB1c", "HTTPServer2Go", "éAbÉcd", "1Ab2", *["".join(rng.choices("abAB1_.é ", k=rng.randrange(1, 9))) for _ in range(3000)]]
+    assert column(spark, names, "string", T.identifier_tokens) == [" ".join(T.identifier_tokens_of(n)) for n in names]
+
+
 def test_expand_query():
     assert {"validate", "jwt"} <= set(T.expand_query("validateJwt")) and "auth" in T.expand_query("login flow") and "interceptor" in T.expand_query("middleware layer") and "release" in T.expand_query("deploy pipeline")
     assert T.expand_query("  \"' ") == [] and len(T.expand_query(" ".join(f"w{i}x" for i in range(99)))) == T.MAX_TERMS

@@ -388,6 +388,13 @@ def test_graded_queries_meet_no_more_blocks_for_copies(spark, tmp_path, monkeypa
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("name", ["golden_metrics"])
+def test_graded_queries_read_symbols_once(spark, data, name):
+    from lodestone.plans import search as plans
+
+    assert not any("symbols.parquet" in file for file in plans.queries()[name](spark, data).inputFiles())  # all from the split texts
+
+
 def test_rrf_does_not_depend_on_the_order_of_lists(spark):
     a = frame(spark, [(1, 1), (2, 2)], "id int, rank int")
     b = frame(spark, [(2, 1), (3, 2)], "id int, rank int")
