@@ -388,7 +388,7 @@ def test_graded_queries_meet_no_more_blocks_for_copies(spark, tmp_path, monkeypa
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["golden_metrics"])
+@pytest.mark.parametrize("name", ["golden_metrics", "ir_gate"])
 def test_graded_queries_read_symbols_once(spark, data, name):
     from lodestone.plans import search as plans
 
