@@ -25,12 +25,15 @@ IGNORED_PATTERNS = ("*.min.js", "*.min.mjs", "*.min.cjs", "public/**/*.min.*")
 KEPT_DIRS = ("test", "tests", "__tests__", "spec", "e2e")
 
 
+_PARTS = "[A-Z]+(?=[A-Z][a-z])|[A-Z]*[a-z0-9]+|[A-Z]+"
+
+
 def identifier_tokens(name: Column) -> Column:
     """Distinct [lower-cased whole, lower-cased parts of camel, Pascal and snake case] joined by blanks.
 
     Null gives null; an empty name gives an empty string.
     """
-    parts = F.regexp_extract_all(name, F.lit("[A-Z]+(?=[A-Z][a-z])|[A-Z]*[a-z0-9]+|[A-Z]+"), F.lit(0))
+    parts = F.regexp_extract_all(name, F.lit(_PARTS), F.lit(0))
     return F.array_join(F.filter(F.array_distinct(F.concat(F.array(F.lower(name)), F.transform(parts, F.lower))), lambda x: x != ""), " ")
 
 
@@ -40,6 +43,14 @@ def identifier_tokens_of(name: str) -> list[str]:
     return [t for t in dict.fromkeys([name.lower(), *(p.lower() for p in re.split(r"[^A-Za-z0-9]+", spaced))]) if t]
 
 
+def identifier_terms_of(name: str) -> list[str]:
+    """The runs of ASCII letters and digits in the tokens of one string, with repeats, in any order."""
+    whole = name.lower()
+    parts = set(" ".join(re.findall(_PARTS, name)).lower().split())  # each is one run
+    parts.discard(whole)
+    return [*re.findall("[a-z0-9]+", whole), *parts]
+
+
 def expand_query(query: str) -> list[str]:
     """Search terms of a query: its words, their identifier parts longer than one letter, one round of synonyms; at most 24."""
     words = re.sub(r"[\"'*:^(){}\[\]~-]", " ", query).split()

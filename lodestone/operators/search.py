@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import expand_query
 from lodestone.functions.vectors import dot, hash_embedding_of, hash_similarity
+from lodestone.operators.bags import K1, B, best_of_block, gather_texts, split_texts
 from lodestone.sources.storage import cut_lineage
 
-K1, B, IDF_FLOOR, RRF_K, MIN_COSINE = 1.2, 0.75, 1e-6, 60, 0.12
+IDF_FLOOR, RRF_K, MIN_COSINE = 1e-6, 60, 0.12
 
 
 def terms(text: Column) -> Column:
@@ -126,112 +126,63 @@ def bm25_stored(postings: DataFrame, stats: DataFrame, ids: Sequence[str], phras
     return counted.groupBy(*ids).agg(F.sum(part).alias("score"))
 
 
-def _best_of_block(texts: pa.Table, asked: pa.Table, k: int, average: float) -> pa.Table:
-    """(asked, id, score): the k best texts of one block for each query, exactly; texts whose rounded scores are equal go by id.
+def terms_of(text: str) -> list[str]:
+    """``terms`` of one string."""
+    return re.findall("[a-z0-9]+", text.lower())
 
-    texts (ids, bag): texts of the same terms are one row, with the k smallest of their ids in order. asked (asked, terms):
-    the terms of a query with their idf, the rarest last.
-    """
-    held = texts.column("ids").combine_chunks()
-    by_id = pc.sort_indices(pc.list_element(held, 0))
-    ids, bags = held.take(by_id), texts.column("bag").combine_chunks().take(by_id)
-    n, words = len(ids), pc.split_pattern(bags, " ")
-    length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    lists = asked.column("terms").combine_chunks()
-    coded = pc.list_flatten(lists).field("term").dictionary_encode()
-    codes, idf = coded.indices.to_numpy(), np.empty(len(coded.dictionary))
-    idf[codes] = pc.list_flatten(lists).field("idf").to_numpy()
-    code = pc.index_in(pc.list_flatten(words), value_set=coded.dictionary)  # null where no query asks for the term
-    known = code.is_valid().to_numpy(zero_copy_only=False)
-    at, tf = np.unique(code.drop_null().to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length)[known], return_counts=True)
-    term, row = np.divmod(at, max(n, 1))
-    begins = np.searchsorted(term, np.arange(len(idf) + 1)).tolist()
-    part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / average))
-    copies, values = pc.list_value_length(ids).to_numpy(zero_copy_only=False), pc.list_flatten(ids)
-    offsets = np.cumsum(copies) - copies
-    which, rows, scores, total = [], [], [], np.zeros(n)
-    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
-    for q, (begin, end) in enumerate(zip([0, *ends], ends)):
-        spans = [(begins[c], begins[c + 1]) for c in codes[begin:end].tolist() if begins[c] < begins[c + 1]]
-        if not spans:
-            continue
-        held_by = np.concatenate([row[a:b] for a, b in spans])
-        np.add.at(total, held_by, np.concatenate([part[a:b] for a, b in spans]))
-        score = total[held_by]  # a text stands here once for each of its terms
-        total[held_by] = 0
-        until, bound = len(score), 0.0
-        for a, b in reversed(spans):  # k texts of one term reach the bound, so no text below it is among the best
-            if b - a >= k:
-                bound = np.partition(score[until - (b - a) : until], b - a - k)[b - a - k] - 2e-6  # ranked by six digits
-                break
-            until -= b - a
-        above = np.flatnonzero(score >= bound)
-        found, one = np.unique(held_by[above], return_index=True)
-        score = score[above[one]]
-        mark = np.rint(score * 1e6)
-        best = np.lexsort((found, -mark))[:k]
-        enough = np.searchsorted(np.cumsum(copies[found[best]]), k)
-        if enough < len(best):
-            best = best[mark[best] >= mark[best[enough]]]
-        which.append(np.full(len(best), q))
-        rows.append(found[best])
-        scores.append(score[best])
-    hit = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    each = copies[hit]
-    places = np.repeat(offsets[hit] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-    query = np.repeat(np.concatenate(which) if which else hit, each)
-    return pa.table({"asked": asked.column("asked").take(pa.array(query, pa.int64())), "id": values.take(pa.array(places, pa.int64())), "score": np.repeat(np.concatenate(scores) if scores else np.empty(0), each)})
-
-
-def split_texts(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, dict]:
-    """docs with ``id`` and the terms ``t`` of each text, in order, in place of the text, and counts: texts ``n``, terms ``dl``, about how many ``bags`` differ.
-
-    Read and split once, while the plan is built, and written to the shared folder.
+
+def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best documents of every query; ids are unique. Sizes are those of ``best_texts``.
+
+    Queries are written to the shared folder and counted while the plan is built.
     """
-    seen = Observation()
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    split = docs.select(F.col(id_col).alias("id"), F.sort_array(terms(F.col(text_col))).alias("t"), *rest)
-    texts = cut_lineage(split.observe(seen, F.count("*").alias("n"), F.sum(F.size("t")).alias("dl"), F.approx_count_distinct(F.xxhash64("t")).alias("bags")))
-    return texts, seen.get
+    known = Observation()
+    words = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("asked"))
+    asked = cut_lineage(words.observe(known, F.approx_count_distinct("asked").alias("asked")))
+    bags, counts = gather_texts(split_texts(docs.select(id_col, text_col), terms_of, k, id_col, text_col), k)
+    return best_texts(asked, bags, counts | known.get, k, **sizes)
 
 
-def bm25_batch(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text", **sizes: int) -> DataFrame:
-    """(query_id, id, score, rank): the k best documents of every query; ids are unique. Sizes are those of ``best_texts``."""
-    asked = queries.select(F.col(query_id).alias("query_id"), terms(F.col(query_text)).alias("t"))
-    return best_texts(asked, *split_texts(docs.select(id_col, text_col), id_col, text_col), k, **sizes)
+def best_of_own(docs: DataFrame, terms_of: Callable[[str], list[str]], asks: Column, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """docs, of which some are queries too: texts (id, rest, asked), of each id once, ``asked`` being null where not ``asks``, and hits as of ``best_texts``.
 
+    docs (id, text, rest) are read and split once, while the plan is built, and written to the shared folder.
+    """
+    known = Observation()
+    split = split_texts(docs.repartition("id").sortWithinPartitions("id"), terms_of, k, once=True)
+    marked = split.withColumn("asked", F.when(asks, F.array_join(F.array_distinct(F.split("bag", " ")), " ")))
+    texts = cut_lineage(marked.observe(known, F.approx_count_distinct("asked").alias("asked")))
+    bags, counts = gather_texts(texts, k)
+    hits = best_texts(texts.where("asked != ''").select(F.col("id").alias("query_id"), "asked"), bags, counts | known.get, k)
+    return texts.drop("bag", "copies"), hits
 
-def best_texts(queries: DataFrame, tokens: DataFrame, counts: dict, k: int = 10, block: int = 131_072, chunk: int = 4_096) -> DataFrame:
-    """(query_id, id, score, rank): the k best texts of every query, from the terms ``t`` of queries (query_id, t) and of ``split_texts``.
+
+def best_texts(asked: DataFrame, gathered: DataFrame, counts: dict, k: int = 10, block: int = 131_072, chunk: int = 4_096) -> DataFrame:
+    """(query_id, id, score, rank): the k best texts of every query, from queries (query_id, asked), which are distinct terms in order as one string, and ``gather_texts``.
 
     Texts of the same terms are scored once, and so are queries. Blocks of texts meet blocks of queries, and each
     pair of blocks is scored over postings in arrays: what is shuffled are texts, queries and the k best of each
     block, never the pairs of queries and texts that share a term. Document frequencies, one row for each term
-    asked for, join the query side. ``block`` texts, fewer if they have over 12 terms on average, and ``chunk``
-    queries of other terms make a pair of blocks, however many copies they have. Queries are written to the shared
-    folder and counted while the plan is built.
+    asked for, join the terms of the queries. ``block`` texts, fewer if they have over 12 terms on average, and ``chunk``
+    queries of other terms make a pair of blocks, however many copies they have. counts: those of ``gather_texts``
+    and about how many queries ``asked`` differ.
     """
-    known = Observation()
-    words = queries.select("query_id", F.explode("t").alias("term")).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("asked"))
-    asked = cut_lineage(words.observe(known, F.approx_count_distinct("asked").alias("n")))
-    n, average = counts["n"], (counts["dl"] or 0) / (counts["n"] or 1) or 1.0
-    blocks, chunks = int(-(-counts["bags"] * max(1.0, average / 12) // block)) or 1, -(-known.get["n"] // min(block, chunk)) or 1
+    n, average = counts["n"], counts["dl"] / (counts["n"] or 1) or 1.0
+    blocks, chunks = int(-(-counts["bags"] * max(1.0, average / 12) // block)) or 1, -(-counts["asked"] // min(block, chunk)) or 1
 
+    bags = gathered.where("bag != ''")
     wanted = asked.select("asked").distinct().select("asked", F.explode(F.split("asked", " ")).alias("term"))
-    frequency = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    frequency = bags.select(F.explode(F.array_distinct(F.split("bag", " "))).alias("term"), "copies").groupBy("term").agg(F.sum("copies").alias("df"))
     idf = F.greatest(F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weighted = wanted.join(frequency, "term").groupBy("asked").agg(F.array_sort(F.collect_list(F.struct(idf.alias("idf"), "term"))).alias("terms"))
-    same = tokens.where(F.size("t") > 0).select("id", F.array_join("t", " ").alias("bag"))
-    first = same.withColumn("r", F.row_number().over(Window.partitionBy("bag").orderBy("id"))).where(F.col("r") <= k)
-    bags = first.groupBy("bag").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    weighted = wanted.join(frequency, "term").select("asked", "term", idf.alias("idf"))
 
     spread = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     parts = 3 * blocks * chunks + 32  # so that few pairs of blocks fall into one partition
     left = bags.select(spread("bag", blocks).alias("block"), every(chunks).alias("chunk"), "ids", "bag").repartition(parts, "block", "chunk")
-    right = weighted.select(every(blocks).alias("block"), spread("asked", chunks).alias("chunk"), "asked", "terms").repartition(parts, "block", "chunk")
-    schema = T.StructType([T.StructField("asked", T.StringType()), T.StructField("id", tokens.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(lambda texts, some: _best_of_block(texts, some, k, average), schema)
+    right = weighted.select(every(blocks).alias("block"), spread("asked", chunks).alias("chunk"), "asked", "term", "idf").repartition(parts, "block", "chunk")
+    schema = T.StructType([T.StructField("asked", T.StringType()), T.StructField("id", gathered.schema["ids"].dataType.elementType), T.StructField("score", T.DoubleType())])
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(lambda texts, some: best_of_block(texts, some, k, average), schema)
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
     top = found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return asked.join(top, "asked").select("query_id", "id", "score", "rank")

@@ -26,6 +26,14 @@ def test_identifier_tokens_of_any_letters(spark):
     assert column(spark, names, "string", T.identifier_tokens) == [" ".join(T.identifier_tokens_of(n)) for n in names]
 
 
+def test_identifier_terms_are_those_of_the_tokens(spark):
+    from lodestone.operators.search import terms
+
+    rng = random.Random(9)
+    names = ["HTTPServer2Go.runB", "éAbÉcd", "\u212aelvin", "\u0130nit", "a_b", "", *["".join(rng.choices("abAB1_.é \u212a\u0130", k=rng.randrange(1, 9))) for _ in range(3000)]]
+    assert [sorted(x) for x in column(spark, names, "string", lambda c: terms(T.identifier_tokens(c)))] == [sorted(T.identifier_terms_of(n)) for n in names]
+
+
 def test_expand_query():
     assert {"validate", "jwt"} <= set(T.expand_query("validateJwt")) and "auth" in T.expand_query("login flow") and "interceptor" in T.expand_query("middleware layer") and "release" in T.expand_query("deploy pipeline")
     assert T.expand_query("  \"' ") == [] and len(T.expand_query(" ".join(f"w{i}x" for i in range(99)))) == T.MAX_TERMS

@@ -395,6 +395,39 @@ def test_graded_queries_read_symbols_once(spark, data, name):
     assert not any("symbols.parquet" in file for file in plans.queries()[name](spark, data).inputFiles())  # all from the split texts
 
 
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_texts_are_split_and_gathered_across_batches(spark, rows):
+    rng = random.Random(10)
+    made = {i: rng.choice(["ab cd", "Cd-AB", "x", "x x", "", None]) for i in [*range(200), None]}
+    docs = frame(spark, [(i, f"p{i}", t) for i, t in made.items() for _ in range(rng.randrange(1, 6))], "id int, path string, text string").repartition("id").sortWithinPartitions("id")
+    want = {}
+    for i, t in made.items():
+        want.setdefault(" ".join(sorted((t or "").lower().replace("-", " ").split())), []).append(i)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        texts = search.split_texts(docs, search.terms_of, 4, once=True)
+        got, counts = search.gather_texts(texts, 4)
+        assert sorted((r.id or -1, r.path) for r in texts.collect()) == sorted((i or -1, f"p{i}") for i in made)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first = {b: sorted(ids, key=lambda i: (i is not None, i))[:4] for b, ids in want.items()}
+    assert {r.bag: (r.copies, r.length) for r in got.collect()} == {b: (len(ids), len(b.split())) for b, ids in want.items()} and got.count() == len(want)
+    assert all(r.ids == first[r.bag] for r in got.collect() if None not in want[r.bag])
+    assert counts == {"n": 201, "dl": sum(len(b.split()) * len(ids) for b, ids in want.items()), "bags": len(want) - 1}
+
+
+def test_gate_shuffles_each_symbol_once(spark, tmp_path):
+    from lodestone.plans import search as plans
+
+    rows = frame(spark, [(5 * i, "w", f"p{i}", f"commonW{i // 10}") for i in range(6000)], "id bigint, workspace string, path string, name string")
+    rows.write.parquet(f"{tmp_path}/symbols.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled_rows(spark, plans.queries()["ir_gate"](spark, str(tmp_path))) < 34_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rrf_does_not_depend_on_the_order_of_lists(spark):
     a = frame(spark, [(1, 1), (2, 2)], "id int, rank int")
     b = frame(spark, [(2, 1), (3, 2)], "id int, rank int")
