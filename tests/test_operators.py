@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -288,6 +289,37 @@ def test_ngram_counts_shuffle_no_postings(spark, monkeypatch):
     assert shuffled_rows(spark, grep.ngram_counts(files)) < 200 < shuffled_rows(spark, want)
 
 
+def test_ngram_postings_name_the_file_of_every_ngram(spark, tmp_path):
+    """Current versions only, the same path in two workspaces, texts that are null or empty, and many in one batch."""
+    from lodestone.plans import search as plans
+
+    rows = [("v", "a", "let loadPolicy = 3\r\n", 1), ("w", "a", "old text", 1), ("w", "a", "new loadPolicy\nline", 2), ("w", "b", None, 1), ("w", "c", "", 1), (None, "d", "ünï\n\nx", 1)]
+    rows += [("u", f"p{i}", f"def f{i % 7}(x):\n    return {i}\n", 1) for i in range(300)]
+    frame(spark, rows, "workspace string, path string, content string, mtime_ms bigint").write.parquet(str(tmp_path / "corpus.parquet"))
+    got = [(r.hash, r.workspace, r.path) for r in plans.queries()["ngram_postings"](spark, str(tmp_path)).collect()]
+    current = {(w, p): t for w, p, t, _ in rows}
+    want = {(grep.gram_hash(g), w, p) for (w, p), t in current.items() for g in grep.sparse_ngrams((t or "").encode())}
+    assert len(got) == len(set(got)) and set(got) == want
+    counts = {(r.hash, r.n_paths) for r in plans.queries()["ngram_sizes"](spark, str(tmp_path)).collect()}
+    assert counts == set(Counter(h for h, _, _ in want).items())
+
+
+def test_ngrams_of_many_texts_equal_those_of_each():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abcdeXY_ \n\x00\xc3") for _ in range(rng.randrange(0, 60))) for _ in range(500)]
+    texts += [None, b"", b"\n", b"a", bytes(rng.choice(b"abcXY_ \n") for _ in range(grep.BYTES + 70_000)), b"ab" * grep.BYTES]
+    rng.shuffle(texts)
+    got = []
+    for grams, sizes, which in grep.ngrams_of_texts(pa.array(texts, pa.binary())):
+        ends = [0, *sizes.cumsum().tolist()]
+        got += [[grams[i] for i in which[b:e]] for b, e in zip(ends, ends[1:])]
+    assert len(got) == len(texts)
+    for found, text in zip(got, texts):
+        assert len(found) == len(set(found)) and set(found) == set(grep.sparse_ngrams(text or b""))
+
+
 def test_ngrams_equal_their_definition():
     import hashlib
 
